@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faintline.functions.times import bucket_columns
+from faintline.operators.blocks import match_keys
 
-WARP = 1.34  # fixed value of the bandwidth rule: interquartile range over this many sigma
+IQR_SIGMAS = 1.34  # fixed value of the bandwidth rule: interquartile range over this many sigma
 
 
 def downsample_mean(
@@ -62,7 +63,7 @@ def exact_quantiles(
         ]
     )
     hit = (
-        values.join(sketch, group)
+        match_keys(values, sketch, group)
         .withColumn("__b", F.explode(F.filter(brackets, lambda b: F.col("__v") <= b.hi)))
         .select(*group, "__n", "__b.p", F.when(F.col("__v") >= F.col("__b.lo"), F.col("__v")).alias("__v"))
         .groupBy(*group, "__n", "p", "__v")
@@ -131,29 +132,31 @@ def to_arrays(
 def histogram(df: DataFrame, col: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins over the column's range, last bin closed, empty bins included."""
     by = list(by)
-    values = df.select(*by, col).filter(F.col(col).isNotNull())
-    ends = values.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
-    ranged = values.select("*", ends.select("lo").scalar().alias("lo"), ends.select("hi").scalar().alias("hi"))
-    span = F.col("hi") - F.col("lo")
+    values = df.select(*by, F.col(col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    ends = values.agg(F.struct(F.min("__v").alias("lo"), F.max("__v").alias("hi")))
+    ranged = values.select("*", ends.scalar().alias("__ends")).select("*", "__ends.lo", "__ends.hi")
     # A column with a single value gets a range one unit wide around it.
-    lo = F.when(span == 0, F.col("lo") - 0.5).otherwise(F.col("lo"))
-    width = F.when(span == 0, F.lit(1.0)).otherwise(span) / bins
-    binned = ranged.select(
-        *by, F.least(F.floor((F.col(col) - lo) / width), F.lit(bins - 1)).cast("int").alias("bin")
+    flat = F.col("lo") == F.col("hi")
+    low = F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo"))
+    width = F.when(flat, F.lit(1.0)).otherwise(F.col("hi") - F.col("lo")) / bins
+    counts = (
+        ranged.select(*by, "__v", low.alias("low"), width.alias("width"))
+        .groupBy(*by, "low", "width", F.least(F.floor((F.col("__v") - F.col("low")) / F.col("width")), F.lit(bins - 1)).cast("int").alias("bin"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    counts = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
-    frame = (
-        (counts.select(*by).distinct() if by else ends)
-        .select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-        .select("*", ends.select("lo").scalar().alias("lo"), ends.select("hi").scalar().alias("hi"))
-        .select(*by, "bin", lo.alias("lo"), width.alias("width"))
+    # At most ``bins`` counts per group come together here.
+    filled = counts.groupBy(*by, "low", "width").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("__found")
     )
-    return frame.join(counts, [*by, "bin"], "left").select(
-        *by,
-        "bin",
-        (F.col("lo") + F.col("bin") * F.col("width")).alias("bin_low"),
-        (F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("bin_high"),
-        F.coalesce("n", F.lit(0)).alias("n"),
+    return (
+        filled.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+        .select(
+            *by,
+            "bin",
+            (F.col("low") + F.col("bin") * F.col("width")).alias("bin_low"),
+            (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("bin_high"),
+            F.coalesce(F.try_element_at("__found", F.col("bin")), F.lit(0)).alias("n"),
+        )
     )
 
 
@@ -165,29 +168,33 @@ def kde(df: DataFrame, col: str, by: str, points: int = 64, cells: int = 1024) -
     usual rule 0.9 min(sd, IQR / 1.34) n^(-1/5), with exact quartiles.
     """
     values = df.select(by, F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    ends = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-    cell = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells), F.lit(cells - 1))
-    counts = (
-        values.select("*", lo.alias("lo"), hi.alias("hi"))
-        .groupBy(by, "lo", "hi", cell.alias("cell"))
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
     quartiles = exact_quantiles(values, [by], "x", [0.25, 0.75]).groupBy(by).agg(
         (F.max("value") - F.min("value")).alias("iqr")
     )
-    spread = (
+    every = Window.partitionBy()  # over the groups' statistics, one row per group
+    stats = (
         values.groupBy(by)
-        .agg(F.stddev_samp("x").alias("sd"), F.count("x").alias("n"))
-        .join(quartiles, by)
-        .select(by, "n", (0.9 * F.least(F.col("sd"), F.col("iqr") / WARP) * F.pow("n", F.lit(-0.2))).alias("h"))
+        .agg(F.stddev_samp("x").alias("sd"), F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        .transform(match_keys, quartiles, [by])
+        .select(
+            by,
+            "n",
+            (0.9 * F.least(F.col("sd"), F.col("iqr") / IQR_SIGMAS) * F.pow("n", F.lit(-0.2))).alias("h"),
+            F.min("lo").over(every).alias("lo"),
+            F.max("hi").over(every).alias("hi"),
+        )
+    )
+    share = F.coalesce(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    counts = (
+        match_keys(values, stats, [by])
+        .groupBy(by, "n", "h", "lo", "hi", F.least(F.floor(share * cells), F.lit(cells - 1)).alias("cell"))
+        .agg(F.count(F.lit(1)).alias("c"))
     )
     step = (F.col("hi") - F.col("lo")) / (points - 1)
     centre = F.col("lo") + (F.col("cell") + 0.5) * (F.col("hi") - F.col("lo")) / cells
     u = (F.col("lo") + F.col("g") * step - centre) / F.col("h")
     return (
-        counts.join(spread, by)
-        .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        counts.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .groupBy(by, "g", "n", "h", (F.col("lo") + F.col("g") * step).alias("x"))
         .agg(F.sum(F.col("c") * F.exp(-u * u / 2)).alias("k"))
         .select(by, F.col("g").alias("grid"), "x", (F.col("k") / (F.col("n") * F.col("h") * 2.5066282746310002)).alias("density"))

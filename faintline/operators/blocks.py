@@ -24,6 +24,13 @@ CELLS = 1000
 BLOCK = "__block"
 
 
+def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other, so that no row is lost for a missing key."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    condition = [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys]
+    return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def order_number(df: DataFrame, order: str) -> Column:
     """The order column as a number that grows with it (microseconds for timestamps)."""
     kind = df.schema[order].dataType
@@ -100,19 +107,22 @@ def row_index(
     name: str = "idx",
     ties: Sequence[str] = (),
     width: float | None = None,
+    total: str | None = None,
 ) -> DataFrame:
-    """Add the 1-based position of each row in its series (in the whole table when ``keys`` is empty)."""
+    """Add the 1-based position of each row in its series (in the whole table when ``keys`` is empty).
+
+    With ``total`` the number of rows of the series is added too, from the same block counts.
+    """
     keys = list(keys)
     blocks = with_block(df, keys, order, width)
-    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        blocks.groupBy(*keys, BLOCK)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .select(*keys, BLOCK, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    )
+    series = Window.partitionBy(*keys)
+    before = series.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    counts = blocks.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("__n"))
+    whole = [F.sum("__n").over(series).alias(total)] if total else []
+    starts = counts.select(*keys, BLOCK, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), *whole)
     w = Window.partitionBy(*keys, BLOCK).orderBy(order, *ties)
     return (
-        blocks.join(starts, [*keys, BLOCK])
+        match_keys(blocks, starts, [*keys, BLOCK])
         .withColumn(name, (F.col("__start") + F.row_number().over(w)).cast("long"))
         .drop("__start", BLOCK)
     )

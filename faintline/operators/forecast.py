@@ -4,62 +4,86 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faintline.functions.times import periodic_features
-from faintline.operators.blocks import previous_row, row_index
+from faintline.operators.blocks import block_width, previous_row, row_index
 from faintline.operators.prep import chronological_split, standardise
 from faintline.operators.series import WindowSpec, persistence_error
+from faintline.session import settle
 
 SINGLE_STEP = WindowSpec(input_width=1, label_width=1, shift=1, label_columns=("size",))
 WIDE = WindowSpec(input_width=24, label_width=24, shift=1, label_columns=("size",))
 FORECAST_SHARE = 0.8  # fixed value: share of a series that precedes the forecast
 
 
-def step_features(df: DataFrame, keys: Sequence[str], order: str, value: str = "size") -> DataFrame:
-    """Value with the phase of the second, split by time and scaled with the training statistics."""
+def step_features(
+    df: DataFrame, keys: Sequence[str], order: str, value: str = "size", width: float | None = None
+) -> DataFrame:
+    """Value with the phase of the second, split by time and scaled with the training statistics.
+
+    The result is written once, because fitting and every evaluation read it again.
+    """
     sine, cosine = periodic_features(F.col(order))
     rows = df.filter(F.col(value).isNotNull()).select(*keys, order, value, sine.alias("sec_sin"), cosine.alias("sec_cos"))
-    split = chronological_split(rows, keys, order)
-    return standardise(split, [value, "sec_sin", "sec_cos"], keys, "split = 'train'")
+    split = settle(chronological_split(rows, keys, order, width), "split")
+    return settle(standardise(split, [value, "sec_sin", "sec_cos"], keys, "split = 'train'"), "features")
 
 
-def step_pairs(features: DataFrame, keys: Sequence[str], order: str, value: str = "size") -> DataFrame:
+def step_pairs(
+    features: DataFrame, keys: Sequence[str], order: str, value: str = "size", width: float | None = None
+) -> DataFrame:
     """Features of each row beside the next row's value, within one split of one series."""
     cols = [value, "sec_sin", "sec_cos"]
-    rows = previous_row(features, [*keys, "split"], order, cols)
+    rows = previous_row(features, [*keys, "split"], order, cols, width=width)
     return rows.filter(F.col("prev_" + value).isNotNull()).select(
         *keys, "split", order, *["prev_" + c for c in cols], F.col(value).alias("label")
     )
 
 
-def fit_step_model(pairs: DataFrame, value: str = "size") -> LinearRegressionModel:
-    """Least squares on the training split; the driver solves a system as wide as the features."""
-    train = _assembled(pairs.filter("split = 'train'"), value)
-    return LinearRegression(featuresCol="features", labelCol="label", solver="normal").fit(train)
+def step_inputs(value: str = "size") -> list[str]:
+    return ["prev_" + value, "prev_sec_sin", "prev_sec_cos"]
 
 
-def _assembled(pairs: DataFrame, value: str) -> DataFrame:
-    names = ["prev_" + value, "prev_sec_sin", "prev_sec_cos"]
-    return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(pairs)
+def fit_step_model(pairs: DataFrame, value: str = "size") -> list[float]:
+    """Least squares on the training split: intercept, then one weight per input.
 
+    One aggregation gives the means and covariances; the driver solves the system of three.
+    """
+    names = [*step_inputs(value), "label"]
+    train = pairs.filter("split = 'train'").dropna(subset=names)
+    found = train.agg(
+        *[F.avg(c).alias(f"mean_{c}") for c in names],
+        *[F.covar_pop(a, b).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i:]],
+    ).first()
+    inputs = names[:-1]
+    cov = np.array([[found[f"{a}_{b}" if inputs.index(a) <= inputs.index(b) else f"{b}_{a}"] for b in inputs] for a in inputs])
+    weights = np.linalg.lstsq(cov, np.array([found[f"{a}_label"] for a in inputs]), rcond=None)[0]
+    intercept = found["mean_label"] - sum(w * found[f"mean_{a}"] for w, a in zip(weights, inputs))
+    return [float(intercept), *map(float, weights)]
 
-def step_performance(pairs: DataFrame, model: LinearRegressionModel, value: str = "size") -> DataFrame:
+
+def step_forecast(model: Sequence[float], value: str = "size") -> Column:
+    return sum((F.lit(w) * F.col(c) for w, c in zip(model[1:], step_inputs(value))), F.lit(model[0]))
+
+
+def step_performance(pairs: DataFrame, model: Sequence[float], value: str = "size") -> DataFrame:
     """MSE and MAE of the linear model on the val and test splits."""
-    scored = model.transform(_assembled(pairs.filter("split in ('val', 'test')"), value))
-    error = F.col("label") - F.col("prediction")
+    scored = pairs.filter("split in ('val', 'test')").dropna(subset=step_inputs(value))
+    error = F.col("label") - step_forecast(model, value)
     return scored.groupBy("split").agg(F.avg(error * error).alias("mse"), F.avg(F.abs(error)).alias("mae")).select(
         F.lit("Linear").alias("model"), "split", "mse", "mae"
     )
 
 
-def baseline_performance(features: DataFrame, keys: Sequence[str], order: str, value: str = "size") -> DataFrame:
+def baseline_performance(
+    features: DataFrame, keys: Sequence[str], order: str, value: str = "size", width: float | None = None
+) -> DataFrame:
     """MSE and MAE of the persistence forecast on the val and test splits, over all series."""
     held_out = features.filter("split in ('val', 'test')")
-    per_series = persistence_error(held_out, SINGLE_STEP, [*keys, "split"], order, value)
+    per_series = persistence_error(held_out, SINGLE_STEP, [*keys, "split"], order, value, width)
     n = F.sum("n_pairs")
     return per_series.groupBy("split").agg(
         (F.sum(F.col("mse") * F.col("n_pairs")) / n).alias("mse"), (F.sum(F.col("mae") * F.col("n_pairs")) / n).alias("mae")
@@ -68,20 +92,23 @@ def baseline_performance(features: DataFrame, keys: Sequence[str], order: str, v
 
 def performance_table(df: DataFrame, keys: Sequence[str], order: str, value: str = "size") -> DataFrame:
     """Baseline and linear forecaster side by side: ``model, split, mse, mae``."""
-    features = step_features(df, keys, order, value)
-    pairs = step_pairs(features, keys, order, value)
+    width = block_width(df, keys, order)
+    features = step_features(df, keys, order, value, width)
+    pairs = step_pairs(features, keys, order, value, width)
     linear = step_performance(pairs, fit_step_model(pairs, value), value)
-    return baseline_performance(features, keys, order, value).unionByName(linear)
+    return baseline_performance(features, keys, order, value, width).unionByName(linear)
 
 
 # ---------------------------------------------------------------- differenced AR(1)
 
 
-def fit_ar1(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+def fit_ar1(df: DataFrame, keys: Sequence[str], order: str, value: str, width: float | None = None) -> DataFrame:
     """Per series: the change regressed on the change before it, and the state the forecast starts from."""
     rows = df.filter(F.col(value).isNotNull()).select(*keys, order, value)
-    changes = previous_row(rows, keys, order, [value]).withColumn("d", F.col(value) - F.col("prev_" + value))
-    pairs = previous_row(changes.select(*keys, order, value, "d"), keys, order, ["d"])
+    width = block_width(rows, keys, order) if width is None else width
+    changes = previous_row(rows, keys, order, [value], width=width).withColumn("d", F.col(value) - F.col("prev_" + value))
+    changes = settle(changes.drop("prev_" + value), "changes")
+    pairs = previous_row(changes.select(*keys, order, value, "d"), keys, order, ["d"], width=width)
     return pairs.groupBy(*keys).agg(
         F.regr_slope("d", "prev_d").alias("phi"),
         F.regr_intercept("d", "prev_d").alias("c"),
@@ -110,7 +137,8 @@ def forecast_ar1(fit: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame
 
 
 def forecast_residuals(
-    df: DataFrame, keys: Sequence[str], order: str, value: str, share: float = FORECAST_SHARE
+    df: DataFrame, keys: Sequence[str], order: str, value: str, share: float = FORECAST_SHARE,
+    width: float | None = None,
 ) -> DataFrame:
     """Fit on the first ``share`` of each series, forecast the rest: ``actual, pred, residual`` per row.
 
@@ -118,9 +146,10 @@ def forecast_residuals(
     """
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, order, value)
-    sizes = rows.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) * F.lit(share)).alias("n_train"))
-    indexed = row_index(rows, keys, order, "idx").join(sizes, keys)
-    fit = fit_ar1(indexed.filter("idx <= n_train"), keys, order, value)
+    width = block_width(rows, keys, order) if width is None else width
+    counted = row_index(rows, keys, order, "idx", width=width, total="n")
+    indexed = settle(counted.withColumn("n_train", F.floor(F.col("n") * F.lit(share))).drop("n"), "indexed")
+    fit = fit_ar1(indexed.filter("idx <= n_train"), keys, order, value, width)
     ahead = indexed.filter("idx > n_train").join(fit, keys)
     pred = ar1_step(F.col("idx") - F.col("n_train"))
     return ahead.select(*keys, "idx", F.col(value).alias("actual"), pred.alias("pred")).withColumn(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from faintline.functions.scalars import squared_error
 from faintline.functions.times import bucket_columns
-from faintline.operators.blocks import row_index
+from faintline.operators.blocks import match_keys, row_index
 
 
 def latest_version(df: DataFrame, key: str, version: str, required: Sequence[str]) -> DataFrame:
@@ -83,11 +83,12 @@ def zip_by_position(
     return numbered.join(shifted, [*keys, "__pos"], "left").drop("__pos")
 
 
-def with_statistics(df: DataFrame, stats: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Statistics beside every row: per key by an equi-join, or a single row of them as scalar subqueries."""
+def with_statistics(df: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Statistics beside every row: per key by an equi-join, or a single row of them as a scalar subquery."""
     if on:
-        return df.join(stats, list(on))
-    return df.select("*", *[stats.select(c).scalar().alias(c) for c in stats.columns])
+        return match_keys(df, stats, list(on), how)
+    row = stats.select(F.struct(*stats.columns)).scalar()
+    return df.withColumn("__stats", row).select("*", *[F.col(f"__stats.{c}").alias(c) for c in stats.columns]).drop("__stats")
 
 
 def centred_scaled(value: Column, mean: Column, std: Column) -> Column:

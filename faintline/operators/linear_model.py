@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faintline.operators.evaluate import model_errors
@@ -288,11 +288,11 @@ def _rebuild(arrays: DataFrame, small: tuple[np.ndarray, np.ndarray], values: st
     return rows.mapInPandas(rebuild, "event_num long, target string, actual array<double>, pred array<double>")
 
 
-def predictions_long(preds: DataFrame) -> DataFrame:
+def predictions_long(preds: DataFrame, more: Sequence[str] = ()) -> DataFrame:
     """Array predictions as one row per sample."""
-    zipped = F.posexplode(F.arrays_zip("actual", "pred")).alias("pos", "s")
-    return preds.select("event_num", "target", zipped).select(
-        "event_num", "target", (F.col("pos") + 1).alias("time_seq"), F.col("s.actual").alias("actual"), F.col("s.pred").alias("pred")
+    keys = ["event_num", "target", *more]
+    return preds.select(*keys, F.posexplode(F.arrays_zip("actual", "pred")).alias("pos", "s")).select(
+        *keys, (F.col("pos") + 1).alias("time_seq"), F.col("s.actual").alias("actual"), F.col("s.pred").alias("pred")
     )
 
 
@@ -352,10 +352,10 @@ def _check_block(length: int, block: int) -> None:
         raise ValueError(f"block {block} does not divide the series length {length}")
 
 
-def block_mean_arrays(arrays: DataFrame, block: int, values: str = "vals") -> DataFrame:
-    """Block-mean reconstruction of array rows: computed inside each row, no shuffle.
+def block_mean_array(values: str, block: int) -> Column:
+    """An array with every block of ``block`` elements replaced by its mean.
 
-    The block must divide the series length; other lengths raise while the job runs.
+    The block must divide the array's length; other lengths raise while the job runs.
     """
     n_blocks = (F.size(values) / block).cast("int")
     checked = F.when(F.size(values) % block != 0, F.raise_error(F.lit(f"block {block} does not divide the series"))).otherwise(n_blocks)
@@ -365,8 +365,17 @@ def block_mean_arrays(arrays: DataFrame, block: int, values: str = "vals") -> Da
         return F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x) / block
 
     latent = F.transform(F.sequence(F.lit(0), checked - 1), mean_of)
-    pred = F.flatten(F.transform(latent, lambda m: F.array_repeat(m, block)))
-    return arrays.select(F.col("event_id").alias("event_num"), "target", F.col(values).alias("actual"), pred.alias("pred"))
+    return F.flatten(F.transform(latent, lambda m: F.array_repeat(m, block)))
+
+
+def block_mean_arrays(arrays: DataFrame, block: int, values: str = "vals") -> DataFrame:
+    """Block-mean reconstruction of array rows: computed inside each row, no shuffle."""
+    return arrays.select(
+        F.col("event_id").alias("event_num"),
+        "target",
+        F.col(values).alias("actual"),
+        block_mean_array(values, block).alias("pred"),
+    )
 
 
 def block_mean_long(rows: DataFrame, block: int) -> DataFrame:
@@ -384,15 +393,14 @@ def block_mean_latent(rows: DataFrame, block: int) -> DataFrame:
 
 
 def sweep_block_means(arrays: DataFrame, blocks: Sequence[int], length: int, values: str = "vals") -> DataFrame:
-    """Predictions of several block sizes, marked with their latent length."""
+    """Predictions of several block sizes from one reading, marked with their latent length."""
     for block in blocks:
         _check_block(length, block)
-    return stack(
-        [
-            predictions_long(block_mean_arrays(arrays, b, values)).withColumn("latent_dims", F.lit(length // b))
-            for b in blocks
-        ]
+    models = [F.struct(F.lit(length // b).alias("latent_dims"), block_mean_array(values, b).alias("pred")) for b in blocks]
+    preds = arrays.select(
+        F.col("event_id").alias("event_num"), "target", F.col(values).alias("actual"), F.explode(F.array(*models)).alias("m")
     )
+    return predictions_long(preds.select("event_num", "target", "m.latent_dims", "actual", "m.pred"), ["latent_dims"])
 
 
 def sweep_loss(preds: DataFrame) -> DataFrame:

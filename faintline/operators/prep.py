@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from faintline.operators.aggregate import position_range
 from faintline.operators.blocks import ROWS_PER_BLOCK, row_index
-from faintline.operators.joins import centred_scaled
+from faintline.operators.joins import centred_scaled, with_statistics
 
 # Bounds of the chronological split, as fractions of the series.
 TRAIN_END, VAL_START, VAL_END = 0.4, 0.6, 0.9
@@ -40,8 +40,7 @@ def hash_split(df: DataFrame, frac: float = 0.1, seed: int = 23, key: str = "eve
 def chronological_split(df: DataFrame, keys: Sequence[str], order: str, width: float | None = None) -> DataFrame:
     """Mark rows train, val, test or (between train and val) unused by their position in the series."""
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    rows = row_index(df, keys, order, "__idx", width=width).join(sizes, keys)
+    rows = row_index(df, keys, order, "__idx", width=width, total="__n")
 
     def bound(share):
         return F.floor(F.col("__n") * F.lit(share))
@@ -68,14 +67,12 @@ def standardise(
     stats = fitted.groupBy(*keys).agg(
         *[F.avg(c).alias(f"__mean_{c}") for c in cols], *[F.stddev_samp(c).alias(f"__std_{c}") for c in cols]
     )
-    if keys:
-        joined = df.join(stats, keys, "left")
-        parts = {c: (F.col(f"__mean_{c}"), F.col(f"__std_{c}")) for c in cols}
-    else:
-        joined = df
-        parts = {c: (stats.select(f"__mean_{c}").scalar(), stats.select(f"__std_{c}").scalar()) for c in cols}
-    scaled = [centred_scaled(F.col(c), *parts[c]).alias(c) if c in parts else F.col(c) for c in df.columns]
-    return joined.select(*scaled)
+    joined = with_statistics(df, stats, keys, "left")
+
+    def scaled(c):
+        return centred_scaled(F.col(c), F.col(f"__mean_{c}"), F.col(f"__std_{c}")).alias(c)
+
+    return joined.select(*[scaled(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def min_max(

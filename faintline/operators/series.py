@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faintline.functions.scalars import relative_change
 from faintline.operators.aggregate import downsample_mean
 from faintline.operators.blocks import ROWS_PER_BLOCK, previous_row, row_index, with_margins
 
+# Mean spacing of time buckets; a rounded unit has one cell more per second than its name says.
+BUCKET_US = {"ms": 1000, "cs": 1_000_000 / 101, "ds": 1_000_000 / 11, "s": 1_000_000, "second": 1_000_000,
+             "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
+
 
 def pct_change(
     df: DataFrame, keys: Sequence[str], order: str, value: str = "size", name: str = "pct_chg", width: float | None = None
@@ -26,18 +30,17 @@ def bucketed_pct_change(
 ) -> DataFrame:
     """Change between consecutive bucket means, in the order (second, cell)."""
     means = downsample_mean(df, keys, unit, mode, time, value)
-    position, width = bucket_position(means.columns)
+    # Cell numbers stay below 1000, so milliseconds plus cell keep the order (second, cell).
+    position = F.floor(F.unix_micros(F.col("bucket").cast("timestamp")) / 1000)
+    if "cell" in means.columns:
+        position = position + F.col("cell")
+    width = bucket_block_width(unit) / 1000
     return pct_change(means.withColumn("__pos", position), keys, "__pos", "avg_size", width=width).drop("__pos")
 
 
-def bucket_position(columns: Sequence[str]) -> tuple[Column, float]:
-    """Order number of a time bucket, and a block width along it.
-
-    Buckets are unique and a millisecond or more apart, which bounds the rows of a block.
-    """
-    millis = F.floor(F.unix_micros(F.col("bucket").cast("timestamp")) / 1000)
-    # Cell numbers stay below 1000, so adding one to the bucket's second keeps the order (second, cell).
-    return (millis + F.col("cell") if "cell" in columns else millis), float(ROWS_PER_BLOCK)
+def bucket_block_width(unit: str) -> float:
+    """Microseconds that hold at most ``ROWS_PER_BLOCK`` buckets of a series; buckets are unique."""
+    return ROWS_PER_BLOCK * BUCKET_US.get(unit, 1_000_000)
 
 
 def naive_forecast(
@@ -69,12 +72,12 @@ def lookback_windows(
     square of the series length, so it is meant for bucketed series.
     """
     keys = list(keys)
-    rows = row_index(df.filter(F.col(value).isNotNull()), keys, order, "idx", width=width)
+    rows = row_index(df.filter(F.col(value).isNotNull()), keys, order, "idx", width=width, total="n")
     if n is None:
         # bround: halves go to the even number
-        sizes = df.groupBy(*keys).agg(F.bround(F.count(value) * F.lit(fraction)).cast("int").alias("n"))
-        longest = sizes.agg(F.max("n")).first()[0] or 0
-        rows = rows.join(sizes, keys)
+        rows = rows.withColumn("n", F.bround(F.col("n") * F.lit(fraction)).cast("int"))
+        most = df.groupBy(*keys).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0
+        longest = round(most * fraction)
     else:
         longest = n
         rows = rows.withColumn("n", F.lit(n))
@@ -154,20 +157,18 @@ def persistence_error(
     if spec.input_width != spec.label_width:
         raise ValueError("input and label widths must agree")
     keys = list(keys)
-    rows = row_index(df.select(*keys, order, value), keys, order, "__idx", width=width)
+    rows = row_index(df.select(*keys, order, value), keys, order, "__idx", width=width, total="__n")
     cut, block, own = with_margins(rows, "__idx", before=spec.shift)
     ahead = F.lag(value, spec.shift).over(Window.partitionBy(*keys, block).orderBy("__idx"))
     first = F.col("__idx") - spec.shift  # position of the pair's input row
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     pairs = (
         cut.withColumn("__pred", ahead)
         .filter(F.col(own) & (first >= 1))
-        .select(*keys, first.alias("__p"), (F.col(value) - F.col("__pred")).alias("__e"))
+        .select(*keys, "__n", first.alias("__p"), (F.col(value) - F.col("__pred")).alias("__e"))
     )
-    joined = pairs.join(sizes, keys) if keys else pairs.select("*", sizes.select("__n").scalar().alias("__n"))
     last_start = F.col("__n") - spec.total + 1
     weight = F.least(F.col("__p"), last_start) - F.greatest(F.lit(1), F.col("__p") - spec.input_width + 1) + 1
-    weighted = joined.withColumn("__w", F.greatest(weight, F.lit(0)))
+    weighted = pairs.withColumn("__w", F.greatest(weight, F.lit(0)))
     return weighted.filter(F.col("__w") > 0).groupBy(*keys).agg(
         (F.sum(F.col("__w") * F.col("__e") * F.col("__e")) / F.sum("__w")).alias("mse"),
         (F.sum(F.col("__w") * F.abs("__e")) / F.sum("__w")).alias("mae"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faintline.functions.times import micros
-from faintline.operators.blocks import row_index, with_margins
+from faintline.operators.blocks import match_keys, row_index, with_margins
 
 # Pass band and power lines in Hz, usual sampling rate.
 BAND_HZ = (70, 175)
@@ -119,7 +119,7 @@ def remove_lines(
         b = F.coalesce(F.try_divide(xc * vs - xs * sc, det), F.lit(0.0))
         fitted = fitted + a * s + b * c
     fits = df.groupBy(*keys).agg(*sums)
-    return df.join(fits, keys).select(*df.columns, (x - fitted).alias(name))
+    return match_keys(df, fits, keys).select(*df.columns, (x - fitted).alias(name))
 
 
 def crop(df: DataFrame, keys: Sequence[str], time: str, seconds: int = 1) -> DataFrame:
@@ -127,7 +127,7 @@ def crop(df: DataFrame, keys: Sequence[str], time: str, seconds: int = 1) -> Dat
     ends = df.groupBy(*keys).agg(F.min(time).alias("__lo"), F.max(time).alias("__hi"))
     margin = F.expr(f"INTERVAL {int(seconds)} SECONDS")
     return (
-        df.join(ends, list(keys))
+        match_keys(df, ends, list(keys))
         .filter((F.col(time) >= F.col("__lo") + margin) & (F.col(time) <= F.col("__hi") - margin))
         .drop("__lo", "__hi")
     )

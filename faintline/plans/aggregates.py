@@ -11,6 +11,7 @@ from faintline.operators.linear_model import sweep_block_means
 from faintline.operators.shape import melt
 from faintline.plans.relational import MASSES, SERIES, r6
 from faintline.plans.views import sql
+from faintline.session import settle
 from faintline.sources import adapters as src
 
 POSITIONS = list(range(1, src.SAMPLES + 1))
@@ -140,7 +141,7 @@ def error_histogram(spark, sf_dir):
 def mass_density(spark, sf_dir):
     newest = latest_version(src.features(spark, sf_dir), "commonName", "version", MASSES)
     long = melt(newest.select("commonName", *MASSES), ["commonName"], MASSES, "source", "mass")
-    return agg.kde(long, "mass", "source").select("source", "grid", *r6("x", "density"))
+    return agg.kde(settle(long, "masses"), "mass", "source").select("source", "grid", *r6("x", "density"))
 
 
 def error_trend(spark, sf_dir):

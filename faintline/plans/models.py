@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from faintline.functions.scalars import SIGNAL
 from faintline.operators import evaluate, forecast, linear_model, prep, signal
 from faintline.operators.aggregate import downsample_mean, trend
+from faintline.operators.blocks import block_width
 from faintline.operators.events import EventSeries, apply_per_event
+from faintline.operators.series import bucket_block_width
 from faintline.plans.aggregates import sweep
 from faintline.plans.ordered import PER_SERIES, TIME
 from faintline.plans.relational import SERIES, r6
@@ -105,8 +107,10 @@ def shifted(spark, sf_dir):
 
 
 def step_predictions(spark, sf_dir):
-    features = forecast.step_features(src.timeseries_dense(spark, sf_dir), SERIES, TIME)
-    pairs = forecast.step_pairs(features, SERIES, TIME)
+    rows = src.timeseries_dense(spark, sf_dir)
+    width = block_width(rows, SERIES, TIME)
+    features = forecast.step_features(rows, SERIES, TIME, width=width)
+    pairs = forecast.step_pairs(features, SERIES, TIME, width=width)
     return forecast.step_performance(pairs, forecast.fit_step_model(pairs)).select("model", "split", *r6("mse", "mae"))
 
 
@@ -122,13 +126,13 @@ def ar1(spark, sf_dir):
 
 def residuals(spark, sf_dir):
     means = downsample_mean(src.timeseries_dense(spark, sf_dir), SERIES, "s")
-    rows = forecast.forecast_residuals(means, SERIES, "bucket", "avg_size")
+    rows = forecast.forecast_residuals(means, SERIES, "bucket", "avg_size", width=bucket_block_width("s"))
     return rows.select(*SERIES, "idx", *r6("actual", "pred", "residual"))
 
 
 def residual_trend(spark, sf_dir):
     means = downsample_mean(src.timeseries_dense(spark, sf_dir), SERIES, "s")
-    rows = forecast.forecast_residuals(means, SERIES, "bucket", "avg_size")
+    rows = forecast.forecast_residuals(means, SERIES, "bucket", "avg_size", width=bucket_block_width("s"))
     return trend(rows, "pred", "actual", SERIES).select(*SERIES, *r6("slope", "intercept"))
 
 
@@ -219,6 +223,28 @@ RESIDUAL = {
 }
 
 
+# least squares by orthogonalising the three inputs in turn
+STEP = {
+    "phased": """SELECT *, sin(2 * pi() * (epoch_us(capture_dttm) % 1000000) / 1e6) AS sn,
+                        cos(2 * pi() * (epoch_us(capture_dttm) % 1000000) / 1e6) AS cs FROM chrono""",
+    "fitted": """SELECT id, observatory, avg(size) AS m1, stddev_samp(size) AS s1, avg(sn) AS m2, stddev_samp(sn) AS s2,
+                        avg(cs) AS m3, stddev_samp(cs) AS s3 FROM phased WHERE split = 'train' GROUP BY 1, 2""",
+    "scaled": """SELECT p.id, p.observatory, p.split, p.capture_dttm, (size - m1) / s1 AS size, (sn - m2) / s2 AS sn, (cs - m3) / s3 AS cs
+                 FROM phased p JOIN fitted f ON p.id = f.id AND p.observatory = f.observatory""",
+    "pairs": """SELECT split, size AS y, lag(size) OVER w AS x1, lag(sn) OVER w AS x2, lag(cs) OVER w AS x3 FROM scaled
+                WINDOW w AS (PARTITION BY id, observatory, split ORDER BY capture_dttm)""",
+    "train": "SELECT * FROM pairs WHERE split = 'train' AND x1 IS NOT NULL",
+    "a": "SELECT regr_slope(x2, x1) AS p, regr_intercept(x2, x1) AS q, regr_slope(x3, x1) AS r, regr_intercept(x3, x1) AS s FROM train",
+    "b": "SELECT regr_slope(x3 - (r * x1 + s), x2 - (p * x1 + q)) AS t FROM train, a",
+    "w": """SELECT regr_slope(y, x1) AS w1, regr_slope(y, x2 - (p * x1 + q)) AS w2,
+                   regr_slope(y, x3 - (r * x1 + s) - t * (x2 - (p * x1 + q))) AS w3, avg(y) AS my, avg(x1) AS mx FROM train, a, b""",
+    "errors_of": """SELECT split, y - (my + w1 * (x1 - mx) + w2 * (x2 - (p * x1 + q)) + w3 * (x3 - (r * x1 + s) - t * (x2 - (p * x1 + q)))) AS e,
+                           y - x1 AS e0
+                    FROM pairs, a, b, w WHERE split IN ('val', 'test') AND x1 IS NOT NULL""",
+}
+STEP_SQL = "SELECT 'Linear' AS model, split, round(avg(e * e), 6) AS mse, round(avg(abs(e)), 6) AS mae FROM errors_of GROUP BY split"
+
+
 def low_pass_sql(cutoff: str) -> str:
     """Coefficient n (from -16) of the tapered low pass, with n in scope."""
     x = f"(2 * {cutoff} / (1e6 / 25096) * n)"
@@ -338,8 +364,17 @@ QUERIES = {
             "errors",
         ),
     ),
-    "H14_linear_forecaster": (step_predictions, None),
-    "H15_performance": (performance, None),
+    "H14_linear_forecaster": (step_predictions, sql(STEP_SQL, "chrono", **STEP)),
+    "H15_performance": (
+        performance,
+        sql(
+            STEP_SQL
+            + """ UNION ALL SELECT 'Baseline' AS model, split, round(avg(e0 * e0), 6) AS mse, round(avg(abs(e0)), 6) AS mae
+                  FROM errors_of GROUP BY split""",
+            "chrono",
+            **STEP,
+        ),
+    ),
     "H16_ar1_forecast": (
         ar1,
         sql(

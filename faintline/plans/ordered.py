@@ -49,7 +49,7 @@ def lookback(spark, sf_dir):
 
 def lookback_share(spark, sf_dir):
     means = series.downsample_mean(src.timeseries_dense(spark, sf_dir), SERIES, "s")
-    windows = series.lookback_windows(means, SERIES, "bucket", "avg_size", fraction=0.8)
+    windows = series.lookback_windows(means, SERIES, "bucket", "avg_size", fraction=0.8, width=series.bucket_block_width("s"))
     total = F.aggregate("x", F.lit(0.0), lambda a, x: a + x)
     return windows.select(
         *SERIES, "bucket", "idx", F.size("x").alias("n"), F.round(F.get("x", F.lit(0)), 6).alias("oldest"),

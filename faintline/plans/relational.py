@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from faintline.functions.scalars import nan_to_null
 from faintline.operators import evaluate, joins, shape
 from faintline.operators.aggregate import position_range, summary
-from faintline.operators.blocks import previous_row
+from faintline.operators.blocks import block_width, previous_row
 from faintline.plans.views import sql
+from faintline.session import settle
 from faintline.sources import adapters as src
 
 SERIES = ["id", "observatory"]
@@ -170,9 +171,10 @@ def semi(spark, sf_dir):
 
 def zipped(spark, sf_dir):
     rows = src.timeseries_dense(spark, sf_dir).select(*SERIES, "capture_dttm", "size")
-    forecasts = previous_row(rows, SERIES, "capture_dttm", ["size"]).filter("prev_size is not null")
-    forecasts = forecasts.select(*SERIES, "capture_dttm", F.col("prev_size").alias("pred"))
-    return joins.zip_by_position(rows, forecasts, SERIES, "capture_dttm", "capture_dttm", pad=3)
+    width = block_width(rows, SERIES, "capture_dttm")
+    forecasts = previous_row(rows, SERIES, "capture_dttm", ["size"], width=width).filter("prev_size is not null")
+    forecasts = settle(forecasts.select(*SERIES, "capture_dttm", F.col("prev_size").alias("pred")), "forecasts")
+    return joins.zip_by_position(rows, forecasts, SERIES, "capture_dttm", "capture_dttm", pad=3, width=width)
 
 
 def overall_statistics(spark, sf_dir):

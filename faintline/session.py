@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -50,3 +50,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write a derived frame to the shared folder and read it back.
+
+    For frames that several later steps read: each step would otherwise repeat the shuffles behind
+    it, and so would every task lost with its executor.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
