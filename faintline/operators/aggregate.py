@@ -41,6 +41,7 @@ def exact_quantiles(
     The built-in exact percentile keeps a group's distinct values in one task. Here an approximate
     sketch, merged before the shuffle, brackets each quantile within its error bound; values in the
     bracket are counted by value, the rest only by their number, and the exact rank is read off.
+    Groups of up to ``accuracy`` values are counted whole: there a bracket may miss a neighbour rank.
     """
     keys, slack = list(keys), 5.0 / accuracy
     values = df.select(*keys, F.col(col).alias("__v")).filter(F.col("__v").isNotNull())
@@ -62,10 +63,11 @@ def exact_quantiles(
             for i, p in enumerate(probs)
         ]
     )
+    whole = F.col("__n") <= accuracy
     hit = (
         match_keys(values, sketch, group)
-        .withColumn("__b", F.explode(F.filter(brackets, lambda b: F.col("__v") <= b.hi)))
-        .select(*group, "__n", "__b.p", F.when(F.col("__v") >= F.col("__b.lo"), F.col("__v")).alias("__v"))
+        .withColumn("__b", F.explode(F.filter(brackets, lambda b: whole | (F.col("__v") <= b.hi))))
+        .select(*group, "__n", "__b.p", F.when(whole | (F.col("__v") >= F.col("__b.lo")), F.col("__v")).alias("__v"))
         .groupBy(*group, "__n", "p", "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_BLOCK = 1_000_000
+MARGIN_ROWS = 65_536
 CELLS = 1000
 BLOCK = "__block"
 
@@ -129,14 +130,14 @@ def row_index(
 
 
 def with_margins(
-    df: DataFrame, index: str, before: int, after: int = 0, rows: int = 65_536
+    df: DataFrame, index: str, before: int, after: int = 0, rows: int | None = None
 ) -> tuple[DataFrame, str, str]:
     """Cut series into blocks of ``rows`` positions, each with its neighbours' edge rows.
 
     ``index`` is a gap-free 1-based position. Returns the frame with the block column and a flag
     that is true on a block's own rows; only ``before + after`` rows per block are copied.
     """
-    rows = max(rows, before, after, 1)
+    rows = max(rows or MARGIN_ROWS, before, after, 1)
     home = F.floor((F.col(index) - 1) / F.lit(rows)).cast("long")
     within = (F.col(index) - 1) % rows
     targets = F.filter(

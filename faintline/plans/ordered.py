@@ -53,7 +53,7 @@ def lookback_share(spark, sf_dir):
     total = F.aggregate("x", F.lit(0.0), lambda a, x: a + x)
     return windows.select(
         *SERIES, "bucket", "idx", F.size("x").alias("n"), F.round(F.get("x", F.lit(0)), 6).alias("oldest"),
-        F.round(total, 4).alias("total"), F.round("y", 6).alias("y"),
+        F.round(total, 6).alias("total"), F.round("y", 6).alias("y"),
     )
 
 
@@ -268,7 +268,7 @@ QUERIES = {
         sql(
             """SELECT t.id, t.observatory, t.bucket, t.idx, CAST(t.k AS INTEGER) AS n,
                       round(any_value(p.avg_size) FILTER (p.idx = t.idx - t.k), 6) AS oldest,
-                      round(sum(p.avg_size), 4) AS total, round(any_value(t.avg_size), 6) AS y
+                      round(sum(p.avg_size), 6) AS total, round(any_value(t.avg_size), 6) AS y
                FROM pos t JOIN pos p ON p.id = t.id AND p.observatory = t.observatory AND p.idx < t.idx AND p.idx >= t.idx - t.k
                WHERE t.idx > t.k GROUP BY 1, 2, 3, 4, 5""",
             "dense",
