@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faintline.functions.times import bucket_columns
 from faintline.operators.blocks import match_keys
 
+SMALL_GROUP = 100_000  # values of one group that a task may hold
 IQR_SIGMAS = 1.34  # fixed value of the bandwidth rule: interquartile range over this many sigma
 
 
@@ -34,20 +35,50 @@ def summary(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], accuracy: int = 10_000
+    df: DataFrame,
+    keys: Sequence[str],
+    col: str,
+    probs: Sequence[float],
+    accuracy: int = 10_000,
+    small: int = SMALL_GROUP,
 ) -> DataFrame:
     """Exact interpolated quantiles, one row per key and probability (``p``, ``value``).
 
-    The built-in exact percentile keeps a group's distinct values in one task. Here an approximate
-    sketch, merged before the shuffle, brackets each quantile within its error bound; values in the
-    bracket are counted by value, the rest only by their number, and the exact rank is read off.
-    Groups of up to ``accuracy`` values are counted whole: there a bracket may miss a neighbour rank.
+    The built-in exact percentile keeps a group's distinct values in one task, so it serves groups of
+    up to ``small`` values. Larger groups, if there are any, go through ``bracketed_quantiles``.
     """
-    keys, slack = list(keys), 5.0 / accuracy
-    values = df.select(*keys, F.col(col).alias("__v")).filter(F.col("__v").isNotNull())
+    keys = list(keys)
     group = keys or ["__all"]
+    values = df.select(*keys, F.col(col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
     if not keys:
         values = values.withColumn("__all", F.lit(0))
+    sizes = values.groupBy(*group).agg(F.count("__v").alias("__n"))
+    # at most (rows / small) groups
+    large = [k.alias(f"__l{i}") for i, k in enumerate(map(F.col, group))]
+    hot = sizes.filter(F.col("__n") > small).select(*large)
+    if hot.isEmpty():
+        return _built_in_quantiles(values, group, probs).select(*keys, "p", "value")
+    same = [values[k].eqNullSafe(hot[f"__l{i}"]) for i, k in enumerate(group)]
+    few = _built_in_quantiles(values.join(hot, same, "left_anti"), group, probs)
+    many = bracketed_quantiles(values.join(hot, same, "left_semi"), group, probs, accuracy)
+    return few.unionByName(many).select(*keys, "p", "value")
+
+
+def _built_in_quantiles(values: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    ps = [float(p) for p in probs]
+    found = F.arrays_zip(F.array(*[F.lit(p) for p in ps]).alias("p"), F.percentile("__v", ps).alias("value"))
+    return values.groupBy(*group).agg(found.alias("__q")).select(*group, F.inline("__q").alias("p", "value"))
+
+
+def bracketed_quantiles(values: DataFrame, group: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+    """Exact quantiles of ``__v`` for groups of any size.
+
+    An approximate sketch, merged before the shuffle, brackets each quantile within its error bound;
+    values in the bracket are counted by value, the rest only by their number, and the exact rank is
+    read off. Groups of up to ``accuracy`` values are counted whole: there a bracket may miss a
+    neighbouring rank.
+    """
+    slack = 5.0 / accuracy
     ends = [e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))]
     sketch = values.groupBy(*group).agg(
         F.count("__v").alias("__n"),
@@ -82,7 +113,7 @@ def exact_quantiles(
     bad = (F.col("__below") > F.floor("__r")) | F.col("__v2").isNull()
     value = F.col("__v1") + (F.col("__v2") - F.col("__v1")) * (F.col("__r") - F.floor("__r"))
     return found.select(
-        *keys,
+        *group,
         "p",
         F.when(bad, F.raise_error(F.lit("quantile outside its bracket"))).otherwise(value).alias("value"),
     )

@@ -140,13 +140,7 @@ def with_margins(
     rows = max(rows or MARGIN_ROWS, before, after, 1)
     home = F.floor((F.col(index) - 1) / F.lit(rows)).cast("long")
     within = (F.col(index) - 1) % rows
-    targets = F.filter(
-        F.array(
-            home,
-            F.when(within >= rows - before, home + 1),
-            F.when(within < after, home - 1),
-        ),
-        lambda b: b.isNotNull(),
-    )
-    cut = df.withColumn("__home", home).withColumn(BLOCK, F.explode(targets))
+    first = F.when(within < after, home - 1).otherwise(home)
+    last = F.when(within >= rows - before, home + 1).otherwise(home)
+    cut = df.withColumn("__home", home).withColumn(BLOCK, F.explode(F.sequence(first, last)))
     return cut.withColumn("__own", F.col(BLOCK) == F.col("__home")).drop("__home"), BLOCK, "__own"

@@ -121,18 +121,18 @@ def test_persistence_equals_windows(rows, width, shift, margin, monkeypatch):
         assert np.allclose([a[key].mse, a[key].mae], [b[key].mse, b[key].mae])
 
 
-@pytest.mark.parametrize("accuracy", [20, 10_000])
-def test_exact_quantiles(spark, accuracy):
+@pytest.mark.parametrize("accuracy,small", [(20, 0), (20, 500), (10_000, 0), (10_000, 100_000)])
+def test_exact_quantiles(spark, accuracy, small):
     rng = np.random.default_rng(3)
-    groups = {"hot": rng.normal(size=3001).round(1), "zeros": np.r_[np.zeros(900), rng.normal(size=100)], "few": np.array([4.0, 1.0]), "one": np.array([2.5])}
+    groups = {"hot": rng.normal(size=3001).round(1), "zeros": np.r_[np.zeros(900), rng.normal(size=100)], "few": np.array([4.0, 1.0]), "one": np.array([2.5]), None: rng.normal(size=700)}
     data = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("few", None)]
     df = spark.createDataFrame(data, "g string, v double").repartition(6)
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = {(r.g, r.p): r.value for r in exact_quantiles(df, ["g"], "v", probs, accuracy).collect()}
+    got = {(r.g, r.p): r.value for r in exact_quantiles(df, ["g"], "v", probs, accuracy, small).collect()}
     for key, values in groups.items():
         for p in probs:
             assert got[(key, p)] == pytest.approx(np.quantile(values, p), abs=1e-12), (key, p)
-    overall = exact_quantiles(df, [], "v", [0.5], accuracy).first().value
+    overall = exact_quantiles(df, [], "v", [0.5], accuracy, small).first().value
     assert overall == pytest.approx(np.median(np.concatenate(list(groups.values()))))
 
 
