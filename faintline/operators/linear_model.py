@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ from faintline.operators.evaluate import model_errors
 from faintline.operators.shape import stack
 
 MAX_SIDE = 4096
+PARTIAL = "row int, vals array<double>"  # one row of a partial matrix
 MAX_MODEL_CELLS = 8_000_000  # largest loading matrix handed to tasks as a broadcast (64 MB)
 
 
@@ -40,8 +42,22 @@ class LinearModel:
 # ---------------------------------------------------------------- fitting
 
 
-def _stacked(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype("float64")
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long lists as a matrix, without a Python object per row."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _lists(matrix: np.ndarray) -> pa.ListArray:
+    """A matrix as a column with one list per row."""
+    n, d = matrix.shape
+    return pa.ListArray.from_arrays(np.arange(n + 1, dtype="int32") * d, np.ascontiguousarray(matrix).ravel())
+
+
+def _numbered_rows(matrix: np.ndarray) -> pa.RecordBatch:
+    rows = pa.array(np.arange(len(matrix), dtype="int32"))
+    return pa.RecordBatch.from_arrays([rows, _lists(matrix)], ["row", "vals"])
 
 
 def _few_tasks(df: DataFrame) -> DataFrame:
@@ -49,14 +65,15 @@ def _few_tasks(df: DataFrame) -> DataFrame:
     return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
 
 
-def _sum_rows(partials: DataFrame) -> pd.DataFrame:
+def _sum_rows(partials: DataFrame) -> np.ndarray:
     """Add up partial matrices row by row on the executors; the driver gets the sum alone."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"row": [pdf["row"].iloc[0]], "vals": [_stacked(pdf["vals"]).sum(axis=0)]})
+    def add(table: pa.Table) -> pa.Table:
+        total = _matrix(table["vals"]).sum(axis=0)[None, :]
+        return pa.table({"row": table["row"].slice(0, 1), "vals": _lists(total)})
 
-    summed = partials.groupBy("row").applyInPandas(add, "row int, vals array<double>")
-    return summed.toPandas().sort_values("row")
+    summed = partials.groupBy("row").applyInArrow(add, PARTIAL)
+    return _matrix(summed.toArrow().sort_by("row")["vals"])
 
 
 def series_length(arrays: DataFrame, values: str = "vals") -> int:
@@ -110,16 +127,17 @@ def fit_linear_ae(arrays: DataFrame, k: int, name: str = "linear", values: str =
         return fit(arrays, k, name, values)
     _check_rank(k, d)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a leading 1 in every row makes the first row of the matrix hold count and sums
         total = np.zeros((d + 1, d + 1))
-        for pdf in batches:
-            x = _stacked(pdf[values])
-            x = np.hstack([np.ones((len(x), 1)), x])
-            total += x.T @ x
-        yield pd.DataFrame({"row": np.arange(d + 1, dtype="int32"), "vals": list(total)})
-
-    sums = _stacked(_sum_rows(_few_tasks(arrays.select(values)).mapInPandas(partial, "row int, vals array<double>"))["vals"])
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(values))
+                x = np.hstack([np.ones((len(x), 1)), x])
+                total += x.T @ x
+        yield _numbered_rows(total)
+
+    sums = _sum_rows(_few_tasks(arrays.select(values)).mapInArrow(partial, PARTIAL))
     n, mean = sums[0, 0], sums[0, 1:] / sums[0, 0]
     variances, vectors = np.linalg.eigh(sums[1:, 1:] / n - np.outer(mean, mean))
     order = np.argsort(variances)[::-1][:k]
@@ -145,30 +163,28 @@ def fit_linear_ae_wide(
         event, "stretch", F.slice(values, F.col("stretch") * stretch + 1, F.lit(stretch)).alias("vals")
     )
 
-    def centred(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        x = _stacked(pdf.sort_values(event)["vals"])
+    def centred(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        x = _matrix(table.sort_by(event)["vals"])
         mean = x.mean(axis=0)
         return x - mean, mean
 
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, _ = centred(pdf)
-        return pd.DataFrame({"row": np.arange(n, dtype="int32"), "vals": list(x @ x.T)})
+    def partial(table: pa.Table) -> pa.Table:
+        x, _ = centred(table)
+        return pa.Table.from_batches([_numbered_rows(x @ x.T)])
 
-    gram = _stacked(_sum_rows(pieces.groupBy("stretch").applyInPandas(partial, "row int, vals array<double>"))["vals"])
+    gram = _sum_rows(pieces.groupBy("stretch").applyInArrow(partial, PARTIAL))
     values_, vectors = np.linalg.eigh(gram)
     order = np.argsort(values_)[::-1][:k]
     roots = np.sqrt(np.maximum(values_[order], np.finfo(float).tiny))
     weights = vectors[:, order] / roots
 
-    def loadings_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, mean = centred(pdf)
-        part = x.T @ weights
-        first = int(pdf["stretch"].iloc[0]) * stretch + 1
-        return pd.DataFrame(
-            {"time_seq": np.arange(first, first + len(mean), dtype="int32"), "mean": mean, "loadings": list(part)}
-        )
+    def loadings_of(table: pa.Table) -> pa.Table:
+        x, mean = centred(table)
+        first = table["stretch"][0].as_py() * stretch + 1
+        positions = np.arange(first, first + len(mean), dtype="int32")
+        return pa.table({"time_seq": positions, "mean": mean, "loadings": _lists(x.T @ weights)})
 
-    solved = pieces.groupBy("stretch").applyInPandas(loadings_of, "time_seq int, mean double, loadings array<double>")
+    solved = pieces.groupBy("stretch").applyInArrow(loadings_of, "time_seq int, mean double, loadings array<double>")
     model = F.lit(name).alias("model")
     return LinearModel(
         solved.select(model, "time_seq", "mean"),
@@ -197,18 +213,18 @@ def fit_linear_ae_subspace(
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(basis)
 
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = shared.value
             total, sums, n = np.zeros((d, width)), np.zeros(d), 0.0
-            for pdf in batches:
-                x = _stacked(pdf[values])
-                total += x.T @ (x @ q)
-                sums += x.sum(axis=0)
-                n += len(x)
-            out = np.hstack([total, sums[:, None], np.full((d, 1), n)])
-            yield pd.DataFrame({"row": np.arange(d, dtype="int32"), "vals": list(out)})
-
-        out = _stacked(_sum_rows(_few_tasks(arrays.select(values)).mapInPandas(partial, "row int, vals array<double>"))["vals"])
+            for batch in batches:
+                if batch.num_rows:
+                    x = _matrix(batch.column(values))
+                    total += x.T @ (x @ q)
+                    sums += x.sum(axis=0)
+                    n += len(x)
+            yield _numbered_rows(np.hstack([total, sums[:, None], np.full((d, 1), n)]))
+
+        out = _sum_rows(_few_tasks(arrays.select(values)).mapInArrow(partial, PARTIAL))
         n = out[0, -1]
         mean = out[:, -2] / n
         # covariance times basis, centred after the sums
@@ -256,12 +272,14 @@ def encode(arrays: DataFrame, model: LinearModel, values: str = "vals") -> DataF
         return encode_long(_long(arrays, values), model)
     shared = arrays.sparkSession.sparkContext.broadcast(small)
 
-    def latent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def latent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, w = shared.value
-        for pdf in batches:
-            yield pd.DataFrame({"event_id": pdf["event_id"], "zs": list((_stacked(pdf[values]) - mean) @ w)})
+        for batch in batches:
+            if batch.num_rows:
+                zs = _lists((_matrix(batch.column(values)) - mean) @ w)
+                yield pa.RecordBatch.from_arrays([batch.column("event_id"), zs], ["event_id", "zs"])
 
-    zs = arrays.select("event_id", values).mapInPandas(latent, "event_id long, zs array<double>")
+    zs = arrays.select("event_id", values).mapInArrow(latent, "event_id long, zs array<double>")
     return zs.select("event_id", F.posexplode("zs").alias("c", "z")).select(
         "event_id", (F.col("c") + 1).alias("component"), "z"
     )
@@ -278,14 +296,16 @@ def score_arrays(arrays: DataFrame, model: LinearModel, values: str = "vals") ->
 def _rebuild(arrays: DataFrame, small: tuple[np.ndarray, np.ndarray], values: str) -> DataFrame:
     shared = arrays.sparkSession.sparkContext.broadcast(small)
 
-    def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, w = shared.value
-        for pdf in batches:
-            x = _stacked(pdf["actual"])
-            yield pdf.assign(pred=list((x - mean) @ w @ w.T + mean))
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column("actual"))
+                pred = _lists((x - mean) @ w @ w.T + mean)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pred], [*batch.schema.names, "pred"])
 
     rows = arrays.select(F.col("event_id").alias("event_num"), "target", F.col(values).alias("actual"))
-    return rows.mapInPandas(rebuild, "event_num long, target string, actual array<double>, pred array<double>")
+    return rows.mapInArrow(rebuild, "event_num long, target string, actual array<double>, pred array<double>")
 
 
 def predictions_long(preds: DataFrame, more: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,14 +78,14 @@ def fir_filter(
     rows = row_index(df.select(*keys, order, value), keys, order, "__idx", width=width)
     cut, block, own = with_margins(rows, "__idx", before=half, after=half)
 
-    def convolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__idx")
-        full = np.convolve(pdf[value].to_numpy(), kernel)
-        out = pdf.assign(**{name: full[half : half + len(pdf)]})
-        return out.loc[out[own], [*keys, order, value, name]]
+    def convolve(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__idx")
+        full = np.convolve(table[value].to_numpy(), kernel)[half : half + len(table)]
+        out = table.select([*keys, order, value]).append_column(name, pa.array(full, from_pandas=True))
+        return out.filter(table[own])
 
     schema = T.StructType([df.schema[c] for c in (*keys, order, value)] + [T.StructField(name, T.DoubleType())])
-    return cut.groupBy(*keys, block).applyInPandas(convolve, schema)
+    return cut.groupBy(*keys, block).applyInArrow(convolve, schema)
 
 
 def phase(time: Column, line: float) -> Column:

@@ -1,7 +1,7 @@
 """Files of nested arrays: one row of samples and a trailing label per event (``.npy``).
 
 ``read_event_arrays`` maps the files into memory and reads a range of events per task.
-``write_event_arrays`` writes one file per task below a folder all executors share.
+``write_event_arrays`` writes files of bounded size, task by task, below a folder all executors share.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from faintline.sources.schemas import EVENT_ARRAYS
 
 ROWS_PER_BATCH = 64
+BYTES_PER_FILE = 256 * 1024 * 1024
 
 
 class EventRange(InputPartition):
@@ -74,22 +74,34 @@ def read_event_arrays(spark: SparkSession, path: str, events_per_partition: int
 def write_event_arrays(df: DataFrame, path: str, order: str = "event_id", values: str = "vals") -> int:
     """Write arrays in the order of ``order``; returns the number of events written.
 
-    A file appears under its name only when complete, so a repeated task replaces its own file.
+    A file holds at most ``BYTES_PER_FILE`` of samples, so a task never keeps its whole partition. It
+    appears under its name only when complete, and a repeated task replaces its own files.
     """
     os.makedirs(path, exist_ok=False)
 
-    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [np.stack(pdf[values].to_numpy()) for pdf in batches if len(pdf)]
-        if not parts:
-            return
-        rows = np.concatenate(parts)
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        final = os.path.join(path, f"part-{context.partitionId():06d}.npy")
-        partial = f"{final}.{context.taskAttemptId()}.tmp"
-        with open(partial, "wb") as out:
-            np.save(out, rows[:, None, :])
-        os.replace(partial, final)
-        yield pd.DataFrame({"n": [len(rows)]})
+        held, size, number = [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            final = os.path.join(path, f"part-{context.partitionId():06d}-{number:06d}.npy")
+            partial = f"{final}.{context.taskAttemptId()}.tmp"
+            with open(partial, "wb") as out:
+                np.save(out, rows[:, None, :])
+            os.replace(partial, final)
+            return pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["n"])
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_PER_BATCH):
+                piece = batch.column(values).slice(start, ROWS_PER_BATCH)
+                held.append(piece.flatten().to_numpy(zero_copy_only=False).reshape(len(piece), -1))
+                size += held[-1].nbytes
+                if size >= BYTES_PER_FILE:
+                    yield flush()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield flush()
 
     ordered = df.select(order, values).repartitionByRange(order).sortWithinPartitions(order)
-    return ordered.mapInPandas(store, "n long").groupBy().sum("n").first()[0] or 0
+    return ordered.mapInArrow(store, "n long").groupBy().sum("n").first()[0] or 0

@@ -46,7 +46,11 @@ def test_nested_array_file(spark, tmp_path):
     assert np.array_equal(np.array([r.vals for r in rows]), stored[:, 0, :])
 
 
-def test_array_files_round_trip(spark):
+@pytest.mark.parametrize("limit", [16, 1 << 28])
+def test_array_files_round_trip(spark, limit, monkeypatch):
+    from faintline.sources import array_files
+
+    monkeypatch.setattr(array_files, "BYTES_PER_FILE", limit)
     path = shared_folder(spark, "arrays")
     df = spark.range(50).select(F.col("id").alias("event_id"), F.array(F.col("id").cast("double"), F.lit(0.5)).alias("vals")).repartition(6)
     assert write_event_arrays(df, path) == 50
