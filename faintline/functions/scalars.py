@@ -35,10 +35,7 @@ def band_code(error: Column, low: float, high: float) -> Column:
 
 
 def outcome(actual_code: Column, pred_code: Column) -> Column:
-    """tn, tp, fp or fn."""
-    return (
-        F.when((actual_code == 0) & (pred_code == 0), "tn")
-        .when((actual_code == 1) & (pred_code == 1), "tp")
-        .when((actual_code == 0) & (pred_code == 1), "fp")
-        .otherwise("fn")
+    """tn, tp, fp or fn: whether the prediction is true, then what was predicted."""
+    return F.concat(
+        F.when(actual_code == pred_code, "t").otherwise("f"), F.when(pred_code == 1, "p").otherwise("n")
     )

@@ -84,21 +84,20 @@ def bracketed_quantiles(values: DataFrame, group: Sequence[str], probs: Sequence
         F.count("__v").alias("__n"),
         F.percentile_approx("__v", [float(e) for e in ends], accuracy).alias("__ends"),
     )
-    brackets = F.array(
-        *[
-            F.struct(
-                F.lit(float(p)).alias("p"),
-                F.col("__ends")[2 * i].alias("lo"),
-                F.col("__ends")[2 * i + 1].alias("hi"),
-            )
-            for i, p in enumerate(probs)
-        ]
-    )
-    whole = F.col("__n") <= accuracy
+    whole, v, end = F.col("__n") <= accuracy, F.col("__v"), F.col("__ends")
+    # per probability: the value if it is in the bracket, null below it; left out above it
+    entries = [
+        F.struct(
+            F.lit(float(p)).alias("p"),
+            F.when(whole | (v >= end[2 * i]), v).alias("__v"),
+            (whole | (v <= end[2 * i + 1])).alias("__keep"),
+        )
+        for i, p in enumerate(probs)
+    ]
     hit = (
         match_keys(values, sketch, group)
-        .withColumn("__b", F.explode(F.filter(brackets, lambda b: whole | (F.col("__v") <= b.hi))))
-        .select(*group, "__n", "__b.p", F.when(whole | (F.col("__v") >= F.col("__b.lo")), F.col("__v")).alias("__v"))
+        .select(*group, "__n", F.inline(F.array(*entries)))
+        .filter("__keep")
         .groupBy(*group, "__n", "p", "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from faintline.functions.times import periodic_features
 from faintline.operators.blocks import block_width, previous_row, row_index
 from faintline.operators.prep import chronological_split, standardise
-from faintline.operators.series import WindowSpec, persistence_error
+from faintline.operators.series import WindowSpec
 from faintline.session import settle
 
 SINGLE_STEP = WindowSpec(input_width=1, label_width=1, shift=1, label_columns=("size",))
@@ -22,25 +22,26 @@ FORECAST_SHARE = 0.8  # fixed value: share of a series that precedes the forecas
 def step_features(
     df: DataFrame, keys: Sequence[str], order: str, value: str = "size", width: float | None = None
 ) -> DataFrame:
-    """Value with the phase of the second, split by time and scaled with the training statistics.
-
-    The result is written once, because fitting and every evaluation read it again.
-    """
+    """Value with the phase of the second, split by time and scaled with the training statistics."""
     sine, cosine = periodic_features(F.col(order))
     rows = df.filter(F.col(value).isNotNull()).select(*keys, order, value, sine.alias("sec_sin"), cosine.alias("sec_cos"))
     split = settle(chronological_split(rows, keys, order, width), "split")
-    return settle(standardise(split, [value, "sec_sin", "sec_cos"], keys, "split = 'train'"), "features")
+    return standardise(split, [value, "sec_sin", "sec_cos"], keys, "split = 'train'")
 
 
 def step_pairs(
     features: DataFrame, keys: Sequence[str], order: str, value: str = "size", width: float | None = None
 ) -> DataFrame:
-    """Features of each row beside the next row's value, within one split of one series."""
+    """Features of each row beside the next row's value, within one split of one series.
+
+    The result is written once, because fitting and every evaluation read it again.
+    """
     cols = [value, "sec_sin", "sec_cos"]
     rows = previous_row(features, [*keys, "split"], order, cols, width=width)
-    return rows.filter(F.col("prev_" + value).isNotNull()).select(
+    pairs = rows.filter(F.col("prev_" + value).isNotNull()).select(
         *keys, "split", order, *["prev_" + c for c in cols], F.col(value).alias("label")
     )
+    return settle(pairs, "pairs")
 
 
 def step_inputs(value: str = "size") -> list[str]:
@@ -69,25 +70,24 @@ def step_forecast(model: Sequence[float], value: str = "size") -> Column:
     return sum((F.lit(w) * F.col(c) for w, c in zip(model[1:], step_inputs(value))), F.lit(model[0]))
 
 
+def _performance(pairs: DataFrame, model: str, prediction: Column) -> DataFrame:
+    error = F.col("label") - prediction
+    return (
+        pairs.filter("split in ('val', 'test')")
+        .groupBy("split")
+        .agg(F.avg(error * error).alias("mse"), F.avg(F.abs(error)).alias("mae"))
+        .select(F.lit(model).alias("model"), "split", "mse", "mae")
+    )
+
+
 def step_performance(pairs: DataFrame, model: Sequence[float], value: str = "size") -> DataFrame:
     """MSE and MAE of the linear model on the val and test splits."""
-    scored = pairs.filter("split in ('val', 'test')").dropna(subset=step_inputs(value))
-    error = F.col("label") - step_forecast(model, value)
-    return scored.groupBy("split").agg(F.avg(error * error).alias("mse"), F.avg(F.abs(error)).alias("mae")).select(
-        F.lit("Linear").alias("model"), "split", "mse", "mae"
-    )
+    return _performance(pairs.dropna(subset=step_inputs(value)), "Linear", step_forecast(model, value))
 
 
-def baseline_performance(
-    features: DataFrame, keys: Sequence[str], order: str, value: str = "size", width: float | None = None
-) -> DataFrame:
-    """MSE and MAE of the persistence forecast on the val and test splits, over all series."""
-    held_out = features.filter("split in ('val', 'test')")
-    per_series = persistence_error(held_out, SINGLE_STEP, [*keys, "split"], order, value, width)
-    n = F.sum("n_pairs")
-    return per_series.groupBy("split").agg(
-        (F.sum(F.col("mse") * F.col("n_pairs")) / n).alias("mse"), (F.sum(F.col("mae") * F.col("n_pairs")) / n).alias("mae")
-    ).select(F.lit("Baseline").alias("model"), "split", "mse", "mae")
+def baseline_performance(pairs: DataFrame, value: str = "size") -> DataFrame:
+    """MSE and MAE of the previous value as the forecast, on the val and test splits."""
+    return _performance(pairs, "Baseline", F.col("prev_" + value))
 
 
 def performance_table(df: DataFrame, keys: Sequence[str], order: str, value: str = "size") -> DataFrame:
@@ -96,7 +96,7 @@ def performance_table(df: DataFrame, keys: Sequence[str], order: str, value: str
     features = step_features(df, keys, order, value, width)
     pairs = step_pairs(features, keys, order, value, width)
     linear = step_performance(pairs, fit_step_model(pairs, value), value)
-    return baseline_performance(features, keys, order, value, width).unionByName(linear)
+    return baseline_performance(pairs, value).unionByName(linear)
 
 
 # ---------------------------------------------------------------- differenced AR(1)

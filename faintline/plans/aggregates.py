@@ -9,7 +9,7 @@ from faintline.operators import evaluate
 from faintline.operators.joins import latest_version
 from faintline.operators.linear_model import sweep_block_means
 from faintline.operators.shape import melt
-from faintline.plans.relational import MASSES, SERIES, r6
+from faintline.plans.relational import MASSES, NEWEST, SERIES, r6
 from faintline.plans.views import sql
 from faintline.session import settle
 from faintline.sources import adapters as src
@@ -165,10 +165,7 @@ KDE_SQL = sql(
              CROSS JOIN (SELECT CAST(unnest(range(64)) AS INTEGER) AS grid) g)
        GROUP BY source, grid""",
     "features",
-    newest="""SELECT a.* FROM features a JOIN (
-                SELECT commonName, max(version) AS version FROM features
-                WHERE mass_1_source IS NOT NULL AND mass_2_source IS NOT NULL GROUP BY 1) b
-              ON a.commonName = b.commonName AND a.version = b.version""",
+    newest=f"SELECT * FROM features QUALIFY version = {NEWEST}",
     masses="""SELECT * FROM (SELECT 'mass_1_source' AS source, mass_1_source AS mass FROM newest
               UNION ALL SELECT 'mass_2_source', mass_2_source FROM newest) WHERE mass IS NOT NULL""",
     ends="SELECT min(mass) AS lo, max(mass) AS hi FROM masses",
@@ -260,11 +257,8 @@ QUERIES = {
     "D11_confusion": (
         confusion,
         sql(
-            """SELECT CASE WHEN t = 0 AND p = 0 THEN 'tn' WHEN t = 1 AND p = 1 THEN 'tp'
-                           WHEN t = 0 AND p = 1 THEN 'fp' ELSE 'fn' END AS pred_category, count(*) AS n_obs
-               FROM (SELECT CASE WHEN target = 'background' THEN 0 ELSE 1 END AS t,
-                            CASE WHEN mean_mse BETWEEN 0.0138::DOUBLE AND 1 THEN 1 ELSE 0 END AS p FROM errors) GROUP BY 1""",
-            "errors",
+            "SELECT pred_category, count(*) AS n_obs FROM flagged GROUP BY pred_category",
+            "flagged",
         ),
     ),
     "D12_moments": (

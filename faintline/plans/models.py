@@ -196,9 +196,8 @@ def streamed_scores(spark, sf_dir):
 
 
 FLAGGED_SQL = sql(
-    """SELECT event_num, target, round(mean_mse, 6) AS mean_mse, CASE WHEN target = 'background' THEN 0 ELSE 1 END AS target_binary,
-              CASE WHEN mean_mse BETWEEN 0.0138::DOUBLE AND 1 THEN 1 ELSE 0 END AS pred_binary FROM errors""",
-    "errors",
+    "SELECT event_num, target, round(mean_mse, 6) AS mean_mse, target_binary, pred_binary FROM flagged",
+    "flagged",
 )
 
 # differenced AR(1): changes, fit per series, closed-form forecast
@@ -294,10 +293,8 @@ QUERIES = {
     "flagship_confusion": (
         flagship,
         sql(
-            """SELECT CASE WHEN target = 'background' AND p = 0 THEN 'tn' WHEN target <> 'background' AND p = 1 THEN 'tp'
-                           WHEN target = 'background' AND p = 1 THEN 'fp' ELSE 'fn' END AS pred_category, count(*) AS n_obs
-               FROM (SELECT target, CASE WHEN mean_mse BETWEEN 0.0138::DOUBLE AND 1 THEN 1 ELSE 0 END AS p FROM errors) GROUP BY 1""",
-            "errors",
+            "SELECT pred_category, count(*) AS n_obs FROM flagged GROUP BY pred_category",
+            "flagged",
         ),
     ),
     "H01_split_events": (split, sql("SELECT * FROM split", "split")),

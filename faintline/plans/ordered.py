@@ -390,11 +390,8 @@ QUERIES = {
     "G15_case": (
         class_codes,
         sql(
-            """SELECT *, CASE WHEN target_binary = 0 AND pred_binary = 0 THEN 'tn' WHEN target_binary = 1 AND pred_binary = 1 THEN 'tp'
-                              WHEN target_binary = 0 AND pred_binary = 1 THEN 'fp' ELSE 'fn' END AS pred_category
-               FROM (SELECT event_num, target, CASE WHEN target = 'background' THEN 0 ELSE 1 END AS target_binary,
-                            CASE WHEN mean_mse BETWEEN 0.0138::DOUBLE AND 1 THEN 1 ELSE 0 END AS pred_binary FROM errors)""",
-            "errors",
+            "SELECT event_num, target, target_binary, pred_binary, pred_category FROM flagged",
+            "flagged",
         ),
     ),
     "G16_bucket_label": (

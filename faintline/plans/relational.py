@@ -232,6 +232,9 @@ def unlabelled(spark, sf_dir):
     )
 
 
+# highest version of a name among its complete rows
+NEWEST = f"max(version) FILTER ({MASSES[0]} IS NOT NULL AND {MASSES[1]} IS NOT NULL) OVER (PARTITION BY commonName)"
+
 QUERIES = {
     "B01_project": (project, sql("SELECT commonName, mass_1_source, mass_2_source FROM features", "features")),
     "B02_drop": (
@@ -309,12 +312,9 @@ QUERIES = {
     "C01_latest_version": (
         newest_complete,
         sql(
-            """SELECT a.commonName, a.mass_1_source, a.mass_2_source, a.final_mass_source, a.merger_datetime
-               FROM features a JOIN (
-                 SELECT commonName, max(version) AS newest FROM features
-                 WHERE mass_1_source IS NOT NULL AND mass_2_source IS NOT NULL GROUP BY 1) b
-               ON a.commonName = b.commonName AND a.version = b.newest
-               WHERE a.merger_datetime > TIMESTAMP '1996-01-01'""",
+            f"""SELECT commonName, mass_1_source, mass_2_source, final_mass_source, merger_datetime
+                FROM (SELECT * FROM features QUALIFY version = {NEWEST})
+                WHERE merger_datetime > TIMESTAMP '1996-01-01'""",
             "features",
         ),
     ),
@@ -339,19 +339,16 @@ QUERIES = {
     "C04_subsample_first": (
         first_samples,
         sql(
-            """SELECT a.id, a.observatory, a.capture_dttm, b.size FROM (
-                 SELECT id, observatory, bucket, cell, min(capture_dttm) AS capture_dttm FROM ds_cells GROUP BY 1, 2, 3, 4) a
-               LEFT JOIN dense b ON a.id = b.id AND a.observatory = b.observatory AND a.capture_dttm = b.capture_dttm""",
+            """SELECT id, observatory, min(capture_dttm) AS capture_dttm, arg_min(size, capture_dttm) AS size
+               FROM ds_cells GROUP BY id, observatory, bucket, cell""",
             "ds_cells",
         ),
     ),
     "C04_subsample_first_join": (
         first_samples_joined,
         sql(
-            """SELECT a.id, a.observatory, a.capture_dttm, b.size FROM (
-                 SELECT id, observatory, date_trunc('hour', capture_dttm) AS h, min(capture_dttm) AS capture_dttm
-                 FROM timeseries GROUP BY 1, 2, 3) a
-               LEFT JOIN timeseries b ON a.id = b.id AND a.observatory = b.observatory AND a.capture_dttm = b.capture_dttm""",
+            """SELECT id, observatory, capture_dttm, size FROM timeseries
+               QUALIFY rank() OVER (PARTITION BY id, observatory, date_trunc('hour', capture_dttm) ORDER BY capture_dttm) = 1""",
             "timeseries",
         ),
     ),

@@ -52,6 +52,12 @@ VIEWS = {
     "errors": """
         SELECT event_num, target, avg(pow(actual - pred, 2)) AS mean_mse, sum(pow(actual - pred, 2)) AS sum_mse
         FROM xprime8 GROUP BY event_num, target""",
+    # errors with class code, flag and outcome; the outcomes are looked up in a table of the four cases
+    "flagged": """
+        SELECT * FROM (SELECT event_num, target, mean_mse, CAST(target <> 'background' AS INTEGER) AS target_binary,
+                              CAST(mean_mse >= 0.0138::DOUBLE AND mean_mse <= 1 AS INTEGER) AS pred_binary FROM errors)
+        NATURAL JOIN (VALUES (0, 0, 'tn'), (0, 1, 'fp'), (1, 0, 'fn'), (1, 1, 'tp'))
+                     cases(target_binary, pred_binary, pred_category)""",
     # predictions of the three block sizes
     "sweep": """
         SELECT *, 16 AS latent_dims FROM xprime4
@@ -90,6 +96,7 @@ NEEDS = {
     "xprime8": ["strain"],
     "xprime16": ["strain"],
     "errors": ["xprime8"],
+    "flagged": ["errors"],
     "sweep": ["xprime4", "xprime8", "xprime16"],
     "ds_cells": ["dense"],
     "ds_means": ["ds_cells"],

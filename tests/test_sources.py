@@ -12,7 +12,7 @@ from faintline.session import settle, shared_folder
 from faintline.sources import tables
 from faintline.sources.array_files import read_event_arrays, write_event_arrays
 from faintline.sources.files import read_csv, write_csv
-from faintline.sources.schemas import FEATURES, TIMESERIES
+from faintline.sources.schemas import FEATURES, OBJECTS, TIMESERIES, WAVEFORMS
 
 
 def test_csv_round_trip(spark):
@@ -24,6 +24,17 @@ def test_csv_round_trip(spark):
         write_csv(df, path)
 
 
+def test_waveform_and_object_files(spark, tmp_path):
+    (tmp_path / "waves").mkdir()
+    (tmp_path / "waves" / "a.csv").write_text("event,interferometer,raw_value\nGW150914,L1,-0.25\n")
+    assert tuple(read_csv(spark, str(tmp_path / "waves"), WAVEFORMS).first()) == ("GW150914", "L1", -0.25)
+    header = ",".join(OBJECTS.names)
+    (tmp_path / "objects").mkdir()
+    (tmp_path / "objects" / "a.csv").write_text(f"{header}\nGW1,O1,36.2,29.1,62.3,BH,BH,BH,2015-09-14T09:50:45\n")
+    row = read_csv(spark, str(tmp_path / "objects"), OBJECTS).first()
+    assert (row.primary_mass, row.final_object, row.merger_datetime.year) == (36.2, "BH", 2015)
+
+
 def test_malformed_fields_become_null(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,observatory,size,capture_dttm\na,L1,oops,2020-01-01T00:00:00\n")
     row = read_csv(spark, str(tmp_path), TIMESERIES).first()
