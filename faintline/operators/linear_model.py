@@ -159,9 +159,8 @@ def fit_linear_ae_wide(
         raise ValueError(f"needs at most {MAX_SIDE} events, each once")
     _check_rank(k, min(n - 1, d))
     cuts = F.sequence(F.lit(0), F.lit((d - 1) // stretch))
-    pieces = arrays.select(event, values, F.explode(cuts).alias("stretch")).select(
-        event, "stretch", F.slice(values, F.col("stretch") * stretch + 1, F.lit(stretch)).alias("vals")
-    )
+    cut = F.transform(cuts, lambda s: F.slice(values, s * stretch + 1, F.lit(stretch)))
+    pieces = arrays.select(event, F.posexplode(cut).alias("stretch", "vals"))
 
     def centred(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         x = _matrix(table.sort_by(event)["vals"])
