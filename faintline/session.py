@@ -15,6 +15,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # long arrays: bound the batches handed to Python by size, not only by rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
 }
 
 

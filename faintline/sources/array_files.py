@@ -22,6 +22,14 @@ ROWS_PER_BATCH = 64
 BYTES_PER_FILE = 256 * 1024 * 1024
 
 
+def mounted(path: str) -> str:
+    """A path that tasks can open as a file; object-store addresses must be mounted first."""
+    path = path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
+    if "://" in path:
+        raise ValueError(f"array files need a mounted folder, not {path}")
+    return path
+
+
 class EventRange(InputPartition):
     def __init__(self, path: str, first_id: int, start: int, stop: int):
         self.path, self.first_id, self.start, self.stop = path, first_id, start, stop
@@ -66,6 +74,7 @@ class EventArraySource(DataSource):
 def read_event_arrays(spark: SparkSession, path: str, events_per_partition: int = 256) -> DataFrame:
     """``event_id, vals``; ids are positions, counted through the files in name order."""
     spark.dataSource.register(EventArraySource)
+    path = mounted(path)
     return (
         spark.read.format("event_arrays").option("path", path).option("eventsPerPartition", events_per_partition).load()
     )
@@ -77,6 +86,7 @@ def write_event_arrays(df: DataFrame, path: str, order: str = "event_id", values
     A file holds at most ``BYTES_PER_FILE`` of samples, so a task never keeps its whole partition. It
     appears under its name only when complete, and a repeated task replaces its own files.
     """
+    path = mounted(path)
     os.makedirs(path, exist_ok=False)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

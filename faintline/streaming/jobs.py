@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faintline.operators.evaluate import classify, event_errors_arrays
 from faintline.operators.linear_model import block_mean_arrays
@@ -39,7 +40,7 @@ def stream_means(
     )
     query.awaitTermination()
     spark: SparkSession = stream.sparkSession
-    schema = means.schema.add("batch", "long")
+    schema = T.StructType([*means.schema.fields, T.StructField("batch", T.LongType())])
     written = spark.read.schema(schema).parquet(out)
     return written.groupBy("id", "observatory", "bucket").agg(F.max_by("avg_size", "batch").alias("avg_size"))
 

@@ -69,6 +69,14 @@ def test_array_files_round_trip(spark, limit, monkeypatch):
     assert [r.vals[0] for r in read_event_arrays(spark, path, 7).orderBy("event_id").collect()] == list(range(50))
 
 
+def test_mounted_paths():
+    from faintline.sources.array_files import mounted
+
+    assert mounted("file:///a/b") == mounted("file:/a/b") == mounted("/a/b") == "/a/b"
+    with pytest.raises(ValueError):
+        mounted("s3a://bucket/a")
+
+
 def test_create_append_overwrite(spark):
     db = new_database(spark, "It's a test")
     df = spark.createDataFrame([(1, "a")], "n int, s string")
