@@ -292,19 +292,26 @@ def score_arrays(arrays: DataFrame, model: LinearModel, values: str = "vals") ->
     return _rebuild(arrays, small, values)
 
 
-def _rebuild(arrays: DataFrame, small: tuple[np.ndarray, np.ndarray], values: str) -> DataFrame:
+def _rebuild(
+    arrays: DataFrame, small: tuple[np.ndarray, np.ndarray], values: str, ranks: Sequence[int] = ()
+) -> DataFrame:
+    """Reconstructions from the first k components for every k in ``ranks`` (all components if none)."""
     shared = arrays.sparkSession.sparkContext.broadcast(small)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, w = shared.value
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column("actual"))
-                pred = _lists((x - mean) @ w @ w.T + mean)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pred], [*batch.schema.names, "pred"])
+                centred = _matrix(batch.column("actual")) - mean
+                for k in ranks or [w.shape[1]]:
+                    pred = _lists(centred @ w[:, :k] @ w[:, :k].T + mean)
+                    dims = pa.array(np.full(batch.num_rows, k, dtype="int32"))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pred, dims], [*batch.schema.names, "pred", "latent_dims"])
 
     rows = arrays.select(F.col("event_id").alias("event_num"), "target", F.col(values).alias("actual"))
-    return rows.mapInArrow(rebuild, "event_num long, target string, actual array<double>, pred array<double>")
+    schema = "event_num long, target string, actual array<double>, pred array<double>, latent_dims int"
+    scored = rows.mapInArrow(rebuild, schema)
+    return scored if ranks else scored.drop("latent_dims")
 
 
 def predictions_long(preds: DataFrame, more: Sequence[str] = ()) -> DataFrame:
@@ -428,11 +435,14 @@ def sweep_loss(preds: DataFrame) -> DataFrame:
 
 
 def sweep_linear(arrays: DataFrame, background: DataFrame, ks: Sequence[int]) -> DataFrame:
-    """Predictions of linear models of several ranks, from one fit of the largest."""
+    """Predictions of linear models of several ranks, from one fit of the largest and one reading."""
     largest = fit_linear_ae(background, max(ks))
+    small = _small_matrices(largest)
+    if small is not None:
+        return predictions_long(_rebuild(arrays, small, "vals", list(ks)), ["latent_dims"])
     parts = []
     for k in ks:
         keep = F.col("component") <= k
         model = LinearModel(largest.means, largest.loadings.filter(keep), largest.spectrum.filter(keep))
-        parts.append(score(arrays, model).withColumn("latent_dims", F.lit(k)))
-    return stack(parts)
+        parts.append(score_long(_long(arrays, "vals"), model).withColumn("latent_dims", F.lit(k)))
+    return stack([p.select("event_num", "target", "latent_dims", "time_seq", "actual", "pred") for p in parts])

@@ -53,6 +53,17 @@ def test_long_series_switch_the_matrix(arrays, data, monkeypatch):
     assert np.allclose(matrix(lm.score_arrays(arrays, lm.fit_linear_ae(arrays, 5))), projection(data, 5), atol=1e-3)
 
 
+def test_sweep_forms_agree(arrays, monkeypatch):
+    def losses():
+        return {r.latent_dims: r.av_mse for r in model_errors(lm.sweep_linear(arrays, arrays, (1, 4))).collect()}
+
+    one_pass = losses()
+    monkeypatch.setattr(lm, "MAX_MODEL_CELLS", 10)
+    joined = losses()
+    assert one_pass.keys() == joined.keys() == {1, 4}
+    assert all(one_pass[k] == pytest.approx(joined[k]) for k in (1, 4))
+
+
 def test_error_falls_with_rank_and_vanishes(arrays):
     preds = lm.sweep_linear(arrays, arrays, (1, 3, 24))
     loss = {r.latent_dims: r.av_mse for r in model_errors(preds).collect()}
