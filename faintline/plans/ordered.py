@@ -10,7 +10,7 @@ from faintline.operators import evaluate, series
 from faintline.operators.blocks import row_index
 from faintline.operators.forecast import SINGLE_STEP, WIDE
 from faintline.operators.series import WindowSpec
-from faintline.plans.aggregates import MS, SECOND, sweep
+from faintline.plans.aggregates import SECOND, sweep
 from faintline.plans.relational import SERIES, r6
 from faintline.plans.views import sql
 from faintline.sources import adapters as src
