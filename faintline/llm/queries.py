@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from faintline.llm import url_filter
+from faintline.llm import quality_rules, url_filter
 
 QUERIES = {
     "op5_url_filter": (url_filter.query, url_filter.SQL),
+    "op10_quality_rules": (quality_rules.query, None),
 }
