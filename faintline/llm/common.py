@@ -7,6 +7,7 @@ Columns that an operator adds replace input columns of the same name; helper col
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,3 +55,11 @@ def without(df: DataFrame, added: Sequence[str]) -> DataFrame:
     """The frame without columns that an operator is about to add (names compare as Spark compares them)."""
     own = {c.lower() for c in added}
     return df.select(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in own])
+
+
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows from the driver as a frame that the JVM reads from one literal. ``schema``: ``a long, b string``."""
+    fields = [part.split() for part in schema.split(", ")]
+    text = json.dumps([dict(zip([name for name, _ in fields], row, strict=True)) for row in rows])
+    kind = ", ".join(f"{name}: {kind}" for name, kind in fields)
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))

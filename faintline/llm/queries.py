@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from faintline.llm import quality_rules, sharding, url_filter
+from faintline.llm import mixing, quality_rules, sharding, url_filter
 
 QUERIES = {
+    "op7_mixing": (mixing.query, None),
     "op2_sharding": (sharding.query, None),
     "op5_url_filter": (url_filter.query, url_filter.SQL),
     "op10_quality_rules": (quality_rules.query, None),
