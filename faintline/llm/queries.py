@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from faintline.llm import mixing, quality_rules, sharding, url_filter
+from faintline.llm import language_id, mixing, quality_rules, sharding, url_filter
 
 QUERIES = {
+    "op1_language_id": (language_id.query, None),
     "op7_mixing": (mixing.query, None),
     "op2_sharding": (sharding.query, None),
     "op5_url_filter": (url_filter.query, url_filter.SQL),
