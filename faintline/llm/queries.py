@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from faintline.llm import language_id, mixing, quality_rules, sharding, url_filter
+from faintline.llm import language_id, mixing, quality_rules, quality_svm, sharding, url_filter
 
 QUERIES = {
+    "op9_quality_svm": (quality_svm.query, None),
     "op1_language_id": (language_id.query, None),
     "op7_mixing": (mixing.query, None),
     "op2_sharding": (sharding.query, None),
