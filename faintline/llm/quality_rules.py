@@ -8,8 +8,9 @@ number of standard deviations), is rounded, and is applied to every document ali
 
 The bucket counts are added up in the tasks that read the texts, so the shuffle holds one row per
 task and bucket whatever the corpus and however common a word. Base counts and scores are computed
-inside each row and nothing is shuffled for them. Texts move once, when documents meet the trusted
-ids. The driver gets one number per bucket.
+inside each row and nothing is shuffled for them. Documents meet the trusted ids in a broadcast join if
+the ids are counted to be few enough, otherwise in a shuffled one. The driver gets one number per
+bucket.
 
 Defined cases: a null or empty text has no words, every count 0, a score of 0 and fails the base
 rules. Texts of any length are read whole; repeated windows are found by sorting, so the work grows as
@@ -31,6 +32,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 BUCKETS = 16_384
 DEVIATIONS = 4.0
+BROADCAST_IDS = 4_000_000
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 ADDED = [*BASE, "base_failed", "llr", "threshold", "kept"]
 
@@ -84,38 +86,40 @@ def _bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def base_counts(text: Column) -> dict[str, Column]:
-    """The base counts of a text, as expressions."""
-    found = words(text)
+def word_hashes(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
+
+
+def base_counts(text: Column, hashes: Column) -> dict[str, Column]:
+    """The base counts of a text, as expressions of it and of its words' hashes."""
     lines = F.filter(F.split(text, "\n"), lambda line: spaceless(line) != "")
     return {
-        "n_words": _long(F.size(found)),
+        "n_words": _long(F.size(hashes)),
         "word_chars": _long(F.length(spaceless(text))),
         "n_symbols": _long(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))),
         "n_dup_lines": _long(_bind(lines, lambda found: F.size(found) - F.size(F.array_distinct(found)))),
-        "n_repeat_words": _long(_bind(F.transform(found, lambda w: F.xxhash64(w)), lambda h: repeated_words(h))),
+        "n_repeat_words": _long(_bind(hashes, lambda h: repeated_words(h))),
     }
 
 
-def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of a text's words and of its pairs of neighbouring words."""
+def ngrams(hashes: Column) -> Column:
+    """Hashes of a text's words and of its pairs of neighbouring words."""
 
     def both(hashes: Column) -> Column:
         pairs = F.transform(hashes, lambda h, i: F.xxhash64(F.get(hashes, i - 1), h))
         return F.concat(hashes, F.slice(pairs, 2, F.greatest(F.size(hashes) - 1, F.lit(0))))
 
-    grams = _bind(F.transform(words(text), lambda w: F.xxhash64(w)), both)
-    return F.transform(grams, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    return _bind(hashes, both)
 
 
 def llr_table(corpus: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """log(trusted share / corpus share) of every bucket, add-one smoothed.
 
-    ``corpus``: ``text``, ``trusted`` boolean. Reads whole texts; the driver gets ``buckets`` rows.
+    ``corpus``: ``hashes`` of a whole text's words, ``trusted`` boolean. The driver gets ``buckets`` rows.
     """
     counts = (
-        corpus.select("trusted", F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
-        .groupBy("bucket")
+        corpus.select("trusted", F.explode(ngrams(F.col("hashes"))).alias("gram"))
+        .groupBy(F.pmod("gram", F.lit(buckets)).cast("int").alias("bucket"))
         .agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("trusted"), 1)).alias("t"))
         .collect()
     )
@@ -129,17 +133,19 @@ def llr_table(corpus: DataFrame, buckets: int = BUCKETS) -> list[float]:
     return [round(math.log(t / n) + shift, 6) for t, n in zip(trusted, raw)]
 
 
-def llr_score(text: Column, ratios: list[float], buckets: int = BUCKETS) -> Column:
+def llr_score(hashes: Column, ratios: list[float], buckets: int = BUCKETS) -> Column:
     """Mean log ratio over a text's n-grams; 0 without any."""
     # one literal instead of one per bucket; the optimizer folds it into an array
     values = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    grams = ngram_buckets(text, buckets)
+    total = F.aggregate(ngrams(hashes), F.lit(0.0), lambda acc, h: acc + F.get(values, F.pmod(h, F.lit(buckets)).cast("int")))
+    n = F.size(hashes) * 2 - 1
+    return F.round(F.when(n > 0, total / n).otherwise(F.lit(0.0)), 9)
 
-    def mean(found: Column) -> Column:
-        total = F.aggregate(found, F.lit(0.0), lambda acc, b: acc + F.get(values, b))
-        return F.when(F.size(found) > 0, total / F.size(found)).otherwise(F.lit(0.0))
 
-    return F.coalesce(_bind(grams, mean), F.lit(0.0))
+def sized_broadcast(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """The ids, sent to every task if counting finds no more than ``most`` of them (16 bytes each at most);
+    beyond that the join shuffles both sides."""
+    return F.broadcast(ids) if ids.count() <= most else ids
 
 
 def quality_rules(
@@ -150,22 +156,22 @@ def quality_rules(
 
     ``trusted_ids``: one column named like ``doc_id``, the ids of trusted documents.
     """
-    trusted = trusted_ids.select(F.col(doc_id).alias("__llm_trusted")).filter("__llm_trusted is not null").distinct()
-
-    def flagged(rows: DataFrame) -> DataFrame:
-        joined = rows.join(trusted, F.col("__llm_id") == F.col("__llm_trusted"), "left")
-        return joined.withColumn("trusted", F.col("__llm_trusted").isNotNull()).drop("__llm_id", "__llm_trusted")
-
-    own_id, own = F.col(doc_id).alias("__llm_id"), F.col(text)
-    ratios = llr_table(flagged(docs.select(own_id, own.alias("text"))), buckets)
-    score = F.round(llr_score(own, ratios, buckets), 9)
-    # scores are made before the join: it moves ids and numbers, no texts
-    n, mean, deviation = (
-        flagged(docs.select(own_id, score.alias("s"))).filter("trusted").agg(F.count("s"), F.avg("s"), F.stddev_pop("s")).first()
+    trusted = sized_broadcast(
+        trusted_ids.select(F.col(doc_id).alias("__llm_trusted")).filter("__llm_trusted is not null").distinct()
+    )
+    plain = docs.select(F.col(doc_id).alias("__llm_id"), F.col(text).alias("text"))
+    flagged = plain.join(trusted, F.col("__llm_id") == F.col("__llm_trusted"), "left").select(
+        F.col("__llm_trusted").isNotNull().alias("trusted"), word_hashes(F.col("text")).alias("hashes")
     )
+    ratios = llr_table(flagged, buckets)
+    score = llr_score(F.col("hashes"), ratios, buckets)
+    n, mean, deviation = flagged.filter("trusted").select(score.alias("s")).agg(F.count("s"), F.avg("s"), F.stddev_pop("s")).first()
     threshold = round(mean - deviations * deviation, 6) if n else 0.0
     out = without(docs, [c for c in ADDED if c not in (doc_id, text)])
-    counted = out.withColumns({**base_counts(own), "llr": score})
+    own, hashes = F.col(text), F.col("__llm_hashes")
+    counted = out.withColumn("__llm_hashes", word_hashes(own)).withColumns(
+        {**base_counts(own, hashes), "llr": llr_score(hashes, ratios, buckets)}
+    ).drop("__llm_hashes")
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     return counted.withColumns({"base_failed": failed, "threshold": F.lit(threshold)}).withColumn(
         "kept", ~F.col("base_failed") & (F.col("llr") >= F.col("threshold"))

@@ -28,7 +28,7 @@ def frame(spark, texts):
 
 def test_base_counts(spark):
     docs = frame(spark, TEXTS)
-    for row in docs.select("doc_id", *[c.alias(n) for n, c in rules.base_counts(docs.text).items()]).collect():
+    for row in docs.select("doc_id", *[c.alias(n) for n, c in rules.base_counts(docs.text, rules.word_hashes(docs.text)).items()]).collect():
         got = row.asDict()
         text = TEXTS[got.pop("doc_id")]
         assert got == brute.base_counts(text)
