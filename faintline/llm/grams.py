@@ -58,19 +58,24 @@ def run_hashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mixed(np.add.reduceat((values.astype(np.uint64) + np.uint64(1)) * powers[place], starts))
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every word in the texts: its hash, the hash of its shape, and the number of its text.
-
-    A shape is the word's kinds of characters without repeats; a word equal to the one before has a
-    shape of its own, so that repetition shows in shapes.
-    """
+def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all words one after another, a mark at each word's first byte, and for each word the number of its text."""
     dark = ~SPACE[data]
     start = dark.copy()
     start[1:] &= ~dark[:-1]
     firsts = offsets[:-1][offsets[:-1] < offsets[1:]] - offsets[0]
     start[firsts] = dark[firsts]
     text = np.searchsorted(offsets[1:] - offsets[0], np.flatnonzero(start), "right")
-    body, begins = data[dark], start[dark]
+    return data[dark], start[dark], text
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word in the texts: its hash, the hash of its shape, and the number of its text.
+
+    A shape is the word's kinds of characters without repeats; a word equal to the one before has a
+    shape of its own, so that repetition shows in shapes.
+    """
+    body, begins, text = split_words(data, offsets)
     hashes = run_hashes(body, np.flatnonzero(begins))
     kinds = KIND[body]
     turn = begins.copy()
