@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from faintline.llm import language_id, minhash, mixing, quality_rules, quality_svm, sharding, url_filter
+from faintline.llm import language_id, minhash, mixing, neighbours, quality_rules, quality_svm, sharding, url_filter
 
 QUERIES = {
+    "op8_neighbours": (neighbours.query, None),
     "op3_near_duplicates": (minhash.query, None),
     "op9_quality_svm": (quality_svm.query, None),
     "op1_language_id": (language_id.query, None),
