@@ -58,9 +58,12 @@ def run_hashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mixed(np.add.reduceat((values.astype(np.uint64) + np.uint64(1)) * powers[place], starts))
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all words one after another, a mark at each word's first byte, and for each word the number of its text."""
-    dark = ~SPACE[data]
+def split_words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all words one after another, a mark at each word's first byte, and for each word the number of its text.
+
+    ``gaps``: which bytes stand between words.
+    """
+    dark = ~gaps[data]
     start = dark.copy()
     start[1:] &= ~dark[:-1]
     firsts = offsets[:-1][offsets[:-1] < offsets[1:]] - offsets[0]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from faintline.llm import language_id, minhash, mixing, neighbours, quality_rules, quality_svm, sentencepiece_fst, sharding, url_filter
+from faintline.llm import language_id, licenses, minhash, mixing, neighbours, quality_rules, quality_svm, sentencepiece_fst, sharding, url_filter
 
 QUERIES = {
+    "op4_licenses": (licenses.query, None),
     "op6_sentencepiece": (sentencepiece_fst.query, None),
     "op8_neighbours": (neighbours.query, None),
     "op3_near_duplicates": (minhash.query, None),
