@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\x0c\r"
 GAP = r"[\x20\x09-\x0D]+"
+BROADCAST_ROWS = 4_000_000
 
 
 def spaceless(text: Column) -> Column:
@@ -63,3 +64,9 @@ def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Dat
     text = json.dumps([dict(zip([name for name, _ in fields], row, strict=True)) for row in rows])
     kind = ", ".join(f"{name}: {kind}" for name, kind in fields)
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
+
+
+def sized_broadcast(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Short rows of keys, sent to every task if counting finds no more than ``most`` of them; beyond
+    that the join shuffles both sides."""
+    return F.broadcast(keys) if keys.count() <= most else keys

@@ -26,13 +26,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faintline.llm.common import spaceless, table, without, words
+from faintline.llm.common import sized_broadcast, spaceless, table, without, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 BUCKETS = 16_384
 DEVIATIONS = 4.0
-BROADCAST_IDS = 4_000_000
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 ADDED = [*BASE, "base_failed", "llr", "threshold", "kept"]
 
@@ -142,12 +141,6 @@ def llr_score(hashes: Column, ratios: list[float], buckets: int = BUCKETS) -> Co
     return F.round(F.when(n > 0, total / n).otherwise(F.lit(0.0)), 9)
 
 
-def sized_broadcast(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """The ids, sent to every task if counting finds no more than ``most`` of them (16 bytes each at most);
-    beyond that the join shuffles both sides."""
-    return F.broadcast(ids) if ids.count() <= most else ids
-
-
 def quality_rules(
     docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets: int = BUCKETS, deviations: float = DEVIATIONS,

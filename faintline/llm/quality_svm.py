@@ -7,8 +7,9 @@ outside the held-out fold. A linear model with squared hinge loss is then fitted
 indicators by dual coordinate descent, in numpy on the driver, on a bounded sample of those texts
 (``sample``). A part of the sample is kept back to turn margins into chances by a logistic curve.
 
-The counts are added up per task as one vector per class and merged by bucket, so neither texts nor
-n-grams are shuffled. Texts are scored whole in their own tasks.
+The counts are added up per task as one vector per class and merged by bucket, so n-grams are not
+shuffled; texts meet their labels in a broadcast join if the labels are counted to be few enough, otherwise
+in a shuffled one. Texts are scored whole in their own tasks.
 
 Defined cases: a null or empty text has no indicator and gets the score of the model's bias. Rows
 without label or id are scored but not learned from; a document with several labels is learned from
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faintline.llm.common import fold, held_out, table, without
+from faintline.llm.common import fold, held_out, sized_broadcast, table, without
 from faintline.llm.grams import CHUNK, SPACE, groups, pairs, spans, text_bytes, words_of
 from faintline.llm.training import distinct_sample
 
@@ -244,7 +245,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: float
 def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``text``, ``label`` of labelled documents outside the held-out fold."""
     known = labels.filter((fold(F.col("doc_id")) != 2) & F.col("quality").isNotNull())
-    marks = known.select(F.col("doc_id").alias("__llm_id"), F.col("quality").alias("label"))
+    marks = sized_broadcast(known.select(F.col("doc_id").alias("__llm_id"), F.col("quality").alias("label")))
     texts = docs.filter(fold(F.col("doc_id")) != 2).select("doc_id", "text")
     return texts.join(marks, F.col("doc_id") == F.col("__llm_id")).select("text", "label")
 
