@@ -34,8 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from faintline.llm.common import table, without
+from faintline.llm.common import sized_broadcast, table
 from faintline.llm.components import connected_components
 from faintline.llm.grams import CHUNK, groups, mixed, run_hashes, spans, split_words, text_bytes
 from faintline.session import settle
@@ -45,7 +46,6 @@ ROWS = 5
 BANDS = 32
 SLACK = 0.18
 BLOCK = 256  # members of a bucket that are compared with as many others in one task
-BROADCAST_KEYS = 4_000_000
 ADDED = ["n_shingles", "component_id", "kept"]
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -184,13 +184,11 @@ def _search(percent: int):
     return search
 
 
-def _few(keys: DataFrame) -> DataFrame:
-    """Sent to every task if counted to be few enough (at most 64 MB of keys), else joined by shuffling."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-
-
 def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """``id, n, node, component_id`` of every document; linked: 100 * shared >= percent * united shingles."""
+    """``id, n, node, label, component_id`` of every document; linked: 100 * shared >= percent * united shingles.
+
+    ``node`` stands for the document's set, ``label`` for its component; both null for an empty set.
+    """
     if size != SHINGLE:
         raise ValueError(f"shingles have {SHINGLE} words")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
@@ -211,8 +209,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     shared = settle(members.join(firsts, same).select("node", "n", "band", "code", "first", "members"), "buckets")
     near = 100 * F.least("n", "first.n") >= percent * F.greatest("n", "first.n")
     stars = settle(shared.filter((F.col("node") != F.col("first.node")) & near).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    wanted = _few(shared.select("node").distinct())
-    ids = _few(classes.join(wanted, "node", "left_semi").select(F.col("id").alias("wanted")).distinct())
+    wanted = sized_broadcast(shared.select("node").distinct())
+    ids = sized_broadcast(classes.join(wanted, "node", "left_semi").select(F.col("id").alias("wanted")).distinct())
     candidates = rows.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
     sets = candidates.mapInArrow(_sets, "node binary, shingles array<long>").join(wanted, "node", "left_semi")
     sets = settle(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
@@ -241,11 +239,40 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     # components by class; the rest of the classes are components of their own
     named = classes.select("node", "id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"), F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("nodes")).filter("rows > 1")
-    renamed = named.join(smallest, "label").select(F.col("node").alias("node_"), F.crc32("node").alias("check_"), F.col("component_id").alias("smallest"), F.lit(True).alias("grouped"))
+    renamed = named.join(smallest, "label").select(F.col("node").alias("node_"), F.crc32("node").alias("check_"), F.col("component_id").alias("smallest"), "label", F.lit(True).alias("grouped"))
     found = described.select("id", "n", "node")
     # two keys, so that both sides are dealt for this join and a very large class can be split
     out = found.join(renamed, (F.col("node") == F.col("node_")) & (F.crc32("node") == F.col("check_")), "left")
-    return out.select("id", "n", "node", F.when(F.col("grouped"), F.col("smallest")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", "n", "node", F.coalesce("label", "node").alias("label"), F.when(F.col("grouped"), F.col("smallest")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [_key(v) if len(v) else None for v in shingle_sets(batch.column("__llm_text"))]
+        rest = [c for c in batch.schema.names if c != "__llm_text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(keys, pa.binary())], [*rest, "__llm_node"])
+
+
+def keep_one(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that are their component's smallest id: one row of each component, all columns as they are.
+
+    Ids that stand on several rows, or are null, say nothing about a single row; such rows are told apart by their sets,
+    and one row of each component without a smaller id stays. Documents with empty sets all stay.
+    """
+    found = settle(near_duplicates(docs, percent, doc_id, text).select("id", "node", "label", "component_id"), "near-duplicates")
+    several = found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL").select(F.col("id").alias("__llm_many"))
+    gone = found.filter("id <> component_id").select(F.col("id").alias("__llm_many")).unionByName(several).distinct()
+    single = docs.join(gone, F.col(doc_id) == F.col("__llm_many"), "left_anti").filter(F.col(doc_id).isNotNull())
+    if not several.limit(1).count():
+        return single
+    rows = docs.join(several, F.col(doc_id).eqNullSafe(F.col("__llm_many")), "left_semi").withColumn("__llm_text", F.col(text))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__llm_node", T.BinaryType())])
+    marked = rows.mapInArrow(_mark, schema)
+    heads = found.filter("node IS NOT NULL").select(F.col("node").alias("__llm_set"), F.col("label").alias("__llm_label"), F.col("component_id").alias("__llm_first")).distinct()
+    named = marked.join(heads, F.col("__llm_node") == F.col("__llm_set"), "left")
+    stay = named.filter(F.col("__llm_node").isNull())
+    firsts = named.filter(F.col("__llm_node").isNotNull() & F.col(doc_id).eqNullSafe(F.col("__llm_first"))).dropDuplicates(["__llm_label"])
+    return single.unionByName(stay.select(docs.columns)).unionByName(firsts.select(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

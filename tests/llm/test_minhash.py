@@ -114,3 +114,14 @@ def test_whole_table(spark):
     got = sorted(tuple(r) for r in mh.query(spark, "/root/testdata/sf0.01").collect())
     assert got == sorted((d, n, c, d == c) for (d, _), n, c in zip(rows, sizes, want))
     assert 0 < sum(not g[3] for g in got)
+
+
+def test_one_of_each_group_stays(spark):
+    copy = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(3, copy), (2, copy + " more"), (2, "another text of its own"), (2, "another text of its own"), (None, copy), (None, "x y z"), (None, "x y z"), (7, None), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' AS label", "'b' AS id")
+    out = mh.keep_one(docs, 80)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(2, copy + " more"), (2, "another text of its own"), (None, "x y z"), (7, None), (7, None), (8, "")], key=str)
+    assert mh.keep_one(docs.limit(0)).count() == 0
