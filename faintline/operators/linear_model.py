@@ -4,13 +4,16 @@ A linear autoencoder's optimum is the projection on the leading principal compon
 is found from one matrix of sums instead of by training. Models are plain tables:
 ``(model, time_seq, mean)`` and ``(model, component, time_seq, loading)``.
 
-Which matrix is used depends on the shape, and what reaches the driver is bounded either way:
-
-* series of up to ``MAX_SIDE`` samples: the position by position matrix, summed from one partial
-  per task (``fit_linear_ae``);
-* longer series, up to ``MAX_SIDE`` events: the event by event matrix, summed over stretches of
-  positions; loadings are then made stretch by stretch on the executors (``fit_linear_ae_wide``);
-* longer series and more events: repeated products with a narrow matrix (``fit_linear_ae_subspace``).
+A fit is exact whatever the shape: series of up to ``MAX_SIDE`` samples, or no longer than events are many, use the
+position by position matrix, summed from one centred partial per task (``fit_linear_ae``); others the
+event by event matrix, summed over stretches of positions (``fit_linear_ae_wide``). The driver holds one matrix whose side is
+the smaller of the two numbers. ``method="subspace"`` asks for repeated products with a narrow matrix
+instead, until the variances settle (``fit_linear_ae_subspace``).
+
+A missing sample (null or NaN) counts as its position's mean: it adds nothing to the sums, and is rebuilt from the
+event's other samples. Components beyond the data's rank have variance 0 and no loadings.
+Matrices of up to ``MAX_MODEL_CELLS`` cells are sent to every task; larger ones meet the events block by
+block, stretches of positions against groups of events, with the same result.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ from faintline.operators.evaluate import model_errors
 from faintline.operators.shape import stack
 
 MAX_SIDE = 4096
+FAN_IN = 32  # groups of tasks whose partial matrices are added first
+STRETCH = 2048  # positions of one block
+EVENT_GROUP = 1024  # events of one block
 PARTIAL = "row int, vals array<double>"  # one row of a partial matrix
 MAX_MODEL_CELLS = 8_000_000  # largest loading matrix handed to tasks as a broadcast (64 MB)
 
@@ -60,19 +66,16 @@ def _numbered_rows(matrix: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([rows, _lists(matrix)], ["row", "vals"])
 
 
-def _few_tasks(df: DataFrame) -> DataFrame:
-    """One partial result is emitted per task, so use one task per core rather than per file split."""
-    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
-
-
 def _sum_rows(partials: DataFrame) -> np.ndarray:
-    """Add up partial matrices row by row on the executors; the driver gets the sum alone."""
+    """Add up partial matrices row by row on the executors, in two levels; the driver gets the sum alone."""
 
     def add(table: pa.Table) -> pa.Table:
         total = _matrix(table["vals"]).sum(axis=0)[None, :]
         return pa.table({"row": table["row"].slice(0, 1), "vals": _lists(total)})
 
-    summed = partials.groupBy("row").applyInArrow(add, PARTIAL)
+    # first within groups of tasks, so that no task adds up one row of every other task
+    some = partials.withColumn("part", F.spark_partition_id() % FAN_IN).groupBy("part", "row").applyInArrow(add, PARTIAL)
+    summed = some.groupBy("row").applyInArrow(add, PARTIAL)
     return _matrix(summed.toArrow().sort_by("row")["vals"])
 
 
@@ -88,6 +91,36 @@ def _check_rank(k: int, limit: int) -> None:
         raise ValueError(f"k must be between 1 and {limit}")
 
 
+def _rank(variances: np.ndarray, side: int) -> int:
+    """How many of the falling variances are more than rounding errors."""
+    return int((variances > max(variances[0], 0.0) * side * np.finfo(float).eps * 8).sum())
+
+
+def _filled(matrix: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Deviations from the mean; missing samples deviate by nothing."""
+    centred = matrix - mean
+    centred[np.isnan(centred)] = 0.0
+    return centred
+
+
+def position_means(arrays: DataFrame, d: int, values: str = "vals") -> tuple[np.ndarray, int]:
+    """Mean of every position over the events that have a sample there, and the number of events."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts, n = np.zeros(d), np.zeros(d), 0
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(values))
+                sums += np.nansum(x, axis=0)
+                counts += (~np.isnan(x)).sum(axis=0)
+                n += len(x)
+        if n:
+            yield _numbered_rows(np.stack([sums, counts, np.full(d, float(n))]))
+
+    sums, counts, n = _sum_rows(arrays.select(values).mapInArrow(partial, PARTIAL))
+    return sums / np.maximum(counts, 1), int(n[0])
+
+
 def _as_model(spark: SparkSession, name: str, mean: np.ndarray, vectors: np.ndarray, variances: np.ndarray) -> LinearModel:
     d, k = vectors.shape
     component, position = np.meshgrid(np.arange(1, k + 1), np.arange(1, d + 1))
@@ -118,54 +151,56 @@ def _signed(vectors: np.ndarray) -> np.ndarray:
     return vectors * np.where(top < 0, -1.0, 1.0)
 
 
-def fit_linear_ae(arrays: DataFrame, k: int, name: str = "linear", values: str = "vals") -> LinearModel:
-    """Rank-k model of array rows. One pass; each task adds its rows into one matrix of sums."""
+def fit_linear_ae(arrays: DataFrame, k: int, name: str = "linear", values: str = "vals", method: str = "exact") -> LinearModel:
+    """Rank-k model of array rows. Each task adds its centred rows into one matrix of sums."""
+    if method not in ("exact", "subspace"):
+        raise ValueError("method is exact or subspace")
+    arrays = arrays.filter(F.col(values).isNotNull())
+    if method == "subspace":
+        return fit_linear_ae_subspace(arrays, k, name, values)
     d = series_length(arrays, values)
-    if d > MAX_SIDE:
-        n = arrays.count()
-        fit = fit_linear_ae_wide if n <= MAX_SIDE else fit_linear_ae_subspace
-        return fit(arrays, k, name, values)
+    if d > MAX_SIDE and arrays.count() < d:
+        return fit_linear_ae_wide(arrays, k, name, values)
     _check_rank(k, d)
+    mean, n = position_means(arrays, d, values)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a leading 1 in every row makes the first row of the matrix hold count and sums
-        total = np.zeros((d + 1, d + 1))
+        total = np.zeros((d, d))
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(values))
-                x = np.hstack([np.ones((len(x), 1)), x])
+                x = _filled(_matrix(batch.column(values)), mean)
                 total += x.T @ x
-        yield _numbered_rows(total)
+        if total.any():
+            yield _numbered_rows(total)
 
-    sums = _sum_rows(_few_tasks(arrays.select(values)).mapInArrow(partial, PARTIAL))
-    n, mean = sums[0, 0], sums[0, 1:] / sums[0, 0]
-    variances, vectors = np.linalg.eigh(sums[1:, 1:] / n - np.outer(mean, mean))
+    sums = arrays.select(values).mapInArrow(partial, PARTIAL)
+    gram = _sum_rows(sums) if n else np.zeros((d, d))
+    variances, vectors = np.linalg.eigh(gram / max(n, 1)) if gram.size else (np.zeros(d), np.eye(d))
     order = np.argsort(variances)[::-1][:k]
-    return _as_model(arrays.sparkSession, name, mean, _signed(vectors[:, order]), variances[order])
+    return _as_model(arrays.sparkSession, name, mean, _signed(vectors[:, order]), np.maximum(variances[order], 0.0))
 
 
 def fit_linear_ae_wide(
     arrays: DataFrame, k: int, name: str = "linear", values: str = "vals", event: str = "event_id", stretch: int = 1024
 ) -> LinearModel:
-    """Rank-k model of few, long series, from the event by event matrix.
+    """Rank-k model of series longer than they are many, from the event by event matrix.
 
-    Work is grouped by stretches of ``stretch`` positions; a group has one short array per event,
-    at most ``MAX_SIDE`` of them.
+    Work is grouped by stretches of ``stretch`` positions; a group has one short array per event. ``k`` may
+    exceed the rank, for instance the number of events.
     """
     d = series_length(arrays, values)
-    ids = [r[0] for r in arrays.select(event).orderBy(event).limit(MAX_SIDE + 1).collect()]
-    n = len(ids)
-    if n > MAX_SIDE or len(set(ids)) != n:
-        raise ValueError(f"needs at most {MAX_SIDE} events, each once")
-    _check_rank(k, min(n - 1, d))
+    n, ids = arrays.agg(F.count(event), F.count_distinct(event)).first()
+    if n != ids:
+        raise ValueError("needs each event once")
+    _check_rank(k, d)
     cuts = F.sequence(F.lit(0), F.lit((d - 1) // stretch))
     cut = F.transform(cuts, lambda s: F.slice(values, s * stretch + 1, F.lit(stretch)))
     pieces = arrays.select(event, F.posexplode(cut).alias("stretch", "vals"))
 
     def centred(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         x = _matrix(table.sort_by(event)["vals"])
-        mean = x.mean(axis=0)
-        return x - mean, mean
+        mean = np.nansum(x, axis=0) / np.maximum((~np.isnan(x)).sum(axis=0), 1)
+        return _filled(x, mean), mean
 
     def partial(table: pa.Table) -> pa.Table:
         x, _ = centred(table)
@@ -174,8 +209,11 @@ def fit_linear_ae_wide(
     gram = _sum_rows(pieces.groupBy("stretch").applyInArrow(partial, PARTIAL))
     values_, vectors = np.linalg.eigh(gram)
     order = np.argsort(values_)[::-1][:k]
-    roots = np.sqrt(np.maximum(values_[order], np.finfo(float).tiny))
-    weights = vectors[:, order] / roots
+    variances = np.append(np.maximum(values_[order], 0.0) / n, np.zeros(max(0, k - n)))
+    rank = max(1, _rank(values_[order], max(n, d)))
+    variances[rank:] = 0.0
+    roots = np.sqrt(np.maximum(values_[order[:rank]], np.finfo(float).tiny))
+    weights = vectors[:, order[:rank]] / roots
 
     def loadings_of(table: pa.Table) -> pa.Table:
         x, mean = centred(table)
@@ -190,49 +228,50 @@ def fit_linear_ae_wide(
         solved.select(model, "time_seq", F.posexplode("loadings").alias("c", "loading")).select(
             "model", (F.col("c") + 1).alias("component"), "time_seq", "loading"
         ),
-        _spectrum(arrays.sparkSession, name, values_[order] / n),
+        _spectrum(arrays.sparkSession, name, variances),
     )
 
 
 def fit_linear_ae_subspace(
-    arrays: DataFrame, k: int, name: str = "linear", values: str = "vals", rounds: int = 6, extra: int = 8, seed: int = 23
+    arrays: DataFrame, k: int, name: str = "linear", values: str = "vals", rounds: int | None = None, extra: int = 8,
+    seed: int = 23, tolerance: float = 1e-9,
 ) -> LinearModel:
-    """Rank-k model of many long series by block power iteration (randomised subspace iteration).
+    """Rank-k model by block power iteration (randomised subspace iteration).
 
     Every round reads the rows once and multiplies them by a matrix of ``k + extra`` columns, which
-    is also all that a task emits.
+    is also all that a task emits. Rounds go on until no variance changes by more than ``tolerance`` of
+    the largest, or for exactly ``rounds`` rounds if given.
     """
     spark = arrays.sparkSession
     d = series_length(arrays, values)
     width = min(k + extra, d)
     _check_rank(k, d)
-    if d * width > MAX_MODEL_CELLS:
-        raise ValueError("k is too large for series of this length")
+    mean, n = position_means(arrays, d, values)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, width)))[0]
-    for _ in range(rounds):
+    before, done = np.full(width, np.inf), 0
+    while True:
         shared = spark.sparkContext.broadcast(basis)
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = shared.value
-            total, sums, n = np.zeros((d, width)), np.zeros(d), 0.0
+            q, total = shared.value, np.zeros((d, width))
             for batch in batches:
                 if batch.num_rows:
-                    x = _matrix(batch.column(values))
+                    x = _filled(_matrix(batch.column(values)), mean)
                     total += x.T @ (x @ q)
-                    sums += x.sum(axis=0)
-                    n += len(x)
-            yield _numbered_rows(np.hstack([total, sums[:, None], np.full((d, 1), n)]))
-
-        out = _sum_rows(_few_tasks(arrays.select(values)).mapInArrow(partial, PARTIAL))
-        n = out[0, -1]
-        mean = out[:, -2] / n
-        # covariance times basis, centred after the sums
-        image = out[:, :width] / n - np.outer(mean, mean @ basis)
+            if total.any():
+                yield _numbered_rows(total)
+
+        image = _sum_rows(arrays.select(values).mapInArrow(partial, PARTIAL)) / n
         inner = basis.T @ image
         variances, turn = np.linalg.eigh((inner + inner.T) / 2)
         ritz = basis @ turn[:, ::-1]
+        done += 1
+        settled = np.abs(variances - before)[-k:].max() <= tolerance * max(variances[-1], np.finfo(float).tiny)
+        if done == rounds or (rounds is None and settled):
+            break
+        before = variances
         basis = np.linalg.qr(image)[0]
-    return _as_model(spark, name, mean, _signed(ritz[:, :k]), variances[::-1][:k])
+    return _as_model(spark, name, mean, _signed(ritz[:, :k]), np.maximum(variances[::-1][:k], 0.0))
 
 
 # ---------------------------------------------------------------- saving
@@ -268,14 +307,15 @@ def encode(arrays: DataFrame, model: LinearModel, values: str = "vals") -> DataF
     """Latent table ``event_id, component, z``."""
     small = _small_matrices(model)
     if small is None:
-        return encode_long(_long(arrays, values), model)
+        zs = _latent_blocks(arrays, model, values)[2]
+        return zs.select("event_id", F.posexplode("zs").alias("c", "z")).select("event_id", (F.col("c") + 1).alias("component"), "z")
     shared = arrays.sparkSession.sparkContext.broadcast(small)
 
     def latent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, w = shared.value
         for batch in batches:
             if batch.num_rows:
-                zs = _lists((_matrix(batch.column(values)) - mean) @ w)
+                zs = _lists(_filled(_matrix(batch.column(values)), mean) @ w)
                 yield pa.RecordBatch.from_arrays([batch.column("event_id"), zs], ["event_id", "zs"])
 
     zs = arrays.select("event_id", values).mapInArrow(latent, "event_id long, zs array<double>")
@@ -285,10 +325,12 @@ def encode(arrays: DataFrame, model: LinearModel, values: str = "vals") -> DataF
 
 
 def score_arrays(arrays: DataFrame, model: LinearModel, values: str = "vals") -> DataFrame:
-    """Reconstructions as arrays ``event_num, target, actual, pred``; rows are not shuffled."""
+    """Reconstructions as arrays ``event_num, target, actual, pred``."""
     small = _small_matrices(model)
     if small is None:
-        raise ValueError("model too large to hand to tasks; use score, which joins")
+        parts = F.sort_array(F.collect_list(F.struct("stretch", "actual", "pred")))
+        rows = _score_blocks(arrays, model, values).groupBy("event_num", "target").agg(parts.alias("p"))
+        return rows.select("event_num", "target", F.flatten("p.actual").alias("actual"), F.flatten("p.pred").alias("pred"))
     return _rebuild(arrays, small, values)
 
 
@@ -302,7 +344,7 @@ def _rebuild(
         mean, w = shared.value
         for batch in batches:
             if batch.num_rows:
-                centred = _matrix(batch.column("actual")) - mean
+                centred = _filled(_matrix(batch.column("actual")), mean)
                 for k in ranks or [w.shape[1]]:
                     pred = _lists(centred @ w[:, :k] @ w[:, :k].T + mean)
                     dims = pa.array(np.full(batch.num_rows, k, dtype="int32"))
@@ -326,48 +368,79 @@ def score(arrays: DataFrame, model: LinearModel, values: str = "vals") -> DataFr
     """Predictions ``event_num, target, time_seq, actual, pred``, one row per sample."""
     small = _small_matrices(model)
     if small is None:
-        return score_long(_long(arrays, values), model)
+        at = F.col("stretch") * STRETCH + F.col("pos") + 1
+        rows = _score_blocks(arrays, model, values).select("event_num", "target", "stretch", F.posexplode(F.arrays_zip("actual", "pred")).alias("pos", "s"))
+        return rows.select("event_num", "target", at.cast("int").alias("time_seq"), F.col("s.actual").alias("actual"), F.col("s.pred").alias("pred"))
     return predictions_long(_rebuild(arrays, small, values))
 
 
-def _long(arrays: DataFrame, values: str) -> DataFrame:
-    others = [c for c in arrays.columns if c != values]
-    return arrays.select(*others, F.posexplode(values).alias("pos", "strain")).select(
-        *others, (F.col("pos") + 1).alias("time_seq"), "strain"
+def _pieces(arrays: DataFrame, values: str, groups: int) -> DataFrame:
+    """``event_id, target, grp, stretch, x``: series cut into stretches, events dealt into groups."""
+    target = F.col("target") if "target" in arrays.columns else F.lit(None).cast("string")
+    cuts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STRETCH).cast("int"))
+    cut = F.transform(cuts, lambda s: F.slice(values, s * STRETCH + 1, F.lit(STRETCH)))
+    return arrays.select(
+        "event_id", target.alias("target"), F.pmod(F.xxhash64("event_id"), F.lit(groups)).cast("int").alias("grp"),
+        F.posexplode(cut).alias("stretch", "x"),
     )
 
 
-def encode_long(rows: DataFrame, model: LinearModel) -> DataFrame:
-    """Latent table by joins, for loading tables of any size."""
-    centred = rows.join(model.means, "time_seq").select(
-        "event_id", "time_seq", (F.col("strain") - F.col("mean")).alias("x")
-    )
-    return (
-        centred.join(model.loadings, "time_seq")
-        .groupBy("event_id", "component")
-        .agg(F.sum(F.col("x") * F.col("loading")).alias("z"))
-    )
+def _model_blocks(model: LinearModel, groups: int) -> DataFrame:
+    """``grp, stretch, time_seq, mean, ws``: rows of the loading matrix, a copy for each group of events."""
+    rows = model.loadings.groupBy("time_seq").agg(F.sort_array(F.collect_list(F.struct("component", "loading"))).alias("l"))
+    rows = model.means.join(rows, "time_seq", "left").select("time_seq", "mean", F.col("l.loading").alias("ws"))
+    stretch = F.floor((F.col("time_seq") - 1) / STRETCH).cast("int")
+    return rows.select(stretch.alias("stretch"), "time_seq", "mean", "ws", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
 
 
-def score_long(rows: DataFrame, model: LinearModel) -> DataFrame:
-    """Predictions by joins, for loading tables of any size."""
-    rebuilt = (
-        encode_long(rows, model)
-        .join(model.loadings, "component")
-        .groupBy("event_id", "time_seq")
-        .agg(F.sum(F.col("z") * F.col("loading")).alias("part"))
-    )
-    return (
-        rows.join(rebuilt, ["event_id", "time_seq"])
-        .join(model.means, "time_seq")
-        .select(
-            F.col("event_id").alias("event_num"),
-            "target",
-            "time_seq",
-            F.col("strain").alias("actual"),
-            (F.col("part") + F.col("mean")).alias("pred"),
-        )
-    )
+def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    table = table.sort_by("time_seq")
+    return table["mean"].to_numpy(), _matrix(table["ws"])
+
+
+def _latent_blocks(arrays: DataFrame, model: LinearModel, values: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pieces, model blocks, and ``event_id, zs`` summed over stretches: one matrix product per group and stretch."""
+    groups = max(1, -(-arrays.count() // EVENT_GROUP))
+    pieces, blocks = _pieces(arrays, values, groups), _model_blocks(model, groups)
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return pa.table({"event_id": pa.array([], pa.int64()), "zs": pa.array([], pa.list_(pa.float64()))})
+        mean, w = _block(right)
+        return pa.table({"event_id": left["event_id"], "zs": _lists(_filled(_matrix(left["x"]), mean) @ w)})
+
+    keys = ["grp", "stretch"]
+    parts = pieces.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(product, "event_id long, zs array<double>")
+
+    def add(a, b):
+        return F.zip_with(a, b, lambda x, y: x + y)
+
+    all_ = F.collect_list("zs")  # one short array per stretch
+    zs = parts.groupBy("event_id").agg(F.reduce(F.slice(all_, 2, F.greatest(F.size(all_) - 1, F.lit(0))), F.get(all_, F.lit(0)), add).alias("zs"))
+    return pieces, blocks, zs
+
+
+def _score_blocks(arrays: DataFrame, model: LinearModel, values: str) -> DataFrame:
+    """``event_num, target, stretch, actual, pred``: a row per event and stretch."""
+    pieces, blocks, zs = _latent_blocks(arrays, model, values)
+    rows = pieces.join(zs, "event_id")
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return SCORED.empty_table()
+        mean, w = _block(right)
+        pred = _lists(_matrix(left["zs"]) @ w.T + mean)
+        columns = {"event_num": left["event_id"], "target": left["target"], "stretch": left["stretch"], "actual": left["x"], "pred": pred}
+        return pa.table(columns).cast(SCORED)
+
+    keys = ["grp", "stretch"]
+    schema = "event_num long, target string, stretch int, actual array<double>, pred array<double>"
+    return rows.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(product, schema)
+
+
+SCORED = pa.schema(
+    [("event_num", pa.int64()), ("target", pa.string()), ("stretch", pa.int32()), ("actual", pa.list_(pa.float64())), ("pred", pa.list_(pa.float64()))]
+)
 
 
 # ---------------------------------------------------------------- block means
@@ -444,5 +517,5 @@ def sweep_linear(arrays: DataFrame, background: DataFrame, ks: Sequence[int]) ->
     for k in ks:
         keep = F.col("component") <= k
         model = LinearModel(largest.means, largest.loadings.filter(keep), largest.spectrum.filter(keep))
-        parts.append(score_long(_long(arrays, "vals"), model).withColumn("latent_dims", F.lit(k)))
+        parts.append(score(arrays, model).withColumn("latent_dims", F.lit(k)))
     return stack([p.select("event_num", "target", "latent_dims", "time_seq", "actual", "pred") for p in parts])

@@ -221,3 +221,54 @@ def test_step_model_is_least_squares(spark):
     df = spark.createDataFrame(rows, "split string, prev_size double, prev_sec_sin double, prev_sec_cos double, label double")
     want = np.linalg.lstsq(np.c_[np.ones(500), x], y, rcond=None)[0]
     assert np.allclose(forecast.fit_step_model(df), want)
+
+
+# ---------------------------------------------------------------- shapes and precision of linear models
+
+
+def orthonormal(model, d):
+    rows = model.loadings.collect()
+    k = max(r.component for r in rows)
+    w = np.zeros((d, k))
+    for r in rows:
+        w[r.time_seq - 1, r.component - 1] = r.loading
+    return np.allclose(w.T @ w, np.eye(k), atol=1e-8)
+
+
+def framed(spark, data):
+    return spark.createDataFrame([(i, "background", [None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(data)], "event_id long, target string, vals array<double>")
+
+
+def test_more_latents_than_events(spark):
+    data = np.random.default_rng(8).normal(size=(6, 40))
+    model = lm.fit_linear_ae_wide(framed(spark, data), 20, stretch=16)
+    assert np.allclose(matrix(lm.score_arrays(framed(spark, data), model)), data) and orthonormal(model, 40)
+    spectrum = [r.variance for r in model.spectrum.orderBy("component").collect()]
+    assert len(spectrum) == 20 and spectrum[5:] == [0.0] * 15 and min(spectrum[:5]) > 0
+
+
+def test_repeated_events(spark):
+    data = np.repeat(np.random.default_rng(9).normal(size=(4, 30)), 5, axis=0)
+    for fit in (lm.fit_linear_ae, lm.fit_linear_ae_wide):
+        model = fit(framed(spark, data), 10)
+        assert orthonormal(model, 30) and np.allclose(matrix(lm.score_arrays(framed(spark, data), model)), data)
+
+
+@pytest.mark.parametrize("fit", [lm.fit_linear_ae, lm.fit_linear_ae_wide, lm.fit_linear_ae_subspace])
+def test_far_from_zero(spark, fit):
+    data = np.random.default_rng(10).normal(size=(300, 8)) + 1e8
+    got = [r.variance for r in fit(framed(spark, data), 3).spectrum.orderBy("component").collect()]
+    want = np.linalg.svd(data - data.mean(axis=0), compute_uv=False)[:3] ** 2 / 300
+    assert np.allclose(got, want, rtol=1e-5)
+
+
+def test_missing_samples_count_as_the_mean(spark):
+    data = np.random.default_rng(11).normal(size=(50, 6))
+    holed = data.copy()
+    holed[3, 2] = holed[7, 5] = np.nan
+    means = np.nanmean(holed, axis=0)
+    filled = np.where(np.isnan(holed), means, holed)
+    centred = filled - means
+    v = np.linalg.svd(centred, full_matrices=False)[2][:2].T
+    model = lm.fit_linear_ae(framed(spark, holed), 2)
+    assert np.allclose(matrix(lm.score_arrays(framed(spark, holed), model)), centred @ v @ v.T + means)
