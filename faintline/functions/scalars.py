@@ -31,11 +31,12 @@ def class_code(target: Column) -> Column:
 
 
 def band_code(error: Column, low: float, high: float) -> Column:
-    return F.when(error.between(low, high), 1).otherwise(0)
+    return F.when(error.between(low, high), 1).when(error.isNotNull(), 0)
 
 
 def outcome(actual_code: Column, pred_code: Column) -> Column:
-    """tn, tp, fp or fn: whether the prediction is true, then what was predicted."""
-    return F.concat(
+    """tn, tp, fp or fn: whether the prediction is true, then what was predicted; null without a prediction."""
+    letters = F.concat(
         F.when(actual_code == pred_code, "t").otherwise("f"), F.when(pred_code == 1, "p").otherwise("n")
     )
+    return F.when(pred_code.isNotNull(), letters)

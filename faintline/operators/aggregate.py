@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -126,8 +127,13 @@ def pivot_events(
     df: DataFrame, positions: Sequence[int], event: str = "event_id", position: str = "time_seq", value: str = "strain",
     prefix: str = "t_",
 ) -> DataFrame:
-    """One row per event and one column per listed position; duplicates add up, gaps stay null."""
-    wide = df.groupBy(event).pivot(position, list(positions)).sum(value)
+    """One row per event and one column per listed position; duplicates add up, gaps stay null.
+
+    A sample at a position that is not listed is an error, raised while the job runs.
+    """
+    listed = F.col(position).isin(list(positions))
+    checked = F.when(listed, F.col(position)).otherwise(F.raise_error(F.lit("position not listed")).cast(df.schema[position].dataType))
+    wide = df.withColumn(position, checked).groupBy(event).pivot(position, list(positions)).sum(value)
     return wide.toDF(event, *[f"{prefix}{p}" for p in positions])
 
 
@@ -144,16 +150,17 @@ def to_arrays(
     keys: Sequence[str] = ("event_id",),
     position: str = "time_seq",
     value: str = "strain",
-    chunk: int = 32_768,
+    chunk: int | None = None,
 ) -> DataFrame:
-    """Long rows to one array per event and chunk of ``chunk`` positions, in position order.
+    """Long rows to one array per event, in position order; repeated positions are summed first.
 
-    Repeated positions are summed first, so an array never has more than ``chunk`` elements; an
-    event within one chunk gives one row.
+    With ``chunk`` an event gives one row per ``chunk`` positions instead, numbered in the column ``chunk``.
     """
     keys = list(keys)
     cells = df.groupBy(*keys, position).agg(F.sum(value).alias(value))
     ordered = F.array_sort(F.collect_list(F.struct(position, value)))
+    if chunk is None:
+        return cells.groupBy(*keys).agg(ordered.alias("__cells")).select(*keys, F.col(f"__cells.{value}").alias("vals"))
     return (
         cells.groupBy(*keys, F.floor((F.col(position) - 1) / chunk).cast("int").alias("chunk"))
         .agg(ordered.alias("__cells"))
@@ -197,24 +204,29 @@ def kde(df: DataFrame, col: str, by: str, points: int = 64, cells: int = 1024) -
 
     Values are first counted into ``cells`` even cells (one partial aggregation over the data, the
     only pass that grows with it); the kernel is evaluated on cell centres. Bandwidth follows the
-    usual rule 0.9 min(sd, IQR / 1.34) n^(-1/5), with exact quartiles.
+    usual rule 0.9 min(sd, IQR / 1.34) n^(-1/5), with exact quartiles; where that is 0 the standard
+    deviation, then the size of the values, then 1 takes the minimum's place. Groups of one value have no
+    density and are left out, as plots leave them out.
     """
     values = df.select(by, F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
     quartiles = exact_quantiles(values, [by], "x", [0.25, 0.75]).groupBy(by).agg(
         (F.max("value") - F.min("value")).alias("iqr")
     )
-    every = Window.partitionBy()  # over the groups' statistics, one row per group
+    ends = values.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")))
+
+    def positive(c):
+        return F.when(c > 0, c)
+
+    spread = F.coalesce(
+        positive(F.least(F.col("sd"), F.col("iqr") / IQR_SIGMAS)), positive(F.col("sd")), positive(F.abs("first")), F.lit(1.0)
+    )
     stats = (
         values.groupBy(by)
-        .agg(F.stddev_samp("x").alias("sd"), F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        .agg(F.stddev_samp("x").alias("sd"), F.count("x").alias("n"), F.min("x").alias("first"))
+        .filter("n > 1")
         .transform(match_keys, quartiles, [by])
-        .select(
-            by,
-            "n",
-            (0.9 * F.least(F.col("sd"), F.col("iqr") / IQR_SIGMAS) * F.pow("n", F.lit(-0.2))).alias("h"),
-            F.min("lo").over(every).alias("lo"),
-            F.max("hi").over(every).alias("hi"),
-        )
+        .select(by, "n", (0.9 * spread * F.pow("n", F.lit(-0.2))).alias("h"), ends.scalar().alias("__ends"))
+        .select(by, "n", "h", "__ends.lo", "__ends.hi")
     )
     share = F.coalesce(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
     counts = (
@@ -224,12 +236,12 @@ def kde(df: DataFrame, col: str, by: str, points: int = 64, cells: int = 1024) -
     )
     step = (F.col("hi") - F.col("lo")) / (points - 1)
     centre = F.col("lo") + (F.col("cell") + 0.5) * (F.col("hi") - F.col("lo")) / cells
-    u = (F.col("lo") + F.col("g") * step - centre) / F.col("h")
+    u = (F.col("lo") + F.col("__g") * step - centre) / F.col("h")
     return (
-        counts.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .groupBy(by, "g", "n", "h", (F.col("lo") + F.col("g") * step).alias("x"))
+        counts.withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        .groupBy(by, "__g", "n", "h", (F.col("lo") + F.col("__g") * step).alias("x"))
         .agg(F.sum(F.col("c") * F.exp(-u * u / 2)).alias("k"))
-        .select(by, F.col("g").alias("grid"), "x", (F.col("k") / (F.col("n") * F.col("h") * 2.5066282746310002)).alias("density"))
+        .select(by, F.col("__g").alias("grid"), "x", (F.col("k") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
     )
 
 

@@ -23,10 +23,14 @@ def event_errors(preds: DataFrame, keys: Sequence[str] = EVENT) -> DataFrame:
 
 
 def event_errors_arrays(preds: DataFrame) -> DataFrame:
-    """The same from array rows (``actual``, ``pred``): computed inside each row, no shuffle."""
-    squares = F.zip_with("actual", "pred", lambda a, p: (a - p) * (a - p))
-    total = F.aggregate(squares, F.lit(0.0), lambda acc, e: acc + e)
-    return preds.select(*EVENT, (total / F.size("actual")).alias("mean_mse"), total.alias("sum_mse"))
+    """The same from array rows (``actual``, ``pred``): computed inside each row, no shuffle.
+
+    Like the long form it skips missing samples; an event without any has null errors.
+    """
+    squares = F.filter(F.zip_with("actual", "pred", lambda a, p: (a - p) * (a - p)), lambda e: e.isNotNull())
+    rows = preds.select(*EVENT, squares.alias("squares"))
+    total = F.when(F.size("squares") > 0, F.aggregate("squares", F.lit(0.0), lambda acc, e: acc + e))
+    return rows.select(*EVENT, F.try_divide(total, F.size("squares")).alias("mean_mse"), total.alias("sum_mse"))
 
 
 def event_median_error(preds: DataFrame, keys: Sequence[str] = EVENT) -> DataFrame:
@@ -62,7 +66,7 @@ def shift_by_class(df: DataFrame, col: str, offsets: Mapping[str, float] | None
 
 
 def classify(errors: DataFrame, low: float = ERROR_BAND[0], high: float = ERROR_BAND[1], error: str = "mean_mse") -> DataFrame:
-    """1 where the error lies in the closed band, else 0; and the class as a code."""
+    """1 where the error lies in the closed band, else 0, null where there is no error; and the class as a code."""
     return errors.withColumns(
         {"target_binary": class_code(F.col("target")), "pred_binary": band_code(F.col(error), low, high)}
     )

@@ -44,8 +44,13 @@ class EventSeries:
         self.rows: DataFrame | None = None
         self.splits: DataFrame | None = None
 
-    def load(self, low: int, high: int) -> EventSeries:
-        self.rows = self._rows.filter(F.col("event_id").between(low, high))
+    def load(self, low: int | None = None, high: int | None = None) -> EventSeries:
+        """Events from ``low`` to ``high``, both included; without a bound, all on that side."""
+        self.rows = self._rows
+        if low is not None:
+            self.rows = self.rows.filter(F.col("event_id") >= low)
+        if high is not None:
+            self.rows = self.rows.filter(F.col("event_id") <= high)
         return self
 
     def split(self, frac: float = 0.1, seed: int = 23) -> EventSeries:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faintline.functions.times import periodic_features
-from faintline.operators.blocks import block_width, previous_row, row_index
+from faintline.operators.blocks import block_width, match_keys, previous_row, row_index
 from faintline.operators.prep import chronological_split, standardise
 from faintline.operators.series import WindowSpec
 from faintline.session import settle
@@ -150,7 +150,7 @@ def forecast_residuals(
     counted = row_index(rows, keys, order, "idx", width=width, total="n")
     indexed = settle(counted.withColumn("n_train", F.floor(F.col("n") * F.lit(share))).drop("n"), "indexed")
     fit = fit_ar1(indexed.filter("idx <= n_train"), keys, order, value, width)
-    ahead = indexed.filter("idx > n_train").join(fit, keys)
+    ahead = match_keys(indexed.filter("idx > n_train"), fit, keys)
     pred = ar1_step(F.col("idx") - F.col("n_train"))
     return ahead.select(*keys, "idx", F.col(value).alias("actual"), pred.alias("pred")).withColumn(
         "residual", F.col("actual") - F.col("pred")

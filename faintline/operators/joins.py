@@ -38,7 +38,8 @@ def left_join_selected(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     part can; left rows without a match are added with nulls.
     """
     matched = left.join(right, on, "inner")
-    unmatched = left.join(right.select(on), on, "left_anti")
+    # the keys that found a row, no more than the short side has
+    unmatched = left.join(matched.select(on).distinct(), on, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
 

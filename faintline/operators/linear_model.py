@@ -454,17 +454,20 @@ def _check_block(length: int, block: int) -> None:
 def block_mean_array(values: str, block: int) -> Column:
     """An array with every block of ``block`` elements replaced by its mean.
 
-    The block must divide the array's length; other lengths raise while the job runs.
+    The block must divide the array's length; other lengths raise while the job runs. Missing samples
+    are skipped, as in the long form; a block of them only has a null mean. An empty array stays empty.
     """
     n_blocks = (F.size(values) / block).cast("int")
     checked = F.when(F.size(values) % block != 0, F.raise_error(F.lit(f"block {block} does not divide the series"))).otherwise(n_blocks)
 
     def mean_of(b):
         part = F.slice(values, b * block + 1, F.lit(block))
-        return F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x) / block
+        found = F.filter(part, lambda x: x.isNotNull())
+        return F.try_divide(F.aggregate(found, F.lit(0.0), lambda acc, x: acc + x), F.size(found))
 
     latent = F.transform(F.sequence(F.lit(0), checked - 1), mean_of)
-    return F.flatten(F.transform(latent, lambda m: F.array_repeat(m, block)))
+    repeated = F.flatten(F.transform(latent, lambda m: F.array_repeat(m, block)))
+    return F.when(F.size(values) == 0, F.array().cast("array<double>")).otherwise(repeated)
 
 
 def block_mean_arrays(arrays: DataFrame, block: int, values: str = "vals") -> DataFrame:

@@ -78,11 +78,12 @@ def standardise(
 def min_max(
     df: DataFrame, fit: DataFrame, position: str = "time_seq", value: str = "strain", name: str = "scaled"
 ) -> DataFrame:
-    """Scale each position to the range it has in ``fit``: not clipped, 0 where the range is empty.
+    """Scale each position to the range it has in ``fit``: not clipped, 0 where the range is empty, null where
+    ``fit`` has no such position.
 
     The statistics have one row per position of a series, so Spark broadcasts them when they fit.
     """
     ranges = position_range(fit, position, value)
     spread = F.col("hi") - F.col("lo")
     scaled = (F.col(value) - F.col("lo")) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)
-    return df.join(ranges, position).withColumn(name, scaled).drop("lo", "hi")
+    return df.join(ranges, position, "left").withColumn(name, scaled).drop("lo", "hi")

@@ -125,7 +125,7 @@ def pivoted_unique(spark, sf_dir):
 
 
 def arrays(spark, sf_dir):
-    rows = agg.to_arrays(src.strain_long(spark, sf_dir), ["event_id", "target"])
+    rows = agg.to_arrays(src.strain_long(spark, sf_dir), ["event_id", "target"], chunk=src.SAMPLES)
     return rows.select("event_id", "target", "chunk", F.posexplode("vals").alias("pos", "strain"))
 
 

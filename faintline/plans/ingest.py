@@ -57,7 +57,7 @@ def array_files(spark, sf_dir):
 
 def table_scan(spark, sf_dir):
     tables.register(src.strain_long(spark, sf_dir), "background_rows")
-    return tables.read_table(spark, "SELECT event_id, time_seq, strain FROM background_rows WHERE event_id BETWEEN 0 AND 1500")
+    return tables.read_table(spark, "SELECT event_id, time_seq, strain FROM background_rows")
 
 
 def append_declared(spark, sf_dir):
@@ -121,7 +121,7 @@ def local_rows(spark, sf_dir):
 
 def client_result(spark, sf_dir):
     counted = src.timeseries(spark, sf_dir).groupBy("observatory").agg(F.count("size").alias("n"), F.max("size").alias("largest"))
-    local: pd.DataFrame = tables.to_client(counted)
+    local: pd.DataFrame = tables.to_client(counted, 1000)
     return spark.createDataFrame(local, counted.schema)
 
 
@@ -129,7 +129,7 @@ def load_twice(spark, sf_dir):
     name = f"{new_database(spark)}.timeseries"
     df = src.timeseries(spark, sf_dir)
     for _ in range(2):
-        tables.load_new(df, name, "id", partition_by=["observatory"])
+        tables.load_new(df, name, ["id", "observatory", "capture_dttm"], partition_by=["observatory"])
     return spark.table(name).select("id", "observatory", "size", "capture_dttm")
 
 
@@ -144,14 +144,18 @@ def valid_records(spark, sf_dir):
 
 
 def schema_rows(spark, sf_dir):
-    return tables.describe_schema(src.timeseries(spark, sf_dir))
+    return tables.describe_columns(src.features(spark, sf_dir))
 
 
 def database_description(spark, sf_dir):
+    """The database's description with the number of its tables and of their rows."""
     name = new_database(spark, "Catalog of events and their series")
     tables.create(src.event_ids(spark, sf_dir), f"{name}.event_ids")
+    tables.create(src.features(spark, sf_dir), f"{name}.features")
     tables.set_database_description(spark, name, "Catalog of events, their series and masses")
-    return tables.describe_database(spark, name)
+    told = {r.info_name: r.info_value for r in tables.describe_database(spark, name).collect()}
+    stored = tables.describe_tables(spark, name)
+    return stored.agg(F.count("name").alias("n_tables"), F.sum("n_rows").alias("n_rows")).withColumn("description", F.lit(told["Comment"]))
 
 
 def table_list(spark, sf_dir):
@@ -160,7 +164,7 @@ def table_list(spark, sf_dir):
     tables.create(src.timeseries(spark, sf_dir), f"{name}.timeseries")
     tables.set_table_description(spark, f"{name}.features", "One row per event version.\nIt's the catalog.")
     tables.set_table_description(spark, f"{name}.timeseries", "Raw samples, one row per time step.")
-    return tables.list_tables(spark, name)
+    return tables.describe_tables(spark, name)
 
 
 def model_tables(spark, sf_dir):
@@ -172,6 +176,13 @@ def model_tables(spark, sf_dir):
     )
 
 
+def model_means(spark, sf_dir):
+    """What a saved and loaded model has learned of every position."""
+    path = shared_folder(spark, "model")
+    save_model(fit_linear_ae(src.strain_arrays(spark, sf_dir).filter("target = 'background'"), 8), path)
+    return load_model(spark, path).means.select("time_seq", F.round("mean", 6).alias("mean"))
+
+
 QUERIES = {
     "A01_read_csv": (csv_rows, sql("SELECT * FROM features", "features")),
     "A02_write_csv": (
@@ -192,7 +203,7 @@ QUERIES = {
     ),
     "A04_read_table": (
         table_scan,
-        sql("SELECT event_id, time_seq, strain FROM strain WHERE event_id BETWEEN 0 AND 1500", "strain"),
+        sql("SELECT event_id, time_seq, strain FROM strain", "strain"),
     ),
     "A05_append_declared_schema": (append_declared, sql("SELECT * FROM timeseries", "timeseries")),
     "A06_append_own_schema": (append_undeclared, sql("SELECT * FROM strain", "strain")),
@@ -230,8 +241,40 @@ QUERIES = {
             "event_names",
         ),
     ),
-    "A16_describe_schema": (schema_rows, None),
-    "A17_describe_database": (database_description, None),
-    "A18_list_tables": (table_list, None),
+    "A16_describe_schema": (
+        schema_rows,
+        sql(
+            " UNION ALL ".join(
+                f"SELECT count(*) AS rows, '{c}' AS col_name, '{kind}' AS data_type, count({c}) AS non_null FROM features"
+                for c, kind in (
+                    ("commonName", "string"), ("version", "int"), ("mass_1_source", "double"), ("mass_2_source", "double"),
+                    ("final_mass_source", "double"), ("merger_datetime", "timestamp_ntz"),
+                )
+            ),
+            "features",
+        ),
+    ),
+    "A17_describe_database": (
+        database_description,
+        sql(
+            """SELECT CAST(2 AS BIGINT) AS n_tables, (SELECT count(*) FROM event_ids) + (SELECT count(*) FROM features) AS n_rows,
+                      'Catalog of events, their series and masses' AS description""",
+            "event_ids",
+            "features",
+        ),
+    ),
+    "A18_list_tables": (
+        table_list,
+        sql(
+            """SELECT 'features' AS name, 'One row per event version.' || chr(10) || 'It''s the catalog.' AS description, count(*) AS n_rows FROM features
+               UNION ALL SELECT 'timeseries', 'Raw samples, one row per time step.', count(*) FROM timeseries""",
+            "features",
+            "timeseries",
+        ),
+    ),
     "A19_model_tables": (model_tables, None),
+    "A19_model_means": (
+        model_means,
+        sql("SELECT time_seq, round(avg(strain), 6) AS mean FROM strain WHERE target = 'background' GROUP BY 1", "strain"),
+    ),
 }

@@ -77,6 +77,41 @@ def scored(spark, sf_dir):
     return preds.select("event_num", "target", "time_seq", *r6("actual", "pred"))
 
 
+def fitted_variance(spark, sf_dir):
+    """Of a model with as many components as samples: their number, their variances' sum, and how far they are from orthonormal."""
+    model = background_model(spark, sf_dir, src.SAMPLES)
+    left = model.loadings.select("component", "time_seq", "loading")
+    right = left.select(F.col("component").alias("other"), "time_seq", F.col("loading").alias("w"))
+    products = left.join(right, "time_seq").groupBy("component", "other").agg(F.sum(F.col("loading") * F.col("w")).alias("p"))
+    off = products.agg(F.max(F.abs(F.col("p") - F.when(F.col("component") == F.col("other"), 1.0).otherwise(0.0))).alias("off"))
+    total = model.spectrum.agg(F.count("component").alias("n_components"), F.round(F.sum("variance"), 8).alias("variance"))
+    return total.withColumn("off", F.round(off.select("off").scalar(), 6) + F.lit(0.0))
+
+
+def latent_norms(spark, sf_dir):
+    """Squared length of every event's latent vector when there are as many components as samples."""
+    z = linear_model.encode(src.strain_arrays(spark, sf_dir), background_model(spark, sf_dir, src.SAMPLES))
+    return z.groupBy("event_id").agg(F.round(F.sum(F.col("z") * F.col("z")), 6).alias("squares"))
+
+
+def scored_whole(spark, sf_dir):
+    """Reconstructions from as many components as samples, which lose nothing."""
+    preds = linear_model.score(src.strain_arrays(spark, sf_dir), background_model(spark, sf_dir, src.SAMPLES))
+    return preds.select("event_num", "target", "time_seq", *r6("actual", "pred"))
+
+
+def loss_bounds(spark, sf_dir):
+    """Loss at rank 8 between that of all components and that of the mean alone; both ends beside it."""
+    arrays = src.strain_arrays(spark, sf_dir)
+    preds = linear_model.sweep_linear(arrays, arrays.filter("target = 'background'"), (8, src.SAMPLES))
+    loss = linear_model.sweep_loss(preds)
+    means = background_model(spark, sf_dir).means.select("time_seq", "mean")
+    alone = src.strain_long(spark, sf_dir).join(means, "time_seq").agg(F.avg(F.pow(F.col("strain") - F.col("mean"), F.lit(2))).alias("none"))
+    at = loss.groupBy().agg(F.max(F.when(F.col("k") == 8, F.col("loss"))).alias("some"), F.max(F.when(F.col("k") == src.SAMPLES, F.col("loss"))).alias("whole"))
+    both = at.withColumn("none", alone.scalar())
+    return both.select(F.round("none", 8).alias("mean_only"), F.round("whole", 8).alias("whole"), ((F.col("some") < F.col("none")) & (F.col("some") > F.col("whole"))).alias("between"))
+
+
 def block_means(spark, sf_dir):
     preds = linear_model.block_mean_long(src.strain_long(spark, sf_dir), 8)
     return preds.select("event_num", "target", "time_seq", *r6("actual", "pred"))
@@ -168,7 +203,7 @@ def per_event(spark, sf_dir):
 
 
 def facade(spark, sf_dir):
-    rows = EventSeries(src.strain_long(spark, sf_dir)).load(0, 100_000_000).split(0.1).arrays("test")
+    rows = EventSeries(src.strain_long(spark, sf_dir)).load().split(0.1).arrays("test")
     return rows.select("event_id", F.size("vals").alias("n"), F.element_at("vals", 1).alias("first_value"), F.element_at("vals", -1).alias("last_value"))
 
 
@@ -333,8 +368,31 @@ QUERIES = {
         ),
     ),
     "H07_fit_linear_model": (fitted, None),
+    "H07_fit_variance": (
+        fitted_variance,
+        sql(
+            """SELECT count(*) AS n_components, round(sum(v), 8) AS variance, CAST(0 AS DOUBLE) AS off
+               FROM (SELECT var_pop(strain) AS v FROM strain WHERE target = 'background' GROUP BY time_seq)""",
+            "strain",
+        ),
+    ),
     "H08_encode": (latent, None),
+    "H08_latent_norms": (
+        latent_norms,
+        sql(
+            """SELECT s.event_id, round(sum(pow(s.strain - m.mean, 2)), 6) AS squares FROM strain s
+               JOIN (SELECT time_seq, avg(strain) AS mean FROM strain WHERE target = 'background' GROUP BY 1) m ON s.time_seq = m.time_seq
+               GROUP BY 1""",
+            "strain",
+        ),
+    ),
     "H09_score": (scored, None),
+    "H09_score_whole": (
+        scored_whole,
+        sql(
+            "SELECT event_id AS event_num, target, time_seq, round(strain, 6) AS actual, round(strain, 6) AS pred FROM strain", "strain"
+        ),
+    ),
     "H10_block_mean": (
         block_means,
         sql("SELECT event_num, target, time_seq, round(actual, 6) AS actual, round(pred, 6) AS pred FROM xprime8", "xprime8"),
@@ -352,6 +410,14 @@ QUERIES = {
         sql("SELECT latent_dims AS k, round(avg(pow(actual - pred, 2)), 8) AS loss FROM sweep GROUP BY 1", "sweep"),
     ),
     "H11_sweep_loss_linear": (linear_loss_table, None),
+    "H11_loss_bounds": (
+        loss_bounds,
+        sql(
+            """SELECT round(avg(pow(s.strain - m.mean, 2)), 8) AS mean_only, CAST(0 AS DOUBLE) AS whole, true AS between FROM strain s
+               JOIN (SELECT time_seq, avg(strain) AS mean FROM strain WHERE target = 'background' GROUP BY 1) m ON s.time_seq = m.time_seq""",
+            "strain",
+        ),
+    ),
     "H12_classify": (flagged, FLAGGED_SQL),
     "H13_shift_by_class": (
         shifted,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -48,23 +49,28 @@ def from_rows(spark: SparkSession, rows: Sequence[tuple], schema: str | T.Struct
     return spark.createDataFrame(rows, schema)
 
 
-def to_client(df: DataFrame, max_rows: int = 100_000) -> pd.DataFrame:
-    """An aggregated result as a local frame; larger results are refused, not cut."""
+def to_client(df: DataFrame, max_rows: int) -> pd.DataFrame:
+    """An aggregated result as a local frame; results of more than ``max_rows`` rows are refused, not cut."""
     local = df.limit(max_rows + 1).toPandas()
     if len(local) > max_rows:
         raise ValueError(f"more than {max_rows} rows: write them to a table")
     return local
 
 
-def load_new(df: DataFrame, name: str, key: str, partition_by: Sequence[str] = ()) -> None:
-    """Append the records whose key is not in the table yet, in one job; a rerun adds nothing.
+def load_new(df: DataFrame, name: str, key: str | Sequence[str] | None = None, partition_by: Sequence[str] = ()) -> None:
+    """Append the records that are not in the table yet, in one job; a rerun adds nothing.
 
-    ``rebalance`` evens out the written files and splits a key that holds many rows.
+    A record is known by ``key``, by default all its columns, so that a series that was loaded in part is
+    completed. Null keys match each other. ``rebalance`` evens out the written files and splits a key
+    that holds many rows.
     """
     spark = df.sparkSession
     fresh = df
     if spark.catalog.tableExists(name):
-        fresh = df.join(spark.table(name).select(key).distinct(), key, "left_anti").select(*df.columns)
+        keys = [key] if isinstance(key, str) else list(key or df.columns)
+        there = spark.table(name).select(*[F.col(k).alias(f"__there_{k}") for k in keys]).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"__there_{k}")) for k in keys]
+        fresh = df.join(there, same, "left_anti").select(*df.columns)
     writer = fresh.hint("rebalance", *partition_by).write.mode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -77,6 +83,33 @@ def describe_schema(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "col_name string, data_type string, nullable boolean")
 
 
+def describe_columns(df: DataFrame) -> DataFrame:
+    """``col_name, data_type, non_null, rows`` of every column, from one aggregation."""
+    counts = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.array(
+            *[
+                F.struct(F.lit(f.name).alias("col_name"), F.lit(f.dataType.simpleString()).alias("data_type"), F.count(f.name).alias("non_null"))
+                for f in df.schema.fields
+            ]
+        ).alias("columns"),
+    )
+    return counts.select("rows", F.inline("columns"))
+
+
+def describe_tables(spark: SparkSession, database: str) -> DataFrame:
+    """``name, description, n_rows`` of every stored table of a database."""
+    stored = [t for t in spark.catalog.listTables(database) if not t.isTemporary]
+    counts = [
+        spark.table(f"{database}.{t.name}").agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(t.name).alias("name"), F.lit(table_description(spark, f"{database}.{t.name}")).cast("string").alias("description"), "n_rows"
+        )
+        for t in stored
+    ]
+    empty = spark.createDataFrame([], "name string, description string, n_rows long")
+    return reduce(DataFrame.unionAll, counts, empty)
+
+
 def _quoted(text: str) -> str:
     return text.replace("\\", "\\\\").replace("'", "\\'")
 

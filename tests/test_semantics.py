@@ -271,3 +271,53 @@ def test_dates(spark):
     df = spark.createDataFrame([(ts("2019-07-01 10:00:00"), 1.0), (ts("2019-07-01 20:00:00"), 2.0)], "d timestamp_ntz, m double")
     bars = df.groupBy(F.to_date("d").alias("day")).agg(F.sum("m").alias("m")).collect()
     assert [(r.day, r.m) for r in bars] == [(date(2019, 7, 1), 3.0)]
+
+
+# ---------------------------------------------------------------- gaps, outliers of shape, missing keys
+
+
+def test_gaps_agree_in_array_and_long_form(spark):
+    from faintline.operators import evaluate, linear_model
+
+    rows = [(1, "background", [1.0, None, 3.0, 5.0]), (2, "BNS", [None, None, None, None]), (3, "background", [])]
+    arrays = spark.createDataFrame(rows, "event_id long, target string, vals array<double>")
+    long = arrays.select("event_id", "target", F.posexplode("vals").alias("p", "strain")).withColumn("time_seq", F.col("p") + 1)
+    a = linear_model.block_mean_arrays(arrays, 2)
+    assert {r.event_num: r.pred for r in a.collect()} == {1: [1.0, 1.0, 4.0, 4.0], 2: [None] * 4, 3: []}
+    one = {r.event_num: r.mean_mse for r in evaluate.event_errors_arrays(a).collect()}
+    two = {r.event_num: r.mean_mse for r in evaluate.event_errors(linear_model.block_mean_long(long, 2)).collect()}
+    assert one == {1: pytest.approx(2 / 3), 2: None, 3: None} and two[1] == one[1] and two[2] is None
+    counts = {r.pred_category: r.n_obs for r in evaluate.confusion(evaluate.event_errors_arrays(a), 0.1, 1).collect()}
+    assert counts == {"fp": 1, None: 2}
+
+
+def test_density_of_flat_and_single_groups(spark):
+    df = spark.createDataFrame([("flat", 2.0)] * 5 + [("one", 7.0)] + [("mostly", 1.0)] * 8 + [("mostly", 3.0)], "g string, x double")
+    out = aggregate.kde(df, "x", "g").collect()
+    assert {r.g for r in out} == {"flat", "mostly"} and all(r.density >= 0 for r in out)
+
+
+def test_one_array_per_event_at_any_length(spark):
+    df = spark.range(40_000).selectExpr("1L AS event_id", "cast(id + 1 AS int) AS time_seq", "cast(id AS double) AS strain")
+    rows = aggregate.to_arrays(df).collect()
+    assert len(rows) == 1 and rows[0].vals == [float(i) for i in range(40_000)]
+
+
+def test_unlisted_position_is_an_error(spark):
+    df = spark.createDataFrame([(1, 1, 1.0), (1, 9, 2.0)], "event_id long, time_seq int, strain double")
+    with pytest.raises(Exception, match="not listed"):
+        aggregate.pivot_events(df, [1, 2]).collect()
+
+
+def test_position_without_a_fit_stays(spark):
+    df = spark.createDataFrame([(1, 1, 1.0), (1, 2, 2.0)], "event_id long, time_seq int, strain double")
+    out = {r.time_seq: r.scaled for r in prep.min_max(df, df.filter("time_seq = 1")).collect()}
+    assert out == {1: 0.0, 2: None}
+
+
+def test_residuals_of_a_series_without_id(spark):
+    from faintline.operators import forecast
+
+    df = spark.createDataFrame([(k, i, float(i * i)) for k in ("a", None) for i in range(30)], "id string, t int, v double")
+    out = forecast.forecast_residuals(df, ["id"], "t", "v").collect()
+    assert len(out) == 12 and sum(r.id is None for r in out) == 6
