@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as contract
 import oracle
+from faintline.plans import registry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -16,7 +17,8 @@ def duck():
     return oracle.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+# queries of optional packages are tested beside those packages
+@pytest.mark.parametrize("name", list(registry.ALL))
 def test_query(spark, duck, name):
     df = contract.queries()[name](spark, SF_DIR)
     sql = contract.oracle_sql().get(name)
