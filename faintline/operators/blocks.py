@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 
 ROWS_PER_BLOCK = 1_000_000
 MARGIN_ROWS = 65_536
-CELLS = 1000
 BLOCK = "__block"
 
 
@@ -45,24 +44,30 @@ def order_number(df: DataFrame, order: str) -> Column:
 
 
 def block_width(df: DataFrame, keys: Sequence[str], order: str, rows: int = ROWS_PER_BLOCK) -> float:
-    """Width along ``order`` at which the densest stretch of any series has about ``rows`` rows.
+    """Width along ``order`` at which no block of any series has more than twice ``rows`` rows.
 
-    Reads the key and order columns only; the driver receives three numbers.
+    Starts from an even spread and narrows the width by what the fullest block holds too much, so far-off
+    values and dense bursts cost one more round each instead of a block that holds nearly everything.
+    Only rows with equal order values stay together whatever the width. Reads the key and order columns
+    only; the driver receives a few numbers a round.
     """
-    number = order_number(df, order).cast("double")
+    column = order_number(df, order)
+    number = column.cast("double")
     lo, hi, n = df.agg(F.min(number), F.max(number), F.count(F.lit(1))).first()
     if lo is None or hi == lo:
         return 1.0
     if n <= rows:
         return hi - lo + 1.0
-    cell = (hi - lo) / CELLS
-    densest = (
-        df.groupBy(*keys, F.floor((number - F.lit(lo)) / F.lit(cell)).alias(BLOCK))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n"))
-        .first()[0]
-    )
-    return min(cell * rows / densest, hi - lo + 1.0)
+    whole = not isinstance(df.schema[order].dataType, (T.FloatType, T.DoubleType, T.DecimalType))
+    least = 1.0 if whole else max(abs(lo), abs(hi)) * 1e-15
+    width = (hi - lo) * rows / n
+    while width > least:
+        block = F.floor(number / F.lit(width)).alias(BLOCK)
+        fullest = df.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if fullest <= 2 * rows:
+            return width
+        width *= rows / fullest
+    return least
 
 
 def with_block(df: DataFrame, keys: Sequence[str], order: str, width: float | None) -> DataFrame:

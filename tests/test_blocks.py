@@ -60,6 +60,18 @@ def test_width_follows_the_densest_stretch(spark):
     assert 900 <= width <= 1100
 
 
+def test_one_far_row_and_bursts_keep_blocks_small(spark):
+    even = spark.range(200_000).select(F.lit("a").alias("id"), (F.col("id") + 10**12).alias("t"))
+    far = spark.createDataFrame([("a", 0)], "id string, t long")
+    burst = spark.range(20_000).select(F.lit("b").alias("id"), (F.col("id") % 2 * 10**15 + F.col("id")).alias("t"))
+    rows = even.unionByName(far).unionByName(burst)
+    width = block_width(rows, ["id"], "t", rows=1000)
+    fullest = rows.groupBy("id", F.floor(F.col("t") / width)).count().agg(F.max("count")).first()[0]
+    assert fullest <= 2000
+    ties = spark.range(5000).select(F.lit("a").alias("id"), (F.col("id") % 2).alias("t"))
+    assert block_width(ties, ["id"], "t", rows=100) == 1.0
+
+
 def test_empty_input(spark):
     empty = spark.createDataFrame([], "id string, t long, size double")
     assert previous_row(empty, ["id"], "t", ["size"]).count() == 0
