@@ -15,7 +15,7 @@ composed lattice has one path, and each position one state: the piece that ends
 
 Inputs are cut where no piece can cross (before a space that follows another character, and around line
 feeds, checked against the pieces when compiled), and the parts' encodings are remembered, up to
-``REMEMBERED`` per worker. Texts are encoded whole in their own tasks; nothing is shuffled. The model file is
+twice ``REMEMBERED`` per worker. Texts are encoded whole in their own tasks; nothing is shuffled. The model file is
 read by the driver and sent to the tasks (its size is bounded by ``MODEL_BYTES``).
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; a text holding U+2581
@@ -41,7 +41,7 @@ from faintline.llm.common import table, without
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_BYTES = 64 << 20
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6  # kinds of pieces in the file
 UNIGRAM, BPE = 1, 2  # kinds of models
@@ -94,11 +94,15 @@ class Transducer:
         self.ids = {p: i for i, (p, _, k) in enumerate(pieces) if k in (NORMAL, USER)}
         self.weight = {p: -s for p, s, k in pieces if k in (NORMAL, USER)}
         self.unknown = next((i for i, (_, _, k) in enumerate(pieces) if k == UNKNOWN), 0)
-        self.silent = {i for i, (_, _, k) in enumerate(pieces) if k == CONTROL}
         byte = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
         self.byte_ids = [byte[b] for b in range(256)] if len(byte) == 256 else None
-        self.bytes_of = {i: b for b, i in byte.items()}
-        self.longest = max(map(len, self.ids), default=1)
+        # what each id writes when decoded
+        self.written = [p.replace(MARK, " ").encode() for p in self.texts]
+        for i, (_, _, k) in enumerate(pieces):
+            if k in (UNKNOWN, CONTROL):
+                self.written[i] = " ⁇ ".encode() if k == UNKNOWN else b""
+        for b, i in byte.items():
+            self.written[i] = bytes([b])
         inside = [p for p in self.ids if len(p) > 1]
         crossed = any(b == MARK and a != MARK for p in inside for a, b in zip(p, p[1:]))
         lines = any("\n" in p for p in inside)
@@ -106,8 +110,14 @@ class Transducer:
         self.parts = re.compile(r"(?s).+" if crossed else part)
         # the last merge that makes each piece, and when: characters are there from the start
         self.split = {p: self._last_merge(p) for p in inside} if kind == BPE else {}
+        # merges in order; equal scores have equal turns
+        ranks = {w: i for i, w in enumerate(sorted(set(self.weight.values())))}
+        self.turn = {p: ranks[w] for p, w in self.weight.items()}
+        self.made = {p for p, parts in self.split.items() if parts}
+        self.longest = max(map(len, self.made if kind == BPE else self.ids), default=1)
         self.allowed: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _last_merge(self, piece: str) -> tuple[str, str] | None:
         """The two parts that are joined last when the piece is made; None if merging does not make it."""
@@ -125,50 +135,63 @@ class Transducer:
         """Whether two complete pieces can stand side by side: undo merges from the latest on and look at the border."""
         found = self.allowed.get((a, b))
         if found is None:
-            found, left, right, limit = True, a, b, inf
+            found, left, right, limit, turn = True, a, b, inf, self.turn
             while True:
-                if self.weight.get(left + right, inf) < limit:
+                if turn.get(left + right, inf) < limit:
                     found = False
                     break
-                one = self.weight[left] if len(left) > 1 else -inf
-                two = self.weight[right] if len(right) > 1 else -inf
-                if one == two == -inf:
+                one = turn[left] if len(left) > 1 else -1
+                two = turn[right] if len(right) > 1 else -1
+                if one == two == -1:
                     break
                 # of equal merges the left one comes first
                 if one > two:
                     limit, left = one, self.split[left][1]
                 else:
-                    limit, right = np.nextafter(two, inf), self.split[right][0]
-            if len(self.allowed) > 4 * REMEMBERED:
+                    limit, right = two + 0.5, self.split[right][0]
+            if len(self.allowed) > REMEMBERED:
                 self.allowed.clear()
             self.allowed[a, b] = found
         return found
 
     def _path(self, part: str) -> list[str]:
         """The shortest path through the lattice of a part."""
+        last = self._only_path(part) if self.kind == BPE else self._cheapest_path(part)
+        path, n = [], len(part)
+        while n:
+            path.append(last[n])
+            n -= len(last[n])
+        return path[::-1]
+
+    def _cheapest_path(self, part: str) -> list[str]:
+        """For every position the piece that ends there on the path of least weight to it."""
         n, weight = len(part), self.weight
         cost, last = [0.0] + [inf] * n, [""] * (n + 1)
         for end in range(1, n + 1):
             for start in range(max(0, end - self.longest), end):
                 piece = part[start:end]
-                if cost[start] == inf or (piece not in weight and end - start > 1):
-                    continue
-                if self.kind == UNIGRAM:
+                if piece in weight or end - start == 1:
                     # a character without a piece costs more than any sequence of pieces
                     total = cost[start] + weight.get(piece, 1e6)
                     if total < cost[end]:
                         cost[end], last[end] = total, piece
-                    continue
-                if end - start > 1 and self.split[piece] is None:
-                    continue
-                if start == 0 or self.may_follow(last[start], piece):
-                    cost[end], last[end] = cost[start] + 1, piece
+        return last
+
+    def _only_path(self, part: str) -> list[str]:
+        """For every position the piece that ends there: allowed pairs leave one path to each."""
+        n, made, allowed, longest = len(part), self.made, self.allowed, self.longest
+        last = [""] * (n + 1)
+        for end in range(1, n + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                piece = part[start:end]
+                if piece in made or end - start == 1:
+                    if start:
+                        ok = allowed.get((last[start], piece))
+                        if not (self.may_follow(last[start], piece) if ok is None else ok):
+                            continue
+                    last[end] = piece
                     break
-        path = []
-        while n:
-            path.append(last[n])
-            n -= len(last[n])
-        return path[::-1]
+        return last
 
     def _part_ids(self, part: str) -> list[int]:
         out = []
@@ -181,39 +204,34 @@ class Transducer:
                 out.append(self.unknown)
         return out
 
+    def _look_up(self, part: str) -> tuple[int, ...]:
+        """Ids of a part that is not among the parts met lately, and remember them.
+
+        The remembered parts are two generations; when the younger is full it becomes the older, so frequent parts
+        are never all forgotten at once.
+        """
+        found = self.older.get(part)
+        if found is None:
+            found = tuple(self._part_ids(part))
+        if len(self.known) >= REMEMBERED:
+            self.known, self.older = {}, self.known
+        if len(part) <= 64:
+            self.known[part] = found
+        return found
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         plain = text.replace(" ", MARK)
-        out, known = [], self.known
+        out: list[int] = []
         for part in self.parts.findall(MARK + plain if self.prefix else plain):
-            found = known.get(part)
-            if found is None:
-                found = self._part_ids(part)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                if len(part) <= 64:
-                    known[part] = found
-            out += found
+            found = self.known.get(part)
+            out += self._look_up(part) if found is None else found
         return out
 
     def decode(self, ids: list[int]) -> str:
-        out, raw = [], bytearray()
-        for i in ids:
-            byte = self.bytes_of.get(i)
-            if byte is not None:
-                raw.append(byte)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if i == self.unknown:
-                out.append(" ⁇ ")
-            elif i not in self.silent:
-                out.append(self.texts[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        # a piece begins at a character, so bytes that stand for a part of one cannot run into it
+        text = b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
