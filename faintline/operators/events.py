@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faintline.operators.aggregate import to_arrays
 from faintline.operators.prep import split_events
@@ -32,6 +33,38 @@ def apply_per_event(events: DataFrame, fn: Callable[[dict], pd.DataFrame | None]
     return events.mapInPandas(run, schema)
 
 
+def apply_to_batches(
+    events: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "event_id"
+) -> DataFrame:
+    """Run ``fn`` on batches of event rows; it returns rows of ``schema``, which holds ``key``.
+
+    The result has one more column, ``error``: null in rows that ``fn`` returned. A batch for which ``fn``
+    raises ValueError is halved until the event that fails is alone; it gives one row with its key and the
+    message, and all other events keep their results.
+    """
+    fields = T._parse_datatype_string(schema)
+    names = fields.names
+
+    def attempt(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            yield fn(batch).assign(error=None)[[*names, "error"]]
+        except ValueError as error:
+            if len(batch) == 1:
+                failed = {n: batch[key].tolist() if n == key else [None] for n in names}
+                yield pd.DataFrame({**failed, "error": [str(error)]})
+                return
+            half = len(batch) // 2
+            yield from attempt(batch.iloc[:half])
+            yield from attempt(batch.iloc[half:])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield from attempt(batch)
+
+    return events.mapInPandas(run, T.StructType([*fields.fields, T.StructField("error", T.StringType())]))
+
+
 class EventSeries:
     """Load a range of events, split them, and take their arrays.
 

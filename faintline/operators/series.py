@@ -123,10 +123,13 @@ def cut_windows(
 ) -> DataFrame:
     """Every window of a series: ``start`` (0-based), ``inputs`` and ``labels`` as arrays of structs.
 
-    ``starts`` keeps only windows that begin at those positions.
+    ``starts`` keeps only windows that begin at those positions; only their rows are cut.
     """
     keys, columns = list(keys), list(columns)
     rows = row_index(df, keys, order, "__idx", width=width)
+    if starts is not None:
+        at, chosen = F.col("__idx"), F.array(*[F.lit(s).cast("long") for s in starts]).cast("array<bigint>")
+        rows = rows.filter(F.exists(chosen, lambda s: (at > s) & (at <= s + spec.total)))
     cut, block, own = with_margins(rows, "__idx", before=spec.total - 1)
     w = Window.partitionBy(*keys, block).orderBy("__idx").rowsBetween(-(spec.total - 1), 0)
     whole = (

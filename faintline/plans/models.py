@@ -10,7 +10,7 @@ from faintline.functions.scalars import SIGNAL
 from faintline.operators import evaluate, forecast, linear_model, prep, signal
 from faintline.operators.aggregate import downsample_mean, trend
 from faintline.operators.blocks import block_width
-from faintline.operators.events import EventSeries, apply_per_event
+from faintline.operators.events import EventSeries, apply_per_event, apply_to_batches
 from faintline.operators.series import bucket_block_width
 from faintline.plans.aggregates import sweep
 from faintline.plans.ordered import PER_SERIES, TIME
@@ -202,6 +202,23 @@ def per_event(spark, sf_dir):
     return apply_per_event(src.strain_arrays(spark, sf_dir), event_summary, "event_id long, n int, peak double, energy double")
 
 
+def loudest_tone(batch: pd.DataFrame) -> pd.DataFrame:
+    """The frequency (cycles per series) with the most power, and all power but the mean's, by a Fourier transform."""
+    if (batch["target"] == SIGNAL).any():
+        raise ValueError("not a background event")
+    power = np.abs(np.fft.rfft(np.stack(batch["vals"]), axis=1)) ** 2
+    weight = np.full(power.shape[1], 2.0)
+    weight[[0, -1]] = 0.0, 1.0  # the mean is left out, and the highest frequency occurs once
+    n = len(batch["vals"].iloc[0])
+    total = (power * weight).sum(axis=1) / n
+    return pd.DataFrame({"event_id": batch["event_id"], "power": np.round(total, 6), "loudest": power[:, 1:].argmax(axis=1) + 1})
+
+
+def per_batch(spark, sf_dir):
+    rows = apply_to_batches(src.strain_arrays(spark, sf_dir), loudest_tone, "event_id long, power double, loudest int")
+    return rows.select("event_id", "power", (F.col("loudest") > 0).alias("found"), "error")
+
+
 def facade(spark, sf_dir):
     rows = EventSeries(src.strain_long(spark, sf_dir)).load().split(0.1).arrays("test")
     return rows.select("event_id", F.size("vals").alias("n"), F.element_at("vals", 1).alias("first_value"), F.element_at("vals", -1).alias("last_value"))
@@ -496,6 +513,16 @@ QUERIES = {
             "strain",
         ),
     ),
+    "H22_apply_to_batches": (
+        per_batch,
+        sql(
+            """SELECT event_id, CASE WHEN target <> 'BNS' THEN round(sum(strain * strain) - sum(strain) * sum(strain) / count(*), 6) END AS power,
+                      CASE WHEN target <> 'BNS' THEN true END AS found,
+                      CASE WHEN target = 'BNS' THEN 'not a background event' END AS error
+               FROM strain GROUP BY event_id, target""",
+            "strain",
+        ),
+    ),
     "H23_facade": (
         facade,
         sql(
