@@ -114,6 +114,10 @@ class Transducer:
         ranks = {w: i for i, w in enumerate(sorted(set(self.weight.values())))}
         self.turn = {p: ranks[w] for p, w in self.weight.items()}
         self.made = {p for p, parts in self.split.items() if parts}
+        # lengths of the pieces that end in two given characters
+        self.tails: dict[str, list[int]] = {}
+        for size, tail in sorted({(len(p), p[-2:]) for p in self.made}, reverse=True):
+            self.tails.setdefault(tail, []).append(size)
         self.longest = max(map(len, self.made if kind == BPE else self.ids), default=1)
         self.allowed: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
@@ -179,12 +183,16 @@ class Transducer:
 
     def _only_path(self, part: str) -> list[str]:
         """For every position the piece that ends there: allowed pairs leave one path to each."""
-        n, made, allowed, longest = len(part), self.made, self.allowed, self.longest
+        n, made, allowed, tails = len(part), self.made, self.allowed, self.tails
         last = [""] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(end - longest if end > longest else 0, end):
+            last[end] = part[end - 1 : end]
+            for size in tails.get(part[end - 2 : end], ()) if end > 1 else ():
+                start = end - size
+                if start < 0:
+                    continue
                 piece = part[start:end]
-                if piece in made or end - start == 1:
+                if piece in made:
                     if start:
                         ok = allowed.get((last[start], piece))
                         if not (self.may_follow(last[start], piece) if ok is None else ok):
