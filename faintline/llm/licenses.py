@@ -1,7 +1,8 @@
 """Licence scan: a trained paragraph classifier, confirmed against templates.
 
-Every line of a text is read in windows of ``WINDOW`` words, half overlapping, so that a notice inside a long
-paragraph is not diluted. A window's features are its hashed words and pairs of neighbouring words
+Every paragraph of a text, and every line of it for itself, is read in windows of ``WINDOW`` words, half
+overlapping, and of half as many, so that a notice inside a long paragraph is not diluted and one wrapped over lines
+is judged whole. Paragraphs end at lines without a letter or digit; other line feeds and comment marks are spaces. A window's features are its hashed words and pairs of neighbouring words
 (letters and digits only, lower case); a softmax regression trained by stochastic gradient descent in numpy
 gives the chances of the licence families, of an unknown licence and of no licence. Training windows
 are the templates below, varied at random, for the families; sentences about licences that are no
@@ -9,7 +10,8 @@ family's, for the unknown class; and windows of a bounded sample of documents (`
 part is kept back to fit the softmax temperature and the least chance at which a window counts as a
 licence notice (``MISS``: the share of kept-back notices that may fall below it).
 
-A window that counts is compared with the templates: the family whose template it holds best (at least
+A window that counts is compared with the templates, together with the ``WINDOW`` words of its paragraph before and after,
+so that no notice is judged by a part: the family whose template it holds best (at least
 ``CONFIRM`` of the template's pairs of words) is reported. Without one it is an unknown licence if its chance
 exceeds that of every ordinary window kept back, and ``SURE``. Texts are read whole in their own tasks; nothing is shuffled but the sample.
 
@@ -20,6 +22,7 @@ Input columns named like a result column are replaced.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -83,6 +86,8 @@ OTHERS = [
     "Licensed under the {} License.", "Released under the {} Public License, version 1.", "This work is licensed under the terms of {}.",
     "Use of this software is governed by the {} licence agreement.", "Distributed under the {} licence, all rights reserved.",
 ]
+#: Lines without a letter or digit, which end paragraphs.
+WORDLESS = re.compile(r"\n(?:[\x00-\x09\x0b-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]*\n)+")
 GAPS = np.ones(256, dtype=bool)
 GAPS[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
@@ -110,17 +115,44 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def _windows(data: np.ndarray, hashes: np.ndarray, places: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _windows(data: np.ndarray, hashes: np.ndarray, places: np.ndarray, text: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """First and last + 1 word of every window; lines end at line feeds and texts."""
     line = np.searchsorted(np.flatnonzero(data == 10), places)
     cut = np.flatnonzero((line[1:] != line[:-1]) | (text[1:] != text[:-1])) + 1
     starts = np.concatenate([[0], cut]) if len(hashes) else np.zeros(0, dtype=np.int64)
     ends = np.append(cut, len(hashes)) if len(hashes) else starts
-    step = WINDOW // 2
+    step = size // 2
     counts = np.maximum(1, -(-(ends - starts - step) // step))
     nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     lo = np.repeat(starts, counts) + nth * step
-    return lo, np.minimum(lo + WINDOW, np.repeat(ends, counts))
+    return lo, np.minimum(lo + size, np.repeat(ends, counts))
+
+
+def _unwrapped(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bytes with spaces for line feeds inside paragraphs; those next to a line without a word stay, as do those between texts."""
+    feeds = np.flatnonzero(data == 10)
+    out = data.copy()
+    if not len(feeds):
+        return out
+    words = np.concatenate([[0], np.cumsum(~GAPS[data])])
+    edges = np.concatenate([[0], feeds + 1, [len(data)]])
+    full = words[edges[1:]] > words[edges[:-1]]
+    out[feeds[full[:-1] & full[1:]]] = 32
+    return out
+
+
+def _all_windows(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, places: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last + 1 word of every window of lines and paragraphs, and of the paragraph it lies in."""
+    whole = _unwrapped(data, offsets)
+    found = [_windows(d, hashes, places, text, size) for d in (data, whole) for size in (WINDOW, WINDOW // 2)]
+    # the same stretch of words counts once
+    both = np.unique(np.concatenate([lo * (len(hashes) + 1) + hi for lo, hi in found]))
+    lo, hi = both // (len(hashes) + 1), both % (len(hashes) + 1)
+    line = np.searchsorted(np.flatnonzero(whole == 10), places)
+    cut = np.flatnonzero((line[1:] != line[:-1]) | (text[1:] != text[:-1])) + 1
+    edges = np.concatenate([[0], cut, [len(hashes)]])
+    nth = np.searchsorted(edges, lo, "right") - 1
+    return lo, hi, edges[nth], edges[nth + 1]
 
 
 def _logits(weights: np.ndarray, bias: np.ndarray, hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -176,7 +208,8 @@ def _corpus_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         out = []
         for text in batch.column("text").to_pylist():
-            lines = [line.split() for line in text.split("\n")]
+            own = WORDLESS.sub("\n\n", text).split("\n\n")
+            lines = [part.split() for p in own for part in ([p] if "\n" not in p else [p, *p.split("\n")])]
             found = [" ".join(w[i : i + WINDOW]) for w in lines for i in range(0, len(w), WINDOW)]
             out += found[:: -(-len(found) // SAMPLE_WINDOWS)] if found else []
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["window"])
@@ -218,22 +251,67 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> LicenseMod
     return LicenseModel(classes, weights, bias, temperature, least, sure)
 
 
-def _word_pairs(text: str) -> set[tuple[str, str]]:
-    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
-    return set(zip(words, words[1:]))
+def _words(text: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
 
 
-_PAIRS = [(family, _word_pairs(t)) for family, texts in TEMPLATES.items() for t in texts]
+def _marks() -> tuple[list[tuple[str, set, set, int]], dict[tuple[str, str], list[int]]]:
+    """Of every template its family, its pairs of words, those that tell it from other families and how many of them it needs; and the templates of every pair.
 
+    A template with pairs that no other family has must hold half of them. One without is told by its rarest pairs together, and needs all.
+    """
+    pairs_of = [(family, set(zip(w, w[1:]))) for family, texts in TEMPLATES.items() for w in map(_words, texts)]
+    families: dict[tuple[str, str], set[str]] = {}
+    has: dict[tuple[str, str], list[int]] = {}
+    for t, (family, own) in enumerate(pairs_of):
+        for p in own:
+            families.setdefault(p, set()).add(family)
+            has.setdefault(p, []).append(t)
+    out = []
+    for family, own in pairs_of:
+        least = min(len(families[p]) for p in own)
+        marks = {p for p in own if len(families[p]) == least}
+        out.append((family, own, marks, -(-len(marks) // 2) if least == 1 else len(marks)))
+    return out, has
+
+
+_TOLD, _HAS = _marks()
+
+
+def _held(words: list[str]) -> list[tuple[int, float, str, set[int]]]:
+    """Templates held close together in a text: pairs, share of the template, family and places of the words."""
+    at: dict[int, list[tuple[int, tuple[str, str]]]] = {}
+    for i, pair in enumerate(zip(words, words[1:])):
+        for t in _HAS.get(pair, ()):
+            at.setdefault(t, []).append((i, pair))
+    out = []
+    for t, hits in at.items():
+        family, own, marks, need = _TOLD[t]
+        while len(hits) >= CONFIRM * len(own):
+            near = [h for h in hits if h[0] - hits[0][0] < 2 * len(own)]
+            seen = {p for _, p in near}
+            # a pair by itself that comes again nearer is not of this notice
+            stray = len(near) > 1 and near[1][0] > near[0][0] + 1 and any(p == near[0][1] for _, p in near[1:])
+            if stray or len(seen) < CONFIRM * len(own) or len(seen & marks) < need:
+                hits = hits[1:]
+                continue
+            hits = hits[len(near) :]
+            while near[-1][0] > near[-2][0] + 1 and any(p == near[-1][1] for _, p in near[:-1]):
+                near.pop()
+            out.append((len(seen), len(seen) / len(own), family, {w for i, _ in near for w in (i, i + 1)}))
+    return out
 
-def confirm(window: str) -> str | None:
-    """The family whose template the window holds best, if it holds ``CONFIRM`` of it.
 
-    Of templates held to the same degree the one that leaves less of the window unexplained wins: the longer.
-    """
-    own = _word_pairs(window)
-    held = [(len(own & p) / len(p), len(own & p), family) for family, p in _PAIRS if len(own & p) >= CONFIRM * len(p)]
-    return max(held)[2] if held else None
+def _best(words: list[str]) -> list[tuple[str, set[int]]]:
+    """The family whose template the words hold best, and where. Of templates held to the same degree the longer wins."""
+    held = sorted(_held(words), key=lambda h: (h[1], h[0], h[2]), reverse=True)
+    return [(family, places) for _, _, family, places in held[:1]]
+
+
+def confirm(window: str) -> str | None:
+    """The family whose template the window holds best, if it holds ``CONFIRM`` of it."""
+    best = _best(_words(window))
+    return best[0][0] if best else None
 
 
 def scan(docs: DataFrame, model: LicenseModel, text: str = "text") -> DataFrame:
@@ -245,14 +323,23 @@ def scan(docs: DataFrame, model: LicenseModel, text: str = "text") -> DataFrame:
         hashes, number, places = _tokens(data, offsets)
         if not len(hashes):
             return
-        lo, hi = _windows(data, hashes, places, number)
+        lo, hi, first, last = _all_windows(data, offsets, hashes, places, number)
         chance = 1 - _softmax(_logits(model.weights, model.bias, hashes, lo, hi) / model.temperature)[:, none]
+
+        def words(begin: int, end: int) -> list[str]:
+            if begin == end:
+                return []
+            stop = places[end] if end < len(places) and number[end] == number[begin] else offsets[number[begin] + 1] - offsets[0]
+            return _words(data[places[begin] : stop].tobytes().decode("utf-8", "replace"))
+
         for w in np.flatnonzero(chance >= model.least):
-            end = places[hi[w]] if hi[w] < len(places) and number[hi[w]] == number[lo[w]] else offsets[number[lo[w]] + 1] - offsets[0]
-            window = data[places[lo[w]] : end].tobytes().decode("utf-8", "replace").split("\n")[0]
-            family = confirm(window)
-            if family or chance[w] > model.sure:
-                yield int(number[lo[w]]), family or UNKNOWN, float(chance[w])
+            before = words(max(first[w], lo[w] - WINDOW), lo[w])
+            inner = words(lo[w], hi[w])
+            after = words(hi[w], min(last[w], hi[w] + WINDOW))
+            own = range(len(before), len(before) + len(inner))
+            families = [family for family, at in _best([*before, *inner, *after]) if any(i in own for i in at)]
+            for family in families or ([UNKNOWN] if chance[w] > model.sure else []):
+                yield int(number[lo[w]]), family, float(chance[w])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

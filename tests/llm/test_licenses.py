@@ -70,3 +70,22 @@ def test_windows_cover_every_word():
         assert 10 not in data[places[a] : places[b - 1]]
         seen |= set(range(a, b))
     assert seen == set(range(len(hashes)))
+
+
+def test_wrapped_notices(spark, model):
+    """Every template broken over lines at several places, as plain text and as comments, between other paragraphs."""
+    plain = "Thanen ther is and whou the erention of in that erble"
+    texts, want = [], []
+    for family, notices in licenses.TEMPLATES.items():
+        for t in notices:
+            words = t.split()
+            for k in {1, len(words) // 3, len(words) // 2, len(words) - 1} - {0}:
+                for feed, blank in (("\n", "\n\n"), ("\n * ", "\n *\n * "), ("\r\n# ", "\r\n#\r\n# ")):
+                    texts.append(blank.join([plain, feed.join([" ".join(words[:k]), " ".join(words[k:])]), plain]))
+                    want.append([family])
+    header = "This program is free software: you can redistribute it and/or modify\n it under the terms of the GNU General Public License as published by\n the Free Software Foundation, either version 3 of the License, or\n (at your option) any later version."
+    texts, want = [*texts, header], [*want, ["GPL-3.0"]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan(docs, model).collect()}
+    wrong = [(texts[i], got[i], w) for i, w in enumerate(want) if got[i] != w]
+    assert not wrong, (len(wrong), len(want), wrong[:10])
