@@ -3,9 +3,15 @@
 A text is the mean of the embeddings of its hashed byte n-grams (2 to 4 bytes of the lower-cased UTF-8),
 and one linear layer with softmax gives the languages' probabilities. The model is trained by stochastic
 gradient descent in numpy on the driver, on a bounded sample (``sample`` documents, as bucket counts).
-A part of the sample is kept back to fit the softmax temperature and the rejection threshold:
-documents are rejected whose calibrated probability is below the value that at most ``reject`` of the
-kept-back documents fall short of, and never at more than an even chance.
+A part of the sample is kept back to fit the softmax temperature and the least probability: the value that at
+most ``reject`` of the kept-back documents fall short of, and never more than an even chance.
+
+That probability only compares the learned languages, so a second rule rejects what is none of them: a text
+whose n-grams are unusual for the language it is given. Each language has the log likelihood of every bucket;
+a text's mean of it, less the language's median, is how well it is known. Sampled documents (each against the
+others of its language) are set against negatives: the same documents under the best other language, as if
+theirs had not been learned, and with their bytes scrambled. The bar is where the shares of documents lost and of
+negatives kept have the least sum, losing at most ``LOST`` of the documents.
 
 For prediction embedding and layer are multiplied into one table of language scores per bucket, as
 whole numbers, so a text's sum is exact and the same however it is batched. Texts are read whole, in
@@ -40,6 +46,10 @@ EPOCHS = 12
 RATE = 4.0
 KEPT_BACK = 0.25
 REJECT = 0.002
+LOST = 0.01
+SMOOTH = 0.1
+WEIGHT = 2000  # n-grams from which a text counts no more in the likelihoods
+SCRAMBLED = 2048  # bytes of a sampled text that are scrambled
 UNKNOWN = "und"
 SCALE = 1 << 20  # of whole-number scores
 LETTER = r"\p{L}"
@@ -52,6 +62,8 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     threshold: float
+    seen: np.ndarray  # log likelihood of each bucket less the language's median, like scores
+    known: float  # mean of it below which a text is in none of the languages
 
 
 def gram_buckets(data: np.ndarray, order: int, bits: int = BUCKET_BITS) -> np.ndarray:
@@ -106,7 +118,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bucket counts of sampled texts."""
     for batch in batches:
         data, offsets = _lowered(batch.column("text"))
-        buckets, counts = [], []
+        buckets, counts, scrambled = [], [], []
         for i in range(batch.num_rows):
             total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
             for at in range(int(offsets[i]), int(offsets[i + 1]), CHUNK):
@@ -116,10 +128,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = np.flatnonzero(total)
             buckets.append(found.astype(np.int32))
             counts.append(total[found].astype(np.float32))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("label"), batch.column("__llm_key"), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))],
-            ["label", "key", "buckets", "counts"],
-        )
+            own = data[int(offsets[i]) : min(int(offsets[i + 1]), int(offsets[i]) + SCRAMBLED)]
+            own = np.random.default_rng(len(own)).permutation(own)
+            scrambled.append(np.concatenate([gram_buckets(own, order) for order in ORDERS]).astype(np.int32))
+        lists = [pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32())), pa.array(scrambled, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("__llm_key"), *lists], ["label", "key", "buckets", "counts", "scrambled"])
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -163,16 +176,54 @@ def calibrate(logits: np.ndarray, labels: np.ndarray, reject: float = REJECT) ->
     return temperature, float(min(0.5, best[int(reject * len(best))]))
 
 
+def bar(clean: np.ndarray, negatives: np.ndarray, lost: float = LOST) -> float:
+    """Where the shares of ``clean`` below and of ``negatives`` from there on have the least sum, at most ``lost`` of clean below; the middle of a gap."""
+    clean, negatives = np.sort(clean), np.sort(negatives)
+    if not len(clean) or not len(negatives):
+        return -np.inf
+    edges = np.unique(np.concatenate([clean, negatives]))
+    edges = edges[edges <= clean[int(lost * len(clean))]]
+    below = np.searchsorted(clean, edges) / len(clean)
+    above = 1 - np.searchsorted(negatives, edges) / len(negatives)
+    best = int(np.argmin(below + above))
+    return float(edges[best] if best == 0 else (edges[best] + edges[best - 1]) / 2)
+
+
+def familiarity(
+    buckets: list[np.ndarray], counts: list[np.ndarray], scrambled: list[np.ndarray], labels: np.ndarray, logits: np.ndarray
+) -> tuple[np.ndarray, float]:
+    """Log likelihood of every bucket in every language, less the language's median text, and the bar below which a text is in none."""
+    n_labels, n_buckets = logits.shape[1], 1 << BUCKET_BITS
+    weights = [c * min(1.0, WEIGHT / c.sum()) for c in counts]
+    total = np.zeros((n_buckets, n_labels))
+    for b, w, k in zip(buckets, weights, labels):
+        total[b, k] += w
+    mass = total.sum(axis=0) + SMOOTH * n_buckets
+    table = np.log((total + SMOOTH) / mass)
+    # every text against the others of its language
+    alone = [np.log((total[b, k] - w + SMOOTH) / (mass[k] - w.sum())) for b, w, k in zip(buckets, weights, labels)]
+    own = np.array([c @ a / c.sum() for c, a in zip(counts, alone)])
+    usual = np.array([np.median(own[labels == k]) if (labels == k).any() else 0.0 for k in range(n_labels)])
+    table -= usual
+    clean = own - usual[labels]
+    negatives = [table[s].mean(axis=0).max() for s in scrambled if len(s)]
+    if n_labels > 1:
+        others = logits.copy()
+        others[np.arange(len(labels)), labels] = -np.inf
+        negatives += [c @ table[b, k] / c.sum() for b, c, k in zip(buckets, counts, others.argmax(axis=1))]
+    return table, bar(clean, np.array(negatives))
+
+
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> LanguageModel | None:
     """A model of the labelled documents outside the held-out fold; None without any."""
     known = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("label"))
     known = known.filter((fold(F.col("id")) != 2) & F.col("label").isNotNull() & F.col("text").rlike(LETTER)).select("text", "label")
     chosen = distinct_sample(known, F.xxhash64("text", "label"), sample)
-    rows = chosen.mapInArrow(_features, "label string, key long, buckets array<int>, counts array<float>").toArrow().sort_by("key")
+    rows = chosen.mapInArrow(_features, "label string, key long, buckets array<int>, counts array<float>, scrambled array<int>").toArrow().sort_by("key")
     if not rows.num_rows:
         return None
     # ids and counts as views of the table, one per text
-    lists = {c: rows[c].combine_chunks() for c in ("buckets", "counts")}
+    lists = {c: rows[c].combine_chunks() for c in ("buckets", "counts", "scrambled")}
     buckets = [lists["buckets"][i].values.to_numpy() for i in range(rows.num_rows)]
     counts = [lists["counts"][i].values.to_numpy() for i in range(rows.num_rows)]
     full = [i for i, c in enumerate(counts) if len(c)]  # a text of one byte has no n-gram
@@ -186,14 +237,14 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         return None
     embed, layer, bias = train([buckets[i] for i in learn], [counts[i] for i in learn], labels[learn], len(languages))
     joint = embed @ layer
-    if len(back):
-        logits = np.stack([counts[i] / counts[i].sum() @ joint[buckets[i]] for i in back]) + bias
-        temperature, threshold = calibrate(logits, labels[back])
-    else:
-        temperature, threshold = 1.0, 0.0
-    scores = np.zeros((len(joint) + 1, len(languages)), dtype=np.int64)
+    logits = np.stack([counts[i] / counts[i].sum() @ joint[buckets[i]] for i in full]) + bias
+    temperature, threshold = calibrate(logits[: len(back)], labels[back]) if len(back) else (1.0, 0.0)
+    scrambled = [lists["scrambled"][i].values.to_numpy() for i in full]
+    table, known = familiarity([buckets[i] for i in full], [counts[i] for i in full], scrambled, labels[full], logits)
+    scores, seen = (np.zeros((len(joint) + 1, len(languages)), dtype=np.int64) for _ in range(2))
     scores[:-1] = np.round(joint.astype(float) * SCALE)
-    return LanguageModel(languages, scores, bias.astype(float), temperature, threshold)
+    seen[:-1] = np.round(table * SCALE)
+    return LanguageModel(languages, scores, bias.astype(float), temperature, threshold, seen, known)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
@@ -207,18 +258,20 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") ->
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.languages, dtype=object)
+        both = np.hstack([model.scores, model.seen])
         for batch in batches:
             if not batch.num_rows:
                 continue
             data, offsets = _lowered(batch.column(text))
-            sums = gram_sums(data, offsets, model.scores)
+            sums, usual = np.split(gram_sums(data, offsets, both), 2, axis=1)
             n = np.maximum(gram_counts(np.diff(offsets)), 1)
             chances = _softmax((sums / SCALE / n[:, None] + model.bias) / model.temperature)
             letter = batch.column("__llm_letter").to_numpy(zero_copy_only=False).astype(bool)
             best = chances.argmax(axis=1)
             score = np.where(letter, np.round(chances[np.arange(len(best)), best], 9), 0.0)
             lang = np.where(letter, names[best], UNKNOWN)
-            added = [pa.array(lang, pa.string()), pa.array(score), pa.array(~letter | (score < model.threshold))]
+            strange = usual[np.arange(len(best)), best] / SCALE / n < model.known
+            added = [pa.array(lang, pa.string()), pa.array(score), pa.array(~letter | (score < model.threshold) | strange)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + added, [*kept, "lang_pred", "score", "lang_rejected"]
             )

@@ -87,3 +87,34 @@ def test_cases(spark, model):
     one = spark.createDataFrame([(i, "only one language here", "en", "") for i in range(40)], schema)
     assert lid.fit(one) is None or lid.fit(one).languages == ["en"]
     assert math.isfinite(model.temperature) and 0 <= model.threshold <= 0.5
+
+
+FOREIGN = [
+    "La casa sulla collina era vecchia e nessuno ci abitava da molti anni, ma ogni sera qualcuno accendeva la luce.",
+    "Dom na wzgórzu był stary i nikt w nim nie mieszkał od wielu lat, ale każdego wieczoru ktoś zapalał światło.",
+    "Talo kukkulalla oli vanha eikä siellä ollut asunut kukaan moneen vuoteen, mutta joka ilta joku sytytti valon.",
+    "山上的房子很旧，多年来没有人住在那里，但每天晚上都有人点灯。",
+    "丘の上の家は古く、何年も誰も住んでいませんでしたが、毎晩誰かが明かりをつけました。",
+]
+
+
+def noise():
+    draw = np.random.default_rng(3)
+    return [
+        "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz "), 400)), draw.bytes(200).hex(),
+        "".join(draw.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 400)),
+    ]
+
+
+@pytest.mark.parametrize("languages", [("de", "en", "es", "fr"), ("de", "en"), ("en",)])
+def test_unlearned_languages_and_noise_go(spark, languages):
+    """Also with one or two learned languages, where the greatest chance is never below a half."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").cache()
+    model = lid.fit(docs.filter(F.col("lang").isin(*languages)))
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(FOREIGN + noise())], "doc_id long, text string")
+    assert [r.doc_id for r in lid.predict(odd, model).collect() if not r.lang_rejected] == []
+    rows = lid.predict(docs.filter("length(text) > 100"), model).collect()
+    own = [r.lang_rejected for r in rows if r.lang in languages]
+    assert sum(own) / len(own) < 0.02
+    other = [r.lang_rejected for r in rows if r.lang not in languages]
+    assert not other or sum(other) / len(other) > 0.98
