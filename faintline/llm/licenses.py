@@ -11,8 +11,8 @@ part is kept back to fit the softmax temperature and the least chance at which a
 licence notice (``MISS``: the share of kept-back notices that may fall below it).
 
 A window that counts is compared with the templates, together with the ``WINDOW`` words of its paragraph before and after,
-so that no notice is judged by a part: the family whose template it holds best (at least
-``CONFIRM`` of the template's pairs of words) is reported. Without one it is an unknown licence if its chance
+so that no notice is judged by a part: every family whose template it holds (at least
+``CONFIRM`` of the template's pairs of words) is reported, but for templates whose matched words lie inside a longer match. Without one it is an unknown licence if its chance
 exceeds that of every ordinary window kept back, and ``SURE``. Texts are read whole in their own tasks; nothing is shuffled but the sample.
 
 Defined cases: a null or empty text has no notice (empty array, null licence). Repeated rows are scanned
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> LicenseMod
     rows = distinct_sample(docs.select(F.col(text).alias("text")).filter("text IS NOT NULL"), F.xxhash64("text"), sample)
     corpus = sorted(r.window for r in rows.mapInArrow(_corpus_windows, "window string").collect())
     # sampled windows that hold a template are examples of it, not of ordinary text
-    corpus = [w for w in corpus if confirm(w) is None]
+    corpus = [w for w in corpus if not confirm(w)]
     examples = _examples(corpus)
     classes = [*TEMPLATES, UNKNOWN, NONE]
     number = {c: i for i, c in enumerate(classes)}
@@ -288,30 +288,52 @@ def _held(words: list[str]) -> list[tuple[int, float, str, set[int]]]:
     for t, hits in at.items():
         family, own, marks, need = _TOLD[t]
         while len(hits) >= CONFIRM * len(own):
-            near = [h for h in hits if h[0] - hits[0][0] < 2 * len(own)]
+            # of stretches of at most twice the template's length the one with most of its pairs, and of those the shortest
+            best = (0, 0, 0, 0)
+            for first, (start, _) in enumerate(hits):
+                seen: set[tuple[str, str]] = set()
+                for last in range(first, len(hits)):
+                    if hits[last][0] - start >= 2 * len(own):
+                        break
+                    if hits[last][1] not in seen:
+                        seen.add(hits[last][1])
+                        best = max(best, (len(seen), start - hits[last][0], first, last + 1))
+            _, _, first, last = best
+            while last < len(hits) and hits[last][0] == hits[last - 1][0] + 1:  # a pair that the template has twice
+                last += 1
+            near = hits[first:last]
             seen = {p for _, p in near}
-            # a pair by itself that comes again nearer is not of this notice
-            stray = len(near) > 1 and near[1][0] > near[0][0] + 1 and any(p == near[0][1] for _, p in near[1:])
-            if stray or len(seen) < CONFIRM * len(own) or len(seen & marks) < need:
-                hits = hits[1:]
-                continue
-            hits = hits[len(near) :]
-            while near[-1][0] > near[-2][0] + 1 and any(p == near[-1][1] for _, p in near[:-1]):
-                near.pop()
-            out.append((len(seen), len(seen) / len(own), family, {w for i, _ in near for w in (i, i + 1)}))
+            if len(seen) < CONFIRM * len(own):
+                break
+            if len(seen & marks) >= need:
+                out.append((len(seen), len(seen) / len(own), family, {w for i, _ in near for w in (i, i + 1)}))
+            hits = hits[:first] + hits[last:]
     return out
 
 
 def _best(words: list[str]) -> list[tuple[str, set[int]]]:
-    """The family whose template the words hold best, and where. Of templates held to the same degree the longer wins."""
-    held = sorted(_held(words), key=lambda h: (h[1], h[0], h[2]), reverse=True)
-    return [(family, places) for _, _, family, places in held[:1]]
+    """Every family whose template the words hold, and where.
+
+    A template is left out whose words lie inside a longer match, or are all words of others that are held as closely.
+    """
+    kept: list[tuple[str, set[int]]] = []
+    for _, _, family, places in sorted(_held(words), key=lambda h: h[:3], reverse=True):
+        if not any(places <= longer for _, longer in kept):
+            kept.append((family, places))
+
+    def filled(places: set[int]) -> float:
+        return len(places) / (max(places) + 1 - min(places))
+
+    for match in kept[::-1]:
+        others = [p for f, p in kept if p is not match[1] and filled(p) >= filled(match[1])]
+        if match[1] <= set().union(*others):
+            kept.remove(match)
+    return kept
 
 
-def confirm(window: str) -> str | None:
-    """The family whose template the window holds best, if it holds ``CONFIRM`` of it."""
-    best = _best(_words(window))
-    return best[0][0] if best else None
+def confirm(window: str) -> list[str]:
+    """The families of which the window holds ``CONFIRM`` of a template, the longest match first."""
+    return list(dict.fromkeys(family for family, _ in _best(_words(window))))
 
 
 def scan(docs: DataFrame, model: LicenseModel, text: str = "text") -> DataFrame:

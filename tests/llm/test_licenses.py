@@ -89,3 +89,26 @@ def test_wrapped_notices(spark, model):
     got = {r.doc_id: r.licenses for r in licenses.scan(docs, model).collect()}
     wrong = [(texts[i], got[i], w) for i, w in enumerate(want) if got[i] != w]
     assert not wrong, (len(wrong), len(want), wrong[:10])
+
+
+def test_dual_notices(spark, model):
+    plain = "Thanen ther is and whou the erention of in that erble"
+    want = {
+        "Released under the MIT License. Licensed under the Apache License, Version 2.0.": ["Apache-2.0", "MIT"],
+        f"{plain} Released under the MIT License. Licensed under CC BY-NC 4.0. {plain}": ["CC-BY-NC", "MIT"],
+        "Licensed under the MIT License or the Apache License, Version 2.0.": ["Apache-2.0", "MIT"],
+        "Licensed under the GNU GPL v2 or the GNU GPL v3.": ["GPL-2.0", "GPL-3.0"],
+        "Licensed under the BSD 3-Clause License. Released under the ISC License. Released under CC0 1.0.": ["BSD", "CC0", "ISC"],
+        "This library is licensed under the GNU Lesser General Public License, version 3.": ["LGPL"],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": ["CC-BY-SA"],
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.text: r.licenses for r in licenses.scan(docs, model).collect()}
+    assert got == want
+
+
+def test_confirm_all_pairs_of_templates():
+    of = {t: family for family, texts in licenses.TEMPLATES.items() for t in texts}
+    for a in of:
+        for b in of:
+            assert sorted(licenses.confirm(f"{a} {b}")) == sorted({of[a], of[b]}), (a, b)
