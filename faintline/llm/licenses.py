@@ -12,8 +12,10 @@ licence notice (``MISS``: the share of kept-back notices that may fall below it)
 
 A window that counts is compared with the templates, together with the ``WINDOW`` words of its paragraph before and after,
 so that no notice is judged by a part: every family whose template it holds (at least
-``CONFIRM`` of the template's pairs of words) is reported, but for templates whose matched words lie inside a longer match. Without one it is an unknown licence if its chance
-exceeds that of every ordinary window kept back, and ``SURE``. Texts are read whole in their own tasks; nothing is shuffled but the sample.
+``CONFIRM`` of the template's pairs of words) is reported, but for templates whose matched words lie inside a longer match. Without one, a window of at least ``FEW`` different words is an unknown licence if its chance
+exceeds ``SURE`` and that of the share ``ORDINARY`` of the ordinary windows kept back. Sampled windows that hold a
+template or the frame of a sentence about licences, or that a first model takes for notices, are no examples of
+ordinary text, so licences without a template stay unknown ones however common they are. Texts are read whole in their own tasks; nothing is shuffled but the sample.
 
 Defined cases: a null or empty text has no notice (empty array, null licence). Repeated rows are scanned
 each. Without any document the model knows no ordinary text, and an empty table gives an empty result.
@@ -46,6 +48,10 @@ RATE = 8.0
 KEPT_BACK = 0.25
 MISS = 0.002
 SURE = 0.9
+ORDINARY = 0.999  # share of kept-back ordinary windows that are less likely than a sure notice
+FEW = 4  # different words without which a window cannot tell of an unknown licence
+LIKELY = 0.5  # chance under the first model from which a sampled window is no example of ordinary text
+FIRST_EPOCHS = 2
 CONFIRM = 0.6
 UNKNOWN, NONE = "unknown", "none"
 ADDED = ["license", "licenses", "license_score"]
@@ -208,19 +214,56 @@ def _corpus_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         out = []
         for text in batch.column("text").to_pylist():
-            own = WORDLESS.sub("\n\n", text).split("\n\n")
-            lines = [part.split() for p in own for part in ([p] if "\n" not in p else [p, *p.split("\n")])]
-            found = [" ".join(w[i : i + WINDOW]) for w in lines for i in range(0, len(w), WINDOW)]
-            out += found[:: -(-len(found) // SAMPLE_WINDOWS)] if found else []
+            found = []
+            for paragraph in WORDLESS.sub("\n\n", text).split("\n\n"):
+                lines = paragraph.split("\n")
+                parts = [(paragraph, "")] + [(line, " ".join(lines[max(k - 1, 0) : k + 2])) for k, line in enumerate(lines) if len(lines) > 1]
+                found += [(" ".join(w[i : i + WINDOW]), near) for part, near in parts for w in [part.split()] for i in range(0, len(w), WINDOW)]
+            # a line that may be part of a wrapped notice is no example
+            out += [w for w, near in found[:: -(-len(found) // SAMPLE_WINDOWS)] if not _likely(near)] if found else []
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["window"])
 
 
+def _words(text: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+
+#: Pairs of words of every sentence in OTHERS, whatever the name.
+_FRAMES = [{p for part in t.split("{}") for p in zip(_words(part), _words(part)[1:])} for t in OTHERS]
+#: Pairs that begin such sentences, and words of which a window with one of them needs another to be a likely notice.
+_CUES = {("licensed", "under"), ("released", "under"), ("distributed", "under"), ("governed", "by")}
+_NAMED = {"license", "licence", "licensed"}
+
+
+def _likely(window: str) -> bool:
+    """Whether a window holds a template, the beginning and name of a licence, or ``CONFIRM`` of a sentence about some licence but its name."""
+    words = _words(window)
+    own = set(zip(words, words[1:]))
+    if own & _CUES and _NAMED & set(words) or any(len(frame & own) >= CONFIRM * len(frame) for frame in _FRAMES):
+        return True
+    return bool(_best(words))
+
+
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> LicenseModel:
     rows = distinct_sample(docs.select(F.col(text).alias("text")).filter("text IS NOT NULL"), F.xxhash64("text"), sample)
     corpus = sorted(r.window for r in rows.mapInArrow(_corpus_windows, "window string").collect())
-    # sampled windows that hold a template are examples of it, not of ordinary text
-    corpus = [w for w in corpus if not confirm(w)]
-    examples = _examples(corpus)
+    # sampled windows that hold a template, or the frame of a sentence about a licence, are no ordinary text; equal ones count once
+    corpus = [w for w in dict.fromkeys(corpus) if not _likely(w)]
+    # nor are those that a first model takes for notices
+    first = _learn(_examples(corpus), FIRST_EPOCHS)
+    chance = _notice(first, corpus)
+    corpus = [w for w, c in zip(corpus, chance) if c <= LIKELY]
+    return _learn(_examples(corpus), EPOCHS)
+
+
+def _notice(model: LicenseModel, texts: list[str]) -> np.ndarray:
+    """The chance that each text is a notice."""
+    found = [_features(t) for t in texts]
+    logits = [model.weights[f].mean(axis=0) + model.bias if len(f) else model.bias for f in found]
+    return 1 - _softmax(np.stack(logits) / model.temperature)[:, -1] if logits else np.zeros(0)
+
+
+def _learn(examples: list[tuple[str, str]], epochs: int) -> LicenseModel:
     classes = [*TEMPLATES, UNKNOWN, NONE]
     number = {c: i for i, c in enumerate(classes)}
     found = [(f, number[c]) for f, c in ((_features(t), c) for t, c in examples) if len(f)]
@@ -229,8 +272,8 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> LicenseMod
     back = order[: int(len(order) * KEPT_BACK)]
     weights, bias = np.zeros((1 << BUCKET_BITS, len(classes)), dtype=np.float32), np.zeros(len(classes))
     learn = order[len(back) :]
-    steps, step = EPOCHS * len(learn), 0
-    for _ in range(EPOCHS):
+    steps, step = epochs * len(learn), 0
+    for _ in range(epochs):
         for i in draw.permutation(learn):
             grams, label = found[i]
             wrong = _softmax((weights[grams].mean(axis=0) + bias)[None])[0]
@@ -246,21 +289,17 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> LicenseMod
     temperature = float(grid[int(np.argmin(losses))])
     notice = np.sort(1 - _softmax(logits / temperature)[labels != number[NONE], number[NONE]])
     least = float(min(0.5, notice[int(MISS * len(notice))]))
-    ordinary = 1 - _softmax(logits / temperature)[labels == number[NONE], number[NONE]]
-    sure = float(max(SURE, ordinary.max(initial=0.0)))
+    ordinary = np.sort(1 - _softmax(logits / temperature)[labels == number[NONE], number[NONE]])
+    sure = float(max(SURE, ordinary[int(ORDINARY * (len(ordinary) - 1))])) if len(ordinary) else SURE
     return LicenseModel(classes, weights, bias, temperature, least, sure)
 
 
-def _words(text: str) -> list[str]:
-    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
-
-
-def _marks() -> tuple[list[tuple[str, set, set, int]], dict[tuple[str, str], list[int]]]:
-    """Of every template its family, its pairs of words, those that tell it from other families and how many of them it needs; and the templates of every pair.
+def _marks() -> tuple[list[tuple[str, dict, set, int]], dict[tuple[str, str], list[int]]]:
+    """Of every template its family, its pairs of words with their places, those that tell it from other families and how many of them it needs; and the templates of every pair.
 
     A template with pairs that no other family has must hold half of them. One without is told by its rarest pairs together, and needs all.
     """
-    pairs_of = [(family, set(zip(w, w[1:]))) for family, texts in TEMPLATES.items() for w in map(_words, texts)]
+    pairs_of = [(family, {p: i for i, p in reversed([*enumerate(zip(w, w[1:]))])}) for family, texts in TEMPLATES.items() for w in map(_words, texts)]
     families: dict[tuple[str, str], set[str]] = {}
     has: dict[tuple[str, str], list[int]] = {}
     for t, (family, own) in enumerate(pairs_of):
@@ -288,25 +327,25 @@ def _held(words: list[str]) -> list[tuple[int, float, str, set[int]]]:
     for t, hits in at.items():
         family, own, marks, need = _TOLD[t]
         while len(hits) >= CONFIRM * len(own):
-            # of stretches of at most twice the template's length the one with most of its pairs, and of those the shortest
+            # of stretches of at most twice the template's length the one with most of its pairs in their order, and of those the shortest
             best = (0, 0, 0, 0)
             for first, (start, _) in enumerate(hits):
-                seen: set[tuple[str, str]] = set()
+                n, at_pair = 0, -1
                 for last in range(first, len(hits)):
                     if hits[last][0] - start >= 2 * len(own):
                         break
-                    if hits[last][1] not in seen:
-                        seen.add(hits[last][1])
-                        best = max(best, (len(seen), start - hits[last][0], first, last + 1))
+                    if own[hits[last][1]] > at_pair:
+                        n, at_pair = n + 1, own[hits[last][1]]
+                        best = max(best, (n, start - hits[last][0], first, last + 1))
             _, _, first, last = best
             while last < len(hits) and hits[last][0] == hits[last - 1][0] + 1:  # a pair that the template has twice
                 last += 1
             near = hits[first:last]
             seen = {p for _, p in near}
-            if len(seen) < CONFIRM * len(own):
+            if best[0] < CONFIRM * len(own):
                 break
             if len(seen & marks) >= need:
-                out.append((len(seen), len(seen) / len(own), family, {w for i, _ in near for w in (i, i + 1)}))
+                out.append((best[0], best[0] / len(own), family, {w for i, _ in near for w in (i, i + 1)}))
             hits = hits[:first] + hits[last:]
     return out
 
@@ -360,7 +399,7 @@ def scan(docs: DataFrame, model: LicenseModel, text: str = "text") -> DataFrame:
             after = words(hi[w], min(last[w], hi[w] + WINDOW))
             own = range(len(before), len(before) + len(inner))
             families = [family for family, at in _best([*before, *inner, *after]) if any(i in own for i in at)]
-            for family in families or ([UNKNOWN] if chance[w] > model.sure else []):
+            for family in families or ([UNKNOWN] if chance[w] > model.sure and len(set(inner)) >= FEW else []):
                 yield int(number[lo[w]]), family, float(chance[w])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

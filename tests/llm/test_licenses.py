@@ -112,3 +112,17 @@ def test_confirm_all_pairs_of_templates():
     for a in of:
         for b in of:
             assert sorted(licenses.confirm(f"{a} {b}")) == sorted({of[a], of[b]}), (a, b)
+
+
+@pytest.mark.parametrize("share", [1, 30])
+def test_unlisted_licences_in_the_corpus(spark, share):
+    """Licences without a template stay unknown when many of the documents that the model learns from hold one."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    notice = F.when(F.col("doc_id") % 2 == 0, "Licensed under the EPL-2.0").otherwise("Released under the\nArtistic License 2.0.")
+    held = F.pmod(F.hash("doc_id"), F.lit(100)) < share
+    rows = docs.withColumn("text", F.when(held, F.concat("text", F.lit("\n"), notice)).otherwise(F.col("text"))).withColumn("held", held).cache()
+    out = licenses.scan(rows, licenses.fit(rows)).collect()
+    assert sum(r.held for r in out) > 3
+    assert [r.doc_id for r in out if r.held != ("unknown" in r.licenses)] == []
