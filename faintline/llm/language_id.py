@@ -218,7 +218,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """A model of the labelled documents outside the held-out fold; None without any."""
     known = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("label"))
     known = known.filter((fold(F.col("id")) != 2) & F.col("label").isNotNull() & F.col("text").rlike(LETTER)).select("text", "label")
-    chosen = distinct_sample(known, F.xxhash64("text", "label"), sample)
+    chosen = distinct_sample(known, F.xxhash64("text", "label"), sample, "label")
     rows = chosen.mapInArrow(_features, "label string, key long, buckets array<int>, counts array<float>, scrambled array<int>").toArrow().sort_by("key")
     if not rows.num_rows:
         return None
@@ -231,14 +231,19 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     number = {name: i for i, name in enumerate(languages)}
     labels = np.array([number[x] for x in rows["label"].to_pylist()])
     full = np.array(full, dtype=int)
-    back = full[: int(len(full) * KEPT_BACK)]
-    learn = full[len(back) :]
+    # of each language the first texts by hash are kept back
+    nth = np.zeros(len(full), dtype=int)
+    size = np.bincount(labels[full], minlength=len(languages))
+    for k in range(len(languages)):
+        nth[labels[full] == k] = np.arange(size[k])
+    early = nth < (size[labels[full]] * KEPT_BACK).astype(int)
+    back, learn = full[early], full[~early]
     if not len(learn):
         return None
     embed, layer, bias = train([buckets[i] for i in learn], [counts[i] for i in learn], labels[learn], len(languages))
     joint = embed @ layer
     logits = np.stack([counts[i] / counts[i].sum() @ joint[buckets[i]] for i in full]) + bias
-    temperature, threshold = calibrate(logits[: len(back)], labels[back]) if len(back) else (1.0, 0.0)
+    temperature, threshold = calibrate(logits[early], labels[back]) if len(back) else (1.0, 0.0)
     scrambled = [lists["scrambled"][i].values.to_numpy() for i in full]
     table, known = familiarity([buckets[i] for i in full], [counts[i] for i in full], scrambled, labels[full], logits)
     scores, seen = (np.zeros((len(joint) + 1, len(languages)), dtype=np.int64) for _ in range(2))

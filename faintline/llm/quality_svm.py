@@ -198,7 +198,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> QualityModel:
     have[1, counts.bucket] += counts.n1
     share = have / have.sum(axis=1, keepdims=True)
     ratio = np.log(share[1] / share[0])
-    chosen = distinct_sample(labelled, F.xxhash64("text", "label"), sample)
+    chosen = distinct_sample(labelled, F.xxhash64("text", "label"), sample, "label")
     rows = chosen.mapInArrow(_rows, "label int, key long, buckets array<int>").toArrow().sort_by("key")
     lists = rows["buckets"].combine_chunks()
     found = [lists[i].values.to_numpy() for i in range(rows.num_rows)]
