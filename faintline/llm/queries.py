@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faintline.llm import language_id, licenses, minhash, mixing, neighbours, quality_rules, quality_svm, sentencepiece_fst, sharding, url_filter
+from faintline.llm import language_id, licenses, line_dedup, minhash, mixing, neighbours, quality_rules, quality_svm, sentencepiece_fst, sharding, url_filter
 
 QUERIES = {
     "op4_licenses": (licenses.query, None),
@@ -15,4 +15,5 @@ QUERIES = {
     "op2_sharding": (sharding.query, None),
     "op5_url_filter": (url_filter.query, url_filter.SQL),
     "op10_quality_rules": (quality_rules.query, None),
+    "op12_line_dedup": (line_dedup.query, line_dedup.SQL),
 }
