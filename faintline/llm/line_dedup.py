@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faintline.llm.common import SPACES, table, without
 from faintline.session import settle
@@ -303,6 +304,7 @@ def probe(index: LineIndex, keys: DataFrame) -> DataFrame:
 def dropped_keys(index: LineIndex, refs: DataFrame, keys: DataFrame) -> DataFrame:
     """``doc_id, keys``: what each document loses. ``keys`` has every key of ``refs`` once."""
     confirmed = probe(index, keys).join(index.counts.filter("n_docs >= 2"), "key").select("key", "owner")
+    confirmed = settle(confirmed, "line-confirmed")  # so that the next join has two plain shuffles, which Spark can split
     lost = refs.join(confirmed, "key").filter("doc_id <> owner")
     return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
@@ -344,7 +346,7 @@ def clean(docs: DataFrame, index: LineIndex, doc_id: str = "doc_id", text: str =
                 new = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.large_binary()).cast(pa.large_string())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *new[:2], new[2].cast(pa.string())], [*own, "n_lines", "n_dropped", "kept_text"])
 
-    schema = rows.schema.add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
+    schema = T.StructType(list(rows.schema.fields)).add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
     return joined.select(*[F.col(f"`{c}`") for c in own], "__llm_keys").mapInArrow(cut, schema)
 
 
