@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faintline.llm import language_id, licenses, line_dedup, minhash, mixing, neighbours, quality_rules, quality_svm, sentencepiece_fst, sharding, token_alignment, url_filter
+from faintline.llm import conversations, language_id, licenses, line_dedup, minhash, mixing, neighbours, quality_rules, quality_svm, sentencepiece_fst, sharding, token_alignment, url_filter
 
 QUERIES = {
     "op4_licenses": (licenses.query, None),
@@ -15,6 +15,7 @@ QUERIES = {
     "op2_sharding": (sharding.query, None),
     "op5_url_filter": (url_filter.query, url_filter.SQL),
     "op10_quality_rules": (quality_rules.query, None),
+    "op11_conversations": (conversations.query, None),
     "op12_line_dedup": (line_dedup.query, line_dedup.SQL),
     "op13_token_alignment": (token_alignment.query, None),
 }
