@@ -4,16 +4,15 @@ A linear autoencoder's optimum is the projection on the leading principal compon
 is found from one matrix of sums instead of by training. Models are plain tables:
 ``(model, time_seq, mean)`` and ``(model, component, time_seq, loading)``.
 
-A fit is exact whatever the shape: series of up to ``MAX_SIDE`` samples, or no longer than events are many, use the
-position by position matrix, summed from one centred partial per task (``fit_linear_ae``); others the
-event by event matrix, summed over stretches of positions (``fit_linear_ae_wide``). The driver holds one matrix whose side is
-the smaller of the two numbers. ``method="subspace"`` asks for repeated products with a narrow matrix
-instead, until the variances settle (``fit_linear_ae_subspace``).
+A fit is exact whatever the shape: series of up to ``MAX_SIDE`` samples use the position by position matrix, summed
+from one centred partial per task (``fit_linear_ae``); longer ones the same matrix in blocks (``blocked_model``). For few
+long series there is also the event by event matrix (``fit_linear_ae_wide``). ``method="subspace"`` asks for repeated
+products with a narrow matrix instead, until the variances settle (``fit_linear_ae_subspace``).
 
 A missing sample (null or NaN) counts as its position's mean: it adds nothing to the sums, and is rebuilt from the
 event's other samples. Components beyond the data's rank have variance 0 and no loadings.
-Matrices of up to ``MAX_MODEL_CELLS`` cells are sent to every task; larger ones meet the events block by
-block, stretches of positions against groups of events, with the same result.
+Matrices of up to ``MAX_MODEL_CELLS`` cells are sent to every task; past larger ones, which are read stretch by stretch,
+the events are streamed (``blocked_model``), with the same result.
 """
 
 from __future__ import annotations
@@ -32,8 +31,6 @@ from faintline.operators.shape import stack
 
 MAX_SIDE = 4096
 FAN_IN = 32  # groups of tasks whose partial matrices are added first
-STRETCH = 2048  # positions of one block
-EVENT_GROUP = 1024  # events of one block
 PARTIAL = "row int, vals array<double>"  # one row of a partial matrix
 MAX_MODEL_CELLS = 8_000_000  # largest loading matrix handed to tasks as a broadcast (64 MB)
 
@@ -159,8 +156,10 @@ def fit_linear_ae(arrays: DataFrame, k: int, name: str = "linear", values: str =
     if method == "subspace":
         return fit_linear_ae_subspace(arrays, k, name, values)
     d = series_length(arrays, values)
-    if d > MAX_SIDE and arrays.count() < d:
-        return fit_linear_ae_wide(arrays, k, name, values)
+    if d > MAX_SIDE:
+        from faintline.operators.blocked_model import fit_blocked
+
+        return fit_blocked(arrays, k, name, values)
     _check_rank(k, d)
     mean, n = position_means(arrays, d, values)
 
@@ -298,8 +297,9 @@ def _small_matrices(model: LinearModel) -> tuple[np.ndarray, np.ndarray] | None:
     """Mean vector and loading matrix when they are small enough for every task, else None."""
     if model.loadings.limit(MAX_MODEL_CELLS + 1).count() > MAX_MODEL_CELLS:
         return None
-    means = model.means.toPandas().sort_values("time_seq")
-    table = model.loadings.toPandas().sort_values(["time_seq", "component"])
+    means = model.means.select("time_seq", "mean").toArrow().sort_by("time_seq")
+    table = model.loadings.select("time_seq", "component", "loading").toArrow()
+    table = table.sort_by([("time_seq", "ascending"), ("component", "ascending")])
     return means["mean"].to_numpy(), table["loading"].to_numpy().reshape(len(means), -1)
 
 
@@ -307,7 +307,9 @@ def encode(arrays: DataFrame, model: LinearModel, values: str = "vals") -> DataF
     """Latent table ``event_id, component, z``."""
     small = _small_matrices(model)
     if small is None:
-        zs = _latent_blocks(arrays, model, values)[2]
+        from faintline.operators.blocked_model import encode_blocked
+
+        zs = encode_blocked(arrays, model, values)
         return zs.select("event_id", F.posexplode("zs").alias("c", "z")).select("event_id", (F.col("c") + 1).alias("component"), "z")
     shared = arrays.sparkSession.sparkContext.broadcast(small)
 
@@ -328,8 +330,10 @@ def score_arrays(arrays: DataFrame, model: LinearModel, values: str = "vals") ->
     """Reconstructions as arrays ``event_num, target, actual, pred``."""
     small = _small_matrices(model)
     if small is None:
+        from faintline.operators.blocked_model import score_blocked
+
         parts = F.sort_array(F.collect_list(F.struct("stretch", "actual", "pred")))
-        rows = _score_blocks(arrays, model, values).groupBy("event_num", "target").agg(parts.alias("p"))
+        rows = score_blocked(arrays, model, values).groupBy("row", "event_num", "target").agg(parts.alias("p"))
         return rows.select("event_num", "target", F.flatten("p.actual").alias("actual"), F.flatten("p.pred").alias("pred"))
     return _rebuild(arrays, small, values)
 
@@ -368,79 +372,17 @@ def score(arrays: DataFrame, model: LinearModel, values: str = "vals") -> DataFr
     """Predictions ``event_num, target, time_seq, actual, pred``, one row per sample."""
     small = _small_matrices(model)
     if small is None:
-        at = F.col("stretch") * STRETCH + F.col("pos") + 1
-        rows = _score_blocks(arrays, model, values).select("event_num", "target", "stretch", F.posexplode(F.arrays_zip("actual", "pred")).alias("pos", "s"))
-        return rows.select("event_num", "target", at.cast("int").alias("time_seq"), F.col("s.actual").alias("actual"), F.col("s.pred").alias("pred"))
-    return predictions_long(_rebuild(arrays, small, values))
-
-
-def _pieces(arrays: DataFrame, values: str, groups: int) -> DataFrame:
-    """``event_id, target, grp, stretch, x``: series cut into stretches, events dealt into groups."""
-    target = F.col("target") if "target" in arrays.columns else F.lit(None).cast("string")
-    cuts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STRETCH).cast("int"))
-    cut = F.transform(cuts, lambda s: F.slice(values, s * STRETCH + 1, F.lit(STRETCH)))
-    return arrays.select(
-        "event_id", target.alias("target"), F.pmod(F.xxhash64("event_id"), F.lit(groups)).cast("int").alias("grp"),
-        F.posexplode(cut).alias("stretch", "x"),
-    )
-
-
-def _model_blocks(model: LinearModel, groups: int) -> DataFrame:
-    """``grp, stretch, time_seq, mean, ws``: rows of the loading matrix, a copy for each group of events."""
-    rows = model.loadings.groupBy("time_seq").agg(F.sort_array(F.collect_list(F.struct("component", "loading"))).alias("l"))
-    rows = model.means.join(rows, "time_seq", "left").select("time_seq", "mean", F.col("l.loading").alias("ws"))
-    stretch = F.floor((F.col("time_seq") - 1) / STRETCH).cast("int")
-    return rows.select(stretch.alias("stretch"), "time_seq", "mean", "ws", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-
+        from faintline.operators.blocked_model import STRETCH, score_blocked
 
-def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    table = table.sort_by("time_seq")
-    return table["mean"].to_numpy(), _matrix(table["ws"])
-
-
-def _latent_blocks(arrays: DataFrame, model: LinearModel, values: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pieces, model blocks, and ``event_id, zs`` summed over stretches: one matrix product per group and stretch."""
-    groups = max(1, -(-arrays.count() // EVENT_GROUP))
-    pieces, blocks = _pieces(arrays, values, groups), _model_blocks(model, groups)
-
-    def product(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left):
-            return pa.table({"event_id": pa.array([], pa.int64()), "zs": pa.array([], pa.list_(pa.float64()))})
-        mean, w = _block(right)
-        return pa.table({"event_id": left["event_id"], "zs": _lists(_filled(_matrix(left["x"]), mean) @ w)})
-
-    keys = ["grp", "stretch"]
-    parts = pieces.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(product, "event_id long, zs array<double>")
-
-    def add(a, b):
-        return F.zip_with(a, b, lambda x, y: x + y)
-
-    all_ = F.collect_list("zs")  # one short array per stretch
-    zs = parts.groupBy("event_id").agg(F.reduce(F.slice(all_, 2, F.greatest(F.size(all_) - 1, F.lit(0))), F.get(all_, F.lit(0)), add).alias("zs"))
-    return pieces, blocks, zs
-
-
-def _score_blocks(arrays: DataFrame, model: LinearModel, values: str) -> DataFrame:
-    """``event_num, target, stretch, actual, pred``: a row per event and stretch."""
-    pieces, blocks, zs = _latent_blocks(arrays, model, values)
-    rows = pieces.join(zs, "event_id")
-
-    def product(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left):
-            return SCORED.empty_table()
-        mean, w = _block(right)
-        pred = _lists(_matrix(left["zs"]) @ w.T + mean)
-        columns = {"event_num": left["event_id"], "target": left["target"], "stretch": left["stretch"], "actual": left["x"], "pred": pred}
-        return pa.table(columns).cast(SCORED)
-
-    keys = ["grp", "stretch"]
-    schema = "event_num long, target string, stretch int, actual array<double>, pred array<double>"
-    return rows.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(product, schema)
+        return pieces_long(score_blocked(arrays, model, values), STRETCH)
+    return predictions_long(_rebuild(arrays, small, values))
 
 
-SCORED = pa.schema(
-    [("event_num", pa.int64()), ("target", pa.string()), ("stretch", pa.int32()), ("actual", pa.list_(pa.float64())), ("pred", pa.list_(pa.float64()))]
-)
+def pieces_long(pieces: DataFrame, stretch: int) -> DataFrame:
+    """Predictions by event and stretch as one row per sample."""
+    at = F.col("stretch") * stretch + F.col("pos") + 1
+    rows = pieces.select("event_num", "target", "stretch", F.posexplode(F.arrays_zip("actual", "pred")).alias("pos", "s"))
+    return rows.select("event_num", "target", at.cast("int").alias("time_seq"), F.col("s.actual").alias("actual"), F.col("s.pred").alias("pred"))
 
 
 # ---------------------------------------------------------------- block means

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from faintline.functions.scalars import SIGNAL
-from faintline.operators import evaluate, forecast, linear_model, prep, signal
+from faintline.operators import blocked_model, evaluate, forecast, linear_model, prep, signal
 from faintline.operators.aggregate import downsample_mean, trend
 from faintline.operators.blocks import block_width
 from faintline.operators.events import EventSeries, apply_per_event, apply_to_batches
@@ -15,7 +15,7 @@ from faintline.operators.series import bucket_block_width
 from faintline.plans.aggregates import sweep
 from faintline.plans.ordered import PER_SERIES, TIME
 from faintline.plans.relational import SERIES, r6
-from faintline.plans.views import sql
+from faintline.plans.views import VIEWS, sql
 from faintline.session import shared_folder
 from faintline.sources import adapters as src
 from faintline.streaming.jobs import stream_means, stream_scores
@@ -112,6 +112,72 @@ def loss_bounds(spark, sf_dir):
     return both.select(F.round("none", 8).alias("mean_only"), F.round("whole", 8).alias("whole"), ((F.col("some") < F.col("none")) & (F.col("some") > F.col("whole"))).alias("between"))
 
 
+STRETCH = 16  # positions of a block in the blocked queries: four stretches
+
+
+def blocked_background(spark, sf_dir, k=8):
+    return blocked_model.fit_blocked(src.strain_arrays(spark, sf_dir).filter("target = 'background'"), k, stretch=STRETCH)
+
+
+def blocked_residuals(spark, sf_dir):
+    """Of the blocked rank-8 fit: the trace of its matrix, how far vectors are from orthonormal, how far from solving
+    the eigenvalue problem on the long rows, and how far its variances are from those of the unblocked fit."""
+    arrays = src.strain_arrays(spark, sf_dir).filter("target = 'background'")
+    mean, n = linear_model.position_means(arrays, src.SAMPLES)
+    blocks = blocked_model.gram(arrays, mean, n, STRETCH).filter("p = q")  # a block's rows are one tile
+    diagonal = F.aggregate(F.sequence(F.lit(0), F.lit(STRETCH - 1)), F.lit(0.0), lambda acc, i: acc + F.get("vals", i * (STRETCH + 1)))
+    trace = blocks.agg(F.sum(diagonal).alias("t")).scalar()
+    model = blocked_model.fit_blocked(arrays, 8, stretch=STRETCH)
+    left = model.loadings.select("component", "time_seq", "loading")
+    right = left.select(F.col("component").alias("other"), "time_seq", F.col("loading").alias("w"))
+    products = left.join(right, "time_seq").groupBy("component", "other").agg(F.sum(F.col("loading") * F.col("w")).alias("p"))
+    off = products.agg(F.max(F.abs(F.col("p") - F.when(F.col("component") == F.col("other"), 1.0).otherwise(0.0))).alias("off"))
+    rows = src.strain_long(spark, sf_dir).filter("target = 'background'").join(model.means.select("time_seq", "mean"), "time_seq")
+    rows = rows.select("event_id", "time_seq", (F.col("strain") - F.col("mean")).alias("x"))
+    z = rows.join(left, "time_seq").groupBy("event_id", "component").agg(F.sum(F.col("x") * F.col("loading")).alias("z"))
+    image = rows.join(z, "event_id").groupBy("component", "time_seq").agg((F.sum(F.col("x") * F.col("z")) / n).alias("image"))
+    solved = image.join(left, ["component", "time_seq"]).join(model.spectrum.select("component", "variance"), "component")
+    residual = solved.agg((F.max(F.abs(F.col("image") - F.col("variance") * F.col("loading"))) / F.max("variance")).alias("r"))
+    plain = linear_model.fit_linear_ae(arrays, 8).spectrum.select("component", F.col("variance").alias("v"))
+    apart = model.spectrum.join(plain, "component").agg((F.max(F.abs(F.col("variance") - F.col("v"))) / F.max("v")).alias("a"))
+    total = model.spectrum.agg(F.count("component").alias("n_components"))
+    named = {"trace": F.round(trace, 8), "off": F.round(off.scalar(), 6) + 0.0, "residual": F.round(residual.scalar(), 6) + 0.0, "apart": F.round(apart.scalar(), 6) + 0.0}
+    return total.withColumns(named)
+
+
+def blocked_latent_norms(spark, sf_dir):
+    """As ``latent_norms``, with events streamed past the stretches of the model."""
+    z = blocked_model.encode_blocked(src.strain_arrays(spark, sf_dir), background_model(spark, sf_dir, src.SAMPLES), stretch=STRETCH)
+    return z.select("event_id", F.round(F.aggregate("zs", F.lit(0.0), lambda acc, x: acc + x * x), 6).alias("squares"))
+
+
+def blocked_scores(spark, sf_dir):
+    """Reconstructions of a blocked model with as many components as samples, which lose nothing."""
+    pieces = blocked_model.score_blocked(src.strain_arrays(spark, sf_dir), blocked_background(spark, sf_dir, src.SAMPLES), stretch=STRETCH)
+    return linear_model.pieces_long(pieces, STRETCH).select("event_num", "target", "time_seq", *r6("actual", "pred"))
+
+
+def blocked_rank8(spark, sf_dir):
+    """Per event: the squared error of the rank-8 blocked model, which with the squares it explains makes up all squares."""
+    arrays, model = src.strain_arrays(spark, sf_dir), blocked_background(spark, sf_dir)
+    rows = linear_model.pieces_long(blocked_model.score_blocked(arrays, model, stretch=STRETCH), STRETCH)
+    lost = rows.groupBy("event_num").agg(F.sum(F.pow(F.col("actual") - F.col("pred"), F.lit(2))).alias("lost"))
+    z = blocked_model.encode_blocked(arrays, model, stretch=STRETCH)
+    kept = z.select(F.col("event_id").alias("event_num"), F.aggregate("zs", F.lit(0.0), lambda acc, x: acc + x * x).alias("kept"))
+    both = lost.join(kept, "event_num")
+    return both.select("event_num", F.round(F.col("lost") + F.col("kept"), 6).alias("squares"), ((F.col("lost") > 0) & (F.col("kept") > 0)).alias("both"))
+
+
+def denoised_lengths(spark, sf_dir):
+    """Squared lengths of the denoising model's vectors times (variance + noise variance): they add up to all variance."""
+    noise = 0.05
+    model = blocked_model.denoised(background_model(spark, sf_dir, src.SAMPLES), noise)
+    lengths = model.loadings.groupBy("component").agg(F.sum(F.col("loading") * F.col("loading")).alias("l"))
+    both = lengths.join(model.spectrum.select("component", "variance"), "component")
+    total = both.agg(F.count("component").alias("n_components"), F.round(F.sum(F.col("l") * (F.col("variance") + noise**2)), 8).alias("variance"), (F.max("l") < 1).alias("shrunk"))
+    return total
+
+
 def block_means(spark, sf_dir):
     preds = linear_model.block_mean_long(src.strain_long(spark, sf_dir), 8)
     return preds.select("event_num", "target", "time_seq", *r6("actual", "pred"))
@@ -252,6 +318,13 @@ FLAGGED_SQL = sql(
     "flagged",
 )
 
+LATENT_NORMS_SQL = sql(
+    """SELECT s.event_id, round(sum(pow(s.strain - m.mean, 2)), 6) AS squares FROM strain s
+       JOIN (SELECT time_seq, avg(strain) AS mean FROM strain WHERE target = 'background' GROUP BY 1) m ON s.time_seq = m.time_seq
+       GROUP BY 1""",
+    "strain",
+)
+
 # differenced AR(1): changes, fit per series, closed-form forecast
 AR1 = {
     "d1": f"SELECT id, observatory, capture_dttm, size, size - lag(size) {PER_SERIES} AS d FROM dense",
@@ -377,12 +450,13 @@ QUERIES = {
         scaled_positions,
         sql(
             """SELECT s.event_id, s.target, s.time_seq, round((s.strain - p.lo) / CASE WHEN p.hi = p.lo THEN 1 ELSE p.hi - p.lo END, 6) AS scaled
-               FROM strain s JOIN (SELECT time_seq, min(strain) AS lo, max(strain) AS hi FROM strain
-                                   WHERE target = 'background' AND event_id IN (SELECT event_id FROM split WHERE split = 'train')
-                                   GROUP BY 1) p ON s.time_seq = p.time_seq""",
-            "strain",
+               FROM samples s JOIN ranges p ON s.time_seq = p.time_seq""",
             "split",
-        ),
+            samples=VIEWS["strain"],
+            train="SELECT event_id FROM split WHERE split = 'train'",
+            ranges="""SELECT s.time_seq, min(s.strain) AS lo, max(s.strain) AS hi FROM samples s JOIN train t ON s.event_id = t.event_id
+                      WHERE s.target = 'background' GROUP BY 1""",
+        ).replace(" AS (", " AS MATERIALIZED ("),
     ),
     "H07_fit_linear_model": (fitted, None),
     "H07_fit_variance": (
@@ -393,16 +467,41 @@ QUERIES = {
             "strain",
         ),
     ),
-    "H08_encode": (latent, None),
-    "H08_latent_norms": (
-        latent_norms,
+    "H07_blocked_fit": (
+        blocked_residuals,
+        sql(
+            """SELECT CAST(8 AS BIGINT) AS n_components, round(sum(v), 8) AS trace, CAST(0 AS DOUBLE) AS off, CAST(0 AS DOUBLE) AS residual, CAST(0 AS DOUBLE) AS apart
+               FROM (SELECT var_pop(strain) AS v FROM strain WHERE target = 'background' GROUP BY time_seq)""",
+            "strain",
+        ),
+    ),
+    "H07_denoised": (
+        denoised_lengths,
+        sql(
+            """SELECT count(*) AS n_components, round(sum(v), 8) AS variance, true AS shrunk
+               FROM (SELECT var_pop(strain) AS v FROM strain WHERE target = 'background' GROUP BY time_seq)""",
+            "strain",
+        ),
+    ),
+    "H08_blocked_norms": (blocked_latent_norms, LATENT_NORMS_SQL),
+    "H09_blocked_whole": (
+        blocked_scores,
+        sql("SELECT event_id AS event_num, target, time_seq, round(strain, 6) AS actual, round(strain, 6) AS pred FROM strain", "strain"),
+    ),
+    "H09_blocked_squares": (
+        blocked_rank8,
         sql(
-            """SELECT s.event_id, round(sum(pow(s.strain - m.mean, 2)), 6) AS squares FROM strain s
+            """SELECT s.event_id AS event_num, round(sum(pow(s.strain - m.mean, 2)), 6) AS squares, true AS both FROM strain s
                JOIN (SELECT time_seq, avg(strain) AS mean FROM strain WHERE target = 'background' GROUP BY 1) m ON s.time_seq = m.time_seq
                GROUP BY 1""",
             "strain",
         ),
     ),
+    "H08_encode": (latent, None),
+    "H08_latent_norms": (
+        latent_norms,
+        LATENT_NORMS_SQL,
+    ),
     "H09_score": (scored, None),
     "H09_score_whole": (
         scored_whole,
