@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from faintline.functions.scalars import SIGNAL
-from faintline.operators import blocked_model, evaluate, forecast, linear_model, prep, signal
+from faintline.operators import blocked_model, evaluate, forecast, linear_model, prep, recursive, signal
 from faintline.operators.aggregate import downsample_mean, trend
 from faintline.operators.blocks import block_width
 from faintline.operators.events import EventSeries, apply_per_event, apply_to_batches
@@ -253,6 +253,33 @@ def cascaded(spark, sf_dir):
     return rows.select(*SERIES, TIME, *r6("filtered"))
 
 
+RECURSIVE_BAND, RECURSIVE_LINE, QUALITY = (5, 12), 7, 4.0
+BLOCK_ROWS = 97  # rows of a block in the queries: every series has several
+
+
+def recursive_band(spark, sf_dir):
+    sections = recursive.band_pass_sections(*RECURSIVE_BAND, RATE, order=1)
+    rows = recursive.zero_phase(src.timeseries_dense(spark, sf_dir), SERIES, TIME, "size", sections, rows=BLOCK_ROWS)
+    return rows.select(*SERIES, TIME, *r6("filtered"))
+
+
+def recursive_cascade(spark, sf_dir):
+    sections = recursive.clean_sections(RATE, RECURSIVE_BAND, (RECURSIVE_LINE,), 1, QUALITY)
+    rows = recursive.zero_phase(src.timeseries_dense(spark, sf_dir), SERIES, TIME, "size", sections, rows=BLOCK_ROWS)
+    return rows.select(*SERIES, TIME, *r6("filtered"))
+
+
+def arima(spark, sf_dir):
+    fit = forecast.fit_arima(src.timeseries_dense(spark, sf_dir), SERIES, TIME, "size", lags=2)
+    return forecast.forecast_arima(fit, SERIES, 66).select(*SERIES, "step", *r6("forecast"))
+
+
+def arima_rest(spark, sf_dir):
+    means = downsample_mean(src.timeseries_dense(spark, sf_dir), SERIES, "s")
+    rows = forecast.arima_residuals(means, SERIES, "bucket", "avg_size", lags=2, width=bucket_block_width("s"))
+    return rows.select(*SERIES, "idx", *r6("actual", "pred", "residual"))
+
+
 def cropped(spark, sf_dir):
     return signal.crop(src.timeseries_dense(spark, sf_dir), SERIES, TIME)
 
@@ -347,6 +374,48 @@ RESIDUAL = {
 }
 
 
+def two_inputs(source: str, y: str, x1: str, x2: str, names: str) -> str:
+    """Least squares on two inputs, the second orthogonalised against the first: intercept and weights per series."""
+    c, a1, a2 = names.split()
+    return f"""SELECT id, observatory, avg({y}) - any_value({a1}) * avg({x1}) - any_value({a2}) * avg({x2}) AS {c}, any_value({a1}) AS {a1}, any_value({a2}) AS {a2}
+               FROM {source} JOIN (SELECT id, observatory, regr_slope({y}, {x1}) - w * s AS {a1}, w AS {a2} FROM (
+                   SELECT id, observatory, {y}, {x1}, any_value(s) OVER (PARTITION BY id, observatory) AS s,
+                          regr_slope({y}, {x2} - s * {x1}) OVER (PARTITION BY id, observatory) AS w
+                   FROM {source} JOIN (SELECT id, observatory, regr_slope({x2}, {x1}) AS s FROM {source} GROUP BY 1, 2) USING (id, observatory))
+                   GROUP BY id, observatory, s, w) USING (id, observatory) GROUP BY 1, 2"""
+
+
+def arima_sql(series: str, x: str, place: str) -> dict[str, str]:
+    """Two-stage estimates over the rows of ``series`` and the residual recursion at its end."""
+    w = f"(PARTITION BY id, observatory ORDER BY {place})"
+    return {
+        "c0": f"SELECT id, observatory, {place} AS place, {x} AS x, {x} - lag({x}) OVER {w} AS d0 FROM {series}",
+        "c1": """SELECT *, lag(d0) OVER w AS d1, lag(d0, 2) OVER w AS d2, lag(d0, 3) OVER w AS d3 FROM c0
+                 WINDOW w AS (PARTITION BY id, observatory ORDER BY place)""",
+        "first_rows": "SELECT * FROM c1 WHERE d2 IS NOT NULL",
+        "first_fit": two_inputs("first_rows", "d0", "d1", "d2", "q0 q1 q2"),
+        "second_rows": "SELECT c1.*, d1 - q0 - q1 * d2 - q2 * d3 AS e1 FROM c1 JOIN first_fit USING (id, observatory) WHERE d3 IS NOT NULL",
+        "second_fit": two_inputs("second_rows", "d0", "d1", "e1", "c phi raw"),
+        "estimates": "SELECT id, observatory, c, phi, CASE WHEN abs(raw) > 1 THEN 1 / raw ELSE raw END AS theta FROM second_fit",
+        "steps": "SELECT *, row_number() OVER (PARTITION BY id, observatory ORDER BY place) AS step FROM c1 WHERE d1 IS NOT NULL",
+        "residual_walk": """SELECT s.id, s.observatory, s.step, d0 - c - phi * d1 AS e FROM steps s JOIN estimates USING (id, observatory) WHERE s.step = 1
+             UNION ALL SELECT s.id, s.observatory, s.step, s.d0 - f.c - f.phi * s.d1 - f.theta * r.e FROM residual_walk r
+             JOIN steps s ON s.id = r.id AND s.observatory = r.observatory AND s.step = r.step + 1
+             JOIN estimates f ON f.id = r.id AND f.observatory = r.observatory""",
+        "ends": """SELECT l.id, l.observatory, any_value(c) AS c, any_value(phi) AS phi, max_by(x, place) AS x,
+                          any_value(c) + any_value(phi) * max_by(d0, place) + any_value(theta) * max_by(e, r.step) AS first_change
+                   FROM steps l JOIN estimates USING (id, observatory) JOIN residual_walk r ON r.id = l.id AND r.observatory = l.observatory AND r.step = l.step
+                   GROUP BY 1, 2""",
+    }
+
+
+ARIMA_STEP = "x + first_change * (1 - pow(phi, h)) / (1 - phi) + c * (h - (1 - pow(phi, h)) / (1 - phi)) / (1 - phi)"
+
+
+def recursive_sql(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 # least squares by orthogonalising the three inputs in turn
 STEP = {
     "phased": """SELECT *, sin(2 * pi() * (epoch_us(capture_dttm) % 1000000) / 1e6) AS sn,
@@ -390,6 +459,58 @@ FIR = """SELECT t.id, t.observatory, t.capture_dttm, round(sum(k.h * p.size), 6)
          GROUP BY 1, 2, 3"""
 
 
+def band_section() -> list[str]:
+    """A first-order band pass by the bilinear transform, as SQL expressions b0, b1, b2, a1, a2."""
+    rate = "(1e6 / 25096::DOUBLE)"
+    lo, hi = (f"(2 * {rate} * tan(pi() * {f} / {rate}))" for f in RECURSIVE_BAND)
+    c, bw, w2 = f"(2 * {rate})", f"({hi} - {lo})", f"({lo} * {hi})"
+    a0 = f"({c} * {c} + {bw} * {c} + {w2})"
+    return [f"{bw} * {c} / {a0}", "0::DOUBLE", f"-{bw} * {c} / {a0}", f"2 * ({w2} - {c} * {c}) / {a0}", f"({c} * {c} - {bw} * {c} + {w2}) / {a0}"]
+
+
+def line_section() -> list[str]:
+    w = f"(2 * pi() * {RECURSIVE_LINE} * 25096::DOUBLE / 1e6)"
+    alpha = f"(sin({w}) / {2 * QUALITY}::DOUBLE)"
+    return [f"1 / (1 + {alpha})", f"-2 * cos({w}) / (1 + {alpha})", f"1 / (1 + {alpha})", f"-2 * cos({w}) / (1 + {alpha})", f"(1 - {alpha}) / (1 + {alpha})"]
+
+
+def two_way_sql(sections: list[list[str]]) -> str:
+    """The sections' recursion row by row, up and then down each series."""
+    names = ["b0", "b1", "b2", "a1", "a2"]
+    given = ", ".join(f"{text} AS {n}_{k}" for k, s in enumerate(sections) for n, text in zip(names, s))
+
+    def step(x: str, state: str) -> str:
+        parts, feed = [], x
+        for k in range(len(sections)):
+            z1, z2 = (f"{state}z{j}_{k}" if state else "0::DOUBLE" for j in (1, 2))
+            parts += [f"b0_{k} * {feed} + {z1} AS n_{k}", f"b1_{k} * {feed} - a1_{k} * n_{k} + {z2} AS n1_{k}", f"b2_{k} * {feed} - a2_{k} * n_{k} AS n2_{k}"]
+            feed = f"n_{k}"
+        return ", ".join(parts)
+
+    columns = ", ".join(f"y_{k}, z1_{k}, z2_{k}" for k in range(len(sections)))
+    last = f"y_{len(sections) - 1}"
+
+    def walk(source: str, name: str, x: str, start: str, move: int) -> str:
+        return f"""SELECT p.id, p.observatory, p.idx, {step(f'p.{x}', '')} FROM {source} p, given WHERE p.idx = {start}
+                   UNION ALL SELECT p.id, p.observatory, p.idx, {step(f'p.{x}', 'r.')} FROM {name} r
+                   JOIN {source} p ON p.id = r.id AND p.observatory = r.observatory AND p.idx = r.idx + {move}, given"""
+
+    text = sql(
+        f"""SELECT p.id, p.observatory, p.capture_dttm, round(d.{last}, 6) AS filtered
+            FROM positions p JOIN down d ON p.id = d.id AND p.observatory = d.observatory AND p.idx = d.idx""",
+        "positions",
+        given=f"SELECT {given}",
+        up=walk("positions", "up", "size", "1", 1),
+        risen="SELECT u.*, p.n FROM up u JOIN positions p ON p.id = u.id AND p.observatory = u.observatory AND p.idx = u.idx",
+        down=walk("risen", "down", last, "p.n", -1),
+    )
+    for name in ("up", "down"):
+        text = text.replace(f"{name} AS (", f"{name}(id, observatory, idx, {columns}) AS (")
+    for name in ("positions", "risen"):
+        text = text.replace(f"{name} AS (", f"{name} AS MATERIALIZED (")
+    return recursive_sql(text)
+
+
 def convolved(a: str, b: str) -> str:
     return f"SELECT a.n + b.n AS n, sum(a.h * b.h) AS h FROM {a} a CROSS JOIN {b} b GROUP BY 1"
 
@@ -582,6 +703,34 @@ QUERIES = {
         ),
     ),
     "H18_band_pass": (band_passed, sql(FIR, "positions", kernel=kernel_sql(5, 12))),
+    "H18_recursive_band_pass": (recursive_band, two_way_sql([band_section()])),
+    "H20_recursive_cascade": (recursive_cascade, two_way_sql([band_section(), line_section()])),
+    "H16_arima_forecast": (
+        arima,
+        recursive_sql(
+            sql(
+                f"""SELECT id, observatory, h AS step, round({ARIMA_STEP}, 6) AS forecast
+                    FROM ends, (SELECT CAST(unnest(range(1, 67)) AS INTEGER) AS h)""",
+                "dense",
+                **arima_sql("dense", "size", "capture_dttm"),
+            )
+        ),
+    ),
+    "H17_arima_residuals": (
+        arima_rest,
+        recursive_sql(
+            sql(
+                f"""SELECT id, observatory, idx, round(v, 6) AS actual, round(pred, 6) AS pred, round(v - pred, 6) AS residual
+                    FROM (SELECT p.*, {ARIMA_STEP} AS pred FROM (SELECT *, idx - n_train AS h FROM pos WHERE idx > n_train) p
+                          JOIN ends USING (id, observatory))""",
+                "dense",
+                means=RESIDUAL["means"],
+                pos=RESIDUAL["pos"],
+                fitted_rows="SELECT * FROM pos WHERE idx <= n_train",
+                **arima_sql("fitted_rows", "v", "idx"),
+            )
+        ),
+    ),
     "H19_remove_lines": (notched, NOTCH_SQL),
     "H20_cascade": (
         cascaded,
