@@ -1,22 +1,27 @@
 """Approximate nearest neighbours: NN-descent builds a graph, queries search it greedily.
 
-Equal vectors form one node (its smallest id), so a very common vector is one node however often it
-occurs. Every node starts with neighbours from lists of nodes on the same side of random planes and
-improves them in rounds (Dong, Moses, Li 2011): a join brings a node's neighbours and reverse neighbours
-together with their vectors, they are introduced to each other where one of the pair is new since the last
-round, and each node keeps the ``k`` nearest of what its lists propose. Rounds end when few entries change.
+Equal vectors form one node, so a very common vector is one node however often it occurs. Nodes start with the
+nearest they meet in the leaves of a few random-projection trees and improve their lists in rounds (Dong, Moses, Li
+2011): a node's neighbours and reverse neighbours are introduced to each other where one of the pair is new since the
+last round, and each node keeps the ``k`` nearest of what all lists propose. Rounds end when few entries change.
 Reverse lists are cut to ``reverse`` entries, as the algorithm prescribes: that bounds the work at a node
 that is near to everything, and concerns the building of the graph, not which rows can be found.
 
+Nodes are dealt to cells of about ``CELL`` by a hash. In a round a cell gets its nodes' lists, and every vector that they
+name once; the introductions run there as matrix products, and the proposals are cut to the ``k`` nearest of each
+node before they move to its cell.
+
 A query walks the graph: from the nodes it knows it looks at the neighbours of its ``beam`` nearest nodes not
-yet looked at, round by round for all queries at once, until no query finds a node to look at among its
-``beam`` nearest. Final distances are computed anew in double precision on the original vectors.
-Every join shuffles ids and vectors of bounded lists; nothing is collected but counts.
+yet looked at, ``step`` at a time for all queries at once, until no query finds a node to look at among its
+``beam`` nearest. ``SAMPLE`` queries are then held against all nodes, in blocks; while less than ``TARGET`` of their nearest
+were found, the walk goes on with twice the beam, so the recall does not fall as tables grow. Final distances are computed
+anew in double precision on the original vectors. Nothing is collected but counts, the sample's results and the trees, which are
+split on at most ``TREE_SAMPLE`` vectors; every vector is in the graph.
 
 Defined cases: vectors that are null, of another length than the most common one, zero, or hold null or non-finite
-components take no part, neither as query nor as candidate. Repeated ids: every row is a candidate of its own. Ties go to
-smaller ids. Fewer candidates than asked for: all of them. A null id takes no part. An empty table
-gives an empty result. Other columns are ignored.
+components take no part, neither as query nor as candidate. Repeated ids: every row is a query and a candidate of its
+own, only the query's own row is left out. Ties go to smaller ids. Fewer candidates than asked for: all of them. A null id takes no
+part. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,31 +38,31 @@ from faintline.session import settle
 
 GRAPH = 24  # neighbours per node
 REVERSE = 24
-STARTS = 4  # first lists per node
-PROPOSALS = 4  # nearest that a list proposes to each of its members in one round
-ROUNDS = 12
-STOP = 0.005  # share of entries that change in the last round
-BEAM = 200
-STEP = 32  # nodes a query looks at in one round
-
-
-def _distances(a: str, b: str):
-    """Adds ``d``, the Euclidean distance of two vector columns, to Arrow batches and drops the vectors."""
+TREES = 4
+LEAF = 512  # nodes that meet in a leaf of a tree
+TREE_SAMPLE = 20_000
+CELL = 1024
+ROUNDS = 8
+STOP = 0.02  # share of entries that change in the last round
+BEAM = 192
+STEP = 48  # nodes a query looks at in one round
+SAMPLE = 128  # queries whose results are held against all nodes
+TARGET = 0.95  # share of their true neighbours that must be found
+NODE = "a long, v array<float>, bs array<long>, ds array<float>, fresh array<boolean>"
+PAIR = "a long, b long, d float"
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (_matrix(batch.column(c)) for c in (a, b))
-            d = np.sqrt(((x - y) ** 2).sum(axis=1))
-            rest = [c for c in batch.schema.names if c not in (a, b)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(d)], [*rest, "d"])
 
-    return add
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1 if len(column) else 0)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column, and the lists' lengths."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
 
 
 def euclidean(x: Column, y: Column) -> Column:
@@ -65,187 +70,323 @@ def euclidean(x: Column, y: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
 
 
-def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """``id, v``: rows that take part, as doubles, all of the most common length."""
+def usable(vectors: DataFrame, vec_id: str, embedding: str, is_query: Column) -> DataFrame:
+    """``id, v, asks``: rows that take part, as doubles, all of the most common length; whether they are queries."""
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
+    same_zero = F.transform(F.col(embedding).cast("array<double>"), lambda x: x + F.lit(0.0))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), same_zero.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.filter("id IS NOT NULL AND v IS NOT NULL").filter(finite & F.exists("v", lambda x: x != 0))
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.filter(F.size("v") == (length.n if length else 0))
 
 
-def _introduce(k: int):
-    """All pairs of each row's list ``near`` (id, fresh, limit, v) with a fresh member: the ``k`` nearest of every member
-    that lie within its limit, as ``a, b, d``."""
-
-    def introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("near")
-            cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            flat = lists.flatten()
-            ids = flat.field("id").to_numpy()
-            fresh = flat.field("fresh").to_numpy(zero_copy_only=False).astype(bool)
-            limits = flat.field("limit").to_numpy()
-            vectors = _matrix(flat.field("v"))
-            a, b, d = [], [], []
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if hi - lo < 2:
-                    continue
-                x = vectors[lo:hi].astype(np.float64)
-                square = (x * x).sum(axis=1)
-                apart = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0.0))
-                new = fresh[lo:hi]
-                apart[~(new[:, None] | new[None, :])] = np.inf
-                np.fill_diagonal(apart, np.inf)
-                apart[apart >= limits[lo:hi, None]] = np.inf
-                most = min(k, hi - lo - 1)
-                near = np.argpartition(apart, most - 1, axis=1)[:, :most]
-                one = np.repeat(np.arange(hi - lo), most)
-                other = near.ravel()
-                found = apart[one, other]
-                good = np.isfinite(found)
-                a.append(ids[lo:hi][one[good]]), b.append(ids[lo:hi][other[good]]), d.append(found[good])
-            if a:
-                columns = [pa.array(np.concatenate(c)) for c in (a, b, d)]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "d"])
+# ---------------------------------------------------------------- lists of near nodes
+
+
+def _unique(a: np.ndarray, b: np.ndarray, d: np.ndarray, fresh: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` nearest different ``b`` of every ``a``, by distance and id; of equal pairs one that is not fresh."""
+    order = np.lexsort((fresh, b, a))
+    a, b, d, fresh = a[order], b[order], d[order], fresh[order]
+    first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+    a, b, d, fresh = a[first], b[first], d[first], fresh[first]
+    order = np.lexsort((b, d, a))
+    a, b, d, fresh = a[order], b[order], d[order], fresh[order]
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+    rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.r_[starts, len(a)]))
+    near = rank < k
+    return a[near], b[near], d[near], fresh[near]
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "d": pa.array(d, pa.float32())})
+
+
+def _apart(x: np.ndarray) -> np.ndarray:
+    """Distances within each matrix of a stack."""
+    square = np.einsum("...ij,...ij->...i", x, x)
+    return np.sqrt(np.maximum(square[..., :, None] + square[..., None, :] - 2 * x @ np.swapaxes(x, -1, -2), 0.0))
+
+
+def _met(k: int):
+    """All nodes of a leaf against each other: the ``k`` nearest of each."""
+
+    def meet(leaf: pa.Table) -> pa.Table:
+        ids, apart = leaf["a"].to_numpy(), _apart(_matrix(leaf["v"]))
+        n = len(ids)
+        if n < 2:
+            return _pairs(ids[:0], ids[:0], ids[:0])
+        np.fill_diagonal(apart, np.inf)
+        most = min(k, n - 1)
+        near = np.argpartition(apart, most - 1, axis=1)[:, :most]
+        return _pairs(np.repeat(ids, most), ids[near.ravel()], np.take_along_axis(apart, near, axis=1).ravel())
+
+    return meet
+
+
+def _introduced(k: int, longest: int):
+    """A cell's lists ``m, o, fresh`` and the vectors they name: all pairs of a list with a fresh member that are nearer
+    than a member's limit; of those the ``k`` nearest of every member."""
+
+    def introduce(lists: pa.Table, named: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.int64)
+        if not len(lists):
+            return _pairs(none, none, none)
+        named = named.sort_by("a")
+        ids, vectors, limits = named["a"].to_numpy(), _matrix(named["v"]), named["far"].to_numpy()
+        m, other, fresh = lists["m"].to_numpy(), np.searchsorted(ids, lists["o"].to_numpy()), lists["fresh"].to_numpy()
+        order = np.lexsort((other, m))
+        m, other, fresh = m[order], other[order], fresh[order]
+        starts = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
+        row = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(m)]))
+        place = np.arange(len(m)) - starts[row]
+        who = np.full((len(starts), longest), -1)
+        new = np.zeros((len(starts), longest), bool)
+        who[row, place], new[row, place] = other, fresh
+        found = (none, none, np.zeros(0, np.float32), np.zeros(0, bool))
+        active = np.flatnonzero(new.any(axis=1))
+        for at in range(0, len(active), 128):
+            w, f = who[active[at : at + 128]], new[active[at : at + 128]]
+            apart = _apart(vectors[w])
+            there = w >= 0
+            good = (f[:, :, None] | f[:, None, :]) & there[:, :, None] & there[:, None, :] & (apart < limits[w][:, :, None])
+            good &= w[:, :, None] != w[:, None, :]
+            part, i, j = np.nonzero(good)
+            a, b = ids[w[part, i]], ids[w[part, j]]
+            more = (a, b, apart[part, i, j].astype(np.float32), np.zeros(len(a), bool))
+            found = _unique(*[np.concatenate(x) for x in zip(found, more)], k)
+        return _pairs(*found[:3])
 
     return introduce
 
 
-def _nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest of every node from ``a, b, d, fresh``; an entry that was there before keeps its mark."""
-    ordered = F.sort_array(F.collect_set(F.struct("d", "b", "fresh")))
-    # the same pair may come with distances that differ in the last bit, so ids are compared, not neighbours in the list
-    rows = pairs.groupBy("a", "b").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
-    return rows.groupBy("a").agg(F.slice(ordered, 1, k).alias("near"))
+def _kept(k: int):
+    """A cell's nodes with the nearest of their neighbours and of what was proposed to them."""
+
+    def keep(nodes: pa.Table, proposed: pa.Table) -> pa.Table:
+        if not len(nodes):
+            return nodes.select(["a", "v", "bs", "ds", "fresh"])
+        nodes = nodes.sort_by("a")
+        ids = nodes["a"].to_numpy()
+        bs, lengths = _flat(nodes["bs"])
+        old = (np.repeat(ids, lengths), bs, _flat(nodes["ds"])[0], np.zeros(len(bs), bool))
+        new = (proposed["a"].to_numpy(), proposed["b"].to_numpy(), proposed["d"].to_numpy(), np.ones(len(proposed), bool))
+        a, b, d, fresh = _unique(*[np.concatenate([x.astype(y.dtype), y]) for x, y in zip(old, new)], k)
+        bounds = pa.array(np.searchsorted(a, np.r_[ids, np.iinfo(np.int64).max]), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x, t)) for x, t in ((b, pa.int64()), (d, pa.float32()), (fresh, pa.bool_()))]
+        return pa.table([nodes["a"], nodes["v"], *lists], ["a", "v", "bs", "ds", "fresh"])
+
+    return keep
+
+
+# ---------------------------------------------------------------- trees
 
 
-def first_lists(nodes: DataFrame, size: int, seed: int) -> DataFrame:
-    """Lists of about ``size`` nodes that lie on the same side of random planes, ``STARTS`` per node.
+def _grown(sample: np.ndarray, depth: int, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Planes and cuts of a tree, nodes numbered as in a heap; every cut is the median of its part of the sample."""
+    planes = draw.standard_normal(((1 << depth) - 1, sample.shape[1])).astype(np.float32)
+    cuts, parts = np.zeros(len(planes), np.float32), [np.arange(len(sample))]
+    for node in range(len(planes)):
+        part = parts[node]
+        side = sample[part] @ planes[node]
+        cuts[node] = np.median(side) if len(part) else 0.0
+        parts += [part[side <= cuts[node]], part[side > cuts[node]]]
+    return planes, cuts
 
-    There are as many planes as make cells of that size if even; a larger cell is dealt into lists at random.
-    """
-    n = nodes.count()
-    bits = max(0, int(np.log2(max(1, n / size))))
 
-    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def leaves(nodes: DataFrame, n: int, trees: int, size: int, seed: int) -> DataFrame:
+    """``a, v, tree, leaf, part``: every node once in each tree. Leaves that came out larger are dealt into parts at random."""
+    depth = max(0, int(np.ceil(np.log2(max(1, n / size)))))
+    chosen = nodes.orderBy(F.xxhash64("a", F.lit(seed))).limit(TREE_SAMPLE).select("v") if n > TREE_SAMPLE else nodes.select("v")
+    sample = _matrix(chosen.toArrow()["v"])
+    draw = np.random.default_rng(seed)
+    grown = nodes.sparkSession.sparkContext.broadcast([_grown(sample, depth, draw) for _ in range(trees)])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column("v"))
-                draw = np.random.default_rng(seed)
-                codes = []
-                for _ in range(STARTS):
-                    plane = draw.standard_normal((x.shape[1], max(bits, 1)))
-                    codes.append(((x @ plane > 0) * (1 << np.arange(max(bits, 1)))).sum(axis=1) if bits else np.zeros(len(x), int))
-                codes = pa.array(list(np.stack(codes, axis=1).astype(np.int64)), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), codes], ["id", "v", "codes"])
-
-    coded = nodes.mapInArrow(sides, "id long, v array<float>, codes array<long>").select("id", "v", F.posexplode("codes").alias("s", "code"))
-    counts = coded.groupBy("s", "code").agg(F.count(F.lit(1)).alias("c")).select(F.col("s").alias("s_"), F.col("code").alias("code_"), "c")
-    part = F.pmod(F.xxhash64("id", "s"), F.ceil(F.col("c") / size))
-    dealt = coded.join(counts, (F.col("s") == F.col("s_")) & (F.col("code") == F.col("code_"))).withColumn("part", part)
-    member = F.struct("id", F.lit(True).alias("fresh"), F.lit(float("inf")).alias("limit"), "v")
-    return dealt.groupBy("s", "code", "part").agg(F.collect_list(member).alias("near")).select("near")
-
-
-def build_graph(nodes: DataFrame, k: int = GRAPH, reverse: int = REVERSE, seed: int = 11, rounds: int = ROUNDS) -> DataFrame:
-    """``a, near``: every node's ``k`` nearest found, an array of (d, b, fresh) by distance. ``nodes``: ``id, v``."""
-    n = nodes.count()
-    nodes = nodes.select("id", F.col("v").cast("array<float>").alias("v"))  # the graph is built in single precision
-    met = first_lists(nodes, 2 * k, seed).mapInArrow(_introduce(k // 2), "a long, b long, d double")
-    graph = settle(_nearest(met.withColumn("fresh", F.lit(True)), k), "graph")
+            x, found = _matrix(batch.column("v")) if batch.num_rows else np.zeros((0, 1)), []
+            for planes, cuts in grown.value:
+                at = np.zeros(len(x), np.int64)
+                for _ in range(depth):
+                    at = 2 * at + 1 + (np.einsum("ij,ij->i", x, planes[at]) > cuts[at])
+                found.append(at)
+            codes = pa.array(list(np.stack(found, axis=1)) if len(x) else [], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("v"), codes], ["a", "v", "leaves"])
+
+    routed = settle(nodes.select("a", "v").mapInArrow(route, "a long, v array<float>, leaves array<long>"), "leaves")
+    dealt = routed.select("a", "v", F.posexplode("leaves").alias("tree", "leaf"))
+    sizes = dealt.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("c")).withColumnsRenamed({"tree": "tree_", "leaf": "leaf_"})
+    part = F.pmod(F.xxhash64("a", "tree"), F.ceil(F.col("c") / (2 * size)))
+    return dealt.join(sizes, (F.col("tree") == F.col("tree_")) & (F.col("leaf") == F.col("leaf_"))).select("a", "v", "tree", "leaf", part.alias("part"))
+
+
+# ---------------------------------------------------------------- the graph
+
+
+def build_graph(named: DataFrame, k: int = GRAPH, reverse: int = REVERSE, seed: int = 11, rounds: int = ROUNDS) -> DataFrame:
+    """``a, v, bs, ds, fresh``: every node's ``k`` nearest found, by distance. ``named``: ``id, v``."""
+    n = named.count()
+    cells = max(1, -(-n // CELL))
+
+    def cell(name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(cells)).cast("int").alias("cell")
+
+    def merged(graph: DataFrame, proposed: DataFrame, name: str) -> DataFrame:
+        left, right = graph.withColumn("cell", cell("a")), proposed.withColumn("cell", cell("a"))
+        return settle(left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(_kept(k), NODE), name)
+
+    nodes = named.select(F.col("id").alias("a"), F.col("v").cast("array<float>").alias("v"))  # the graph is built in single precision
+    met = leaves(nodes, n, TREES, LEAF, seed).groupBy("tree", "leaf", "part").applyInArrow(_met(k // 2), PAIR)
+    empty = [F.array().cast(t).alias(c) for c, t in (("bs", "array<long>"), ("ds", "array<float>"), ("fresh", "array<boolean>"))]
+    graph = merged(nodes.select("a", "v", *empty), met, "graph")
     for turn in range(rounds):
-        edges = graph.select("a", F.explode("near").alias("e")).select("a", F.col("e.b").alias("b"), F.col("e.d").alias("d"), F.col("e.fresh").alias("fresh"))
-        # a node's list: its neighbours, and of those that have it as neighbour a fixed number, chosen by a
-        # hash that changes from round to round, entries that are new before others
+        edges = graph.select("a", F.explode(F.arrays_zip("bs", "fresh")).alias("e")).select("a", F.col("e.bs").alias("b"), F.col("e.fresh").alias("fresh"))
+        # of the nodes that have a node as neighbour a fixed number, chosen by a hash that changes from round to
+        # round, entries that are new before others
         few = Window.partitionBy("b").orderBy(F.desc("fresh"), F.xxhash64(F.lit(turn), "a", "b"))
         back = edges.withColumn("r", F.row_number().over(few)).filter(F.col("r") <= reverse)
-        around = edges.select(F.col("a").alias("m"), "b", "fresh").unionByName(back.select(F.col("b").alias("m"), F.col("a").alias("b"), "fresh"))
-        around = around.groupBy("m", "b").agg(F.max("fresh").alias("fresh"))
-        active = around.groupBy("m").agg(F.max("fresh").alias("any")).filter("any").select("m")
-        limits = graph.select(
-            F.col("a").alias("id"), F.when(F.size("near") >= k, F.element_at("near", -1)["d"]).otherwise(F.lit(float("inf"))).alias("limit")
-        )
-        known = nodes.join(limits, "id", "left").select(
-            F.col("id").alias("b"), F.struct("id", F.coalesce("limit", F.lit(float("inf"))).alias("limit"), "v").alias("n")
-        )
-        lists = (
-            around.join(active, "m", "left_semi")
-            .join(known, "b")
-            .groupBy("m")
-            .agg(F.collect_list(F.struct(F.col("n.id").alias("id"), "fresh", F.col("n.limit").alias("limit"), F.col("n.v").alias("v"))).alias("near"))
-            .select("near")
-        )
-        new = lists.mapInArrow(_introduce(PROPOSALS), "a long, b long, d double").withColumn("fresh", F.lit(True))
-        graph = settle(_nearest(edges.withColumn("fresh", F.lit(False)).unionByName(new), k), "graph")
-        changed = graph.select(F.explode("near").alias("e")).filter("e.fresh").count()
+        around = edges.select(F.col("a").alias("m"), F.col("b").alias("o"), "fresh").unionByName(back.select(F.col("b").alias("m"), F.col("a").alias("o"), "fresh"))
+        lists = settle(around.withColumn("cell", cell("m")), "lists")
+        far = F.when(F.size("ds") >= k, F.element_at("ds", -1)).otherwise(F.lit(float("inf"))).cast("float")
+        wanted = lists.select(F.col("cell").alias("at"), F.col("o").alias("a")).distinct().join(graph.select("a", "v", far.alias("far")), "a")
+        met = lists.groupBy("cell").cogroup(wanted.groupBy("at")).applyInArrow(_introduced(k, k + reverse), PAIR)
+        graph = merged(graph, met, "graph")
+        changed = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] or 0
         if changed <= STOP * n * k:
             break
     return graph
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, step: int = STEP) -> DataFrame:
-    """``q, found``: for every query (a node id ``q``) the ``beam`` nearest nodes reached, an array of (d, b, looked)."""
-    edges = graph.select("a", F.explode("near").alias("e")).select("a", F.col("e.b").alias("b"), F.col("e.d").alias("d"))
-    # a walk may also go to nodes that have this one as neighbour; the nearest few of them, beside all its own
+# ---------------------------------------------------------------- searching
+
+FOUND = "q long, x array<float>, ids array<long>, ds array<float>, looked array<boolean>"
+
+
+def _walked(beam: int):
+    """A query's state with the nodes newly measured: its ``beam`` nearest."""
+
+    def walk(state: pa.Table, reached: pa.Table) -> pa.Table:
+        if not len(state):
+            return state.select(["q", "x", "ids", "ds", "looked"])
+        x = _matrix(state["x"])[0]
+        ids, ds, looked = (_flat(state[c])[0] for c in ("ids", "ds", "looked"))
+        if len(reached):
+            more = reached["b"].to_numpy()
+            apart = np.sqrt(((_matrix(reached["v"]) - x) ** 2).sum(axis=1))
+            ids, ds = np.r_[ids, more], np.r_[ds, apart].astype(np.float32)
+            looked = np.r_[looked, np.zeros(len(more), bool)]
+        order = np.lexsort((ids, ds))[:beam]
+        columns = [state["q"], state["x"], *(pa.array([v.tolist()], t) for v, t in ((ids[order], pa.list_(pa.int64())), (ds[order], pa.list_(pa.float32())), (looked[order], pa.list_(pa.bool_()))))]
+        return pa.table(columns, ["q", "x", "ids", "ds", "looked"])
+
+    return walk
+
+
+def links_of(graph: DataFrame) -> DataFrame:
+    """``a, next``: a node's neighbours, and of the nodes that have it as neighbour the nearest few."""
+    edges = graph.select("a", F.explode(F.arrays_zip("bs", "ds")).alias("e")).select("a", F.col("e.bs").alias("b"), F.col("e.ds").alias("d"))
     few = Window.partitionBy("b").orderBy("d", "a")
     back = edges.withColumn("r", F.row_number().over(few)).filter(F.col("r") <= REVERSE)
     both = edges.select("a", "b").unionByName(back.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = settle(both.groupBy("a").agg(F.collect_set("b").alias("next")), "graph-links")
-    vectors = nodes.select(F.col("id").alias("b"), F.col("v").alias("y"))
-    wanted = settle(queries.select("q").distinct().join(nodes.select(F.col("id").alias("q"), F.col("v").alias("x")), "q"), "queries")
-    start = F.transform("near", lambda e: F.struct(e["d"].alias("d"), e["b"].alias("b"), F.lit(False).alias("looked")))
-    # a query is a node, so its walk begins at its own neighbours, and at itself
-    state = wanted.select("q").join(graph.select(F.col("a").alias("q"), start.alias("found")), "q", "left")
-    own = F.array(F.struct(F.lit(0.0).alias("d"), F.col("q").alias("b"), F.lit(True).alias("looked")))
-    state = settle(state.select("q", F.coalesce(F.concat(own, "found"), own).alias("found")), "search")
+    return settle(both.groupBy("a").agg(F.collect_set("b").alias("next")), "graph-links")
+
+
+def _start(graph: DataFrame, queries: DataFrame) -> DataFrame:
+    """A query is a node, so its walk begins at its own neighbours, and at itself."""
+    own = queries.select(F.col("q").alias("a")).distinct().join(graph.select("a", "v", "bs", "ds"), "a")
+    state = own.select(
+        F.col("a").alias("q"), F.col("v").alias("x"), F.concat(F.array("a"), "bs").alias("ids"), F.concat(F.array(F.lit(0.0).cast("float")), "ds").alias("ds"),
+        F.concat(F.array(F.lit(True)), F.transform("bs", lambda b: F.lit(False))).alias("looked"),
+    )
+    return settle(state, "search")
+
+
+def _walk(state: DataFrame, links: DataFrame, vectors: DataFrame, beam: int, step: int) -> DataFrame:
+    """Walk on until no query has a node to look at among its ``beam`` nearest. Twice as many are remembered."""
     while True:
-        open_ = F.slice(F.filter("found", lambda e: ~e["looked"]), 1, step)
-        now = state.select("q", F.explode(open_).alias("e")).select("q", F.col("e.b").alias("a"))
-        if not now.limit(1).count():
+        near = F.slice(F.arrays_zip("ids", "looked"), 1, beam)
+        places = F.slice(F.filter(near, lambda e: ~e["looked"]), 1, step)
+        now = settle(state.select("q", F.explode(places).alias("e")).select("q", F.col("e.ids").alias("a")), "open")
+        if now.isEmpty():
             return state
-        reached = now.join(links, "a").select("q", F.explode("next").alias("b")).distinct()
-        known = state.select("q", F.explode("found").alias("e")).select("q", F.col("e.b").alias("b"))
-        fresh = reached.join(known, ["q", "b"], "left_anti").join(vectors, "b").join(wanted, "q")
-        measured = fresh.select(F.col("q").alias("a"), "b", "x", "y").mapInArrow(_distances("x", "y"), "a long, b long, d double")
-        more = measured.groupBy(F.col("a").alias("q")).agg(
-            F.collect_list(F.struct("d", "b", F.lit(False).alias("looked"))).alias("more")
-        )
-        seen = now.groupBy("q").agg(F.collect_set("a").alias("seen"))
-        marked = F.transform(
-            "found", lambda e: F.struct(e["d"].alias("d"), e["b"].alias("b"), (e["looked"] | F.array_contains("seen", e["b"])).alias("looked"))
-        )
-        joined = state.join(seen, "q", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<bigint>"))).join(more, "q", "left")
-        merged = F.sort_array(F.concat(marked, F.coalesce("more", F.array().cast("array<struct<d:double,b:bigint,looked:boolean>>"))))
-        state = settle(joined.select("q", F.slice(merged, 1, beam).alias("found")), "search")
+        reached = now.join(links, "a").select("q", F.explode("next").alias("b"), F.lit(False).alias("known"))
+        known = state.select("q", F.explode("ids").alias("b"), F.lit(True).alias("known"))
+        fresh = reached.unionByName(known).groupBy("q", "b").agg(F.max("known").alias("known")).filter("NOT known")
+        measured = fresh.join(vectors, "b").select("q", "b", "v")
+        opened = F.transform(places, lambda e: e["ids"])
+        marked = state.withColumn("opened", opened)
+        marked = marked.withColumn("looked", F.zip_with("ids", "looked", lambda i, done: done | F.array_contains("opened", i))).drop("opened")
+        state = settle(marked.groupBy("q").cogroup(measured.groupBy("q")).applyInArrow(_walked(2 * beam), FOUND), "search")
+
+
+def recall(state: DataFrame, vectors: DataFrame, k: int, seed: int = 5) -> float:
+    """Share of the ``k`` nearest nodes of up to ``SAMPLE`` queries that their walks found; all nodes are measured."""
+    drawn = state.orderBy(F.xxhash64("q", F.lit(seed)), "q").limit(SAMPLE).select("q", "x", F.slice("ids", 1, k + 1).alias("ids")).toArrow()
+    if not len(drawn):
+        return 1.0
+    x = _matrix(drawn["x"]).astype(np.float64)
+    shared = state.sparkSession.sparkContext.broadcast(x)
+
+    def nearest_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, none = shared.value, np.zeros(0, np.int64)
+        best = (none, none, np.zeros(0, np.float32), np.zeros(0, bool))
+        for batch in batches:
+            if batch.num_rows:
+                y, ids = _matrix(batch.column("v")).astype(np.float64), batch.column("b").to_numpy()
+                apart = np.sqrt(np.maximum((asked**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * asked @ y.T, 0.0))
+                most = min(k + 1, len(ids))
+                near = np.argpartition(apart, most - 1, axis=1)[:, :most]
+                more = (np.repeat(np.arange(len(asked)), most), ids[near.ravel()], np.take_along_axis(apart, near, axis=1).ravel().astype(np.float32))
+                best = _unique(*[np.concatenate(z) for z in zip(best, (*more, np.zeros(near.size, bool)))], k + 1)
+        yield from _pairs(*best[:3]).to_batches()
+
+    found = vectors.mapInArrow(nearest_here, PAIR).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "b"))), 1, k + 1).alias("near"))
+    true = {r.a: {e.b for e in r.near} for r in found.collect()}
+    got = drawn["ids"].to_pylist()
+    return sum(len(true[i] & set(ids)) - 1 for i, ids in enumerate(got)) / max(1, sum(len(t) - 1 for t in true.values()))
+
+
+def search(graph: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, step: int = STEP, target: float = TARGET) -> DataFrame:
+    """``q, ids``: for every query (a node ``q``) the nearest nodes reached."""
+    links, vectors, n = links_of(graph), graph.select(F.col("a").alias("b"), "v"), graph.count()
+    state = _start(graph, queries)
+    while True:
+        state = _walk(state, links, vectors, beam, step)
+        if beam >= n or recall(state, vectors, k) >= target:
+            return state.select("q", F.slice("ids", 1, beam).alias("ids"))
+        beam, step = 2 * beam, 2 * step
 
 
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", beam: int = BEAM
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows found for every row that ``is_query`` marks."""
-    rows = usable(vectors, vec_id, embedding)
-    marked = vectors.filter(is_query).select(F.col(vec_id).cast("long").alias("id")).distinct()
-    # one node per distinct vector; rows of a node are counted, never gathered
-    named = rows.groupBy("v").agg(F.min("id").alias("node"))
-    # a repeated id may stand for several vectors, so nodes are named by number and vector
-    named = settle(named.select(F.xxhash64("node", "v").alias("id"), "v"), "nodes")
-    members = settle(rows.select("id", F.col("v").alias("w")).join(named.select(F.col("id").alias("node"), "v"), F.col("w") == F.col("v")).select("id", "node"), "members")
-    graph = build_graph(named)
-    asked = settle(members.join(marked, "id", "left_semi").select(F.col("id").alias("query_id"), F.col("node").alias("q")).distinct(), "asked")
-    found = search(named, graph, asked, beam)
-    reached = found.select("q", F.explode("found").alias("e")).select("q", F.col("e.b").alias("b"))
+    rows, salt = usable(vectors, vec_id, embedding, is_query), 0
+    # one node per distinct vector, named by a hash of the vector that no two vectors share
+    distinct = settle(rows.select("v").distinct(), "vectors")
+    while True:
+        name = F.xxhash64(F.lit(salt), F.col("v"))
+        total, names = distinct.agg(F.count("v"), F.count_distinct(name)).first()
+        if total == names:
+            break
+        salt += 1
+    graph = build_graph(distinct.select(name.alias("id"), "v"))
+    members = settle(rows.select(F.monotonically_increasing_id().alias("row"), "id", name.alias("node"), "asks"), "members")
+    asked = members.filter("asks").select(F.col("row").alias("own"), F.col("id").alias("query_id"), F.col("node").alias("q"))
+    found = settle(search(graph, asked.select("q"), k, beam), "found")
     # of a node's rows no more can be among the nearest than are asked for, beside the query's own
-    first = Window.partitionBy("node").orderBy("id")
-    few = members.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1).select("id", "node")
-    exact = (
-        reached.join(named.select(F.col("id").alias("q"), F.col("v").alias("x")), "q")
-        .join(named.select(F.col("id").alias("b"), F.col("v").alias("y")), "b")
+    first = Window.partitionBy("node").orderBy("id", "row")
+    few = members.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1).select("row", "id", "node")
+    exact = distinct.select(name.alias("node"), "v")
+    scored = (
+        found.select("q", F.explode("ids").alias("b"))
+        .join(exact.select(F.col("node").alias("q"), F.col("v").alias("x")), "q")
+        .join(exact.select(F.col("node").alias("b"), F.col("v").alias("y")), "b")
         .select("q", "b", euclidean(F.col("x"), F.col("y")).alias("score"))
     )
-    candidates = asked.join(exact, "q").join(few.select(F.col("id").alias("vec_id"), F.col("node").alias("b")), "b").filter("vec_id <> query_id")
-    best = candidates.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("r", "e")).select(
+    candidates = scored.join(few.select("row", F.col("id").alias("vec_id"), F.col("node").alias("b")), "b")
+    close = candidates.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id", "row"))), 1, k + 1).alias("near"))
+    others = asked.join(close, "q").withColumn("near", F.slice(F.filter("near", lambda e: e["row"] != F.col("own")), 1, k))
+    return others.select("query_id", F.posexplode("near").alias("r", "e")).select(
         "query_id", (F.col("r") + 1).alias("rank"), F.col("e.vec_id").alias("vec_id"), F.col("e.score").alias("score")
     )
 
