@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from faintline.llm.common import fold, held_out, table, without
 from faintline.llm.grams import CHUNK, groups, text_bytes
 from faintline.llm.training import distinct_sample
+from faintline.session import settle
 
 ORDERS = (2, 3, 4)
 BUCKET_BITS = 14
@@ -48,8 +49,7 @@ KEPT_BACK = 0.25
 REJECT = 0.002
 LOST = 0.01
 SMOOTH = 0.1
-WEIGHT = 2000  # n-grams from which a text counts no more in the likelihoods
-SCRAMBLED = 2048  # bytes of a sampled text that are scrambled
+SLICE = 512  # rows handled together in a task
 UNKNOWN = "und"
 SCALE = 1 << 20  # of whole-number scores
 LETTER = r"\p{L}"
@@ -118,7 +118,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bucket counts of sampled texts."""
     for batch in batches:
         data, offsets = _lowered(batch.column("text"))
-        buckets, counts, scrambled = [], [], []
+        buckets, counts = [], []
         for i in range(batch.num_rows):
             total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
             for at in range(int(offsets[i]), int(offsets[i + 1]), CHUNK):
@@ -128,11 +128,30 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = np.flatnonzero(total)
             buckets.append(found.astype(np.int32))
             counts.append(total[found].astype(np.float32))
-            own = data[int(offsets[i]) : min(int(offsets[i + 1]), int(offsets[i]) + SCRAMBLED)]
-            own = np.random.default_rng(len(own)).permutation(own)
-            scrambled.append(np.concatenate([gram_buckets(own, order) for order in ORDERS]).astype(np.int32))
-        lists = [pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32())), pa.array(scrambled, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("__llm_key"), *lists], ["label", "key", "buckets", "counts", "scrambled"])
+        lists = [pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("__llm_key"), *lists], ["label", "key", "buckets", "counts"])
+
+
+def scrambled_scores(rows: DataFrame, table: np.ndarray) -> np.ndarray:
+    """The largest mean of ``table`` over the n-grams of each whole text with its bytes in random order."""
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = _lowered(batch.column("text"))
+            found = []
+            for i in range(batch.num_rows):
+                own = data[int(offsets[i]) : int(offsets[i + 1])]
+                own = np.random.default_rng(len(own)).permutation(own)
+                total = np.zeros(len(shared.value))
+                for at in range(0, len(own), CHUNK):
+                    for order in ORDERS:
+                        total += np.bincount(gram_buckets(own[at : at + CHUNK + order - 1], order), minlength=len(total))
+                if total.any():
+                    found.append(float((total @ shared.value / total.sum()).max()))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64())], ["s"])
+
+    return np.sort(rows.select("text").mapInArrow(scores, "s double").toArrow()["s"].to_numpy())
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -190,11 +209,15 @@ def bar(clean: np.ndarray, negatives: np.ndarray, lost: float = LOST) -> float:
 
 
 def familiarity(
-    buckets: list[np.ndarray], counts: list[np.ndarray], scrambled: list[np.ndarray], labels: np.ndarray, logits: np.ndarray
+    buckets: list[np.ndarray], counts: list[np.ndarray], sampled: DataFrame, labels: np.ndarray, logits: np.ndarray
 ) -> tuple[np.ndarray, float]:
-    """Log likelihood of every bucket in every language, less the language's median text, and the bar below which a text is in none."""
+    """Log likelihood of every bucket in every language, less the language's median text, and the bar below which a text is in none.
+
+    ``sampled``: the same texts, to be scrambled.
+    """
     n_labels, n_buckets = logits.shape[1], 1 << BUCKET_BITS
-    weights = [c * min(1.0, WEIGHT / c.sum()) for c in counts]
+    # texts count by the root of their length, so that one long text does not stand for its language
+    weights = [c / np.sqrt(c.sum()) for c in counts]
     total = np.zeros((n_buckets, n_labels))
     for b, w, k in zip(buckets, weights, labels):
         total[b, k] += w
@@ -206,7 +229,7 @@ def familiarity(
     usual = np.array([np.median(own[labels == k]) if (labels == k).any() else 0.0 for k in range(n_labels)])
     table -= usual
     clean = own - usual[labels]
-    negatives = [table[s].mean(axis=0).max() for s in scrambled if len(s)]
+    negatives = scrambled_scores(sampled, table).tolist()
     if n_labels > 1:
         others = logits.copy()
         others[np.arange(len(labels)), labels] = -np.inf
@@ -218,12 +241,12 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """A model of the labelled documents outside the held-out fold; None without any."""
     known = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("label"))
     known = known.filter((fold(F.col("id")) != 2) & F.col("label").isNotNull() & F.col("text").rlike(LETTER)).select("text", "label")
-    chosen = distinct_sample(known, F.xxhash64("text", "label"), sample, "label")
-    rows = chosen.mapInArrow(_features, "label string, key long, buckets array<int>, counts array<float>, scrambled array<int>").toArrow().sort_by("key")
+    chosen = settle(distinct_sample(known, F.xxhash64("text", "label"), sample, "label"), "sample")
+    rows = chosen.mapInArrow(_features, "label string, key long, buckets array<int>, counts array<float>").toArrow().sort_by("key")
     if not rows.num_rows:
         return None
     # ids and counts as views of the table, one per text
-    lists = {c: rows[c].combine_chunks() for c in ("buckets", "counts", "scrambled")}
+    lists = {c: rows[c].combine_chunks() for c in ("buckets", "counts")}
     buckets = [lists["buckets"][i].values.to_numpy() for i in range(rows.num_rows)]
     counts = [lists["counts"][i].values.to_numpy() for i in range(rows.num_rows)]
     full = [i for i, c in enumerate(counts) if len(c)]  # a text of one byte has no n-gram
@@ -244,8 +267,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     joint = embed @ layer
     logits = np.stack([counts[i] / counts[i].sum() @ joint[buckets[i]] for i in full]) + bias
     temperature, threshold = calibrate(logits[early], labels[back]) if len(back) else (1.0, 0.0)
-    scrambled = [lists["scrambled"][i].values.to_numpy() for i in full]
-    table, known = familiarity([buckets[i] for i in full], [counts[i] for i in full], scrambled, labels[full], logits)
+    table, known = familiarity([buckets[i] for i in full], [counts[i] for i in full], chosen, labels[full], logits)
     scores, seen = (np.zeros((len(joint) + 1, len(languages)), dtype=np.int64) for _ in range(2))
     scores[:-1] = np.round(joint.astype(float) * SCALE)
     seen[:-1] = np.round(table * SCALE)
@@ -264,9 +286,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") ->
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.languages, dtype=object)
         both = np.hstack([model.scores, model.seen])
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             data, offsets = _lowered(batch.column(text))
             sums, usual = np.split(gram_sums(data, offsets, both), 2, axis=1)
             n = np.maximum(gram_counts(np.diff(offsets)), 1)
