@@ -44,7 +44,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, names = _numbered(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    model = quality_svm.fit(quality_svm.labelled_texts(docs, labels))
+    model = quality_svm.fit(quality_svm.labelled_buckets(docs, labels))
     if model.weights is None:
         return docs
     return _named(quality_svm.score(rows, model, names["text"]).filter("predicted = 1"), names)

@@ -10,12 +10,14 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\x0c\r"
 GAP = r"[\x20\x09-\x0D]+"
-BROADCAST_ROWS = 4_000_000
 
 
 def spaceless(text: Column) -> Column:
@@ -66,7 +68,30 @@ def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Dat
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
 
 
-def sized_broadcast(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Short rows of keys, sent to every task if counting finds no more than ``most`` of them; beyond
-    that the join shuffles both sides."""
-    return F.broadcast(keys) if keys.count() <= most else keys
+FILTER_BITS = 25
+
+
+def presence(keys: DataFrame, key: Column) -> Broadcast:
+    """A bitmap of ``2 ** FILTER_BITS`` bits (4 MB whatever the number of keys) of the hashes of all keys.
+
+    It lets tasks leave out most rows without a partner before a join; the join decides.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    spots = keys.select(F.shiftright(place, 16).cast("int").alias("block"), place.bitwiseAND(F.lit(65535)).cast("int").alias("bit"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        bits = np.zeros(65536, bool)
+        bits[table["bit"].to_numpy()] = True
+        return pa.table({"block": table["block"].slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    found = spots.distinct().groupBy("block").applyInArrow(pack, "block int, bits binary").collect()
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in found:
+        out[row.block * 8192 : (row.block + 1) * 8192] = np.frombuffer(row.bits, np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(out)
+
+
+def present(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which 64-bit hashes may be those of keys in the bitmap."""
+    place = hashes & ((1 << FILTER_BITS) - 1)
+    return (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1

@@ -32,11 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faintline.llm.common import sized_broadcast, table
+from faintline.llm.common import presence, present, table
 from faintline.llm.components import connected_components
 from faintline.llm.grams import CHUNK, groups, mixed, run_hashes, spans, split_words, text_bytes
 from faintline.session import settle
@@ -137,11 +138,17 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], ["id", "n", "node", "bands", "sketch"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [v for v in shingle_sets(batch.column("text")) if len(v)]
-        keys = pa.array([_key(v) for v in found], pa.binary())
-        yield pa.RecordBatch.from_arrays([keys, pa.array([v.view(np.int64) for v in found], pa.list_(pa.int64()))], ["node", "shingles"])
+def _sets(bitmap: Broadcast):
+    """Key and full set of the documents whose hash ``hash`` is in the bitmap."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").filter(pa.array(present(bitmap.value, batch.column("hash").to_numpy())))
+            found = [v for v in shingle_sets(texts) if len(v)]
+            keys = pa.array([_key(v) for v in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, pa.array([v.view(np.int64) for v in found], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return sets
 
 
 def _search(percent: int):
@@ -209,10 +216,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     shared = settle(members.join(firsts, same).select("node", "n", "band", "code", "first", "members"), "buckets")
     near = 100 * F.least("n", "first.n") >= percent * F.greatest("n", "first.n")
     stars = settle(shared.filter((F.col("node") != F.col("first.node")) & near).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    wanted = sized_broadcast(shared.select("node").distinct())
-    ids = sized_broadcast(classes.join(wanted, "node", "left_semi").select(F.col("id").alias("wanted")).distinct())
-    candidates = rows.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
-    sets = candidates.mapInArrow(_sets, "node binary, shingles array<long>").join(wanted, "node", "left_semi")
+    # the full sets of these classes: other documents are left out by a bitmap of ids, and what passes it by the join
+    wanted = shared.select("node").distinct()
+    bitmap = presence(classes.join(wanted, "node", "left_semi"), F.col("id"))
+    hashed = rows.select(F.xxhash64("id").alias("hash"), "text")
+    sets = hashed.mapInArrow(_sets(bitmap), "node binary, shingles array<long>").join(wanted.hint("merge"), "node", "left_semi")
     sets = settle(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     common = F.size(F.array_intersect("s", "t"))
     links = settle(

@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faintline.llm.common import sized_broadcast, spaceless, table, without, words
+from faintline.llm.common import spaceless, table, without, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -111,14 +111,21 @@ def ngrams(hashes: Column) -> Column:
     return _bind(hashes, both)
 
 
+def gram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
+    """The buckets of a text's n-grams, two bytes each."""
+    if buckets > 1 << 15:
+        raise ValueError("a bucket's number must fit two bytes")
+    return F.transform(ngrams(word_hashes(text)), lambda h: F.pmod(h, F.lit(buckets)).cast("short"))
+
+
 def llr_table(corpus: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """log(trusted share / corpus share) of every bucket, add-one smoothed.
 
-    ``corpus``: ``hashes`` of a whole text's words, ``trusted`` boolean. The driver gets ``buckets`` rows.
+    ``corpus``: ``grams`` of whole texts, ``trusted`` boolean. The driver gets ``buckets`` rows.
     """
     counts = (
-        corpus.select("trusted", F.explode(ngrams(F.col("hashes"))).alias("gram"))
-        .groupBy(F.pmod("gram", F.lit(buckets)).cast("int").alias("bucket"))
+        corpus.select("trusted", F.explode("grams").alias("bucket"))
+        .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("trusted"), 1)).alias("t"))
         .collect()
     )
@@ -149,16 +156,15 @@ def quality_rules(
 
     ``trusted_ids``: one column named like ``doc_id``, the ids of trusted documents.
     """
-    trusted = sized_broadcast(
-        trusted_ids.select(F.col(doc_id).alias("__llm_trusted")).filter("__llm_trusted is not null").distinct()
-    )
+    trusted = trusted_ids.select(F.col(doc_id).alias("__llm_trusted")).filter("__llm_trusted is not null").distinct().hint("merge")
     plain = docs.select(F.col(doc_id).alias("__llm_id"), F.col(text).alias("text"))
-    flagged = plain.join(trusted, F.col("__llm_id") == F.col("__llm_trusted"), "left").select(
-        F.col("__llm_trusted").isNotNull().alias("trusted"), word_hashes(F.col("text")).alias("hashes")
-    )
-    ratios = llr_table(flagged, buckets)
-    score = llr_score(F.col("hashes"), ratios, buckets)
-    n, mean, deviation = flagged.filter("trusted").select(score.alias("s")).agg(F.count("s"), F.avg("s"), F.stddev_pop("s")).first()
+    # texts stay where they are: their buckets, and then their scores, meet the trusted ids
+    grams = plain.select("__llm_id", gram_buckets(F.col("text"), buckets).alias("grams"))
+    marked = grams.join(trusted, F.col("__llm_id") == F.col("__llm_trusted"), "left")
+    ratios = llr_table(marked.select(F.col("__llm_trusted").isNotNull().alias("trusted"), "grams"), buckets)
+    scores = plain.select("__llm_id", llr_score(word_hashes(F.col("text")), ratios, buckets).alias("s"))
+    known = scores.join(trusted, F.col("__llm_id") == F.col("__llm_trusted"))
+    n, mean, deviation = known.agg(F.count("s"), F.avg("s"), F.stddev_pop("s")).first()
     threshold = round(mean - deviations * deviation, 6) if n else 0.0
     out = without(docs, [c for c in ADDED if c not in (doc_id, text)])
     own, hashes = F.col(text), F.col("__llm_hashes")

@@ -7,9 +7,9 @@ outside the held-out fold. A linear model with squared hinge loss is then fitted
 indicators by dual coordinate descent, in numpy on the driver, on a bounded sample of those texts
 (``sample``). A part of the sample is kept back to turn margins into chances by a logistic curve.
 
-The counts are added up per task as one vector per class and merged by bucket, so n-grams are not
-shuffled; texts meet their labels in a broadcast join if the labels are counted to be few enough, otherwise
-in a shuffled one. Texts are scored whole in their own tasks.
+A text is reduced to its buckets, two bytes each, in the scan; those meet the labels in a shuffled join, the same at
+every size, and texts are never shuffled. The counts are added up per task as one vector per class and merged by
+bucket. Texts are scored whole in their own tasks, ``SLICE`` of them at a time.
 
 Defined cases: a null or empty text has no indicator and gets the score of the model's bias. Rows
 without label or id are scored but not learned from; a document with several labels is learned from
@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faintline.llm.common import fold, held_out, sized_broadcast, table, without
+from faintline.llm.common import fold, held_out, table, without
 from faintline.llm.grams import CHUNK, SPACE, groups, pairs, spans, text_bytes, words_of
 from faintline.llm.training import distinct_sample
+from faintline.session import settle
 
-BUCKET_BITS = 16
+BUCKET_BITS = 16  # a bucket's number has two bytes
+SLICE = 512
 SAMPLE = 4000
 SMOOTH = 1.0
 PENALTY = 1.0
@@ -108,15 +110,33 @@ def _last_words(body: np.ndarray, lo: int, hi: int) -> int:
     return lo + int(starts[-(REACH + 1)]) if len(starts) > REACH else lo
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of batches, so that what a task holds does not follow the batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's different buckets, rising, as two-byte numbers."""
+    for batch in _sliced(batches):
+        of, found = indicators(batch.column("text"))
+        cuts = np.searchsorted(of, np.arange(batch.num_rows + 1)) * 2
+        body = pa.py_buffer(found.astype("<u2").tobytes())
+        lists = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), body])
+        rest = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], lists], [*rest, "buckets"])
+
+
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with each bucket, by class: one vector per class and task."""
     total = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64)
     rows = np.zeros(2, dtype=np.int64)
-    for batch in batches:
-        label = batch.column("label").to_numpy()
-        of, found = indicators(batch.column("text"))
+    for batch in _sliced(batches):
+        label, lists = batch.column("label").to_numpy(), batch.column("buckets").to_pylist()
         for k in (0, 1):
-            total[k] += np.bincount(found[label[of] == k], minlength=total.shape[1])
+            found = np.frombuffer(b"".join([x for x, y in zip(lists, label) if y == k]), "<u2")
+            total[k] += np.bincount(found, minlength=total.shape[1])
             rows[k] += int((label == k).sum())
     if rows.any():
         some = np.flatnonzero(total.any(axis=0))
@@ -126,14 +146,6 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        of, found = indicators(batch.column("text"))
-        cuts = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(found.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("__llm_key"), lists], ["label", "key", "buckets"])
-
-
 def dual_descent(rows: list[np.ndarray], values: np.ndarray, signs: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS, seed: int = 3) -> tuple[np.ndarray, float]:
     """Squared-hinge support vectors by dual coordinate descent.
 
@@ -183,8 +195,10 @@ def logistic_fit(margins: np.ndarray, labels: np.ndarray, rounds: int = 50) -> t
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    """A model of ``text``, ``label`` (0 or 1)."""
-    labelled = labelled.filter("label IN (0, 1)").select("text", F.col("label").cast("int").alias("label"))
+    """A model of ``text``, ``label`` (0 or 1), or of what ``labelled_buckets`` makes of them."""
+    if "buckets" not in labelled.columns:
+        labelled = packed(labelled.select(F.col("label").alias("own"), "text"), "text", "own").withColumnRenamed("own", "label")
+    labelled = labelled.filter("label IN (0, 1)").select("key", "buckets", F.col("label").cast("int").alias("label"))
     per_task = labelled.mapInArrow(_class_counts, "bucket long, n0 long, n1 long")
     counts = per_task.groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     texts = counts[counts.bucket == -1]
@@ -198,10 +212,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> QualityModel:
     have[1, counts.bucket] += counts.n1
     share = have / have.sum(axis=1, keepdims=True)
     ratio = np.log(share[1] / share[0])
-    chosen = distinct_sample(labelled, F.xxhash64("text", "label"), sample, "label")
-    rows = chosen.mapInArrow(_rows, "label int, key long, buckets array<int>").toArrow().sort_by("key")
-    lists = rows["buckets"].combine_chunks()
-    found = [lists[i].values.to_numpy() for i in range(rows.num_rows)]
+    chosen = distinct_sample(labelled, F.xxhash64("key", "label"), sample, "label")
+    rows = chosen.select("label", "__llm_key", "buckets").toArrow().sort_by("__llm_key")
+    found = [np.frombuffer(x, "<u2").astype(np.int64) for x in rows["buckets"].to_pylist()]
     label = rows["label"].to_numpy()
     back = int(len(found) * KEPT_BACK)
     both = [len(set(part)) == 2 for part in (label[:back], label[back:])]
@@ -224,9 +237,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: float
     kept = rows.columns
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _sliced(batches):
             if model.weights is None:
                 margin = np.full(batch.num_rows, model.bias)
             else:
@@ -242,16 +253,24 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: float
     return rows.mapInArrow(answer, T.StructType(rows.schema.fields + added.fields))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text``, ``label`` of labelled documents outside the held-out fold."""
+def packed(rows: DataFrame, text: str, own: str) -> DataFrame:
+    """``own``, ``key`` (a hash of the text) and ``buckets`` of every text."""
+    kind = rows.schema[own].dataType.simpleString()
+    plain = rows.select(F.col(own), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    return plain.mapInArrow(_packed, f"`{own}` {kind}, key long, buckets binary")
+
+
+def labelled_buckets(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, buckets, label`` of labelled documents outside the held-out fold."""
     known = labels.filter((fold(F.col("doc_id")) != 2) & F.col("quality").isNotNull())
-    marks = sized_broadcast(known.select(F.col("doc_id").alias("__llm_id"), F.col("quality").alias("label")))
-    texts = docs.filter(fold(F.col("doc_id")) != 2).select("doc_id", "text")
-    return texts.join(marks, F.col("doc_id") == F.col("__llm_id")).select("text", "label")
+    marks = known.select(F.col("doc_id").alias("__llm_id"), F.col("quality").alias("label"))
+    rows = packed(docs.filter(fold(F.col("doc_id")) != 2).select("doc_id", "text"), "text", "doc_id")
+    joined = rows.join(marks.hint("merge"), F.col("doc_id") == F.col("__llm_id"))
+    return settle(joined.select("key", "buckets", "label"), "labelled")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     labels = table(spark, sf_dir, "labels", ["doc_id", "quality"])
-    scored = score(docs, fit(labelled_texts(docs, labels)))
+    scored = score(docs, fit(labelled_buckets(docs, labels)))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

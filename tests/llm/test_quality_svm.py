@@ -1,3 +1,6 @@
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -44,17 +47,33 @@ def test_dual_descent_solves_its_problem():
 
 def test_counts_cover_all_labelled_texts(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    texts = svm.labelled_texts(docs, labels)
-    rows = texts.collect()
+    texts = svm.labelled_buckets(docs, labels)
     counts = {r.bucket: (r.n0, r.n1) for r in texts.mapInArrow(svm._class_counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()}
+    bodies = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    known = [r for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in bodies]
     want = {}
-    for r in rows:
-        for b in set(svm.indicators(pa.array([r.text]))[1].tolist()) | {-1}:
+    for r in known:
+        for b in set(svm.indicators(pa.array([bodies[r.doc_id]]))[1].tolist()) | {-1}:
             pair = want.setdefault(b, [0, 0])
-            pair[r.label] += 1
+            pair[r.quality] += 1
     assert counts == {b: tuple(p) for b, p in want.items()}
-    held = {r.doc_id for r in docs.select("doc_id").filter(svm.fold(F.col("doc_id")) == 2).collect()}
-    assert held and labels.filter(~F.col("doc_id").isin(list(held))).count() == len(rows)
+    assert 0 < len(known) == texts.count() < labels.count()
+
+
+@pytest.mark.parametrize("n", [10, 10_000_000])
+def test_labels_are_joined_alike_at_every_size(spark, monkeypatch, n):
+    """No broadcast and no text in a shuffle, with few labels and with many."""
+    monkeypatch.setattr(svm, "settle", lambda df, name: df)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    df = svm.labelled_buckets(docs, labels)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    shuffled = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    inputs = re.findall(r"\) Exchange\s+Input \[\d+\]: (.*)", shuffled)
+    assert len(inputs) == 2 and not any("text" in x for x in inputs)
+    if n > 10:
+        assert df.count() == sum(zlib.crc32(str(r.doc_id).encode()) % 4 != 2 for r in docs.select("doc_id").collect())
 
 
 def test_held_out_accuracy(spark):
