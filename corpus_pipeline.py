@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faintline.llm import language_id, minhash, mixing, quality_svm, sentencepiece_fst
+from faintline.llm.common import small_batches
 from faintline.session import settle
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The documents with neutral column names, so that no name clashes with an operator's, and the way back."""
+    small_batches(docs.sparkSession)
     names = {c: f"__llm_c{i}" for i, c in enumerate(docs.columns)}
     return docs.toDF(*names.values()), names
 
@@ -62,6 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     plain = docs.select("doc_id", "text", "lang", "source")
     done = sentencepiece_fst.decode(sentencepiece_fst.encode(plain))
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
