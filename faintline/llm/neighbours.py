@@ -36,18 +36,18 @@ from pyspark.sql import functions as F
 from faintline.llm.common import table
 from faintline.session import settle
 
-GRAPH = 24  # neighbours per node
-REVERSE = 24
+GRAPH = 32  # neighbours per node
+REVERSE = 32
 TREES = 4
 LEAF = 512  # nodes that meet in a leaf of a tree
 TREE_SAMPLE = 20_000
 CELL = 1024
 ROUNDS = 8
-STOP = 0.02  # share of entries that change in the last round
-BEAM = 192
-STEP = 48  # nodes a query looks at in one round
+STOP = 0.01  # share of entries that change in the last round
+BEAM = 256
+STEP = 64  # nodes a query looks at in one round
 SAMPLE = 128  # queries whose results are held against all nodes
-TARGET = 0.95  # share of their true neighbours that must be found
+TARGET = 0.93  # share of their true neighbours that must be found
 NODE = "a long, v array<float>, bs array<long>, ds array<float>, fresh array<boolean>"
 PAIR = "a long, b long, d float"
 
@@ -261,26 +261,58 @@ def build_graph(named: DataFrame, k: int = GRAPH, reverse: int = REVERSE, seed:
 FOUND = "q long, x array<float>, ids array<long>, ds array<float>, looked array<boolean>"
 
 
-def _walked(beam: int):
-    """A query's state with the nodes newly measured: its ``beam`` nearest."""
+def _next(looked: np.ndarray, beam: int, step: int) -> np.ndarray:
+    """Places of the nodes that are looked at next: the nearest open ones within the beam."""
+    return np.flatnonzero(~looked[:beam].astype(bool))[:step]
+
+
+def _unknown(state: pa.Table, reached: pa.Table) -> pa.Table:
+    """Of the nodes reached those that the query does not remember."""
+    if not len(state) or not len(reached):
+        return reached.select(["q", "b"]).slice(0, 0)
+    b = np.unique(reached["b"].to_numpy())
+    b = b[~np.isin(b, _flat(state["ids"])[0])]
+    return pa.table({"q": pa.array(np.full(len(b), state["q"][0].as_py()), pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _walked(beam: int, step: int):
+    """A query's state after a step: what was looked at is marked, and the nodes newly measured are among the nearest, of
+    which twice the beam are remembered."""
 
     def walk(state: pa.Table, reached: pa.Table) -> pa.Table:
         if not len(state):
             return state.select(["q", "x", "ids", "ds", "looked"])
         x = _matrix(state["x"])[0]
         ids, ds, looked = (_flat(state[c])[0] for c in ("ids", "ds", "looked"))
+        looked = looked.astype(bool)
+        looked[_next(looked, beam, step)] = True
         if len(reached):
             more = reached["b"].to_numpy()
             apart = np.sqrt(((_matrix(reached["v"]) - x) ** 2).sum(axis=1))
             ids, ds = np.r_[ids, more], np.r_[ds, apart].astype(np.float32)
             looked = np.r_[looked, np.zeros(len(more), bool)]
-        order = np.lexsort((ids, ds))[:beam]
-        columns = [state["q"], state["x"], *(pa.array([v.tolist()], t) for v, t in ((ids[order], pa.list_(pa.int64())), (ds[order], pa.list_(pa.float32())), (looked[order], pa.list_(pa.bool_()))))]
-        return pa.table(columns, ["q", "x", "ids", "ds", "looked"])
+        order = np.lexsort((ids, ds))[: 2 * beam]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), pa.array(v[order], t)) for v, t in ((ids, pa.int64()), (ds, pa.float32()), (looked, pa.bool_()))]
+        return pa.table([state["q"], state["x"], *lists], ["q", "x", "ids", "ds", "looked"])
 
     return walk
 
 
+def _opened(beam: int, step: int):
+    """The nodes that each query looks at next, as ``q, a``."""
+
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, a = [], []
+            for one, ids, looked in zip(batch.column("q").to_pylist(), batch.column("ids"), batch.column("looked")):
+                found = ids.values.to_numpy()[_next(looked.values.to_numpy(zero_copy_only=False), beam, step)]
+                q.append(np.full(len(found), one)), a.append(found)
+            if q:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z), pa.int64()) for z in (q, a)], ["q", "a"])
+
+    return open_
+
+
 def links_of(graph: DataFrame) -> DataFrame:
     """``a, next``: a node's neighbours, and of the nodes that have it as neighbour the nearest few."""
     edges = graph.select("a", F.explode(F.arrays_zip("bs", "ds")).alias("e")).select("a", F.col("e.bs").alias("b"), F.col("e.ds").alias("d"))
@@ -301,21 +333,15 @@ def _start(graph: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def _walk(state: DataFrame, links: DataFrame, vectors: DataFrame, beam: int, step: int) -> DataFrame:
-    """Walk on until no query has a node to look at among its ``beam`` nearest. Twice as many are remembered."""
+    """Walk on until no query has a node to look at among its ``beam`` nearest."""
     while True:
-        near = F.slice(F.arrays_zip("ids", "looked"), 1, beam)
-        places = F.slice(F.filter(near, lambda e: ~e["looked"]), 1, step)
-        now = settle(state.select("q", F.explode(places).alias("e")).select("q", F.col("e.ids").alias("a")), "open")
+        now = settle(state.select("q", "ids", "looked").mapInArrow(_opened(beam, step), "q long, a long"), "open")
         if now.isEmpty():
             return state
-        reached = now.join(links, "a").select("q", F.explode("next").alias("b"), F.lit(False).alias("known"))
-        known = state.select("q", F.explode("ids").alias("b"), F.lit(True).alias("known"))
-        fresh = reached.unionByName(known).groupBy("q", "b").agg(F.max("known").alias("known")).filter("NOT known")
+        reached = now.join(links, "a").select("q", F.explode("next").alias("b"))
+        fresh = state.select("q", "ids").groupBy("q").cogroup(reached.groupBy("q")).applyInArrow(_unknown, "q long, b long")
         measured = fresh.join(vectors, "b").select("q", "b", "v")
-        opened = F.transform(places, lambda e: e["ids"])
-        marked = state.withColumn("opened", opened)
-        marked = marked.withColumn("looked", F.zip_with("ids", "looked", lambda i, done: done | F.array_contains("opened", i))).drop("opened")
-        state = settle(marked.groupBy("q").cogroup(measured.groupBy("q")).applyInArrow(_walked(2 * beam), FOUND), "search")
+        state = settle(state.groupBy("q").cogroup(measured.groupBy("q")).applyInArrow(_walked(beam, step), FOUND), "search")
 
 
 def recall(state: DataFrame, vectors: DataFrame, k: int, seed: int = 5) -> float:
