@@ -196,7 +196,7 @@ def fit_arima(
     A long autoregression of ``lags`` changes gives residuals (Hannan and Rissanen); the changes are then regressed on the
     change and the residual before. A ``theta`` outside the unit circle is replaced by its inverse, which has the same
     autocorrelation. The last residual e(T) is the recursion e(t) = d(t) - c - phi d(t-1) - theta e(t-1) from
-    e = 0 at the first change, written as one weighted sum. Series of fewer than ``lags + 4`` rows have no fit.
+    e = 0 at the first change, written as one weighted sum. Series of fewer than ``lags + 3`` rows have no fit.
     """
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, order, value)

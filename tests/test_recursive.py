@@ -135,4 +135,4 @@ def test_arima_residual_rows(spark):
 
 
 def test_too_short_for_a_fit(spark):
-    assert forecast.fit_arima(frame(spark, {"a": np.arange(5.0)}), ["id"], "t", "v", 2).collect() == []
+    assert forecast.fit_arima(frame(spark, {"a": np.arange(4.0)}), ["id"], "t", "v", 2).collect() == []
