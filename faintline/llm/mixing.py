@@ -1,24 +1,27 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Every source's documents are hashed into blocks of about ``block_docs`` documents, in a random order that
-depends on the seed, the id and the text alone. A source's target decides how many times all of its
-blocks are drawn (whole passes) and which run of blocks is drawn once more: blocks are taken in
-their permuted order until the next one would pass the target, and of that one block documents are taken,
-small ones first, up to the point nearest to the target. So a source's words differ from its target
-by at most about half of one document.
-
-The drawn blocks of all sources are then dealt to the output shards: a binary tree halves the shards, and
-at each node the number of blocks each source sends left is drawn from the multivariate
-hypergeometric distribution, so every shard gets a random sample without replacement of the whole mix and
-each source's quota is exact. The driver holds sources x shards counts. Blocks are cut
-disjointly by those quotas and each shard's documents are put in a random order.
-
-A very large source is many blocks, so no task holds a source: sums per block are merged
-before the shuffle, and only the one cut block per source is sorted by size.
+Every source's documents are hashed into ``MIN_BLOCKS`` to ``MAX_BLOCKS`` blocks (of about ``block_docs`` documents
+where that is between them), in a random order that depends on the seed, the id and the text alone. A source's target
+decides how many draws of blocks it gets: whole passes over all of its blocks, each pass in a permutation of its
+own, and one more pass up to the block with which the target is passed. That block is drawn in part: its documents in
+their random order up to the target, and then the one document, of those of the source not drawn in this
+pass, whose size is nearest to what is still open, if it brings the sum nearer. So no size of document is preferred, whatever the
+number of documents, and a source differs from its target by less than half of the document that would have passed it.
+
+The draws are the exact quotas that are dealt to the output shards: a binary tree halves the shards, and
+at each node the number of draws each source sends left is taken from the multivariate
+hypergeometric distribution, so every shard gets a random sample without replacement of the whole mix. Each shard
+takes its quota of the permuted draws, disjoint from all others; how often a document was drawn that way is its ``copies`` and, times its
+size, ``taken``. The driver holds sources x shards counts. Each shard's documents are put in a random order.
+
+Sums per block are merged before the shuffle. Windows run over the blocks of a source (at most ``MAX_BLOCKS`` a pass), over the
+4096 pieces of the cut block, and over the documents of the cut piece, so no task holds a source or a block. Tables of
+one row per source or block are written and joined without a hint, so Spark sends them whole only below its
+threshold.
 
 Defined cases: a null text has size 0; null is a source of its own, after all others; a size-0 document is
 taken with its block and adds nothing; a source without words has target 0. A null or repeated id
-is hashed with its text; equal rows are drawn alike. A source whose target is above its size is drawn
+is hashed with its text; equal rows are drawn alike, and their sizes count together. A source whose target is above its size is drawn
 more than once, never more than ``limit`` times. An empty table gives an empty mix. Input columns named
 like a result column are replaced.
 """
@@ -36,6 +39,9 @@ from faintline.llm.common import GAP, literal_rows, table, without
 from faintline.session import settle
 
 BLOCK_DOCS = 256
+MIN_BLOCKS = 64
+MAX_BLOCKS = 4096
+PIECES = 4096  # of a cut block; a power of two
 SHARDS = 16
 SEED = 7
 LIMIT = 3
@@ -100,6 +106,14 @@ class Mix:
     draws: DataFrame
 
 
+def _crossing(parts: DataFrame, order: list[str]) -> dict:
+    """Of every source (``k``) the first part, in ``order``, whose ``words`` pass the source's ``room``, and the room ``left`` before it."""
+    upto = F.sum("words").over(Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    left = (F.col("room") - (F.col("upto") - F.col("words"))).alias("left")
+    ends = parts.withColumn("upto", upto).filter("upto > room").groupBy("k").agg(F.min(F.struct(*order, left)).alias("end"))
+    return {r.k: r.end for r in ends.collect()}
+
+
 def mix(
     docs: DataFrame, weights: Callable[[list], list[float]], doc_id: str = "doc_id", text: str = "text",
     source: str = "source", limit: int = LIMIT, shards: int = SHARDS, block_docs: int = BLOCK_DOCS, seed: int = SEED,
@@ -107,92 +121,114 @@ def mix(
     """Mix to the weights that ``weights`` gives for the sorted list of source names (null last)."""
     spark, own = docs.sparkSession, F.col(text)
     rows = without(docs, [c for c in (*ADDED, "places") if c not in (doc_id, text, source)])
-    names = rows.groupBy(F.col(source).alias("s")).agg(F.count(F.lit(1)).alias("docs")).collect()
-    names = sorted(names, key=lambda r: (r.s is None, r.s or ""))  # Python compares strings by code point
-    blocks = [max(1, round(r.docs / block_docs)) for r in names]
-    hashed = rows.withColumn("__llm_hash", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(doc_id).isNull(), own))
-
-    def placed(more: dict[str, list], schema: str) -> DataFrame:
-        """Rows with their source's number, their block, and what else is known of the source: a row per source is sent."""
-        known = literal_rows(
-            spark,
-            [(i, r.s is None, r.s or "", blocks[i], *[v[i] for v in more.values()]) for i, r in enumerate(names)],
-            "__llm_k long, __llm_none boolean, __llm_name string, __llm_blocks long" + schema,
-        ).withColumn("__llm_name", F.when(~F.col("__llm_none"), F.col("__llm_name")))
-        spot = F.shiftrightunsigned("__llm_hash", 32) * F.col("__llm_blocks") / float(1 << 32)
-        joined = hashed.join(F.broadcast(known), F.col(source).eqNullSafe(F.col("__llm_name")))
-        return joined.withColumn("__llm_block", F.floor(spot).cast("long")).drop("__llm_none", "__llm_name", "__llm_blocks")
-
-    # words of every block: one row per block, written once for the steps below
-    table_ = settle(
-        placed({}, "").groupBy("__llm_k", "__llm_block").agg(F.sum(word_count(own)).alias("words")).withColumnsRenamed(
-            {"__llm_k": "k", "__llm_block": "block"}
-        ),
-        "mix-blocks",
+    hashed = rows.withColumns(
+        {"__llm_h": F.xxhash64(F.lit(seed), F.col(doc_id), F.col(doc_id).isNull(), own), "__llm_size": word_count(own)}
     )
-    size_of = {r.k: r.n for r in table_.groupBy("k").agg(F.sum("words").alias("n")).collect()}
-    sizes = [int(size_of[i]) for i in range(len(names))]
-    goals = targets(sizes, weights([r.s for r in names]), limit)
+    slim = settle(hashed.select(F.col(source).alias("s"), F.col("__llm_h").alias("h"), F.col("__llm_size").alias("size")), "mix-sizes")
+    found = slim.groupBy("s").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("words")).collect()
+    found = sorted(found, key=lambda r: (r.s is None, r.s or ""))  # Python compares strings by code point
+    sizes = [int(r.words) for r in found]
+    blocks = [min(MAX_BLOCKS, max(MIN_BLOCKS, round(r.docs / block_docs))) for r in found]
+    goals = targets(sizes, weights([r.s for r in found]), limit)
     passes = [min(limit, int(g // n)) if n else 0 for g, n in zip(goals, sizes)]
     rests = [max(0.0, g - p * n) for g, p, n in zip(goals, passes, sizes)]
 
-    # the block that a source's last, partial pass ends in, and the words it has room for there
-    per_source = literal_rows(spark, list(zip(range(len(names)), passes, rests)), "k long, passes int, rest double")
-    upto = F.sum("words").over(Window.partitionBy("k").orderBy("block"))
-    runs = table_.join(F.broadcast(per_source), "k").withColumn("upto", upto)
-    room = F.col("rest") - (F.col("upto") - F.col("words"))
-    ends = runs.filter("upto > rest").groupBy("k").agg(F.min(F.struct("block", room.alias("room"))).alias("end")).collect()
-    end_of = {r.k: r.end for r in ends}
-    cut = [end_of[i].block if i in end_of else blocks[i] for i in range(len(names))]
-    rooms = [float(end_of[i].room) if i in end_of else 0.0 for i in range(len(names))]
-
-    # there documents are taken in ascending size, up to the sum nearest to the room
-    inside = placed({"cut": cut, "room": rooms}, ", __llm_cut long, __llm_room double").filter("__llm_block = __llm_cut")
-    ascending = Window.partitionBy("__llm_k").orderBy("size", "__llm_hash")
-    sums = (
-        inside.withColumn("size", word_count(own))
-        .groupBy("__llm_k", "__llm_room", "size", "__llm_hash")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("off", F.abs(F.sum(F.col("size") * F.col("n")).over(ascending) - F.col("__llm_room")))
+    def known(values: list[tuple], schema: str) -> DataFrame:
+        return settle(literal_rows(spark, values, schema), "mix-sources")
+
+    names = known(
+        [(i, r.s is None, r.s or "", n, g, p, b) for i, (r, n, g, p, b) in enumerate(zip(found, sizes, goals, passes, blocks))],
+        "__llm_k long, __llm_none boolean, __llm_name string, source_size long, target double, __llm_passes int, __llm_blocks long",
+    ).withColumn("__llm_name", F.when(~F.col("__llm_none"), F.col("__llm_name")))
+
+    def block_of(h: Column) -> Column:
+        return F.floor(F.shiftrightunsigned(h, 32) * F.col("__llm_blocks") / float(1 << 32)).cast("long")
+
+    def turn(nth: Column) -> Column:
+        """The place of a block in the permutation of one pass; ties go by the block's number."""
+        return F.xxhash64(F.lit(seed), "k", "block", nth.cast("int"))
+
+    piece = F.col("h").bitwiseAND(F.lit(PIECES - 1))
+    keyed = slim.join(names, F.col("s").eqNullSafe(F.col("__llm_name"))).select(
+        F.col("__llm_k").alias("k"), block_of(F.col("h")).alias("block"), piece.alias("piece"), "h", "size"
     )
-    nearest = sums.groupBy("__llm_k", "__llm_room").agg(F.min(F.struct("off", "size", "__llm_hash")).alias("last")).collect()
-    last = {r["__llm_k"]: r.last for r in nearest if r.last.off < r["__llm_room"]}
-    last_size = [last[i]["size"] if i in last else -1 for i in range(len(names))]
-    last_hash = [last[i]["__llm_hash"] if i in last else 0 for i in range(len(names))]
-
-    # drawn blocks, in a random order per source, are dealt to the shards by the tree's quotas
-    per_source = literal_rows(
-        spark, list(zip(range(len(names)), passes, cut, last_size)), "k long, passes int, cut long, last_size long"
+    totals = settle(keyed.groupBy("k", "block").agg(F.sum("size").alias("words")), "mix-blocks")
+
+    # where the last pass ends: the block, in it the piece, in that the document
+    open_ = known([(i, p, r) for i, (p, r) in enumerate(zip(passes, rests)) if r > 0], "k long, passes int, room double")
+    last_turn = turn(F.col("passes") + 1)
+    cut = _crossing(totals.join(open_, "k").withColumn("turn", last_turn), ["turn", "block"])
+    spots = known([(k, e.block, float(e.left)) for k, e in cut.items()], "k long, block long, room double")
+    cut_piece = _crossing(keyed.join(spots, ["k", "block"]).groupBy("k", "room", "piece").agg(F.sum("size").alias("words")), ["piece"])
+    spots = known(
+        [(k, cut[k].block, e.piece, float(e.left)) for k, e in cut_piece.items()], "k long, block long, piece long, room double"
     )
-    extra = F.when((F.col("block") < F.col("cut")) | ((F.col("block") == F.col("cut")) & (F.col("last_size") >= 0)), 1).otherwise(0)
-    drawn = table_.join(F.broadcast(per_source), "k").withColumn("times", F.col("passes") + extra).filter("times > 0")
-    quota_of = {r.k: r.n for r in drawn.groupBy("k").agg(F.sum("times").alias("n")).collect()}
-    tree = splitting_tree([quota_of.get(i, 0) for i in range(len(names))], shards, seed)
-    ends_ = literal_rows(
-        spark, [(i, [int(x) for x in row]) for i, row in enumerate(tree.cumsum(axis=1))], "k long, upto array<long>"
+    cut_doc = _crossing(keyed.join(spots, ["k", "block", "piece"]).groupBy("k", "room", "h").agg(F.sum("size").alias("words")), ["h"])
+
+    # of the documents not drawn in the last pass the one that fits best into what is still open
+    spots = known(
+        [(k, passes[k], cut[k].turn, cut[k].block, cut_piece[k].piece, e.h, float(e.left)) for k, e in cut_doc.items()],
+        "k long, passes int, cut_turn long, cut_block long, cut_piece long, cut_h long, gap double",
+    )
+    behind = F.struct("turn", "block") > F.struct("cut_turn", "cut_block")
+    inside = (F.col("block") == F.col("cut_block")) & (F.struct("piece", "h") >= F.struct("cut_piece", "cut_h"))
+    spare = keyed.join(spots, "k").filter("size > 0 AND size < 2 * gap").withColumn("turn", last_turn).filter(behind | inside)
+    fits = spare.groupBy("k", "gap", "h").agg(F.abs(F.sum("size") - F.col("gap")).alias("off")).filter("off < gap")
+    fit = {r.k: r.fit.h for r in fits.groupBy("k").agg(F.min(F.struct("off", "h")).alias("fit")).collect()}
+
+    # the draws of every source, in their permuted order, are dealt to the shards by the tree's quotas
+    plan = known(
+        [(i, p, i in cut, cut[i].turn if i in cut else 0, cut[i].block if i in cut else -1) for i, p in enumerate(passes)],
+        "k long, passes int, more boolean, cut_turn long, cut_block long",
+    )
+    nths = F.sequence(F.lit(1), F.col("passes") + F.col("more").cast("int"))
+    drawn = (
+        totals.join(plan.filter("more OR passes > 0"), "k")
+        .withColumn("nth", F.explode(nths))
+        .withColumn("turn", turn(F.col("nth")))
+        .filter((F.col("nth") <= F.col("passes")) | (F.struct("turn", "block") <= F.struct("cut_turn", "cut_block")))
+        .select("k", "block", "nth", "turn")
     )
-    shuffled = Window.partitionBy("k").orderBy(F.xxhash64(F.lit(seed), "k", "block", "nth"), "block", "nth")
-    dealt = (
-        drawn.select("k", "block", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
-        .withColumn("rank", F.row_number().over(shuffled) - 1)
-        .join(F.broadcast(ends_), "k")
+    quota_of = {r.k: r.n for r in drawn.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    tree = splitting_tree([quota_of.get(i, 0) for i in range(len(found))], shards, seed)
+    ends = known([(i, [int(x) for x in row]) for i, row in enumerate(tree.cumsum(axis=1))], "k long, upto array<long>")
+    dealt = settle(
+        drawn.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("nth", "turn", "block")) - 1)
+        .join(ends, "k")
         .withColumn("shard", F.size(F.filter("upto", lambda end: end <= F.col("rank"))))
         .groupBy(F.col("k").alias("__llm_k_"), F.col("block").alias("__llm_block_"))
-        .agg(F.sort_array(F.collect_list(F.struct("nth", "shard"))).alias("__llm_places"))
+        .agg(F.sort_array(F.collect_list(F.struct("nth", "shard"))).alias("__llm_draws")),
+        "mix-draws",
+    )
+    # the fitting document goes where its source's cut block went
+    of_cut = dealt.join(plan.filter("more"), (F.col("k") == F.col("__llm_k_")) & (F.col("cut_block") == F.col("__llm_block_")))
+    shard_of = {r.k: r.shard for r in of_cut.select("k", F.element_at("__llm_draws", -1)["shard"].alias("shard")).collect()}
+    cuts = known(
+        [
+            (i, cut[i].block if i in cut else -1, cut_piece[i].piece if i in cut else 0, cut_doc[i].h if i in cut else 0,
+             i in fit, fit.get(i, 0), shard_of.get(i, 0))
+            for i in range(len(found))
+        ],
+        "__llm_k long, __llm_cut long, __llm_piece long, __llm_end long, __llm_fits boolean, __llm_fit long, __llm_shard int",
+    )
+    h = F.col("__llm_h")
+    before = F.struct(h.bitwiseAND(F.lit(PIECES - 1)), h) < F.struct("__llm_piece", "__llm_end")
+    held = F.filter(
+        F.coalesce("__llm_draws", F.array().cast("array<struct<nth:int,shard:int>>")),
+        lambda d: (d["nth"] <= F.col("__llm_passes")) | (F.col("__llm_block") != F.col("__llm_cut")) | before,
     )
-    known = {"n": sizes, "g": goals, "p": passes, "c": cut, "s": last_size, "h": last_hash}
-    all_ = placed(known, ", source_size long, target double, __llm_passes int, __llm_cut long, __llm_last long, __llm_end long")
-    block, size = F.col("__llm_block"), F.col("size")
-    early = (size < F.col("__llm_last")) | ((size == F.col("__llm_last")) & (F.col("__llm_hash") <= F.col("__llm_end")))
-    once_more = (block < F.col("__llm_cut")) | ((block == F.col("__llm_cut")) & early)
+    fitting = F.when(F.col("__llm_fits") & (h == F.col("__llm_fit")), F.array("__llm_shard")).otherwise(F.array().cast("array<int>"))
+    size = F.col("__llm_size")
     documents = (
-        all_.withColumn("size", word_count(own))
-        .withColumn("copies", F.col("__llm_passes") + F.when(once_more, 1).otherwise(0))
-        .join(dealt, (F.col("__llm_k") == F.col("__llm_k_")) & (block == F.col("__llm_block_")), "left")
-        .withColumn("taken", size * F.col("copies"))
-        .withColumn("places", F.slice(F.coalesce("__llm_places.shard", F.array().cast("array<int>")), F.lit(1), F.col("copies")))
+        hashed.join(names, F.col(source).eqNullSafe(F.col("__llm_name")))
+        .join(cuts, "__llm_k")
+        .withColumn("__llm_block", block_of(h))
+        .join(dealt, (F.col("__llm_k") == F.col("__llm_k_")) & (F.col("__llm_block") == F.col("__llm_block_")), "left")
+        .withColumn("places", F.concat(F.transform(held, lambda d: d["shard"]), fitting))
+        .withColumn("copies", F.size("places"))
+        .withColumns({"size": size, "taken": size * F.col("copies")})
     )
-    place = F.xxhash64(F.lit(seed + 1), F.col("__llm_hash"), F.col("__llm_nth"))
+    place = F.xxhash64(F.lit(seed + 1), h, F.col("__llm_nth"))
     draws = documents.select("*", F.posexplode("places").alias("__llm_nth", "shard")).withColumn("place", place)
     return Mix(documents.select(*rows.columns, *ADDED, "places"), draws.select(*rows.columns, "shard", "place"))
 

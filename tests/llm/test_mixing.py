@@ -92,3 +92,43 @@ def test_cases(spark):
     assert mixed.draws.count() == sum(r.copies for r in rows)
     empty = mixing.mix(df.limit(0), mixing.cycling)
     assert empty.documents.count() == 0 and empty.draws.count() == 0
+
+
+def test_no_size_is_preferred(spark):
+    """In sources drawn in part the mean size taken is that of the source, with few documents and with many."""
+    draw = np.random.default_rng(3)
+    sizes = {"few": 300, "many": 20_000, "x": 12_000}
+    docs = [(n * 100_000 + i, "w " * int(draw.geometric(0.03)), s) for n, (s, c) in enumerate(sizes.items()) for i in range(c)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    weights = {"few": 0.006, "many": 0.25, "x": 1.0}
+    rows = mixing.mix(df, lambda names: [weights[s] for s in names], block_docs=64).documents.collect()
+    for s in ("few", "many"):
+        own = [r for r in rows if r.source == s]
+        assert 0 < own[0].target < own[0].source_size
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 3
+        taken, left = [r.size for r in own if r.copies], [r.size for r in own if not r.copies]
+        assert min(len(taken), len(left)) > 30
+        error = np.std([r.size for r in own]) * np.sqrt(1 / len(taken) + 1 / len(left))
+        assert abs(np.mean(taken) - np.mean(left)) < 4 * error
+        # large and small ones on both sides
+        assert max(taken) > np.mean(left) and max(left) > np.mean(taken)
+
+
+def test_quotas_decide_the_draws(spark):
+    """Every shard holds its quota of each source's draws, and no block is drawn twice in a pass."""
+    docs = [(i, "w " * (1 + i % 9), "ab"[i % 4 == 0]) for i in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = mixing.mix(df, mixing.cycling, shards=8).documents.collect()
+    assert all(len(r.places) == r.copies and all(0 <= p < 8 for p in r.places) for r in rows)
+    for s in "ab":
+        whole = int(min(r.target / r.source_size for r in rows if r.source == s))
+        assert {r.copies for r in rows if r.source == s} <= {whole, whole + 1}
+
+
+def test_repeated_equal_rows(spark):
+    docs = [(1, "a b c", "hot")] * 500 + [(i, "w " * (i % 40), "other") for i in range(700)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = mixing.mix(df, lambda names: [1.0, 1.5]).documents.collect()
+    assert len(rows) == 1200 and len({r.copies for r in rows if r.doc_id == 1 and r.source == "hot"}) == 1
+    other = [r for r in rows if r.source == "other"]
+    assert abs(sum(r.taken for r in other) - other[0].target) <= 20
