@@ -42,6 +42,7 @@ BLOCK_DOCS = 256
 MIN_BLOCKS = 64
 MAX_BLOCKS = 4096
 PIECES = 4096  # of a cut block; a power of two
+FILES = 32  # of a table with rows per block, whatever the number of shuffle partitions
 SHARDS = 16
 SEED = 7
 LIMIT = 3
@@ -152,7 +153,7 @@ def mix(
     keyed = slim.join(names, F.col("s").eqNullSafe(F.col("__llm_name"))).select(
         F.col("__llm_k").alias("k"), block_of(F.col("h")).alias("block"), piece.alias("piece"), "h", "size"
     )
-    totals = settle(keyed.groupBy("k", "block").agg(F.sum("size").alias("words")), "mix-blocks")
+    totals = settle(keyed.groupBy("k", "block").agg(F.sum("size").alias("words")).coalesce(FILES), "mix-blocks")
 
     # where the last pass ends: the block, in it the piece, in that the document
     open_ = known([(i, p, r) for i, (p, r) in enumerate(zip(passes, rests)) if r > 0], "k long, passes int, room double")
@@ -197,7 +198,8 @@ def mix(
         .join(ends, "k")
         .withColumn("shard", F.size(F.filter("upto", lambda end: end <= F.col("rank"))))
         .groupBy(F.col("k").alias("__llm_k_"), F.col("block").alias("__llm_block_"))
-        .agg(F.sort_array(F.collect_list(F.struct("nth", "shard"))).alias("__llm_draws")),
+        .agg(F.sort_array(F.collect_list(F.struct("nth", "shard"))).alias("__llm_draws"))
+        .coalesce(FILES),
         "mix-draws",
     )
     # the fitting document goes where its source's cut block went
