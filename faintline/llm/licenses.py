@@ -15,7 +15,8 @@ so that no notice is judged by a part: every family whose template it holds (at
 ``CONFIRM`` of the template's pairs of words) is reported, but for templates whose matched words lie inside a longer match. Without one, a window of at least ``FEW`` different words is an unknown licence if its chance
 exceeds ``SURE`` and that of the share ``ORDINARY`` of the ordinary windows kept back. Sampled windows that hold a
 template or the frame of a sentence about licences, or that a first model takes for notices, are no examples of
-ordinary text, so licences without a template stay unknown ones however common they are. Texts are read whole in their own tasks; nothing is shuffled but the sample.
+ordinary text, so licences without a template stay unknown ones however common they are. Texts above ``CHUNK`` bytes are
+read in pieces that overlap by ``OVERLAP`` words, and a window cut by a piece's edge is judged in the next piece. Texts are read whole in their own tasks; nothing is shuffled but the sample.
 
 Defined cases: a null or empty text has no notice (empty array, null licence). Repeated rows are scanned
 each. Without any document the model knows no ordinary text, and an empty table gives an empty result.
@@ -25,7 +26,7 @@ Input columns named like a result column are replaced.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +40,7 @@ from faintline.llm.grams import CHUNK, groups, pairs, run_hashes, spans, split_w
 from faintline.llm.training import distinct_sample
 
 WINDOW = 48
+OVERLAP = 3 * WINDOW  # words that pieces of a long text share with their neighbours on either side
 BUCKET_BITS = 14
 SAMPLE = 800
 SAMPLE_WINDOWS = 40  # of one sampled document
@@ -375,15 +377,39 @@ def confirm(window: str) -> list[str]:
     return list(dict.fromkeys(family for family, _ in _best(_words(window))))
 
 
+def _reach(data: np.ndarray, words: int) -> int:
+    """Bytes at the end of ``data`` that hold its last ``words`` words; all of them if it has fewer."""
+    size = 64 * words
+    while True:
+        dark = ~GAPS[data[max(0, len(data) - size) :]]
+        starts = np.flatnonzero(dark[1:] & ~dark[:-1]) + 1
+        if len(starts) >= words:
+            return len(dark) - int(starts[-words])
+        if size >= len(data):
+            return len(data)
+        size *= 2
+
+
+def _in_pieces(data: np.ndarray, notices: Callable) -> Iterator[tuple[int, str, float]]:
+    """Notices of one long text, from pieces that reach ``OVERLAP`` words (at most ``CHUNK`` bytes) into their neighbours."""
+    for lo, hi in spans(data):
+        begin = lo - _reach(data[max(0, lo - CHUNK) : lo], OVERLAP)
+        end = hi + _reach(data[hi : hi + CHUNK][::-1], OVERLAP)
+        # an edge that is the text's own cuts nothing
+        piece = (0 if begin == 0 else lo - begin, end - begin if end == len(data) else hi - begin)
+        yield from notices(data[begin:end], np.array([0, end - begin]), piece)
+
+
 def scan(docs: DataFrame, model: LicenseModel, text: str = "text") -> DataFrame:
     """Documents with ``license`` (of their surest notice), ``licenses`` (distinct, sorted), ``license_score``."""
     rows = without(docs, [c for c in ADDED if c != text])
     kept, none = rows.columns, model.classes.index(NONE)
 
-    def notices(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, str, float]]:
+    def notices(data: np.ndarray, offsets: np.ndarray, piece: tuple[int, int] | None = None) -> Iterator[tuple[int, str, float]]:
         hashes, number, places = _tokens(data, offsets)
         if not len(hashes):
             return
+        n = len(hashes)
         lo, hi, first, last = _all_windows(data, offsets, hashes, places, number)
         chance = 1 - _softmax(_logits(model.weights, model.bias, hashes, lo, hi) / model.temperature)[:, none]
 
@@ -393,7 +419,11 @@ def scan(docs: DataFrame, model: LicenseModel, text: str = "text") -> DataFrame:
             stop = places[end] if end < len(places) and number[end] == number[begin] else offsets[number[begin] + 1] - offsets[0]
             return _words(data[places[begin] : stop].tobytes().decode("utf-8", "replace"))
 
-        for w in np.flatnonzero(chance >= model.least):
+        counts = chance >= model.least
+        if piece is not None:
+            # at a cut edge a window counts that begins in the piece, or has all its neighbouring words
+            counts &= ((lo >= WINDOW) & (hi + WINDOW <= n)) | ((places[lo] >= piece[0]) & (places[lo] < piece[1]))
+        for w in np.flatnonzero(counts):
             before = words(max(first[w], lo[w] - WINDOW), lo[w])
             inner = words(lo[w], hi[w])
             after = words(hi[w], min(last[w], hi[w] + WINDOW))
@@ -410,12 +440,13 @@ def scan(docs: DataFrame, model: LicenseModel, text: str = "text") -> DataFrame:
             found: list[dict[str, float]] = [{} for _ in range(batch.num_rows)]
             for first, last in groups(offsets, CHUNK // 2):
                 begin, end = int(offsets[first]), int(offsets[last])
-                pieces = [(0, end - begin)] if end - begin <= CHUNK else spans(data[begin:end])
-                for lo, hi in pieces:
-                    bounds = offsets[first : last + 1] - begin if last - first > 1 else np.array([0, hi - lo])
-                    for i, family, chance in notices(data[begin + lo : begin + hi], bounds):
-                        seen = found[first + i]
-                        seen[family] = max(chance, seen.get(family, 0.0))
+                if end - begin <= CHUNK:
+                    heard = notices(data[begin:end], offsets[first : last + 1] - begin)
+                else:
+                    heard = _in_pieces(data[begin:end], notices)
+                for i, family, chance in heard:
+                    seen = found[first + i]
+                    seen[family] = max(chance, seen.get(family, 0.0))
             best = [max(((family != UNKNOWN, c, family) for family, c in f.items()), default=None) for f in found]
             added = [
                 pa.array([b[2] if b else None for b in best], pa.string()),

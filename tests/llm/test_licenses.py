@@ -126,3 +126,28 @@ def test_unlisted_licences_in_the_corpus(spark, share):
     out = licenses.scan(rows, licenses.fit(rows)).collect()
     assert sum(r.held for r in out) > 3
     assert [r.doc_id for r in out if r.held != ("unknown" in r.licenses)] == []
+
+
+def test_notices_at_the_edge_of_a_piece(spark, model):
+    """A notice is found whole, and nothing else, wherever a long text is cut."""
+    short = "Released under the MIT License."
+    wrapped = licenses.TEMPLATES["GPL-3.0"][1].replace(" redistribute", "\nredistribute").replace(" under ", "\nunder ")
+    filler = "ther is and whou erention of in that "
+    texts, want = [], []
+    for back in range(-24, 200, 8):
+        notice, family = ((short, "MIT"), (wrapped, "GPL-3.0"))[back // 8 % 2]
+        head = (filler * (grams.CHUNK // len(filler) + 2))[: grams.CHUNK - back]
+        texts.append(f"{head}\n\n{notice}\n\n{filler * 50}")
+        want.append([family])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.licenses for r in licenses.scan(docs, model).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_overlap_of_pieces():
+    import numpy as np
+
+    data = np.frombuffer(b"aa bb, cc dd\n", dtype=np.uint8)
+    assert [licenses._reach(data, n) for n in (1, 2, 3, 4)] == [3, 6, 10, 13]
+    assert licenses._reach(data[::-1], 1) == 2 and licenses._reach(data[:0], 5) == 0
+    assert licenses._reach(np.frombuffer(b"a " * 100_000, dtype=np.uint8), 144) == 288
