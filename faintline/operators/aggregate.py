@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faintline.functions.times import bucket_columns
 from faintline.operators.blocks import match_keys
+from faintline.session import settle
 
-SMALL_GROUP = 100_000  # values of one group that a task may hold
+RANK_CELLS = 65_536  # cells between the ends of a quantile in one round
+LOG_SHIFT = 800.0  # above the negative logarithm of the least positive double
 IQR_SIGMAS = 1.34  # fixed value of the bandwidth rule: interquartile range over this many sigma
 
 
@@ -36,87 +39,83 @@ def summary(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    col: str,
-    probs: Sequence[float],
-    accuracy: int = 10_000,
-    small: int = SMALL_GROUP,
+    df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], cells: int = RANK_CELLS
 ) -> DataFrame:
-    """Exact interpolated quantiles, one row per key and probability (``p``, ``value``).
-
-    The built-in exact percentile keeps a group's distinct values in one task, so it serves groups of
-    up to ``small`` values. Larger groups, if there are any, go through ``bracketed_quantiles``.
+    """Exact interpolated quantiles, one row per key and probability (``p``, ``value``), for groups of any size.
+
+    Ranks are selected in rounds, for all groups at once. A round counts the values between the ends that are left of
+    each (group, probability) in ``cells`` cells between them, and keeps the cell that holds the two ranks
+    around the quantile, with its least and greatest value as the next ends. A quantile is found once those are equal, or
+    once its ranks lie in two cells: then they are the greatest value of one and the least of the next. Groups with fewer
+    values than cells mostly need one round, a thousand million values two. Cells have even widths in turn in the value and in
+    its logarithm, so that values of very different size are parted too. No task holds a group: counts are merged before
+    the shuffle, and the window that adds them up has at most ``cells + 1`` rows. Nulls are skipped; NaN is the
+    greatest value, as in Spark's own order.
     """
     keys = list(keys)
     group = keys or ["__all"]
     values = df.select(*keys, F.col(col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
     if not keys:
         values = values.withColumn("__all", F.lit(0))
-    sizes = values.groupBy(*group).agg(F.count("__v").alias("__n"))
-    # at most (rows / small) groups
-    large = [k.alias(f"__l{i}") for i, k in enumerate(map(F.col, group))]
-    hot = sizes.filter(F.col("__n") > small).select(*large)
-    if hot.isEmpty():
-        return _built_in_quantiles(values, group, probs).select(*keys, "p", "value")
-    same = [values[k].eqNullSafe(hot[f"__l{i}"]) for i, k in enumerate(group)]
-    few = _built_in_quantiles(values.join(hot, same, "left_anti"), group, probs)
-    many = bracketed_quantiles(values.join(hot, same, "left_semi"), group, probs, accuracy)
-    return few.unionByName(many).select(*keys, "p", "value")
-
-
-def _built_in_quantiles(values: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    ps = [float(p) for p in probs]
-    found = F.arrays_zip(F.array(*[F.lit(p) for p in ps]).alias("p"), F.percentile("__v", ps).alias("value"))
-    return values.groupBy(*group).agg(found.alias("__q")).select(*group, F.inline("__q").alias("p", "value"))
-
-
-def bracketed_quantiles(values: DataFrame, group: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
-    """Exact quantiles of ``__v`` for groups of any size.
-
-    An approximate sketch, merged before the shuffle, brackets each quantile within its error bound;
-    values in the bracket are counted by value, the rest only by their number, and the exact rank is
-    read off. Groups of up to ``accuracy`` values are counted whole: there a bracket may miss a
-    neighbouring rank.
-    """
-    slack = 5.0 / accuracy
-    ends = [e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketch = values.groupBy(*group).agg(
-        F.count("__v").alias("__n"),
-        F.percentile_approx("__v", [float(e) for e in ends], accuracy).alias("__ends"),
-    )
-    whole, v, end = F.col("__n") <= accuracy, F.col("__v"), F.col("__ends")
-    # per probability: the value if it is in the bracket, null below it; left out above it
-    entries = [
-        F.struct(
-            F.lit(float(p)).alias("p"),
-            F.when(whole | (v >= end[2 * i]), v).alias("__v"),
-            (whole | (v <= end[2 * i + 1])).alias("__keep"),
-        )
-        for i, p in enumerate(probs)
-    ]
-    hit = (
-        match_keys(values, sketch, group)
-        .select(*group, "__n", F.inline(F.array(*entries)))
-        .filter("__keep")
-        .groupBy(*group, "__n", "p", "__v")
-        .agg(F.count(F.lit(1)).alias("__c"))
+    values = settle(values, "quantile-values")
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    ends = (
+        values.groupBy(*group)
+        .agg(F.count("__v").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        .select(*group, F.explode(ps).alias("p"), (F.col("__n") - 1).alias("__last"), "__lo", "__hi", F.lit(0).cast("long").alias("__below"))
+        .withColumn("__r", F.col("p") * F.col("__last"))
+        .drop("__last")
     )
-    run = F.sum("__c").over(Window.partitionBy(*group, "p").orderBy(F.col("__v").asc_nulls_first()))
-    rank = F.col("p") * (F.col("__n") - 1)
-    ranked = hit.select("*", run.alias("__cum"), rank.alias("__r"))
-    found = ranked.groupBy(*group, "p", "__r").agg(
-        F.coalesce(F.max(F.when(F.col("__v").isNull(), F.col("__cum"))), F.lit(0)).alias("__below"),
-        F.min(F.when(F.col("__cum") > F.floor("__r"), F.col("__v"))).alias("__v1"),
-        F.min(F.when(F.col("__cum") > F.ceil("__r"), F.col("__v"))).alias("__v2"),
-    )
-    bad = (F.col("__below") > F.floor("__r")) | F.col("__v2").isNull()
-    value = F.col("__v1") + (F.col("__v2") - F.col("__v1")) * (F.col("__r") - F.floor("__r"))
-    return found.select(
-        *group,
-        "p",
-        F.when(bad, F.raise_error(F.lit("quantile outside its bracket"))).otherwise(value).alias("value"),
+    same = F.col("__lo") == F.col("__hi")
+    found, turn = [], 0
+    while True:
+        ends = settle(ends, "quantile-ends")
+        found.append(ends.filter(same).select(*group, "p", F.col("__lo").alias("value")))
+        if turn:
+            apart = F.col("__v1") + (F.col("__v2") - F.col("__v1")) * (F.col("__r") - F.floor("__r"))
+            found.append(ends.filter(F.col("__lo").isNull()).select(*group, "p", apart.alias("value")))
+        ends = ends.filter(~same).select(*group, "p", "__r", "__lo", "__hi", "__below")
+        if ends.isEmpty():
+            return reduce(DataFrame.unionAll, found).select(*keys, "p", "value")
+        ends = _narrower(values, ends, group, cells, turn % 2 == 1)
+        turn += 1
+
+
+def _narrower(values: DataFrame, ends: DataFrame, group: Sequence[str], cells: int, by_log: bool) -> DataFrame:
+    """The next ends of every open quantile, or, if its ranks lie in two cells, null ends and the two values."""
+    v, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
+
+    def place(x):
+        # halves, so that no difference overflows; logarithms are moved so that every one is positive
+        return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.log(F.abs(x)) + LOG_SHIFT)) if by_log else x / 2
+
+    share = (place(v) - place(lo)) / F.nullif(place(hi) - place(lo), F.lit(0.0))
+    inner = F.coalesce(F.nanvl(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), F.lit(0.5)), F.lit(0.5))
+    # the ends have cells of their own, so every round parts them
+    cell = F.when(v <= lo, 0).when(v >= hi, cells).otherwise(F.least(F.floor(inner * (cells - 1)) + 1, F.lit(cells - 1)))
+    counts = (
+        match_keys(values, ends, group)
+        .filter((v >= lo) & (v <= hi))
+        .groupBy(*group, "p", "__r", "__below", cell.cast("int").alias("__cell"))
+        .agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
     )
+    run = F.col("__below") + F.sum("__c").over(Window.partitionBy(*group, "p").orderBy("__cell"))
+    spot = F.struct("__cell", "__min", "__max", (F.col("__cum") - F.col("__c")).alias("__below"))
+    one, two = F.col("__one"), F.col("__two")
+    together = one["__cell"] == two["__cell"]
+    return (
+        counts.withColumn("__cum", run)
+        .groupBy(*group, "p", "__r")
+        .agg(
+            F.min(F.when(F.col("__cum") > F.floor("__r"), spot)).alias("__one"),
+            F.min(F.when(F.col("__cum") > F.ceil("__r"), spot)).alias("__two"),
+        )
+        .select(
+            *group, "p", "__r",
+            F.when(together, one["__min"]).alias("__lo"), F.when(together, one["__max"]).alias("__hi"), one["__below"].alias("__below"),
+            F.when(~together, one["__max"]).alias("__v1"), F.when(~together, two["__min"]).alias("__v2"),
+        )
+    )
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], col: str, name: str) -> DataFrame:

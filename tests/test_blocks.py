@@ -133,21 +133,38 @@ def test_persistence_equals_windows(rows, width, shift, margin, monkeypatch):
         assert np.allclose([a[key].mse, a[key].mae], [b[key].mse, b[key].mae])
 
 
-@pytest.mark.parametrize("accuracy,small", [(20, 0), (20, 500), (10_000, 0), (10_000, 100_000)])
-def test_exact_quantiles(spark, accuracy, small):
+@pytest.mark.parametrize("cells", [9, 64, 65_536])
+def test_exact_quantiles(spark, cells):
     rng = np.random.default_rng(3)
     groups = {"hot": rng.normal(size=3001).round(1), "zeros": np.r_[np.zeros(900), rng.normal(size=100)], "few": np.array([4.0, 1.0]), "one": np.array([2.5]), None: rng.normal(size=700)}
     data = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("few", None)]
     df = spark.createDataFrame(data, "g string, v double").repartition(6)
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = {(r.g, r.p): r.value for r in exact_quantiles(df, ["g"], "v", probs, accuracy, small).collect()}
+    got = {(r.g, r.p): r.value for r in exact_quantiles(df, ["g"], "v", probs, cells).collect()}
     for key, values in groups.items():
         for p in probs:
             assert got[(key, p)] == pytest.approx(np.quantile(values, p), abs=1e-12), (key, p)
-    overall = exact_quantiles(df, [], "v", [0.5], accuracy, small).first().value
+    overall = exact_quantiles(df, [], "v", [0.5], cells).first().value
     assert overall == pytest.approx(np.median(np.concatenate(list(groups.values()))))
 
 
+def test_quantiles_of_values_of_very_different_size(spark):
+    """Rounds end for values over the whole range of doubles, infinities, ties and NaN."""
+    rng = np.random.default_rng(5)
+    wide = np.r_[-(10.0 ** rng.uniform(-307, 307, 400)), 10.0 ** rng.uniform(-307, 307, 400), np.zeros(301)]
+    groups = {"wide": wide, "ends": np.r_[[-np.inf, np.inf], rng.normal(size=99)], "tiny": rng.integers(1, 900, 500) * 5e-324}
+    data = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("nan", 1.0), ("nan", 2.0), ("nan", float("nan"))]
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    got = {(r.g, r.p): r.value for r in exact_quantiles(df, ["g"], "v", [0.01, 0.5, 0.77]).collect()}
+    for key, values in groups.items():
+        for p in (0.01, 0.5, 0.77):
+            if key != "ends" or p != 0.01:
+                assert got[(key, p)] == pytest.approx(np.quantile(values, p), rel=1e-9), (key, p)
+    assert got[("nan", 0.5)] == 2.0
+    empty = exact_quantiles(df.limit(0), ["g"], "v", [0.5])
+    assert empty.columns == ["g", "p", "value"] and empty.count() == 0
+
+
 def test_results_do_not_depend_on_partitions(rows):
     def run(df):
         return series.pct_change(df, KEYS, "t", width=50.0)
