@@ -309,7 +309,7 @@ def loudest_tone(batch: pd.DataFrame) -> pd.DataFrame:
 
 def per_batch(spark, sf_dir):
     rows = apply_to_batches(src.strain_arrays(spark, sf_dir), loudest_tone, "event_id long, power double, loudest int")
-    return rows.select("event_id", "power", (F.col("loudest") > 0).alias("found"), "error")
+    return rows.select("event_id", "power", "loudest", "error")
 
 
 def facade(spark, sf_dir):
@@ -764,10 +764,17 @@ QUERIES = {
     "H22_apply_to_batches": (
         per_batch,
         sql(
-            """SELECT event_id, CASE WHEN target <> 'BNS' THEN round(sum(strain * strain) - sum(strain) * sum(strain) / count(*), 6) END AS power,
-                      CASE WHEN target <> 'BNS' THEN true END AS found,
+            """SELECT event_id, CASE WHEN target <> 'BNS' THEN round(any_value(power), 6) END AS power,
+                      CASE WHEN target <> 'BNS' THEN CAST(arg_max(k, re * re + im * im) AS INTEGER) END AS loudest,
                       CASE WHEN target = 'BNS' THEN 'not a background event' END AS error
-               FROM strain GROUP BY event_id, target""",
+               FROM (SELECT event_id, target, k, any_value(power) AS power,
+                            sum(strain * cos(2 * pi() * k * (time_seq - 1) / n)) AS re, sum(strain * sin(2 * pi() * k * (time_seq - 1) / n)) AS im
+                     FROM (SELECT s.*, n, power, unnest(range(1, n // 2 + 1)) AS k
+                           FROM strain s
+                           JOIN (SELECT event_id, count(*) AS n, sum(strain * strain) - sum(strain) * sum(strain) / count(*) AS power
+                                 FROM strain GROUP BY 1) USING (event_id))
+                     GROUP BY ALL)
+               GROUP BY event_id, target""",
             "strain",
         ),
     ),
