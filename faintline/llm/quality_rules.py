@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faintline.llm.common import spaceless, table, without, words
+from faintline.session import settle
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -150,30 +151,33 @@ def llr_score(hashes: Column, ratios: list[float], buckets: int = BUCKETS) -> Co
 
 def quality_rules(
     docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text: str = "text",
-    buckets: int = BUCKETS, deviations: float = DEVIATIONS,
+    buckets: int = BUCKETS, deviations: float = DEVIATIONS, keep: list[str] | None = None,
 ) -> DataFrame:
     """Documents with base counts, ``base_failed``, ``llr``, ``threshold`` and ``kept``.
 
-    ``trusted_ids``: one column named like ``doc_id``, the ids of trusted documents.
+    ``trusted_ids``: one column named like ``doc_id``, the ids of trusted documents. Documents are scored
+    once and written, with the columns ``keep`` of the input (all by default); the threshold is read off the written scores.
     """
     trusted = trusted_ids.select(F.col(doc_id).alias("__llm_trusted")).filter("__llm_trusted is not null").distinct().hint("merge")
     plain = docs.select(F.col(doc_id).alias("__llm_id"), F.col(text).alias("text"))
-    # texts stay where they are: their buckets, and then their scores, meet the trusted ids
+    # texts stay where they are: their buckets, and later their scores, meet the trusted ids
     grams = plain.select("__llm_id", gram_buckets(F.col("text"), buckets).alias("grams"))
     marked = grams.join(trusted, F.col("__llm_id") == F.col("__llm_trusted"), "left")
     ratios = llr_table(marked.select(F.col("__llm_trusted").isNotNull().alias("trusted"), "grams"), buckets)
-    scores = plain.select("__llm_id", llr_score(word_hashes(F.col("text")), ratios, buckets).alias("s"))
-    known = scores.join(trusted, F.col("__llm_id") == F.col("__llm_trusted"))
-    n, mean, deviation = known.agg(F.count("s"), F.avg("s"), F.stddev_pop("s")).first()
-    threshold = round(mean - deviations * deviation, 6) if n else 0.0
     out = without(docs, [c for c in ADDED if c not in (doc_id, text)])
     own, hashes = F.col(text), F.col("__llm_hashes")
-    counted = out.withColumn("__llm_hashes", word_hashes(own)).withColumns(
-        {**base_counts(own, hashes), "llr": llr_score(hashes, ratios, buckets)}
-    ).drop("__llm_hashes")
+    names = out.columns if keep is None else list(keep)
+    counts = {**base_counts(own, hashes), "llr": llr_score(hashes, ratios, buckets)}
+    counted = out.withColumn("__llm_hashes", word_hashes(own)).withColumns(counts)
+    counted = settle(counted.select(*dict.fromkeys([*names, doc_id, *counts])), "quality-rules")
+    known = counted.select(F.col(doc_id).alias("__llm_id"), "llr").join(trusted, F.col("__llm_id") == F.col("__llm_trusted"))
+    n, mean, deviation = known.agg(F.count("llr"), F.avg("llr"), F.stddev_pop("llr")).first()
+    threshold = round(mean - deviations * deviation, 6) if n else 0.0
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    return counted.withColumns({"base_failed": failed, "threshold": F.lit(threshold)}).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("llr") >= F.col("threshold"))
+    return (
+        counted.select(*dict.fromkeys([*names, *counts]))
+        .withColumns({"base_failed": failed, "threshold": F.lit(threshold)})
+        .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.col("threshold")))
     )
 
 
@@ -181,5 +185,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trusted: documents labelled with quality 1."""
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     trusted = table(spark, sf_dir, "labels", ["doc_id", "quality"]).filter("quality = 1").select("doc_id")
-    judged = quality_rules(docs, trusted)
+    judged = quality_rules(docs, trusted, keep=["doc_id"])
     return judged.select("doc_id", *BASE, "base_failed", "kept", "llr", "threshold")
