@@ -14,13 +14,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     Every round a node takes the smallest label among itself and its neighbours, then the label that its
     label's node has; rounds go on until nothing changes. Labels are written out each round, so no round
     repeats the ones before it. A node with very many neighbours costs one row per task, as
-    minima are taken before the shuffle.
+    minima are taken before the shuffle. Labels meet in merge joins, so none of them pass through the driver.
     """
     both = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
         near = (
-            both.join(labels.select(F.col("node").alias("b"), "label"), "b")
+            both.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b")
             .select(F.col("a").alias("node"), "label")
             .unionByName(labels)
             .groupBy("node")
@@ -28,8 +28,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         )
         heads = labels.select(F.col("node").alias("label"), F.col("label").alias("head"))
         # a label is a node, so each has a head
-        new = settle(near.join(heads, "label").select("node", F.least("label", "head").alias("label")), "labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").limit(1).count()
+        new = settle(near.join(heads.hint("merge"), "label").select("node", F.least("label", "head").alias("label")), "labels")
+        changed = new.join(labels.withColumnRenamed("label", "old").hint("merge"), "node").filter("label <> old").limit(1).count()
         labels = new
         if not changed:
             return labels

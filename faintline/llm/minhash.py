@@ -12,7 +12,8 @@ concentrate like independent ones.
    first class: as many pairs as members, however large the bucket.
 3. Verified links give components. Buckets that still hold several components are searched completely,
    in blocks of members against blocks of members inside tasks; pairs in one component are
-   skipped, a pair is tried in the first band it shares, and only links found are returned.
+   skipped, a pair is tried in the first band it shares, and only links found are returned. Sketches meet
+   first; full sets follow only for members whose sketch agrees with another's.
 4. Components of all links give the result.
 
 So no link between different sets is lost except by banding: two sets at the threshold share no band
@@ -47,6 +48,7 @@ ROWS = 5
 BANDS = 32
 SLACK = 0.18
 BLOCK = 256  # members of a bucket that are compared with as many others in one task
+BLOCK_SHINGLES = 1 << 21  # of such a block's sets together (16 MB), on average over a bucket's blocks
 ADDED = ["n_shingles", "component_id", "kept"]
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -151,18 +153,53 @@ def _sets(bitmap: Broadcast):
     return sets
 
 
+class _Members:
+    """Members of two blocks of a bucket (or of one block), and the pairs worth verifying."""
+
+    def __init__(self, group: pa.Table, percent: int):
+        self.percent, self.labels = percent, np.array(group["label"].to_pylist(), dtype=object)
+        self.parts, self.sizes = group["part"].to_numpy(), group["n"].to_numpy()
+        self.band, self.one, self.other = (group[c][0].as_py() for c in ("band", "one", "other"))
+        self.bands = np.stack([np.asarray(x) for x in group["bands"].to_numpy()])
+        self.marks = np.stack([np.frombuffer(x, dtype=np.uint8) for x in group["sketch"].to_pylist()])
+
+    def facing(self, i: int) -> np.ndarray:
+        """The members that ``i`` is to be compared with. Each pair comes once: within a block by position, between
+        blocks from the first to the second; and in the first band only that it shares."""
+        if self.one == self.other:
+            rest = np.arange(i + 1, len(self.labels))
+        else:
+            rest = np.flatnonzero(self.parts == self.other) if self.parts[i] == self.one else np.zeros(0, int)
+        rest = rest[self.labels[rest] != self.labels[i]]
+        small, large = np.minimum(self.sizes[rest], self.sizes[i]), np.maximum(self.sizes[rest], self.sizes[i])
+        rest = rest[100 * small >= self.percent * large]
+        if not len(rest):
+            return rest
+        rest = rest[(self.bands[rest] == self.bands[i]).argmax(axis=1) == self.band]
+        return rest[(self.marks[rest] == self.marks[i]).mean(axis=1) >= self.percent / 100 - SLACK]
+
+
+def _screen(percent: int):
+    """The members that have anything to be compared with, judged by sizes and sketches alone."""
+
+    def screen(group: pa.Table) -> pa.Table:
+        members = _Members(group, percent)
+        wanted = np.zeros(group.num_rows, bool)
+        for i in range(group.num_rows):
+            rest = members.facing(i)
+            wanted[rest] = True
+            wanted[i] |= len(rest) > 0
+        return group.filter(pa.array(wanted))
+
+    return screen
+
+
 def _search(percent: int):
     """Links between the two blocks of a bucket (or inside one block) that join different components."""
 
     def search(group: pa.Table) -> pa.Table:
-        nodes, labels = group["node"].to_pylist(), group["label"].to_pylist()
-        parts, band = group["part"].to_pylist(), group["band"][0].as_py()
-        one, other = group["one"][0].as_py(), group["other"][0].as_py()
-        sizes = group["n"].to_numpy()
-        bands = np.stack([np.asarray(x) for x in group["bands"].to_numpy()])
-        marks = np.stack([np.frombuffer(x, dtype=np.uint8) for x in group["sketch"].to_pylist()])
-        sets = group["shingles"].to_numpy()
-        head = {x: x for x in labels}
+        members, nodes, sets = _Members(group, percent), group["node"].to_pylist(), group["shingles"].to_numpy()
+        head = {x: x for x in members.labels}
 
         def root(x):
             while head[x] != x:
@@ -171,18 +208,9 @@ def _search(percent: int):
             return x
 
         a, b = [], []
-        parts = np.array(parts)
         for i in range(len(nodes)):
-            # each pair once: within a block by position, between blocks from the first to the second
-            rest = np.arange(i + 1, len(nodes)) if one == other else np.flatnonzero(parts == other) if parts[i] == one else np.zeros(0, int)
-            small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
-            rest = rest[100 * small >= percent * large]
-            if not len(rest):
-                continue
-            rest = rest[(bands[rest] == bands[i]).argmax(axis=1) == band]
-            rest = rest[(marks[rest] == marks[i]).mean(axis=1) >= percent / 100 - SLACK]
-            for j in rest:
-                x, y = root(labels[i]), root(labels[j])
+            for j in members.facing(i):
+                x, y = root(members.labels[i]), root(members.labels[j])
                 if x != y and _similar(sets[i], sets[j], percent):
                     head[x] = y
                     a.append(nodes[i]), b.append(nodes[j])
@@ -207,25 +235,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     )
     # members of buckets, and each bucket's first class; buckets of one are gone
     members = classes.select("node", "n", F.posexplode("bands").alias("band", "code"))
-    firsts = members.groupBy("band", "code").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("members"))
+    firsts = members.groupBy("band", "code").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     firsts = firsts.filter("members > 1").select(
-        F.col("band").alias("band_"), F.col("code").alias("code_"), F.xxhash64("code").alias("check_"), "first", "members"
+        F.col("band").alias("band_"), F.col("code").alias("code_"), F.xxhash64("code").alias("check_"), "first", "members", "total"
     )
     # one more key than the counts are dealt by, so that both sides are dealt for this join and a large bucket can be split
     same = (F.col("band") == F.col("band_")) & (F.col("code") == F.col("code_")) & (F.xxhash64("code") == F.col("check_"))
-    shared = settle(members.join(firsts, same).select("node", "n", "band", "code", "first", "members"), "buckets")
+    shared = settle(members.join(firsts, same).select("node", "n", "band", "code", "first", "members", "total"), "buckets")
     near = 100 * F.least("n", "first.n") >= percent * F.greatest("n", "first.n")
     stars = settle(shared.filter((F.col("node") != F.col("first.node")) & near).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     # the full sets of these classes: other documents are left out by a bitmap of ids, and what passes it by the join
     wanted = shared.select("node").distinct()
-    bitmap = presence(classes.join(wanted, "node", "left_semi"), F.col("id"))
+    bitmap = presence(classes.join(wanted.hint("merge"), "node", "left_semi"), F.col("id"))
     hashed = rows.select(F.xxhash64("id").alias("hash"), "text")
     sets = hashed.mapInArrow(_sets(bitmap), "node binary, shingles array<long>").join(wanted.hint("merge"), "node", "left_semi")
     sets = settle(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     common = F.size(F.array_intersect("s", "t"))
     links = settle(
-        stars.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+        stars.hint("merge")
+        .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")).hint("merge"), "b")
         .select("a", "b", common.alias("c"), (F.size("s") + F.size("t")).alias("all"))
         .filter(100 * F.col("c") >= percent * (F.col("all") - F.col("c")))
         .select("a", "b"),
@@ -233,24 +262,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     )
     labels = connected_components(links)
     # buckets with several components left, in blocks
-    marked = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    marked = shared.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = marked.groupBy("band", "code").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("band").alias("band_"), F.col("code").alias("code_"), F.lit(True).alias("open"))
-    left = marked.join(open_, (F.col("band") == F.col("band_")) & (F.col("code") == F.col("code_"))).select("node", "label", "band", "code", "members")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    left = marked.join(open_.hint("merge"), (F.col("band") == F.col("band_")) & (F.col("code") == F.col("code_"))).select("node", "label", "band", "code", "members", "total")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
     placed = left.withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    facing = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("part")).alias("one"), F.greatest(x, F.col("part")).alias("other")))
-    spread = placed.select("node", "label", "band", "code", "part", F.explode(facing).alias("f")).select("*", "f.one", "f.other").drop("f")
-    payload = sets.join(classes.select("node", "n", "bands", "sketch"), "node")
-    more = settle(spread.join(payload, "node").groupBy("band", "code", "one", "other").applyInArrow(_search(percent), "a binary, b binary"), "links")
+    opposite = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("part")).alias("one"), F.greatest(x, F.col("part")).alias("other")))
+    spread = placed.select("node", "label", "band", "code", "part", F.explode(opposite).alias("f")).select("*", "f.one", "f.other").drop("f")
+    faces = spread.join(classes.select("node", "n", "bands", "sketch").hint("merge"), "node")
+    faces = faces.select("node", "label", "band", "code", "part", "one", "other", "n", "bands", "sketch")
+    pairs = ["band", "code", "one", "other"]
+    facing = settle(faces.groupBy(*pairs).applyInArrow(_screen(percent), faces.schema), "facing")
+    more = settle(facing.hint("merge").join(sets, "node").groupBy(*pairs).applyInArrow(_search(percent), "a binary, b binary"), "links")
     if more.limit(1).count():
         labels = connected_components(links.unionByName(more))
     # components by class; the rest of the classes are components of their own
-    named = classes.select("node", "id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = classes.select("node", "id", "copies").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"), F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("nodes")).filter("rows > 1")
-    renamed = named.join(smallest, "label").select(F.col("node").alias("node_"), F.crc32("node").alias("check_"), F.col("component_id").alias("smallest"), "label", F.lit(True).alias("grouped"))
+    renamed = named.join(smallest.hint("merge"), "label").select(F.col("node").alias("node_"), F.crc32("node").alias("check_"), F.col("component_id").alias("smallest"), "label", F.lit(True).alias("grouped"))
     found = described.select("id", "n", "node")
     # two keys, so that both sides are dealt for this join and a very large class can be split
-    out = found.join(renamed, (F.col("node") == F.col("node_")) & (F.crc32("node") == F.col("check_")), "left")
+    out = found.join(renamed.hint("merge"), (F.col("node") == F.col("node_")) & (F.crc32("node") == F.col("check_")), "left")
     return out.select("id", "n", "node", F.coalesce("label", "node").alias("label"), F.when(F.col("grouped"), F.col("smallest")).otherwise(F.col("id")).alias("component_id"))
 
 
