@@ -57,18 +57,42 @@ def to_client(df: DataFrame, max_rows: int) -> pd.DataFrame:
     return local
 
 
+def _reach(df: DataFrame, there: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of ``there`` that may share keys with ``df``, by the least and greatest value of each key.
+
+    The bounds reach the scan as ranges, so files and row groups (and partitions) of other keys are skipped by their
+    statistics. Floating-point keys are left out, as NaN has no place in such statistics.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    plain = (T.StringType, T.IntegralType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    bounded = [k for k in keys if isinstance(kinds[k], plain) and kinds[k] == there.schema[k].dataType]
+    if not bounded:
+        return there
+    ends = [f(k).alias(f"{n}_{i}") for i, k in enumerate(bounded) for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]
+    found = df.agg(F.count(F.lit(1)).alias("rows"), *ends).first()
+    for i, k in enumerate(bounded):
+        inside = F.lit(False)
+        if found[f"n_{i}"]:
+            lo, hi = (F.lit(found[f"{n}_{i}"]).cast(kinds[k]) for n in ("lo", "hi"))
+            inside = F.col(k).between(lo, hi)
+        there = there.filter(inside if found[f"n_{i}"] == found["rows"] else inside | F.col(k).isNull())
+    return there
+
+
 def load_new(df: DataFrame, name: str, key: str | Sequence[str] | None = None, partition_by: Sequence[str] = ()) -> None:
     """Append the records that are not in the table yet, in one job; a rerun adds nothing.
 
     A record is known by ``key``, by default all its columns, so that a series that was loaded in part is
-    completed. Null keys match each other. ``rebalance`` evens out the written files and splits a key
-    that holds many rows.
+    completed. Null keys match each other. Of the table only the stretch that the new keys span is read, so a load of
+    one day does not grow with the days before it. ``rebalance`` evens out the written files and splits a key
+    that holds many rows. Files appear when the whole job commits; a job that is killed before adds no record.
     """
     spark = df.sparkSession
     fresh = df
     if spark.catalog.tableExists(name):
         keys = [key] if isinstance(key, str) else list(key or df.columns)
-        there = spark.table(name).select(*[F.col(k).alias(f"__there_{k}") for k in keys]).distinct()
+        known = _reach(df, spark.table(name), keys)
+        there = known.select(*[F.col(k).alias(f"__there_{k}") for k in keys]).distinct()
         same = [F.col(k).eqNullSafe(F.col(f"__there_{k}")) for k in keys]
         fresh = df.join(there, same, "left_anti").select(*df.columns)
     writer = fresh.hint("rebalance", *partition_by).write.mode("append")

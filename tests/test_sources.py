@@ -106,6 +106,35 @@ def test_load_is_idempotent_and_adds_new_keys(spark):
     assert sorted(tuple(r) for r in spark.table(f"{db}.s").select("id", "v").collect()) == [("a", 1), ("a", 2), ("b", 3)]
 
 
+def test_load_reads_only_the_stretch_of_the_new_keys(spark):
+    name = f"{new_database(spark)}.s"
+    start = "timestamp_ntz'2020-01-01' + make_dt_interval(cast(id div 1000 AS int), 0, cast(id % 1000 AS int))"
+    days = spark.range(10_000).selectExpr("concat('e', lpad(id, 6, '0')) AS id", f"{start} AS at", "id AS v")
+    for day in range(10):  # a file or more of each day
+        tables.load_new(days.filter(f"v div 1000 = {day}"), name, ["id", "at"])
+    assert spark.table(name).count() == 10_000
+    again = days.filter("v BETWEEN 6500 AND 6600")
+    kept = tables._reach(again, spark.table(name), ["id", "at"])
+    assert kept.count() == 101
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,e006500)" in plan and "LessThanOrEqual(id,e006600)" in plan
+    # every file whose own range does not meet the new keys can be skipped by its statistics
+    files = spark.table(name).groupBy(F.input_file_name().alias("f")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    assert files.filter("hi >= 'e006500' AND lo <= 'e006600'").count() < files.count()
+    tables.load_new(again, name, ["id", "at"])
+    assert spark.table(name).count() == 10_000
+
+
+def test_load_with_null_and_floating_keys(spark):
+    name = f"{new_database(spark)}.s"
+    schema = "id string, x double, n int"
+    rows = [("a", 1.0, 1), (None, float("nan"), None), ("b", None, 3)]
+    one, other = spark.createDataFrame(rows, schema), spark.createDataFrame([(None, None, None), *rows, ("c", float("nan"), 1)], schema)
+    for df in (one, one, other, other, one.limit(0), one.filter("id IS NULL")):
+        tables.load_new(df, name)
+    assert sorted(map(repr, spark.table(name).collect())) == sorted(map(repr, other.collect()))
+
+
 def test_descriptions(spark):
     db = new_database(spark, "first")
     tables.create(spark.range(3).toDF("n"), f"{db}.t")
