@@ -6,7 +6,8 @@ a large part of the table. Here a series is cut into blocks along its order colu
 
 * ``previous_row``: each block receives the last row of the block before it;
 * ``row_index``: each block receives the row count of all blocks before it;
-* ``with_margins``: blocks of equal row count, each with copies of its neighbours' edge rows.
+* ``with_margins``: blocks of equal row count, each with copies of its neighbours' edge rows;
+* ``packed_before``: blocks of about equal work, each with the rows before it, as arrays.
 
 The summaries hold one row per block (about one per million rows).
 """
@@ -21,6 +22,8 @@ from pyspark.sql import types as T
 
 ROWS_PER_BLOCK = 1_000_000
 MARGIN_ROWS = 65_536
+WINDOW_VALUES = 1 << 25  # values that the windows of a block's rows hold together
+LEAST_ROWS = 256  # of a block with very long windows
 BLOCK = "__block"
 
 
@@ -149,3 +152,32 @@ def with_margins(
     last = F.when(within >= rows - before, home + 1).otherwise(home)
     cut = df.withColumn("__home", home).withColumn(BLOCK, F.explode(F.sequence(first, last)))
     return cut.withColumn("__own", F.col(BLOCK) == F.col("__home")).drop("__home"), BLOCK, "__own"
+
+
+def packed_before(
+    df: DataFrame, keys: Sequence[str], index: str, before: str, total: str, cols: Sequence[str], values: float | None = None
+) -> DataFrame:
+    """One row per block: ``__rows``, its rows and the ``before`` rows ahead of them as an array of ``index`` and ``cols``
+    in order, and ``__own``, the positions of its own rows that have so many before them.
+
+    ``index`` is a gap-free 1-based position, ``before`` and ``total`` (rows of the series) are columns with one value per
+    series. A block has about ``WINDOW_VALUES`` / ``before`` rows, so a long series with long windows is cut into many.
+    ``values``: how many the windows hold together, where the rows' bytes say little about the work; blocks are dealt
+    to as many tasks as that needs.
+    """
+    keys = list(keys)
+    n, at, whole = F.col(before), F.col(index) - 1, F.col(total)
+    rows = F.least(F.lit(MARGIN_ROWS), F.greatest(F.lit(LEAST_ROWS), F.floor(F.lit(WINDOW_VALUES) / F.greatest(n, F.lit(1)))))
+    df = df.filter(n < whole).withColumn("__size", rows.cast("long"))
+    size = F.col("__size")
+    first = F.greatest(F.floor(at / size), F.floor(n / size))
+    last = F.least(F.floor((at + n) / size), F.floor((whole - 1) / size))
+    cut = df.withColumn(BLOCK, F.explode(F.sequence(first, last)))
+    if values and values > WINDOW_VALUES:
+        cut = cut.repartition(int(-(-values // WINDOW_VALUES)), *keys, BLOCK)
+    packed = cut.groupBy(*keys, BLOCK).agg(
+        F.max(before).alias(before), F.max("__size").alias("__size"), F.sort_array(F.collect_list(F.struct(index, *cols))).alias("__rows")
+    )
+    begin = F.greatest(F.col(before), F.col(BLOCK) * F.col("__size")) + 1
+    own = F.sequence(begin.cast("long"), F.element_at("__rows", -1).getField(index))
+    return packed.withColumn("__own", own).drop(BLOCK, "__size")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from faintline.functions.scalars import relative_change
 from faintline.operators.aggregate import downsample_mean
-from faintline.operators.blocks import ROWS_PER_BLOCK, previous_row, row_index, with_margins
+from faintline.operators.blocks import ROWS_PER_BLOCK, packed_before, previous_row, row_index, with_margins
 
 # Mean spacing of time buckets; a rounded unit has one cell more per second than its name says.
 BUCKET_US = {"ms": 1000, "cs": 1_000_000 / 101, "ds": 1_000_000 / 11, "s": 1_000_000, "second": 1_000_000,
@@ -69,33 +69,37 @@ def lookback_windows(
     """``x`` = the ``n`` values before each row, ``y`` = the row's value; rows with fewer are left out.
 
     ``fraction`` sets n per series to ``round(fraction * rows)``; the output then grows with the
-    square of the series length, so it is meant for bucketed series.
+    square of the series length, so it is meant for bucketed series. Blocks are dealt to as many
+    tasks as the windows' values need, whatever few bytes the series have.
     """
     keys = list(keys)
-    rows = row_index(df.filter(F.col(value).isNotNull()), keys, order, "idx", width=width, total="n")
+    rows = row_index(df.filter(F.col(value).isNotNull()), keys, order, "idx", width=width, total="__total")
+    values = None
     if n is None:
         # bround: halves go to the even number
-        rows = rows.withColumn("n", F.bround(F.col("n") * F.lit(fraction)).cast("int"))
-        most = df.groupBy(*keys).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0
-        longest = round(most * fraction)
+        rows = rows.withColumn("__n", F.bround(F.col("__total") * F.lit(fraction)).cast("int"))
+        counts = df.groupBy(*keys).agg(F.count(value).alias("n"))
+        size = F.bround(F.col("n") * F.lit(fraction))
+        most, values = counts.agg(F.max("n"), F.sum(size * (F.col("n") - size))).first()
+        longest = round((most or 0) * fraction)
     else:
         longest = n
-        rows = rows.withColumn("n", F.lit(n))
+        rows = rows.withColumn("__n", F.lit(n))
     if longest < 1:
         raise ValueError("the look-back length must be at least 1")
-    cut, block, own = with_margins(rows, "idx", before=longest)
-    w = Window.partitionBy(*keys, block).orderBy("idx").rowsBetween(-longest, -1)
-    past = F.collect_list(value).over(w)
-    return (
-        cut.withColumn("__past", past)
-        .filter(F.col(own) & (F.col("idx") > F.col("n")))
-        .select(
-            *keys,
-            order,
-            "idx",
-            F.slice("__past", F.size("__past") - F.col("n") + 1, F.col("n")).alias("x"),
-            F.col(value).alias("y"),
-        )
+    packed = packed_before(rows, keys, "idx", "__n", "__total", [order, value], values)
+    # a block's columns as arrays, before its rows are dealt out
+    columns = packed.select(
+        *keys, "__n", F.col("__own"), F.col("__rows").getField("idx").getItem(0).alias("__first"),
+        F.col("__rows").getField(order).alias("__order"), F.col("__rows").getField(value).alias("__past"),
+    )
+    whole = columns.select("*", F.explode("__own").alias("idx")).withColumn("__at", (F.col("idx") - F.col("__first") + 1).cast("int"))
+    return whole.select(
+        *keys,
+        F.element_at("__order", F.col("__at")).alias(order),
+        "idx",
+        F.slice("__past", F.col("__at") - F.col("__n"), F.col("__n")).alias("x"),
+        F.element_at("__past", F.col("__at")).alias("y"),
     )
 
 

@@ -101,6 +101,21 @@ def test_lookback_share_has_reference_shape(spark):
     assert tuple(found) == (66, 264, 264, 264.0)
 
 
+def test_lookback_share_of_a_long_series_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "WINDOW_VALUES", 500, raising=False)
+    monkeypatch.setattr(blocks, "LEAST_ROWS", 4, raising=False)
+    data = [("a", t, float(t % 7)) for t in range(200)] + [("b", t, float(t)) for t in range(9)] + [(None, 5, 1.0), ("c", 1, None)]
+    windows = lookback_windows(spark.createDataFrame(data, "id string, t long, v double"), ["id"], "t", "v", fraction=0.8)
+    rows = windows.withColumn("task", F.spark_partition_id()).collect()
+    got = {(r.id, r.t): (r.idx, r.x, r.y) for r in rows}
+    want = {}
+    for key, n in (("a", 160), ("b", 7)):
+        values = [v for k, _, v in data if k == key]
+        want |= {(key, t): (t + 1, values[t - n : t], values[t]) for t in range(n, len(values))}
+    assert got == want and len(rows) == len(want)
+    assert len({r.task for r in rows if r.id == "a"}) > 2
+
+
 @pytest.mark.parametrize("margin", [4, 65_536])
 def test_windows(spark, margin, monkeypatch):
     monkeypatch.setattr(blocks, "MARGIN_ROWS", margin)
