@@ -114,11 +114,14 @@ class Transducer:
         ranks = {w: i for i, w in enumerate(sorted(set(self.weight.values())))}
         self.turn = {p: ranks[w] for p, w in self.weight.items()}
         self.made = {p for p, parts in self.split.items() if parts}
-        # lengths of the pieces that end in two given characters
-        self.tails: dict[str, list[int]] = {}
-        for size, tail in sorted({(len(p), p[-2:]) for p in self.made}, reverse=True):
-            self.tails.setdefault(tail, []).append(size)
-        self.longest = max(map(len, self.made if kind == BPE else self.ids), default=1)
+        # the pieces that merging makes, as a tree of their characters; a piece stands at the empty string of its node
+        self.heads: dict = {}
+        for piece in self.made:
+            node = self.heads
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = piece
+        self.longest = max(map(len, self.ids), default=1)
         self.allowed: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -160,7 +163,9 @@ class Transducer:
 
     def _path(self, part: str) -> list[str]:
         """The shortest path through the lattice of a part."""
-        last = self._only_path(part) if self.kind == BPE else self._cheapest_path(part)
+        if self.kind == BPE:
+            return self._only_path(part)
+        last = self._cheapest_path(part)
         path, n = [], len(part)
         while n:
             path.append(last[n])
@@ -182,24 +187,32 @@ class Transducer:
         return last
 
     def _only_path(self, part: str) -> list[str]:
-        """For every position the piece that ends there: allowed pairs leave one path to each."""
-        n, made, allowed, tails = len(part), self.made, self.allowed, self.tails
-        last = [""] * (n + 1)
-        for end in range(1, n + 1):
-            last[end] = part[end - 1 : end]
-            for size in tails.get(part[end - 2 : end], ()) if end > 1 else ():
-                start = end - size
-                if start < 0:
+        """The path on which every two neighbours are allowed: the longest piece first, back where none leads on.
+
+        Allowed pairs leave one path to each position, so a position that led nowhere is not tried again.
+        """
+        n, heads, allowed, path, at, before = len(part), self.heads, self.allowed, [], 0, ""
+        dead: set[int] = set()
+        while at < n:
+            found, node, end = [part[at]], heads, at
+            while end < n and (node := node.get(part[end])) is not None:
+                end += 1
+                if "" in node:
+                    found.append(node[""])
+            while found:
+                piece = found.pop()
+                if dead and at + len(piece) in dead:
                     continue
-                piece = part[start:end]
-                if piece in made:
-                    if start:
-                        ok = allowed.get((last[start], piece))
-                        if not (self.may_follow(last[start], piece) if ok is None else ok):
-                            continue
-                    last[end] = piece
+                ok = not path or allowed.get((before, piece))
+                if self.may_follow(before, piece) if ok is None else ok:
+                    path.append(piece)
+                    at, before = at + len(piece), piece
                     break
-        return last
+            else:
+                dead.add(at)
+                at -= len(path.pop())
+                before = path[-1] if path else ""
+        return path
 
     def _part_ids(self, part: str) -> list[int]:
         out = []

@@ -37,6 +37,13 @@ def test_same_ids_as_the_library(machine, library):
             assert machine.decode(machine.encode(text)) == text
 
 
+def test_a_part_is_read_by_pieces_not_by_positions():
+    machine = sp.Transducer(sp.read_model())
+    words = ["internationalization", "unbelievable", "responsibilities", "extraordinary", "microprocessors", "straightforward"]
+    ids = [machine.encode(w) for w in words]
+    assert 0 < len(machine.allowed) <= 2 * sum(map(len, ids))
+
+
 def test_whole_table(spark, library):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = sp.query(spark, SF).collect()
