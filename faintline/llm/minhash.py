@@ -9,10 +9,10 @@ concentrate like independent ones.
 
 1. Documents with the same set form a class; only classes go on. A class costs one row per task.
 2. Classes that agree in a band share a bucket. Each is verified on full sets against the bucket's
-   first class: as many pairs as members, however large the bucket.
+   first class, in a bucket of more than ``LARGE`` against four of its classes: as many pairs as members, however large the bucket.
 3. Verified links give components. Buckets that still hold several components are searched completely,
-   in blocks of members against blocks of members inside tasks; pairs in one component are
-   skipped, a pair is tried in the first band it shares, and only links found are returned. Sketches meet
+   in blocks of members against blocks of members inside tasks; members of a bucket's largest component meet
+   only the others, once where these are one block; pairs in one component are skipped, a pair is tried in the first band it shares, and only links found are returned. Sketches meet
    first; full sets follow only for members whose sketch agrees with another's.
 4. Components of all links give the result.
 
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,8 +47,9 @@ SHINGLE = 5
 ROWS = 5
 BANDS = 32
 SLACK = 0.18
-BLOCK = 256  # members of a bucket that are compared with as many others in one task
+BLOCK = 1024  # members of a bucket that are compared with as many others in one task
 BLOCK_SHINGLES = 1 << 21  # of such a block's sets together (16 MB), on average over a bucket's blocks
+LARGE = 32  # members of a bucket from which on several of its classes are centres of stars
 ADDED = ["n_shingles", "component_id", "kept"]
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -219,6 +220,10 @@ def _search(percent: int):
     return search
 
 
+def _blocks(members: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(members / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """``id, n, node, label, component_id`` of every document; linked: 100 * shared >= percent * united shingles.
 
@@ -233,17 +238,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
         some.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "classes",
     )
-    # members of buckets, and each bucket's first class; buckets of one are gone
+    # members of buckets, and each bucket's centres, its first class among them; buckets of one are gone
     members = classes.select("node", "n", F.posexplode("bands").alias("band", "code"))
-    firsts = members.groupBy("band", "code").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
-    firsts = firsts.filter("members > 1").select(
-        F.col("band").alias("band_"), F.col("code").alias("code_"), F.xxhash64("code").alias("check_"), "first", "members", "total"
-    )
+    member, drawn = F.struct("node", "n"), F.xxhash64("node")
+    found = [F.min(member), F.max(member), F.min_by(member, drawn), F.max_by(member, drawn)]
+    firsts = members.groupBy("band", "code").agg(F.array_distinct(F.array(*found)).alias("centres"), F.count(F.lit(1)).alias("members"))
+    centres = F.when(F.col("members") > LARGE, F.col("centres")).otherwise(F.slice("centres", 1, 1)).alias("centres")
+    firsts = firsts.filter("members > 1").select(F.col("band").alias("band_"), F.col("code").alias("code_"), F.xxhash64("code").alias("check_"), centres)
     # one more key than the counts are dealt by, so that both sides are dealt for this join and a large bucket can be split
     same = (F.col("band") == F.col("band_")) & (F.col("code") == F.col("code_")) & (F.xxhash64("code") == F.col("check_"))
-    shared = settle(members.join(firsts, same).select("node", "n", "band", "code", "first", "members", "total"), "buckets")
-    near = 100 * F.least("n", "first.n") >= percent * F.greatest("n", "first.n")
-    stars = settle(shared.filter((F.col("node") != F.col("first.node")) & near).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    shared = settle(members.join(firsts, same).select("node", "n", "band", "code", "centres"), "buckets")
+    spokes = shared.select("node", "n", F.explode("centres").alias("centre"))
+    near = 100 * F.least("n", "centre.n") >= percent * F.greatest("n", "centre.n")
+    pair = [F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")]
+    stars = settle(spokes.filter((F.col("node") != F.col("centre.node")) & near).select(*pair).distinct(), "stars")
     # the full sets of these classes: other documents are left out by a bitmap of ids, and what passes it by the join
     wanted = shared.select("node").distinct()
     bitmap = presence(classes.join(wanted.hint("merge"), "node", "left_semi"), F.col("id"))
@@ -261,13 +269,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
         "links",
     )
     labels = connected_components(links)
-    # buckets with several components left, in blocks
+    # buckets with several components left, in blocks; the members of a bucket's largest component need not meet each other
     marked = shared.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = marked.groupBy("band", "code").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("band").alias("band_"), F.col("code").alias("code_"), F.lit(True).alias("open"))
-    left = marked.join(open_.hint("merge"), (F.col("band") == F.col("band_")) & (F.col("code") == F.col("code_"))).select("node", "label", "band", "code", "members", "total")
-    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    placed = left.withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    opposite = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("part")).alias("one"), F.greatest(x, F.col("part")).alias("other")))
+    parties = marked.groupBy("band", "code", "label").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total"))
+    open_ = parties.groupBy("band", "code").agg(
+        F.max(F.struct("count", "total", "label")).alias("main"), F.count(F.lit(1)).alias("parties"), F.sum("count").alias("members"), F.sum("total").alias("total")
+    ).filter("parties > 1")
+    rest, main = _blocks(F.col("members") - F.col("main.count"), F.col("total") - F.col("main.total")), _blocks(F.col("main.count"), F.col("main.total"))
+    open_ = open_.select(F.col("band").alias("band_"), F.col("code").alias("code_"), F.col("main.label").alias("main_label"), rest.alias("rest"), main.alias("main"))
+    left = marked.join(open_.hint("merge"), (F.col("band") == F.col("band_")) & (F.col("code") == F.col("code_"))).withColumn("of_main", F.col("label") == F.col("main_label"))
+    # the other members' blocks are numbered first and face all; those of the largest component face only the others
+    place = F.xxhash64("node")
+    part = F.when(F.col("of_main"), F.col("rest") + F.pmod(place, F.col("main"))).otherwise(F.pmod(place, F.col("rest"))).cast("int")
+    placed = left.select("node", "label", "band", "code", "rest", "main", "of_main", part.alias("part"))
+    last = F.when(F.col("of_main"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("main") - 1)
+    opposite = F.transform(F.sequence(F.lit(0), last), lambda x: F.struct(F.least(x, F.col("part")).alias("one"), F.greatest(x, F.col("part")).alias("other")))
     spread = placed.select("node", "label", "band", "code", "part", F.explode(opposite).alias("f")).select("*", "f.one", "f.other").drop("f")
     faces = spread.join(classes.select("node", "n", "bands", "sketch").hint("merge"), "node")
     faces = faces.select("node", "label", "band", "code", "part", "one", "other", "n", "bands", "sketch")

@@ -99,6 +99,27 @@ def test_groups_chains_and_passages(spark, percent, monkeypatch):
     compare(spark, rows, percent)
 
 
+def test_linked_members_of_a_bucket_meet_only_the_others(spark, monkeypatch):
+    monkeypatch.setattr(mh, "BLOCK", 8)
+    met, screen = spark.sparkContext.accumulator(0), mh._screen
+
+    def counted(percent):
+        inner = screen(percent)
+
+        def count(group):
+            met.add(group.num_rows)
+            return inner(group)
+
+        return count
+
+    monkeypatch.setattr(mh, "_screen", counted)
+    draw = random.Random(3)
+    base = [f"w{draw.randrange(5000)}" for _ in range(300)]
+    rows = [(k, mutate(base, 1, draw)) for k in range(120)] + [(k, mutate(base, 8, draw)) for k in range(120, 124)]
+    compare(spark, rows, 85)
+    assert 0 < met.value <= len(rows) * mh.BANDS
+
+
 def test_cases(spark):
     compare(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (4, "other text"), (9, None)], 85)
     out = mh.near_duplicates(spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")).collect()
