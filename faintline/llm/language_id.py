@@ -25,7 +25,7 @@ like a result column are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -114,6 +114,28 @@ def _lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text_bytes(pc.utf8_lower(texts.cast(pa.large_string())))
 
 
+class Packed(Sequence):
+    """Bucket counts of sampled texts as the tasks send them; a text's are unpacked when they are read.
+
+    Buckets have two bytes and a text's counts as few as its largest needs, so the driver holds the sample in few MB.
+    """
+
+    def __init__(self, buckets: Sequence, counts: Sequence):
+        self.buckets, self.counts = buckets, counts
+
+    def __len__(self) -> int:
+        return len(self.buckets)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        buckets = np.frombuffer(self.buckets[i].as_buffer(), np.uint16)
+        packed = self.counts[i].as_buffer()
+        return buckets, np.frombuffer(packed, f"u{packed.size // max(1, len(buckets)) or 1}").astype(np.float32)
+
+    def take(self, places: np.ndarray) -> "Packed":
+        places = pa.array(places, pa.int64())
+        return Packed(self.buckets.take(places), self.counts.take(places))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bucket counts of sampled texts."""
     for batch in batches:
@@ -126,9 +148,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     piece = data[at : min(at + CHUNK + order - 1, int(offsets[i + 1]))]
                     total += np.bincount(gram_buckets(piece, order), minlength=len(total))
             found = np.flatnonzero(total)
-            buckets.append(found.astype(np.int32))
-            counts.append(total[found].astype(np.float32))
-        lists = [pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))]
+            buckets.append(found.astype(np.uint16).tobytes())
+            counts.append(total[found].astype(np.min_scalar_type(int(total.max()))).tobytes())
+        lists = [pa.array(x, pa.binary()) for x in (buckets, counts)]
         yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("__llm_key"), *lists], ["label", "key", "buckets", "counts"])
 
 
@@ -159,10 +181,9 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(buckets: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, n_labels: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(texts: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_labels: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings, layer and bias by stochastic gradient descent, in steps of 16 texts with a falling rate."""
     draw = np.random.default_rng(seed)
-    shares = [c / c.sum() for c in counts]
     embed = draw.uniform(-0.5, 0.5, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32)
     layer, bias = np.zeros((DIMENSIONS, n_labels), dtype=np.float32), np.zeros(n_labels, dtype=np.float32)
     steps = EPOCHS * -(-len(labels) // 16)
@@ -173,15 +194,16 @@ def train(buckets: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarra
             rows = order[at : at + 16]
             rate = RATE * (1 - step / steps)
             step += 1
-            mean = np.stack([shares[i] @ embed[buckets[i]] for i in rows])
+            shares = [(b, c / c.sum()) for b, c in (texts[i] for i in rows)]
+            mean = np.stack([share @ embed[b] for b, share in shares])
             wrong = _softmax(mean @ layer + bias)
             wrong[np.arange(len(rows)), labels[rows]] -= 1
             back = wrong @ layer.T
             layer -= rate / len(rows) * (mean.T @ wrong)
             bias -= rate / len(rows) * wrong.sum(axis=0)
-            for i, g in zip(rows, back):
+            for (b, share), g in zip(shares, back):
                 # a text's buckets are all different
-                embed[buckets[i]] -= rate * np.outer(shares[i], g)
+                embed[b] -= rate * np.outer(share, g)
     return embed, layer, bias
 
 
@@ -209,7 +231,7 @@ def bar(clean: np.ndarray, negatives: np.ndarray, lost: float = LOST) -> float:
 
 
 def familiarity(
-    buckets: list[np.ndarray], counts: list[np.ndarray], sampled: DataFrame, labels: np.ndarray, logits: np.ndarray
+    texts: Sequence[tuple[np.ndarray, np.ndarray]], sampled: DataFrame, labels: np.ndarray, logits: np.ndarray
 ) -> tuple[np.ndarray, float]:
     """Log likelihood of every bucket in every language, less the language's median text, and the bar below which a text is in none.
 
@@ -217,15 +239,16 @@ def familiarity(
     """
     n_labels, n_buckets = logits.shape[1], 1 << BUCKET_BITS
     # texts count by the root of their length, so that one long text does not stand for its language
-    weights = [c / np.sqrt(c.sum()) for c in counts]
     total = np.zeros((n_buckets, n_labels))
-    for b, w, k in zip(buckets, weights, labels):
-        total[b, k] += w
+    for (b, c), k in zip(texts, labels):
+        total[b, k] += c / np.sqrt(c.sum())
     mass = total.sum(axis=0) + SMOOTH * n_buckets
     table = np.log((total + SMOOTH) / mass)
     # every text against the others of its language
-    alone = [np.log((total[b, k] - w + SMOOTH) / (mass[k] - w.sum())) for b, w, k in zip(buckets, weights, labels)]
-    own = np.array([c @ a / c.sum() for c, a in zip(counts, alone)])
+    own = np.zeros(len(texts))
+    for i, ((b, c), k) in enumerate(zip(texts, labels)):
+        w = c / np.sqrt(c.sum())
+        own[i] = c @ np.log((total[b, k] - w + SMOOTH) / (mass[k] - w.sum())) / c.sum()
     usual = np.array([np.median(own[labels == k]) if (labels == k).any() else 0.0 for k in range(n_labels)])
     table -= usual
     clean = own - usual[labels]
@@ -233,7 +256,7 @@ def familiarity(
     if n_labels > 1:
         others = logits.copy()
         others[np.arange(len(labels)), labels] = -np.inf
-        negatives += [c @ table[b, k] / c.sum() for b, c, k in zip(buckets, counts, others.argmax(axis=1))]
+        negatives += [c @ table[b, k] / c.sum() for (b, c), k in zip(texts, others.argmax(axis=1))]
     return table, bar(clean, np.array(negatives))
 
 
@@ -242,14 +265,11 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     known = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("label"))
     known = known.filter((fold(F.col("id")) != 2) & F.col("label").isNotNull() & F.col("text").rlike(LETTER)).select("text", "label")
     chosen = settle(distinct_sample(known, F.xxhash64("text", "label"), sample, "label"), "sample")
-    rows = chosen.mapInArrow(_features, "label string, key long, buckets array<int>, counts array<float>").toArrow().sort_by("key")
+    rows = chosen.mapInArrow(_features, "label string, key long, buckets binary, counts binary").toArrow().sort_by("key")
     if not rows.num_rows:
         return None
-    # ids and counts as views of the table, one per text
-    lists = {c: rows[c].combine_chunks() for c in ("buckets", "counts")}
-    buckets = [lists["buckets"][i].values.to_numpy() for i in range(rows.num_rows)]
-    counts = [lists["counts"][i].values.to_numpy() for i in range(rows.num_rows)]
-    full = [i for i, c in enumerate(counts) if len(c)]  # a text of one byte has no n-gram
+    texts = Packed(rows["buckets"].combine_chunks(), rows["counts"].combine_chunks())
+    full = [i for i, b in enumerate(texts.buckets) if len(b.as_buffer())]  # a text of one byte has no n-gram
     languages = sorted(set(rows["label"].to_pylist()))
     number = {name: i for i, name in enumerate(languages)}
     labels = np.array([number[x] for x in rows["label"].to_pylist()])
@@ -263,11 +283,11 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     back, learn = full[early], full[~early]
     if not len(learn):
         return None
-    embed, layer, bias = train([buckets[i] for i in learn], [counts[i] for i in learn], labels[learn], len(languages))
-    joint = embed @ layer
-    logits = np.stack([counts[i] / counts[i].sum() @ joint[buckets[i]] for i in full]) + bias
+    embed, layer, bias = train(texts.take(learn), labels[learn], len(languages))
+    joint, filled = embed @ layer, texts.take(full)
+    logits = np.stack([c / c.sum() @ joint[b] for b, c in filled]) + bias
     temperature, threshold = calibrate(logits[early], labels[back]) if len(back) else (1.0, 0.0)
-    table, known = familiarity([buckets[i] for i in full], [counts[i] for i in full], chosen, labels[full], logits)
+    table, known = familiarity(filled, chosen, labels[full], logits)
     scores, seen = (np.zeros((len(joint) + 1, len(languages)), dtype=np.int64) for _ in range(2))
     scores[:-1] = np.round(joint.astype(float) * SCALE)
     seen[:-1] = np.round(table * SCALE)

@@ -118,3 +118,16 @@ def test_unlearned_languages_and_noise_go(spark, languages):
     assert sum(own) / len(own) < 0.02
     other = [r.lang_rejected for r in rows if r.lang not in languages]
     assert not other or sum(other) / len(other) > 0.98
+
+
+def test_features_of_sampled_texts_are_packed():
+    text = " ".join(f"word{i * 7919 % 10007} of line {i}" for i in range(3000))
+    texts = [text, "aaaa" * 100, "ab", "a", "x" * 70_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 5), pa.array(range(5), pa.int64()), pa.array(texts)], ["label", "__llm_key", "text"])
+    (out,) = lid._features(iter([batch]))
+    want = [np.bincount(plain_buckets(t), minlength=1 << lid.BUCKET_BITS) for t in texts]
+    entries = sum(int((w > 0).sum()) for w in want)
+    assert out.column("buckets").nbytes + out.column("counts").nbytes < 5 * entries
+    packed = lid.Packed(out.column("buckets"), out.column("counts"))
+    for w, (buckets, counts) in zip(want, packed, strict=True):
+        assert buckets.tolist() == np.flatnonzero(w).tolist() and counts.tolist() == w[w > 0].tolist()
